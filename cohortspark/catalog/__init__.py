@@ -1,0 +1,6 @@
+"""Registered queries over the checker's tables."""
+
+from cohortspark.catalog.registry import ORACLES, QUERIES
+from cohortspark.catalog import cohort  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.columns import compute_once
+
 # Misspelt unit -> unit, tried in this order.  A unit matches an entry when it is a
 # substring of the misspelt text (so the empty text matches the first entry).
 UNIT_SPELLINGS = (
@@ -67,48 +69,64 @@ def reading_for_standard(standard_unit: Column | str, hourly: Column | str, per_
     return F.when(unit.contains("hr"), _col(hourly)).when(unit.contains("min"), _col(per_minute))
 
 
-def convert_rate(
-    medication: Column | str,
-    rate: Column | str,
-    unit: Column | str,
-    standard_unit: Column | str,
-    weight: Column | str,
-) -> Column:
+def convert_rates(
+    df: DataFrame,
+    rate: str,
+    medication: str = "medication",
+    unit: str = "unit",
+    standard_unit: str = "standard_unit",
+    weight: str = "patientweight",
+    output: str | None = None,
+) -> DataFrame:
     """Infusion rate in the medication's standard unit; null when no rule applies or a needed weight is missing."""
-    med, value = _col(medication), _col(rate).cast("double")
-    u, std = F.lower(F.trim(_col(unit))), F.lower(F.trim(_col(standard_unit)))
-    kg = F.nullif(_col(weight).cast("double"), F.lit(0.0))
-    named_kg = F.nullif(F.regexp_extract(u, WEIGHT_IN_UNIT, 1), F.lit(""))
-    has_named_kg = u.rlike(WEIGHT_IN_UNIT)
+    tidy = lambda c: F.lower(F.trim(F.col(c)))
+    read = compute_once(
+        df,
+        {
+            "_u": tidy(unit),
+            "_std": tidy(standard_unit),
+            "_kg": F.nullif(F.col(weight).cast("double"), F.lit(0.0)),
+            "_v": F.col(rate).cast("double"),
+        },
+    )
+    u, std, kg, value, med = F.col("_u"), F.col("_std"), F.col("_kg"), F.col("_v"), F.col(medication)
+    named = u.rlike(WEIGHT_IN_UNIT)
+    named_kg = F.nullif(F.regexp_extract(u, WEIGHT_IN_UNIT, 1), F.lit("")).try_cast("double")
 
-    general = F.when(F.lit(False), F.lit(None).cast("double"))
+    cells = []
     for (standard, given), (times, over, power) in RATE_FACTORS.items():
-        converted = value * F.lit(float(times)) / F.lit(float(over))
-        if power:
-            converted = converted * kg if power > 0 else converted / kg
-        general = general.when((std == standard) & (u == given), converted)
-    general = general.when((std == "mcg/kg/min") & has_named_kg, value)
-
+        cells += [F.lit(f"{standard} {given}"), F.struct(F.lit(float(times)).alias("t"), F.lit(float(over)).alias("o"), F.lit(power).alias("p"))]
+    read = compute_once(read, {"_f": F.try_element_at(F.create_map(*cells), F.concat_ws(" ", std, u)), "_named": named, "_named_kg": named_kg})
+    factor, named, named_kg = F.col("_f"), F.col("_named"), F.col("_named_kg")
+
+    scaled = value * factor["t"] / factor["o"]
+    general = (
+        F.when(factor["p"] == 0, scaled)
+        .when(factor["p"] == 1, scaled * kg)
+        .when(factor["p"] == -1, scaled / kg)
+        .when((std == "mcg/kg/min") & named, value)
+    )
     # The three drug rules and their thresholds.
     norepinephrine = F.when(
         std == "mcg/min",
         F.when(u == "mcg/min", value)
         .when(u == "mcg/kg/min", F.when(value < 1, value * kg).otherwise(value))
-        .when(has_named_kg, value * named_kg.try_cast("double")),
+        .when(named, value * named_kg),
     )
     remifentanil = F.when(
         std == "mcg/kg/min",
         F.when(u == "mcg/kg/min", F.when(value >= 5, F.lit(0.05)).otherwise(value))
         .when(u == "mcg/min", F.when(value < 1, value).otherwise(value / kg))
-        .when(has_named_kg, value),
+        .when(named, value),
     )
-    propofol = F.when((std == "mcg/kg/min") & (u.isin("mcg/kg/min", "mcg/min") | has_named_kg), value)
-    return (
+    propofol = F.when((std == "mcg/kg/min") & (u.isin("mcg/kg/min", "mcg/min") | named), value)
+    converted = (
         F.when(med == "Norepinephrine", norepinephrine)
         .when(med == "Remifentanil", remifentanil)
         .when(med == "Propofol", propofol)
         .otherwise(general)
     )
+    return compute_once(read, {output or rate: converted}).drop("_u", "_std", "_kg", "_v", "_f", "_named", "_named_kg")
 
 
 def repair_decimal_slip(medication: Column | str, rate: Column | str) -> Column:
