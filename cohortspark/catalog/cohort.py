@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspark.catalog.registry import Tables, query, rnd
+from cohortspark.catalog.registry import NUDGE_SQL, Tables, query, rnd, snap
 from cohortspark.catalog.roles import CLINICAL, KEYS, admissions, events, items, patients, stays
 from cohortspark.functions import flags, text, times, units
 from cohortspark.functions.columns import compute_once
@@ -117,13 +117,13 @@ def header_detail_join(t: Tables):
     "subject_weight",
     f"""{CLINICAL}, w AS (SELECT subject_id, patientweight FROM events_ UNION ALL SELECT subject_id, amount / 1000 FROM events_ WHERE seq_num = 1),
     m AS (SELECT subject_id, avg(patientweight) AS patientweight FROM w GROUP BY subject_id)
-    SELECT p.subject_id, round(m.patientweight, 6) AS patientweight FROM patients p LEFT JOIN m ON p.subject_id = m.subject_id""",
+    SELECT p.subject_id, round(m.patientweight + {NUDGE_SQL}, 6) AS patientweight FROM patients p LEFT JOIN m ON p.subject_id = m.subject_id""",
 )
 def subject_weight(t: Tables):
     e = events(t)
     second = e.filter("seq_num = 1").select("subject_id", (F.col("amount") / 1000).alias("patientweight"))
     out = joins.subject_weight(patients(t), [e.select("subject_id", "patientweight"), second])
-    return out.select("subject_id", rnd("patientweight").alias("patientweight"))
+    return out.select("subject_id", snap("patientweight").alias("patientweight"))
 
 
 def _codes(t: Tables):

@@ -45,3 +45,13 @@ def query(name: str, sql: str | None = None):
 def rnd(c: Column | str, decimals: int = 6) -> Column:
     """Rounding used on both sides of a comparison."""
     return F.round(F.col(c) if isinstance(c, str) else c, decimals)
+
+
+NUDGE = 0.0000000123
+NUDGE_SQL = "0.0000000123::DOUBLE"
+
+
+def snap(c: Column | str, decimals: int = 6) -> Column:
+    """Rounding of means of short decimals: a nudge moves exact halves off the rounding border, where two
+    engines that add in another order would part.  SQL side: ``round(x + NUDGE_SQL, decimals)``."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), decimals)

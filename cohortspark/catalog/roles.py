@@ -73,7 +73,7 @@ def events(t: Tables) -> DataFrame:
     li, o = t.lineitem, stays(t).select("subject_id", "hadm_id", "stay_id", "o_orderkey", "intime")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     start = F.col("intime") + F.make_dt_interval(F.lit(0), (F.col("l_partkey") % 240 - 5).cast("int"), (F.col("l_suppkey") % 60).cast("int"))
-    end_h = (F.col("l_partkey") % 240 - 5 + F.col("l_quantity").cast("bigint") - 3).cast("int")
+    end_h = (F.col("l_partkey") % 240 - 6 + F.floor(F.col("l_quantity") / 8).cast("bigint")).cast("int")
     end = F.col("intime") + F.make_dt_interval(F.lit(0), end_h, (F.col("l_suppkey") % 60).cast("int"))
     return j.select(
         "subject_id",
@@ -95,7 +95,7 @@ EVENTS = """events_ AS (
   SELECT subject_id, hadm_id, stay_id,
          intime + to_hours(l_partkey % 240 - 5) + to_minutes(l_suppkey % 60) AS charttime,
          intime + to_hours(l_partkey % 240 - 5) + to_minutes(l_suppkey % 60) AS starttime,
-         intime + to_hours(l_partkey % 240 - 5 + CAST(l_quantity AS BIGINT) - 3) + to_minutes(l_suppkey % 60) AS endtime,
+         intime + to_hours(l_partkey % 240 - 6 + CAST(floor(l_quantity / 8) AS BIGINT)) + to_minutes(l_suppkey % 60) AS endtime,
          l_partkey AS itemid, l_linenumber AS seq_num, l_quantity AS valuenum, l_extendedprice AS amount,
          CAST(l_suppkey % 50 + 50 AS DOUBLE) AS patientweight, l_suppkey
   FROM lineitem JOIN stays ON l_orderkey = o_orderkey)"""

@@ -73,9 +73,8 @@ def clip_pad(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: in
 def extend_hours(df: DataFrame, keys: Sequence[str], rows: int = 30, hour: str = "hours") -> DataFrame:
     """Stays with fewer rows than ``rows`` get the missing number of hours after their last one, values null."""
     spans = df.groupBy(*keys).agg(F.max(hour).cast("bigint").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    extra = spans.filter(F.col("_n") < rows).select(
-        *keys, F.explode(F.sequence(F.col("_max") + 1, F.col("_max") + rows - F.col("_n"))).cast(dict(df.dtypes)[hour]).alias(hour)
-    )
+    extra = spans.filter(F.col("_n") < rows).select(*keys, F.explode(F.sequence(F.col("_max") + 1, F.col("_max") + rows - F.col("_n"))).alias(hour))
+    extra = extra.withColumn(hour, F.col(hour).cast(dict(df.dtypes)[hour]))
     return df.unionByName(extra, allowMissingColumns=True)
 
 
