@@ -270,8 +270,8 @@ def missing_check(t: Tables):
 
 @query(
     "nway_outer_merge",
-    """WITH c AS (SELECT c_nationkey AS nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS balance FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
-    s AS (SELECT s_nationkey AS nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS balance FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1)
+    """WITH c AS (SELECT c_nationkey AS nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS balance FROM customer WHERE c_acctbal > 8000 GROUP BY 1),
+    s AS (SELECT s_nationkey AS nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS balance FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
     SELECT nationkey, c.n, c.balance, s.n AS n__supplier, s.balance AS balance__supplier, n_name
     FROM c FULL JOIN s USING (nationkey) FULL JOIN (SELECT n_nationkey AS nationkey, n_name FROM nation) USING (nationkey)""",
 )
@@ -279,8 +279,8 @@ def nway_outer_merge(t: Tables):
     def side(df, key, value, keep):
         return df.filter(keep).groupBy(F.col(key).alias("nationkey")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(value)).alias("balance"))
 
-    c = side(t.customer, "c_nationkey", "c_acctbal", "c_custkey % 3 = 0")
-    s = side(t.supplier, "s_nationkey", "s_acctbal", "s_suppkey % 2 = 0")
+    c = side(t.customer, "c_nationkey", "c_acctbal", "c_acctbal > 8000")
+    s = side(t.supplier, "s_nationkey", "s_acctbal", "s_acctbal > 5000")
     n = t.nation.select(F.col("n_nationkey").alias("nationkey"), "n_name")
     return joins.merge_tables([c, s, n], [["nationkey"]] * 3, ["customer", "supplier", "nation"])
 

@@ -93,15 +93,15 @@ def stochastic_roundtrip(t: Tables):
 
 @query(
     "nearest_known",
-    f"""WITH {_FIT.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 2 = 0")}, k AS (SELECT value FROM p WHERE feature = 'l_extendedprice'),
-    u AS (SELECT DISTINCT round_even(l_extendedprice, 2) AS value FROM lineitem WHERE l_orderkey % 2 = 1), f AS (SELECT value FROM u EXCEPT SELECT value FROM k),
+    f"""WITH {_FIT.replace("FROM lineitem", "FROM lineitem WHERE l_linestatus = 'O'")}, k AS (SELECT value FROM p WHERE feature = 'l_extendedprice'),
+    u AS (SELECT DISTINCT round_even(l_extendedprice, 2) AS value FROM lineitem WHERE l_linestatus = 'F'), f AS (SELECT value FROM u EXCEPT SELECT value FROM k),
     j AS (SELECT f.value, l.value AS l FROM f ASOF LEFT JOIN k l ON f.value >= l.value),
     r AS (SELECT j.value, j.l, k2.value AS r FROM j ASOF LEFT JOIN k k2 ON j.value <= k2.value)
     SELECT 'l_extendedprice' AS feature, value, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN abs(value - r) < abs(value - l) THEN r ELSE l END AS known FROM r""",
 )
 def nearest_known(t: Tables):
-    p = encode.stochastic_fit(t.lineitem.filter("l_orderkey % 2 = 0"), ["l_extendedprice"])
-    fresh = t.lineitem.filter("l_orderkey % 2 = 1").select(F.lit("l_extendedprice").alias("feature"), F.bround("l_extendedprice", 2).alias("value"))
+    p = encode.stochastic_fit(t.lineitem.filter("l_linestatus = 'O'"), ["l_extendedprice"])
+    fresh = t.lineitem.filter("l_linestatus = 'F'").select(F.lit("l_extendedprice").alias("feature"), F.bround("l_extendedprice", 2).alias("value"))
     return encode.nearest_known(fresh, p)
 
 
@@ -161,7 +161,7 @@ def evaluation_encoder(t: Tables):
 
 @query(
     "logit_decode",
-    """WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS a FROM embeddings)
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)
     SELECT vec_id, CASE WHEN 1 / (1 + exp(-a[5])) >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS flag,
     round(exp(a[1]) / (exp(a[1]) + exp(a[2]) + exp(a[3]) + exp(a[4])), 8) AS first_share,
     CASE greatest(a[1], a[2], a[3], a[4]) WHEN a[1] THEN 0 WHEN a[2] THEN 1 WHEN a[3] THEN 2 ELSE 3 END AS arg FROM e""",
@@ -237,7 +237,7 @@ def stratified_rows(t: Tables):
     return sampling.stratified_rows(t.customer, "c_custkey", "c_mktsegment", 0.8, 4).select("c_custkey", "part")
 
 
-_LABELS = """real AS (SELECT doc_id, quality FROM labels WHERE doc_id % 4 = 0), synth AS (SELECT doc_id, quality FROM labels WHERE doc_id % 4 <> 0),
+_LABELS = """real AS (SELECT doc_id, quality FROM labels WHERE toxic = 1), synth AS (SELECT doc_id, quality FROM labels WHERE toxic = 0),
   c AS (SELECT quality, count(*) AS n, sum(count(*)) OVER () AS t FROM real GROUP BY 1)"""
 
 
@@ -248,8 +248,8 @@ _LABELS = """real AS (SELECT doc_id, quality FROM labels WHERE doc_id % 4 = 0),
     SELECT doc_id, r.quality FROM r JOIN q USING (quality) WHERE rank <= quota""",
 )
 def match_class_shares(t: Tables):
-    l = t.labels.select("doc_id", "quality")
-    return sampling.match_class_shares(l.filter("doc_id % 4 = 0"), l.filter("doc_id % 4 <> 0"), "quality", "doc_id", 6).select("doc_id", "quality")
+    l = t.labels.select("doc_id", "quality", "toxic")
+    return sampling.match_class_shares(l.filter("toxic = 1"), l.filter("toxic = 0"), "quality", "doc_id", 6).select("doc_id", "quality")
 
 
 @query(
@@ -263,8 +263,8 @@ def match_class_shares(t: Tables):
     SELECT rate, d.quality, draw, doc_id FROM d JOIN pool USING (quality, rank) JOIN q USING (quality) WHERE draw <= quota""",
 )
 def incremental_sample(t: Tables):
-    l = t.labels.select("doc_id", "quality")
-    out = sampling.incremental_samples(l.filter("doc_id % 4 = 0"), l.filter("doc_id % 4 <> 0"), "quality", "doc_id", [0.1, 0.25, 0.5])
+    l = t.labels.select("doc_id", "quality", "toxic")
+    out = sampling.incremental_samples(l.filter("toxic = 1"), l.filter("toxic = 0"), "quality", "doc_id", [0.1, 0.25, 0.5])
     return out.select("rate", "quality", "draw", "doc_id")
 
 

@@ -13,6 +13,7 @@ from cohortspark.functions.flags import apply_masks, block_argmax, levels_of
 from cohortspark.operators.filters import unpivot
 from cohortspark.operators.impute import nearest_observed, overall_mode
 from cohortspark.operators.ordered import running_sum, value_ranges
+from cohortspark.session import settled
 
 DECIMALS = 2
 TEMPERATURE = 0.5
@@ -74,12 +75,13 @@ def stochastic_transform(
 
     Unseen values use the nearest fitted value; they are resolved once per distinct value.
     """
-    lookup = params.select("feature", "value", "lo", "hi")
+    params = settled(params.select("feature", "value", "lo", "hi"))
+    lookup = params
     if unseen:
         rounded = unpivot(df, columns).select("feature", F.bround("value", decimals).alias("value"))
         extra = nearest_known(rounded, params)
         resolved = extra.join(lookup.withColumnRenamed("value", "known"), ["feature", "known"]).select("feature", "value", "lo", "hi")
-        lookup = lookup.unionByName(resolved)
+        lookup = settled(lookup.unionByName(resolved))
     out = df
     for i, c in enumerate(columns):
         own = lookup.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
@@ -97,6 +99,8 @@ def stochastic_inverse(
     Intervals are listed under the slots of [0, 1] they touch (at most intervals + slots rows per feature,
     since they are disjoint), and u is looked up by its slot: an equi-join with the interval test as residual.
     """
+    if len(columns) > 1:
+        params = settled(params.select(*by, "feature", "value", "lo", "hi"))
     first = params.groupBy(*by, "feature").agg(F.min("value").alias("_min"))
     listed = (
         params.join(first, [*by, "feature"])
@@ -236,7 +240,7 @@ class Encoder:
             bounds = fit_min_max(df, numbers, supplied)
         elif numbers and numerical == "standard":
             bounds = fit_standard(df, numbers)
-        params = stochastic_fit(df, numbers) if numbers and numerical == "stochastic" else None
+        params = settled(stochastic_fit(df, numbers)) if numbers and numerical == "stochastic" else None
         blocks = []
         for c in known:
             kind = types[c]

@@ -65,17 +65,37 @@ def clip_pad(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: in
     clipped = clip(df, keys, order, steps, step)
     if not pad:
         return clipped
-    short = clipped.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < steps)
-    rows = short.select(*keys, F.explode(F.sequence(F.col("_n"), F.lit(steps - 1).cast("bigint"))).alias(step))
-    return clipped.unionByName(rows, allowMissingColumns=True)
+    return _repeat_last(clipped, keys, step, F.lit(steps - 1).cast("bigint"))
+
+
+def _repeat_last(df: DataFrame, keys: Sequence[str], place: str, until: Column) -> DataFrame:
+    """After the last row of each key, add rows up to place ``until`` that hold only the keys and the place.
+
+    The last row itself is exploded, so the input is read once and stays in its partitions.
+    """
+    w = Window.partitionBy(*keys).orderBy(place)
+    last = df.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    here = F.col(place).cast("bigint")
+    places = F.when(F.col("_last") & (until > here), F.sequence(here, F.greatest(here, until))).otherwise(F.array(here))
+    grown = last.withColumn("_place", F.explode(places))
+    own = F.col("_place") == here
+    cells = []
+    for c, kind in df.dtypes:
+        if c in keys:
+            cells.append(F.col(f"`{c}`"))
+        elif c == place:
+            cells.append(F.col("_place").cast(kind).alias(c))
+        else:
+            cells.append(F.when(own, F.col(f"`{c}`")).alias(c))
+    return grown.select(*cells)
 
 
 def extend_hours(df: DataFrame, keys: Sequence[str], rows: int = 30, hour: str = "hours") -> DataFrame:
     """Stays with fewer rows than ``rows`` get the missing number of hours after their last one, values null."""
-    spans = df.groupBy(*keys).agg(F.max(hour).cast("bigint").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    extra = spans.filter(F.col("_n") < rows).select(*keys, F.explode(F.sequence(F.col("_max") + 1, F.col("_max") + rows - F.col("_n"))).alias(hour))
-    extra = extra.withColumn(hour, F.col(hour).cast(dict(df.dtypes)[hour]))
-    return df.unionByName(extra, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(hour)
+    numbered = df.withColumn("_rn", F.row_number().over(w))
+    until = F.col(hour).cast("bigint") + F.lit(rows) - F.col("_rn")
+    return _repeat_last(numbered, keys, hour, until).drop("_rn")
 
 
 def sequence_arrays(

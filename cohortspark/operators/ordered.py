@@ -13,9 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.functions.columns import compute_once
+
 HASH_MULTIPLIER = 2654435761
 HASH_MODULUS = 1000003
 FANOUT = 16  # ranges per level; two levels give FANOUT ** 2 ranges
+EDGE_SAMPLE = 1000  # values per group that place the range edges; also the optimiser's limit for ranks cut before a shuffle
 
 
 def portable_hash(id_col: Column | str, seed: int = 0) -> Column:
@@ -34,26 +37,51 @@ def hash_bucket(hash_col: Column | str, buckets: int = 512) -> Column:
     return F.floor(value / F.lit(HASH_MODULUS // buckets + 1)).cast("int")
 
 
-def value_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Add ``_range``: which of the FANOUT² quantile ranges of its group a value falls in.
+# Group columns whose number of values is set by the schema or by a parameter, not by the rows: a table with
+# one row per such group may be broadcast.
+BOUNDED_KEYS = {"feature", "source", "round", "setting", "model", "metric"}
+
 
-    The edges are approximate quantiles; the range number is a pure function of the value, so a
-    recomputed task gives the same answer.  One edge row per group is joined back.
+def range_edges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, _e): FANOUT² - 1 inner edges of each group's values.
+
+    The edges come from the EDGE_SAMPLE values with the smallest hashes, a sample that depends on the values
+    alone.  Approximate-quantile sketches would not do: they depend on the order in which tasks merge, and
+    the edges are evaluated by more than one branch of a plan.
     """
-    steps = [i / (FANOUT * FANOUT) for i in range(1, FANOUT * FANOUT)]
-    grouped = df.groupBy(*by) if by else df.groupBy(F.lit(0).alias("_all"))
-    edges = grouped.agg(F.percentile_approx(F.col(value).cast("double"), steps, 4096).alias("_e"))
-    coarse = F.array(*[F.col("_e")[FANOUT * (i + 1) - 1] for i in range(FANOUT - 1)])
-    fine = F.array(*[F.slice("_e", FANOUT * i + 1, FANOUT - 1) for i in range(FANOUT)])
-    keys = list(by) if by else ["_all"]
-    edges = edges.select(*keys, coarse.alias("_coarse"), fine.alias("_fine"))
-    left = df if by else df.withColumn("_all", F.lit(0))
-    joined = left.join(edges, keys)
     point = F.col(value).cast("double")
-    joined = joined.withColumn("_c", F.size(F.filter("_coarse", lambda e: e < point)))
-    inner = F.size(F.filter(F.element_at("_fine", F.col("_c") + 1), lambda e: e < point))
-    out = joined.withColumn("_range", (F.col("_c") * FANOUT + inner).cast("int"))
-    return out.drop("_coarse", "_fine", "_c", "_all")
+    hashed = df.select(*by, point.alias("_v"), F.xxhash64(point).alias("_hash"))
+    if by:
+        w = Window.partitionBy(*by).orderBy("_hash", "_v")
+        sample = hashed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= EDGE_SAMPLE)
+    else:
+        sample = hashed.orderBy("_hash", "_v").limit(EDGE_SAMPLE)
+    packed = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    packed = compute_once(packed.filter(F.size("_s") > 0), {"_s": F.col("_s")})
+    parts = FANOUT * FANOUT
+    pick = F.transform(
+        F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.element_at("_s", (F.floor(F.size("_s") * i / parts) + 1).cast("int"))
+    )
+    return packed.select(*by, pick.alias("_e"))
+
+
+def value_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add ``_range``: which of the FANOUT² value ranges of its group a row falls in.
+
+    Rows are distinct values, so ranges hold about the same number of them.  Without groups the edges are a
+    scalar subquery, with groups one edge row per group is joined.  The search is two rounds of FANOUT - 1
+    comparisons on array items, all compiled.
+    """
+    edges = range_edges(df, by, value)
+    if by:
+        joined = df.join(F.broadcast(edges) if set(by) <= BOUNDED_KEYS else edges, list(by))
+    else:
+        joined = df.withColumn("_e", edges.scalar())
+    point, e = F.col(value).cast("double"), F.col("_e")
+    coarse = sum(((point > e[FANOUT * i - 1]).cast("int") for i in range(1, FANOUT)), F.lit(0))
+    joined = compute_once(joined, {"_c": coarse})
+    fine = sum(((point > e[F.col("_c") * FANOUT + j]).cast("int") for j in range(FANOUT - 1)), F.lit(0))
+    return compute_once(joined, {"_range": F.col("_c") * FANOUT + fine}).drop("_e", "_c")
 
 
 def running_sum(

@@ -19,6 +19,7 @@ from cohortspark.functions.stats import two_sided_p
 from cohortspark.functions.text import significance_stars
 from cohortspark.operators.ordered import running_sum
 from cohortspark.operators.sampling import incremental_samples, match_class_shares, stratified_folds, stratified_rows
+from cohortspark.session import settled
 
 # Vitals, labs and age used by the outcome task; hours of the stay it sees.
 TASK_HOURS = 24
@@ -206,7 +207,7 @@ def bootstrap_scores(
         for name, rows in settings.items():
             scores = evaluate_models(rows, test, target, row_id, models(s))
             results.append(scores.select(F.lit(i).alias("round"), F.lit(name).alias("setting"), "model", "auc", "ap"))
-    return reduce(DataFrame.unionByName, results)
+    return settled(reduce(DataFrame.unionByName, results))
 
 
 def bootstrap_table(scores: DataFrame, target: str) -> DataFrame:

@@ -5,7 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+# Spark 4.1 lets a union keep the hash partitioning of its inputs; when adaptive execution then coalesces the
+# inputs differently, a following aggregation on the same keys returns split groups.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
+def safe_unions(spark: SparkSession) -> SparkSession:
+    """Switch the union partitioning shortcut off in a session that was built elsewhere."""
+    if spark.conf.get(UNION_PARTITIONING, "true") == "true":
+        spark.conf.set(UNION_PARTITIONING, "false")
+    return spark
 
 
 def get_session(master: str | None = None, app_name: str = "cohortspark", **conf: str) -> SparkSession:
@@ -20,6 +32,7 @@ def get_session(master: str | None = None, app_name: str = "cohortspark", **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        UNION_PARTITIONING: "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -39,3 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp")))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a fitted table once and cut its lineage, in reliable storage that outlives an executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
