@@ -155,21 +155,26 @@ def assemble(df: DataFrame, target: str, keep: Sequence[str] = ()) -> DataFrame:
     return out.select(*keep, "features", F.col(target).cast("double").alias("label"))
 
 
-def predict(model: Estimator, train: DataFrame, test: DataFrame, target: str, row_id: str) -> DataFrame:
-    """(row_id, label, score): fit on train, positive-class probability on test."""
-    fitted = model.fit(assemble(train.drop(row_id), target))
-    scored = fitted.transform(assemble(test, target, [row_id]))
+def predict(model: Estimator, train: DataFrame, test: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, label, score): fit on assembled train rows, positive-class probability on assembled test rows."""
+    scored = model.fit(train).transform(test)
     return scored.select(row_id, "label", vector_to_array("probability")[1].alias("score"))
 
 
 def evaluate_models(
     train: DataFrame, test: DataFrame, target: str, row_id: str, models: Mapping[str, Estimator] | None = None
 ) -> DataFrame:
-    """(model, auc, ap) of every model fitted on train and scored on test."""
-    scored = [
-        predict(m, train, test, target, row_id).withColumn("model", F.lit(name)) for name, m in (models or default_models()).items()
-    ]
-    both = reduce(DataFrame.unionByName, scored)
+    """(model, auc, ap) of every model fitted on train and scored on test.
+
+    Every fit scans its training rows many times, so they are kept for the duration of the fits.
+    """
+    rows = assemble(train.drop(row_id), target).persist()
+    held = settled(assemble(test, target, [row_id]))
+    try:
+        scored = [predict(m, rows, held, row_id).withColumn("model", F.lit(name)) for name, m in (models or default_models()).items()]
+    finally:
+        rows.unpersist()
+    both = settled(reduce(DataFrame.unionByName, scored))
     return roc_auc(both, "label", "score", ["model"]).join(average_precision(both, "label", "score", ["model"]), "model")
 
 
@@ -195,12 +200,13 @@ def bootstrap_scores(
     rng = random.Random(seed)
     for i in range(rounds):
         s = seed if rounds == 1 else rng.randrange(1000)
-        parts = stratified_rows(real, row_id, target, train_share, s)
+        parts = settled(stratified_rows(real, row_id, target, train_share, s))
         train, test = parts.filter(F.col("part") == "train").drop("part"), parts.filter(F.col("part") == "test").drop("part")
         matched = match_class_shares(real, synthetic, target, row_id, s)
-        own = stratified_rows(matched, row_id, target, train_share, s).filter(F.col("part") == "train")
+        own = settled(stratified_rows(matched, row_id, target, train_share, s).filter(F.col("part") == "train"))
         settings = {"synthetic": own.select(row_id, *columns)}
-        draws = incremental_samples(real, synthetic, target, row_id, [r for r in rates if r > 0], even, s) if any(r > 0 for r in rates) else None
+        added = [r for r in rates if r > 0]
+        draws = settled(incremental_samples(real, synthetic, target, row_id, added, even, s)) if added else None
         for r in rates:
             extra = None if r == 0 else draws.filter(F.col("rate") == float(r)).select(row_id, *columns)
             settings[str(r)] = train if extra is None else train.select(row_id, *columns).unionByName(extra)
