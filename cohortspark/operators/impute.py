@@ -139,11 +139,24 @@ def overall_mode(df: DataFrame, column: str) -> Column:
     return counts.groupBy().agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("m")).scalar()
 
 
+def overall_modes(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Scalar map column -> most frequent value as text (smallest in the column's own order on ties), one pass."""
+    kinds = dict(df.dtypes)
+    order = lambda c: F.col(f"`{c}`").cast("double") if kinds[c] != "string" else F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("string").alias("v"), order(c).alias("o")) for c in columns]
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("v").isNotNull())
+    counts = counts.groupBy("f", "v", "o").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("f").agg(F.min_by("v", F.struct(-F.col("n"), F.col("o"), F.col("v"))).alias("m"))
+    return top.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("f", "m")))).scalar()
+
+
 def impute_category(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], chunk: str | None = None) -> DataFrame:
     """Forward then backward fill inside the subject; a subject without any value gets the overall mode."""
     near = nearest_observed(df, by, order, columns, chunk)
+    modes, kinds = overall_modes(df, columns), dict(df.dtypes)
     out = {
-        c: F.coalesce(F.col(f"_p{i}")["x"], F.col(f"_n{i}")["x"], overall_mode(df, c)) for i, c in enumerate(columns)
+        c: F.coalesce(F.col(f"_p{i}")["x"], F.col(f"_n{i}")["x"], F.try_element_at(modes, F.lit(c)).try_cast(kinds[c]))
+        for i, c in enumerate(columns)
     }
     return _clean(near.withColumns(out), len(columns))
 

@@ -167,25 +167,39 @@ def fold_rare(
     fold_null: bool = False,
     output: str | None = None,
 ) -> DataFrame:
-    """Categories below the share threshold become ``others`` when more than one is rare.
+    """Categories below the share threshold become ``others`` when more than one is rare."""
+    return fold_rare_many(df, {column: others}, threshold, fold_null, {column: output or column})
 
-    At most 1 / threshold categories reach the threshold, so they are read as one scalar array and tested in
-    place: the table itself is neither joined nor shuffled.
+
+def fold_rare_many(
+    df: DataFrame, others: Mapping[str, str], threshold: float = 0.01, fold_null: bool = False, outputs: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Fold the rare categories of several text columns; ``others`` maps a column to its collective level.
+
+    All columns are counted in one pass over the table.  At most 1 / threshold categories of a column reach the
+    threshold, so the kept levels are read as one scalar map and tested in place: the table itself is neither
+    joined nor shuffled.
     """
-    shares = category_shares(df, column)
-    stats = shares.groupBy().agg(
-        F.collect_list(F.when(F.col("share") >= threshold, F.col(column))).alias("keep"),
+    if not others:
+        return df
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("v")) for c in others]
+    counts = df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*").filter(F.col("v").isNotNull())
+    counts = counts.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), "feature").withColumn("share", F.col("n") / F.col("total"))  # one row per column
+    stats = shares.groupBy("feature").agg(
+        F.collect_list(F.when(F.col("share") >= threshold, F.col("v"))).alias("keep"),
         F.count_if(F.col("share") < threshold).alias("rare"),
     )
-    info = stats.select(F.struct("keep", "rare")).scalar()
-    value = F.col(column)
-    stays = F.array_contains(info["keep"], value) | (info["rare"] <= 1)
-    folded = F.when(F.coalesce(stays, F.lit(False)), value)
-    if not fold_null:
-        folded = folded.when(value.isNull(), value)
-    else:
-        folded = folded.when(value.isNull() & (F.coalesce(info["rare"], F.lit(0)) <= 1), value)
-    return df.withColumn(output or column, folded.otherwise(F.lit(others)))
+    table = stats.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("keep", "rare"))))).scalar()
+    out = {}
+    for c, rest in others.items():
+        value, info = F.col(f"`{c}`"), F.try_element_at(table, F.lit(c))
+        few = F.coalesce(info["rare"], F.lit(0)) <= 1
+        stays = few | F.coalesce(F.array_contains(info["keep"], value.cast("string")), F.lit(False))
+        stays = stays if fold_null else stays | value.isNull()
+        out[(outputs or {}).get(c, c)] = F.when(stays, value).otherwise(F.lit(rest))
+    return df.withColumns(out)
 
 
 def share_cutoff(df: DataFrame, column: str = "itemid", threshold: float = 0.01, group: Column | None = None) -> DataFrame:

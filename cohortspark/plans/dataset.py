@@ -68,8 +68,7 @@ def static_features(cohort: DataFrame, diagnoses: DataFrame, procedures: DataFra
     mask = flags.missing_mask(wide, names, keys)
     types = rollup.infer_types(wide, names, options.type_threshold)
     typed = flags.cast_by_type(wide, types)
-    for c in (c for c, k in types.items() if k == "Categorical"):
-        typed = rollup.fold_rare(typed, c, options.share, "Others", fold_null=True)
+    typed = rollup.fold_rare_many(typed, {c: "Others" for c, k in types.items() if k == "Categorical"}, options.share, fold_null=True)
     families = (DIAGNOSES_PREFIX, PROCEDURES_PREFIX)
     types = {c: "Listwise" if c.startswith(families) else k for c, k in types.items()}
     dimensions = rollup.output_dimensions(typed, types, families)
@@ -100,41 +99,42 @@ def transfer_hours(stays: DataFrame, transfers: DataFrame, keys: Sequence[str] =
 
 def medication_hours(stays: DataFrame, meds: DataFrame, share: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
     own = joins.restrict_to_cohort(meds, stays, keys)
-    kept = rollup.medication_cutoff(own, "medication", share)
+    kept = settled(rollup.medication_cutoff(own, "medication", share))
     clocked = grid.on_stay_clock(kept, stays, keys)
     return rollup.hourly_pivot_mean(clocked, keys, "medication", value="infusion_rate")
 
 
 def point_hours(stays: DataFrame, events: DataFrame, share: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
     """Hourly means, one column per label."""
-    kept = rollup.share_cutoff(joins.restrict_to_cohort(events, stays, keys), "label", share)
+    kept = settled(rollup.share_cutoff(joins.restrict_to_cohort(events, stays, keys), "label", share))
     clocked = grid.on_stay_clock(kept, stays, keys)
     return rollup.hourly_pivot_mean(clocked, keys)
 
 
 def chart_hours(stays: DataFrame, events: DataFrame, share: float = 0.01, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """(numeric hourly means, first ventilator mode per hour with rare modes folded)."""
-    kept = rollup.share_cutoff(joins.restrict_to_cohort(events, stays, keys), "label", share)
+    kept = settled(rollup.share_cutoff(joins.restrict_to_cohort(events, stays, keys), "label", share))
     clocked = grid.on_stay_clock(kept, stays, keys)
     numeric = clocked.filter(F.col("label") != VENT).withColumn("value", number_or_null("value"))
     vent = rollup.hourly_first(clocked.filter(F.col("label") == VENT), keys).withColumnRenamed("value", VENT)
-    return rollup.hourly_pivot_mean(numeric, keys), rollup.fold_rare(vent, VENT, share)
+    return rollup.hourly_pivot_mean(numeric, keys), rollup.fold_rare(settled(vent), VENT, share)
 
 
 def interval_hours(stays: DataFrame, inputs: DataFrame, share: float = 0.01, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    kept = rollup.share_cutoff(joins.restrict_to_cohort(inputs, stays, keys), "label", share)
+    kept = settled(rollup.share_cutoff(joins.restrict_to_cohort(inputs, stays, keys), "label", share))
     clocked = grid.intervals_on_stay_clock(kept, stays, keys)
     return rollup.interval_mean(clocked, keys, "label", "amount"), rollup.interval_weight(clocked, keys)
 
 
 def procedure_hours(stays: DataFrame, procs: DataFrame, share: float = 0.01, keys: Sequence[str] = KEYS, prefix: str = PROC_PREFIX) -> tuple[DataFrame, DataFrame]:
-    kept = rollup.share_cutoff(joins.restrict_to_cohort(procs, stays, keys), "label", share).dropna(subset=["starttime", "endtime"])
+    kept = settled(rollup.share_cutoff(joins.restrict_to_cohort(procs, stays, keys), "label", share).dropna(subset=["starttime", "endtime"]))
     clocked = grid.intervals_on_stay_clock(kept, stays, keys)
     return rollup.interval_flag(clocked, keys, "label", prefix), rollup.interval_weight(clocked, keys)
 
 
 def temporal_grid(stays: DataFrame, tables: Mapping[str, DataFrame], options: DatasetOptions = DatasetOptions(), keys: Sequence[str] = KEYS) -> DataFrame:
     """Hour grid joined to every source.  ``tables``: transfers, medications, inputs, procedures, charts, outputs, labs."""
+    stays = settled(stays)
     chart, vent = chart_hours(stays, tables["charts"], options.share, keys)
     amounts, weight_a = interval_hours(stays, tables["inputs"], options.share, keys)
     procs, weight_b = procedure_hours(stays, tables["procedures"], options.share, keys)
@@ -149,6 +149,7 @@ def temporal_grid(stays: DataFrame, tables: Mapping[str, DataFrame], options: Da
         point_hours(stays, tables["labs"], options.share, keys),
         rollup.merge_weights([weight_a, weight_b], keys),
     ]
+    sources = [settled(s) for s in sources]
     base = grid.hour_grid(stays, keys, at_least=options.at_least_hours)
     return grid.assemble(base, sources, [*keys, "hours"])
 
@@ -170,12 +171,13 @@ def temporal_features(wide: DataFrame, stays: DataFrame, splits: DataFrame, opti
     # fills run over a patient's stays in time order; a stay is the chunk, so no task holds more than a stay's rows
     starts = stays.select(*keys, F.struct(F.col("intime"), F.col("stay_id")).alias("_stay"))
     ordered = limited.join(starts, list(keys))
+    ordered = settled(ordered)
     filled = impute.impute_linear(ordered, [options.patient], ["_stay", "hours"], numeric, "mean", "_stay") if numeric else ordered
-    filled = impute.impute_category(filled, [options.patient], ["_stay", "hours"], category, "_stay") if category else filled
+    filled = impute.impute_category(settled(filled), [options.patient], ["_stay", "hours"], category, "_stay") if category else filled
     filled = settled(filled.drop("_stay"))
-    for c in category:
-        if types[c] == "Categorical" and SCORE_LABEL not in c:
-            filled = rollup.fold_rare(filled.withColumn(c, F.col(f"`{c}`").cast("string")), c, options.share, f"{c}_Others", fold_null=True)
+    folds = [c for c in category if types[c] == "Categorical" and SCORE_LABEL not in c]
+    filled = filled.withColumns({c: F.col(f"`{c}`").cast("string") for c in folds}) if folds else filled
+    filled = rollup.fold_rare_many(filled, {c: f"{c}_Others" for c in folds}, options.share, fold_null=True)
     scores = [c for c in numeric if SCORE_LABEL in c]
     filled = filled.withColumns({c: F.col(f"`{c}`").cast("int") for c in scores}) if scores else filled
 

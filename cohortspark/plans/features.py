@@ -1,4 +1,8 @@
-"""Extraction of codes, transfers, medications and events of a cohort.  Every step is frame to frame."""
+"""Extraction of codes, transfers, medications and events of a cohort.
+
+Every result is written to the checkpoint folder once: later steps read it several times, and plans that
+carried all earlier steps along would grow with every use.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from cohortspark.functions import flags, text, times, units
 from cohortspark.functions.columns import compute_once
 from cohortspark.operators import filters, joins, rollup
 from cohortspark.plans.cohort import KEYS
+from cohortspark.session import settled
 
 # Prefixes of the flag families.
 DIAGNOSES_PREFIX = "icd-10-cm_"
@@ -22,9 +27,9 @@ DETAIL_KEYS = ("subject_id", "hadm_id", "stay_id", "emar_id", "itemid", "emar_se
 
 def code_flags(codes: DataFrame, cohort: DataFrame, prefix: str, threshold: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per admission, one 0/1 column per frequent code, rare codes folded into Others."""
-    own = joins.restrict_and_dedupe(codes, cohort, keys, ["seq_num"], ["icd_code"])
+    own = settled(joins.restrict_and_dedupe(codes, cohort, keys, ["seq_num"], ["icd_code"]))
     folded = rollup.fold_rare(own, "icd_code", threshold)
-    return rollup.code_flags(folded, joins.shared(keys, codes), "icd_code", prefix)
+    return settled(rollup.code_flags(folded, joins.shared(keys, codes), "icd_code", prefix))
 
 
 def diagnoses(codes: DataFrame, cohort: DataFrame, threshold: float = 0.01, code_map: DataFrame | None = None) -> DataFrame:
@@ -41,9 +46,9 @@ def procedures(codes: DataFrame, cohort: DataFrame, threshold: float = 0.01, cod
 
 def transfers(rows: DataFrame, cohort: DataFrame, threshold: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
     """Care-unit one-hot columns and a transfer flag."""
-    own = joins.restrict_and_dedupe(rows, cohort, keys, ["intime", "outtime"])
+    own = settled(joins.restrict_and_dedupe(rows, cohort, keys, ["intime", "outtime"]))
     folded = rollup.fold_rare(own, "careunit", threshold)
-    return flags.one_hot(folded, "careunit", "careunit").withColumn("transfer", text.text_flag("eventtype", "transfer"))
+    return settled(flags.one_hot(folded, "careunit", "careunit").withColumn("transfer", text.text_flag("eventtype", "transfer")))
 
 
 def medications(
@@ -81,7 +86,7 @@ def medications(
     rows = units.convert_rates(rows, "infusion_rate", unit="infusion_rate_unit")
     rows = rows.filter((F.col("infusion_rate") > 0) & units.within_rate_bounds("medication", "infusion_rate"))
     rows = rows.withColumn("infusion_rate", units.repair_decimal_slip("medication", "infusion_rate"))
-    return rows.select(*keys, "medication", "charttime", "event_txt", "infusion_rate", "infusion_rate_unit", "standard_unit")
+    return settled(rows.select(*keys, "medication", "charttime", "event_txt", "infusion_rate", "infusion_rate_unit", "standard_unit"))
 
 
 def _labelled(events: DataFrame, cohort: DataFrame, label_map: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,26 +100,26 @@ def chart_events(events: DataFrame, cohort: DataFrame, label_map: DataFrame, che
     rows = filters.pick_value_source(_labelled(events, cohort, label_map, keys))
     if check_scores:
         rows = filters.valid_scores(rows)
-    return filters.drop_placeholders(rows).select(*keys, "charttime", "value", "label")
+    return settled(filters.drop_placeholders(rows).select(*keys, "charttime", "value", "label"))
 
 
 def output_events(events: DataFrame, cohort: DataFrame, label_map: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rows = filters.numeric_only(filters.drop_placeholders(_labelled(events, cohort, label_map, keys)))
-    return rows.select(*keys, "charttime", "value", "label")
+    return settled(rows.select(*keys, "charttime", "value", "label"))
 
 
 def lab_events(events: DataFrame, cohort: DataFrame, label_map: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rows = _labelled(events, cohort, label_map, keys).withColumn("value", F.col("valuenum"))
-    return rows.filter(F.col("value").isNotNull()).select(*keys, "charttime", "value", "label")
+    return settled(rows.filter(F.col("value").isNotNull()).select(*keys, "charttime", "value", "label"))
 
 
 def input_events(events: DataFrame, cohort: DataFrame, label_map: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rows = _labelled(events, cohort, label_map, keys).withColumn("amount", text.amount_or_cc("amount"))
-    return rows.filter(F.col("amount").isNotNull()).select(*keys, "starttime", "endtime", "label", "amount", "patientweight")
+    return settled(rows.filter(F.col("amount").isNotNull()).select(*keys, "starttime", "endtime", "label", "amount", "patientweight"))
 
 
 def procedure_events(events: DataFrame, cohort: DataFrame, label_map: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return _labelled(events, cohort, label_map, keys).select(*keys, "starttime", "endtime", "label", "patientweight")
+    return settled(_labelled(events, cohort, label_map, keys).select(*keys, "starttime", "endtime", "label", "patientweight"))
 
 
 def all_events(streams: Sequence[DataFrame]) -> DataFrame:

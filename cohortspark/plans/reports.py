@@ -11,8 +11,34 @@ from cohortspark.functions.flags import outcome_group
 from cohortspark.operators import encode, fidelity, filters, neighbours, privacy, rollup, sampling, utility
 from cohortspark.operators.ordered import running_sum
 
-# Vitals and labs of the outcome task.
-TASK_VITALS = ("SBP", "DBP", "MBP", "HR", "RR", "SpO2", "BT")
+# Age, vitals, coma scores and labs of the outcome task.
+TASK_FEATURES = (
+    "age",
+    "RR",
+    "HR",
+    "SBP",
+    "DBP",
+    "BT",
+    "SpO2",
+    "Glasgow coma scale(eye)",
+    "Glasgow coma scale(verbal)",
+    "Glasgow coma scale(motor)",
+    "ALT",
+    "AST",
+    "Albumin",
+    "BUN",
+    "Bilirubin, total",
+    "Chloride, serum",
+    "Creatinine",
+    "Glucose",
+    "Hb",
+    "PT (INR)",
+    "PLT",
+    "Potassium, serum",
+    "Sodium, serum",
+    "WBC",
+    "aPTT",
+)
 
 
 def fidelity_report(
