@@ -206,6 +206,12 @@ def block_argmax(array: Column | str) -> Column:
     return F.when(complete, F.array_position(a, F.array_max(a)) - 1)
 
 
+def pick_level(levels: Sequence, position: Column) -> Column:
+    """Level at a 1-based position.  The null test is stated: an element lookup in a literal array does not make
+    one of its own for the position."""
+    return F.when(position.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in levels]), position.cast("int")))
+
+
 def one_hot_indices(array: Column | str, widths: Sequence[int]) -> Column:
     """Index per one-hot block, as an array."""
     return F.array(*[block_argmax(b) for b in split_blocks(array, widths)])

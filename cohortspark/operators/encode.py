@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.flags import apply_masks, block_argmax, levels_of
+from cohortspark.functions.flags import apply_masks, block_argmax, levels_of, pick_level
 from cohortspark.operators.filters import unpivot
 from cohortspark.operators.impute import nearest_observed, overall_mode
 from cohortspark.operators.ordered import running_sum, value_ranges
@@ -179,7 +179,7 @@ def binary_array(c: Column, levels: Sequence) -> Column:
 def category_from_array(a: Column, levels: Sequence, drop_first: bool = False) -> Column:
     """Level of the first maximum; null when any part is null."""
     names = list(levels)[1:] if drop_first and len(levels) > 1 else list(levels)
-    return F.element_at(F.array(*[F.lit(v) for v in names]), (block_argmax(a) + 1).cast("int"))
+    return pick_level(names, block_argmax(a) + 1)
 
 
 def binary_from_array(a: Column, levels: Sequence) -> Column:

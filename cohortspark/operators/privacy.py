@@ -21,7 +21,7 @@ def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def k_anonymity(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
     """Smallest class size; rows with a missing quasi-identifier are left out."""
-    return _complete(df, quasi).groupBy(*quasi).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("k_anonymity"))
+    return _complete(df, quasi).groupBy(*quasi).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("k_anonymity"))
 
 
 def l_diversity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
@@ -30,21 +30,21 @@ def l_diversity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFram
     Values are made distinct first, so a large class is never held as one set.
     """
     pairs = _complete(df, quasi).groupBy(*quasi, sensitive).agg(F.count(F.lit(1)).alias("_n"))
-    return pairs.groupBy(*quasi).agg(F.count(sensitive).alias("l")).agg(F.min("l").alias("l_diversity"))
+    return pairs.groupBy(*quasi).agg(F.count(sensitive).alias("_l")).agg(F.min("_l").alias("l_diversity"))
 
 
 def t_closeness(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
     """Largest divergence Σ p ln(p/q) of a class's sensitive distribution from the whole table's."""
     known = df.filter(F.col(sensitive).isNotNull())
-    cells = known.groupBy(*quasi, sensitive).agg(F.count(F.lit(1)).alias("n"))
-    globe = cells.groupBy(sensitive).agg(F.sum("n").alias("g"))
-    total = globe.groupBy().agg(F.sum("g")).scalar()
+    cells = known.groupBy(*quasi, sensitive).agg(F.count(F.lit(1)).alias("_n"))
+    globe = cells.groupBy(sensitive).agg(F.sum("_n").alias("_g"))
+    total = globe.groupBy().agg(F.sum("_g")).scalar()
     inside = _complete(cells, quasi)
-    classes = inside.groupBy(*quasi).agg(F.sum("n").alias("c"))
-    p, q = F.col("n") / F.col("c"), F.col("g") / total
+    classes = inside.groupBy(*quasi).agg(F.sum("_n").alias("_c"))
+    p, q = F.col("_n") / F.col("_c"), F.col("_g") / total
     joined = inside.join(classes, list(quasi)).join(globe, sensitive)
-    kl = joined.groupBy(*quasi).agg(F.sum(p * F.log(p / q)).alias("kl"))
-    return kl.agg(F.greatest(F.max("kl"), F.lit(0.0)).alias("t_closeness"))
+    kl = joined.groupBy(*quasi).agg(F.sum(p * F.log(p / q)).alias("_kl"))
+    return kl.agg(F.greatest(F.max("_kl"), F.lit(0.0)).alias("t_closeness"))
 
 
 def single_out_risk(original: DataFrame, synthetic: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -54,9 +54,9 @@ def single_out_risk(original: DataFrame, synthetic: DataFrame, columns: Sequence
     """
     a = original.select(*by, *columns, F.lit(1).alias("_o"), F.lit(0).alias("_s"))
     b = synthetic.select(*by, *columns, F.lit(0).alias("_o"), F.lit(1).alias("_s"))
-    rows = a.unionByName(b).groupBy(*by, *columns).agg(F.sum("_o").alias("o"), F.sum("_s").alias("s"))
-    hits = F.sum(F.when(F.col("o") > 0, F.col("s")).otherwise(0))
-    return rows.groupBy(*by).agg((hits / F.nullif(F.sum("s"), F.lit(0))).alias("single_out_risk"))
+    rows = a.unionByName(b).groupBy(*by, *columns).agg(F.sum("_o").alias("_no"), F.sum("_s").alias("_ns"))
+    hits = F.sum(F.when(F.col("_no") > 0, F.col("_ns")).otherwise(0))
+    return rows.groupBy(*by).agg((hits / F.nullif(F.sum("_ns"), F.lit(0))).alias("single_out_risk"))
 
 
 def inferential_risk(

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.flags import levels_of
+from cohortspark.functions.flags import levels_of, pick_level
 from cohortspark.operators.encode import stochastic_fit, stochastic_inverse
 from cohortspark.operators.ordered import HASH_MULTIPLIER, ranked
 
@@ -189,7 +189,7 @@ def generate_rows(
     )
     out = stochastic_inverse(draws, params, columns, by=by).drop(*[f"_m_{c}" for c in columns])
     return out.withColumns(
-        {c: F.element_at(F.array(*[F.lit(v) for v in levels[c]]), F.col(c).cast("int")) for c in categorical}
+        {c: pick_level(levels[c], F.col(c)) for c in categorical}
     )
 
 

@@ -131,4 +131,5 @@ def test_nearest_known_and_generated_rows(spark):
     seen = {(r["cond"], r["v"]) for r in made.collect()}
     assert seen == {(0, 1.0), (0, 2.0), (1, 10.0), (1, None)}
     assert {r["k"] for r in made.filter("cond = 0").collect()} == {"x", "y"}
+    assert {r["k"] for r in made.filter("cond = 1").collect()} == {"x", None}
     assert joins.merge_type_dicts([{"a": "x"}, {"a": "y", "b": "z"}], ["p", "q"]) == {"a": "x", "a__q": "y", "b": "z"}
