@@ -396,13 +396,13 @@ def unit_convert(t: Tables):
 
 @query(
     "race_map",
-    """SELECT n_nationkey, CASE WHEN contains(r, 'ASIAN') THEN 'ASIAN' WHEN contains(r, 'WHITE') THEN 'WHITE' WHEN contains(r, 'BLACK') THEN 'BLACK'
+    """SELECT c_custkey, CASE WHEN contains(r, 'ASIAN') THEN 'ASIAN' WHEN contains(r, 'WHITE') THEN 'WHITE' WHEN contains(r, 'BLACK') THEN 'BLACK'
       WHEN contains(r, 'HISPANIC/LATINO') OR r = 'HISPANIC OR LATINO' THEN 'HISPANIC/LATINO' WHEN r IN ('UNABLE TO OBTAIN', 'UNKNOWN') THEN 'UNKNOWN' ELSE 'OTHER' END AS race
-    FROM (SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'ASIAN - ' || n_name WHEN 1 THEN n_name || '/WHITE' WHEN 2 THEN 'BLACK/' || n_name
-      WHEN 3 THEN 'HISPANIC OR LATINO' WHEN 4 THEN 'UNKNOWN' ELSE n_name END AS r FROM nation)""",
+    FROM (SELECT c_custkey, CASE c_nationkey % 6 WHEN 0 THEN 'ASIAN - ' || c_name WHEN 1 THEN c_name || '/WHITE' WHEN 2 THEN 'BLACK/' || c_name
+      WHEN 3 THEN 'HISPANIC OR LATINO' WHEN 4 THEN 'UNKNOWN' ELSE c_name END AS r FROM customer)""",
 )
 def race_map(t: Tables):
-    name, key = F.col("n_name"), F.col("n_nationkey") % 6
+    name, key = F.col("c_name"), F.col("c_nationkey") % 6
     raw = (
         F.when(key == 0, F.concat(F.lit("ASIAN - "), name))
         .when(key == 1, F.concat(name, F.lit("/WHITE")))
@@ -411,7 +411,7 @@ def race_map(t: Tables):
         .when(key == 4, "UNKNOWN")
         .otherwise(name)
     )
-    return text.transform_static(t.nation.select("n_nationkey", raw.alias("race")))
+    return text.transform_static(t.customer.select("c_custkey", raw.alias("race")))
 
 
 @query(

@@ -8,6 +8,7 @@ from cohortspark.catalog.registry import NUDGE_SQL, Tables, query, rnd, snap
 from cohortspark.catalog.roles import CLINICAL, events, hours_sql, items, stays
 from cohortspark.functions import flags, times
 from cohortspark.operators import filters, grid, impute, joins, rollup
+from cohortspark.plans import episodes
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -258,14 +259,75 @@ def repeat_static(t: Tables):
     return joins.repeat_static(static, t.orders.select("o_orderkey", "o_custkey"), "o_custkey")
 
 
+@query(
+    "static_join",
+    """WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), u AS (SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent FROM orders GROUP BY 1)
+    SELECT c_custkey AS subject_id, n, urgent FROM customer LEFT JOIN n ON c_custkey = n.o_custkey LEFT JOIN u ON c_custkey = u.o_custkey
+    WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""",
+)
+def static_join(t: Tables):
+    o = t.orders.withColumnRenamed("o_custkey", "subject_id")
+    n = o.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
+    u = o.groupBy("subject_id").agg(F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"))
+    wide = joins.static_with_codes(t.customer.select(F.col("c_custkey").alias("subject_id")), [n, u], ["subject_id"])
+    return joins.present_in(wide, o.filter("o_orderstatus = 'F'"), ["subject_id"])
+
+
+@query(
+    "observation_table",
+    f"""WITH w AS (SELECT user_id, CAST(ts AS DATE) AS day, {", ".join(f"avg(value) FILTER (event_type = '{v}') AS {v}" for v in TYPES)} FROM events GROUP BY ALL)
+    SELECT user_id, CAST(day AS VARCHAR) AS day, """
+    + ", ".join(f"round(CASE WHEN {v} <= 200 THEN {v} END + {NUDGE_SQL}, 6) AS {v}, CASE WHEN {v} <= 200 THEN 1 ELSE 0 END AS {v}_mask" for v in TYPES)
+    + " FROM w",
+)
+def observation_table(t: Tables):
+    e = t.events.select("user_id", F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("item_name"), "value")
+    out, _ = episodes.observations(e, ["user_id"], ["day"], thresholds={v: (0, 200) for v in TYPES}, fill=None)
+    return out.withColumns({v: snap(v) for v in TYPES})
+
+
+@query(
+    "medication_presence",
+    """WITH k AS (SELECT l_orderkey, p_type || '_' || l_returnflag AS a, CASE WHEN l_linenumber > 3 THEN p_brand || '_' || l_returnflag END AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+    n AS (SELECT name FROM (SELECT a AS name FROM k UNION ALL SELECT b FROM k) WHERE name IS NOT NULL GROUP BY name
+      HAVING count(*) >= 0.02::DOUBLE * (SELECT count(a) + count(b) FROM k)),
+    r AS (SELECT l_orderkey, min([a, b]) AS one FROM k WHERE a IN (SELECT name FROM n) OR b IN (SELECT name FROM n) GROUP BY 1)
+    SELECT l_orderkey, count(*) AS flags FROM (SELECT DISTINCT l_orderkey, unnest(one) AS name FROM r) WHERE name IS NOT NULL GROUP BY 1""",
+)
+def medication_presence(t: Tables):
+    k = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", F.col("p_type").alias("d1"), F.when(F.col("l_linenumber") > 3, F.col("p_brand")).alias("d2"), F.col("l_returnflag").alias("route")
+    )
+    wide = episodes.medication_flags(k, ["l_orderkey"], [], ["d1", "d2"], "route", 0.02)
+    total = sum((F.col(f"`{c}`") for c in wide.columns if c != "l_orderkey"), F.lit(0))
+    return wide.select("l_orderkey", total.cast("bigint").alias("flags"))
+
+
+@query(
+    "diagnosis_presence",
+    """WITH n AS (SELECT p_brand FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) >= 0.04::DOUBLE * (SELECT count(*) FROM lineitem))
+    SELECT l_orderkey, count(DISTINCT p_brand) AS codes FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT p_brand FROM n) GROUP BY 1""",
+)
+def diagnosis_presence(t: Tables):
+    k = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_brand").alias("icd10_cm"))
+    wide = episodes.diagnosis_flags(k, ["l_orderkey"], [], min_share=0.04)
+    total = sum((F.col(f"`{c}`") for c in wide.columns if c != "l_orderkey"), F.lit(0))
+    return wide.select("l_orderkey", total.cast("bigint").alias("codes"))
+
+
 # ---- types, outliers, masks ---------------------------------------------------------------------
 
 
 @query(
     "type_inference",
-    """SELECT * FROM (VALUES ('l_orderkey', 'Numerical'), ('l_linenumber', 'Categorical'), ('l_discount', 'Numerical'), ('l_returnflag', 'Categorical'),
-    ('l_shipdate', 'Other'), ('late', 'Binary'), ('l_quantity', 'Numerical')) v(feature, feature_type)
-    WHERE (SELECT count(DISTINCT l_linenumber) <= 7 FROM lineitem)""",
+    "WITH l AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS late FROM lineitem) "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, CASE WHEN bool_and({c} IN (0, 1)) THEN 'Binary' WHEN bool_and({c} = floor({c})) AND count(DISTINCT {c}) <= 7
+        THEN 'Categorical' ELSE 'Numerical' END AS feature_type FROM l"""
+        for c in ("l_orderkey", "l_linenumber", "l_discount", "late", "l_quantity")
+    )
+    + " UNION ALL SELECT column_name, CASE WHEN column_type = 'VARCHAR' THEN 'Categorical' ELSE 'Other' END FROM (SELECT unnest(['l_returnflag', 'l_shipdate']) AS column_name,"
+    " unnest([typeof(any_value(l_returnflag)), typeof(any_value(l_shipdate))]) AS column_type FROM l)",
 )
 def type_inference(t: Tables):
     li = t.lineitem.withColumn("late", (F.col("l_linestatus") == "F").cast("int"))
