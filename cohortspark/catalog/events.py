@@ -291,8 +291,8 @@ def observation_table(t: Tables):
     """WITH k AS (SELECT l_orderkey, p_type || '_' || l_returnflag AS a, CASE WHEN l_linenumber > 3 THEN p_brand || '_' || l_returnflag END AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
     n AS (SELECT name FROM (SELECT a AS name FROM k UNION ALL SELECT b FROM k) WHERE name IS NOT NULL GROUP BY name
       HAVING count(*) >= 0.02::DOUBLE * (SELECT count(a) + count(b) FROM k)),
-    r AS (SELECT l_orderkey, min([a, b]) AS one FROM k WHERE a IN (SELECT name FROM n) OR b IN (SELECT name FROM n) GROUP BY 1)
-    SELECT l_orderkey, count(*) AS flags FROM (SELECT DISTINCT l_orderkey, unnest(one) AS name FROM r) WHERE name IS NOT NULL GROUP BY 1""",
+    r AS (SELECT l_orderkey, min([coalesce(a, ''), coalesce(b, '')]) AS one FROM k WHERE a IN (SELECT name FROM n) OR b IN (SELECT name FROM n) GROUP BY 1)
+    SELECT l_orderkey, count(*) AS flags FROM (SELECT DISTINCT l_orderkey, unnest(one) AS name FROM r) WHERE name <> '' GROUP BY 1""",
 )
 def medication_presence(t: Tables):
     k = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
