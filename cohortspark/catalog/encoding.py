@@ -57,10 +57,10 @@ _FIT = """c AS (SELECT feature, value, count(*) AS n FROM (SELECT 'l_quantity' A
 _NUMBERS = ["l_quantity", "l_extendedprice"]
 
 
-@query("stochastic_fit", f"WITH {_FIT} SELECT feature, value, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM p")
+@query("stochastic_fit", f"WITH {_FIT} SELECT feature, value, n, round(lo, 6) AS lo, round(hi, 6) AS hi FROM p")
 def stochastic_fit(t: Tables):
     p = encode.stochastic_fit(t.lineitem, _NUMBERS)
-    return p.select("feature", "value", "n", rnd("lo", 9).alias("lo"), rnd("hi", 9).alias("hi"))
+    return p.select("feature", "value", "n", rnd("lo").alias("lo"), rnd("hi").alias("hi"))
 
 
 @query(
