@@ -94,7 +94,9 @@ def running_sum(
     """Add ``<c>_before`` (sum over earlier rows of the group) and ``<c>_total`` for each column.
 
     Rows must be unique in (by, order); aggregate first.  ``bucket`` must be monotone in the order;
-    without it the ranges are quantiles of the first order column.
+    without it the ranges are quantiles of the first order column.  The plan reads ``df`` twice (totals and
+    rows), so order values must not change when they are recomputed: settle values that come from sums of
+    floating numbers, such as model scores, before ranking them.
     """
     by = list(by)
     ranged = df.withColumn("_range", bucket) if bucket is not None else value_ranges(df, by, order[0])
