@@ -22,7 +22,7 @@ from cohortspark.llm.text import Memo, label_sample, per_text
 BITS = 18
 PER_CLASS = 4000  # labelled rows of a class that are learned from, at most
 SHARDS = 4
-UPDATES = 20_000  # updates of a shard, at least: a small sample is passed over more often
+UPDATES = 6_000  # updates of a shard, at least: a small sample is passed over more often
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.01
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 _MASK32 = np.uint64(0xFFFFFFFF)
