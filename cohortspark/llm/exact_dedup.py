@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.text import per_text
-from cohortspark.session import settled
+from cohortspark.session import safe_unions, settled
 
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (1000003, 69069, 1664525)
@@ -89,6 +89,7 @@ def exact_duplicates(docs: DataFrame, primes=PRIMES, bases=BASES, chunk: int = C
     Null text equals empty text.  A null doc_id is smaller than any other.  Of rows with the same doc_id and
     text one stays.  An empty table gives an empty table.
     """
+    safe_unions(docs.sparkSession)
     rows = settled(fingerprints(docs, primes, bases, chunk))
     key = ["size", "print"]
     groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
@@ -106,15 +107,15 @@ def exact_duplicates(docs: DataFrame, primes=PRIMES, bases=BASES, chunk: int = C
     spans = chunks.select(*key, "place", piece.alias("piece")).groupBy(*key, "place")
     unequal = spans.agg((F.min("piece") != F.max("piece")).alias("_odd")).filter("_odd").select(*key).distinct()
 
-    # Groups that only share a fingerprint are keyed by the digest of the whole text as well.
-    settled_key = rows.join(unequal.withColumn("_odd", F.lit(True)), key, "left").withColumn(
-        "_exact", F.when(F.col("_odd"), F.col("text_sha256")).otherwise(F.lit(""))
-    )
-    full = [*key, "_exact"]
-    best = settled_key.groupBy(*full).agg(
-        F.max(F.struct("doc_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size")
-    )
-    out = settled_key.join(best, full)
+    # A group that only shares a fingerprint is split by the digest of the whole text.  Groups are combined before
+    # the shuffle; rows meet one row of their group in a join whose large partitions can be split.
+    best = [F.max(F.struct("doc_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size")]
+    same = rows.groupBy(*key).agg(*best).join(unequal, key, "left_anti").withColumn("_exact", F.lit(None).cast("string"))
+    split = rows.join(unequal, key).groupBy(*key, F.col("text_sha256").alias("_exact")).agg(*best)
+    named_groups = same.unionByName(split).withColumnsRenamed({"size": "_size", "print": "_print"})
+    own = (F.col("size") == F.col("_size")) & (F.col("print") == F.col("_print"))
+    own &= F.col("_exact").isNull() | (F.col("_exact") == F.col("text_sha256"))
+    out = rows.join(named_groups, own)
     return out.select(
         "doc_id",
         F.col("_best.doc_id").alias("keep_id"),

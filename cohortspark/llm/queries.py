@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, quality, secret_scan, token_count
+from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, path_join, quality, secret_scan, token_count
 from cohortspark.llm.text import id_fold, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,24 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+r(node, reached) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+k AS (SELECT node AS doc_id, min(reached) AS class_id, count(*) AS class_size FROM r GROUP BY 1),
+d AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN d USING (doc_id)
+"""
+
+
 @query("op4_exact_dedup", EXACT_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Exact copies of documents and the row of each group that stays."""
@@ -108,3 +126,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in documents."""
     return secret_scan.scan_secrets(table(spark, folder, "documents")).drop("secrets")
+
+
+@query("op10_path_join", NEAR_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of documents and the number of links of each."""
+    return path_join.near_duplicates(table(spark, folder, "documents")).drop("stays", "text_hash")
