@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 RECALL = 0.999  # of pairs at the threshold itself, by the tokens of two levels
 TOKENS = 128  # minhash tokens of a point
 LOOSE = 0.55  # share of equal tokens that makes a candidate: seven deviations below the threshold
+LEAVES = 0.86  # share of tokens equal to a pivot's from which a point need not be split further
 BUCKET = 64  # points of a bucket that are compared at once
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
 BLOCK = 256  # points of a block in the exact comparison
@@ -101,22 +102,52 @@ def _tokens(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, TOKENS).astype(np.uint64)
 
 
-def _go_down(parts: Iterator[pd.DataFrame], similarity: float, runs: int) -> Iterator[pd.DataFrame]:
-    """Children of nodes: (path, key, tokens) -> (path, key).  Without a path, the roots of all runs."""
-    limit = np.uint64(2**64 / (similarity * TOKENS))
-    for part in parts:
-        for at in range(0, len(part), 2000):
-            rows = part.iloc[at : at + 2000]
-            values = _tokens(rows["tokens"]) + _PLACES
-            keys = rows["key"].to_numpy()
-            starts = [rows["path"].to_numpy(np.int64).view(np.uint64)[:, None]] if "path" in rows else [
-                mix64(np.full((1, 1), (r + 1) * 0x51ED2701, np.uint64)) for r in range(runs)
-            ]
-            for start in starts:
-                h = mix64(mix64(values * _STEP) + start)
-                row, place = np.nonzero(h < limit)
-                path = mix64(h[row, place] + _STEP).view(np.int64)
-                yield pd.DataFrame({"path": path, "key": keys[row]})
+def _children(tokens: np.ndarray, starts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child path) of the tokens that nodes sample."""
+    h = mix64(mix64((tokens + _PLACES) * _STEP) + starts[:, None])
+    row, place = np.nonzero(h < np.uint64(2**64 / (similarity * TOKENS)))
+    return row, mix64(h[row, place] + _STEP).view(np.int64)
+
+
+def _roots(similarity: float, runs: int):
+    """(key, tokens) -> (path, key): the first nodes of every run."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
+        for part in parts:
+            for at in range(0, len(part), 2000):
+                rows = part.iloc[at : at + 2000]
+                tokens, keys = _tokens(rows["tokens"]), rows["key"].to_numpy()
+                for seed in seeds:
+                    row, path = _children(tokens, np.full(len(keys), seed), similarity)
+                    yield pd.DataFrame({"path": path, "key": keys[row]})
+
+    return run
+
+
+def _descend(similarity: float):
+    """Split large buckets: (path, key, tokens, pivot, pivot_tokens) -> children (path, key) and links (key, pivot).
+
+    Points like the pivot are linked to it, and those that are very like it leave: by the triangle inequality of
+    the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of near copies
+    is one star after one level, and only points unlike the pivot are split further.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), 2000):
+                rows = part.iloc[at : at + 2000]
+                tokens, pivots = _tokens(rows["tokens"]), _tokens(rows["pivot_tokens"])
+                keys, pivot = rows["key"].to_numpy(), rows["pivot"].to_numpy()
+                alike = (tokens == pivots).mean(axis=1)
+                linked = np.flatnonzero((alike >= LOOSE) & (keys != pivot))
+                yield pd.DataFrame({"path": 0, "key": keys[linked], "pivot": pivot[linked]})
+                on = np.flatnonzero(alike < LEAVES)
+                starts = rows["path"].to_numpy(np.int64)[on].view(np.uint64)
+                row, path = _children(tokens[on], starts, similarity)
+                yield pd.DataFrame({"path": path, "key": keys[on][row], "pivot": None})
+
+    return run
 
 
 def _groups(parts: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -175,23 +206,24 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int, depth: int) -> DataFrame:
     """Loose links (a, b) between points (key, tokens), from the buckets of all runs."""
 
-    def roots(parts):
-        return _go_down(parts, similarity, runs)
-
-    paths = settled(points.select("key", "tokens").mapInPandas(roots, "path long, key binary"))
+    tokens = points.select("key", "tokens")
+    paths = settled(tokens.mapInPandas(_roots(similarity, runs), "path long, key binary"))
     small, links = [], []
     for level in range(1, depth + 1):
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1")
         placed = settled(paths.join(sizes, "path"))
         small.append(placed.filter(F.col("n") <= bucket).select("path", "key"))
-        large = placed.filter(F.col("n") > bucket).select("path", "key")
+        large = placed.filter(F.col("n") > bucket).select("path", "key", "pivot")
         if large.isEmpty():
             break
         if level == depth:
-            first = large.groupBy("path").agg(F.min("key").alias("b"))
-            links.append(large.join(first, "path").select(F.col("key").alias("a"), "b"))
+            links.append(large.select(F.col("key").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
             break
-        paths = settled(large.join(points.select("key", "tokens"), "key").mapInPandas(roots, "path long, key binary"))
+        pivots = large.select("pivot").distinct().join(tokens.withColumnsRenamed({"key": "pivot", "tokens": "pivot_tokens"}), "pivot")
+        split = large.join(pivots, "pivot").join(tokens, "key").select("path", "key", "tokens", "pivot", "pivot_tokens")
+        split = settled(split.mapInPandas(_descend(similarity), "path long, key binary, pivot binary"))
+        links.append(split.filter("pivot is not null").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        paths = split.filter("pivot is null").select("path", "key")
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, path_join, quality, secret_scan, token_count
+from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, path_join, quality, secret_scan, token_count, toxicity
 from cohortspark.llm.text import id_fold, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of documents and the number of links of each."""
     return path_join.near_duplicates(table(spark, folder, "documents")).drop("stays", "text_hash")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of documents."""
+    documents = table(spark, folder, "documents")
+    lexicon = toxicity.train_lexicon(documents, table(spark, folder, "labels"))
+    return predictions(toxicity.score_toxicity(documents, lexicon), 0.5)
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-entropy difference of documents: those labelled as good against all."""
+    good = table(spark, folder, "labels").filter("quality = 1")
+    marked = lm_score.mark_target(table(spark, folder, "documents"), good)
+    return lm_score.score_documents(marked, lm_score.train_models(marked))
