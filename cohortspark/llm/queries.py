@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, path_join, quality, secret_scan, token_count, toxicity
+from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, path_join, pii, quality, secret_scan, token_count, toxicity
 from cohortspark.llm.text import id_fold, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "labels").filter("quality = 1")
     marked = lm_score.mark_target(table(spark, folder, "documents"), good)
     return lm_score.score_documents(marked, lm_score.train_models(marked))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in documents."""
+    return pii.find_personal_data(table(spark, folder, "documents")).drop("found")
