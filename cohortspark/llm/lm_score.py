@@ -134,9 +134,11 @@ def losses(ids: np.ndarray, pairs: np.ndarray, unigrams: np.ndarray, bigrams: np
     before = np.concatenate([np.zeros(1, np.int64), ids[:-1]])
     single, first, both = (a.astype(float) for a in (unigrams[ids], unigrams[before], bigrams[pairs]))
     if own:
-        for values, at in ((single, ids), (first, before), (both, pairs)):
-            _, where, counts = np.unique(at, return_inverse=True, return_counts=True)
-            values -= counts[where]
+        _, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        single -= counts[where]
+        first[1:] -= counts[where[:-1]]
+        _, where, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        both -= counts[where]
         total -= len(ids)
     single, first, both = (np.maximum(v, 0.0) for v in (single, first, both))
     first = np.maximum(first, both)

@@ -45,7 +45,7 @@ SEED_ENTRIES = ("idiot", "moron", "scum", "loser", "stupid", "pathetic", "worthl
 SEED_WEIGHT = 3.0
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser", "pathetic fallacy")
 
-_INSIDE = re.compile(r"(?<=[a-z])[0-9@$!]+(?=[a-z])|[0-9]+(?=[a-z]{2})|(?<=[a-z]{2})[0-9]+")
+_INSIDE = re.compile(r"(?<![0-9@$])[0-9@$]++(?=[a-z])|(?<=[a-z])[0-9]++|(?<=[a-z0-9])!(?=[a-z0-9])")
 _BREAK = re.compile(r"[\W\d_]+")
 _SIGNS = re.compile(r"[0-9@$!]")
 
