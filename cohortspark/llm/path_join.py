@@ -30,9 +30,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.999  # of pairs at the threshold itself, by the tokens of two levels
 TOKENS = 128  # minhash tokens of a point
-LOOSE = 0.55  # share of equal tokens that makes a candidate: seven deviations below the threshold
-LEAVES = 0.86  # share of tokens equal to a pivot's from which a point need not be split further
-BUCKET = 64  # points of a bucket that are compared at once
+LOOSE = 0.5  # share of equal tokens that makes a candidate: eight deviations below the threshold
+LEAVES = 0.8  # share of tokens equal to a pivot's from which a point need not be split further
+BUCKET = 200  # points of a bucket that are compared at once
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
 BLOCK = 256  # points of a block in the exact comparison
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -219,8 +219,9 @@ def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int
         if level == depth:
             links.append(large.select(F.col("key").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
             break
-        pivots = large.select("pivot").distinct().join(tokens.withColumnsRenamed({"key": "pivot", "tokens": "pivot_tokens"}), "pivot")
-        split = large.join(pivots, "pivot").join(tokens, "key").select("path", "key", "tokens", "pivot", "pivot_tokens")
+        held = settled(large.join(tokens, "key"))
+        pivots = held.filter(F.col("key") == F.col("pivot")).select("path", F.col("tokens").alias("pivot_tokens"))
+        split = held.join(pivots, "path").select("path", "key", "tokens", "pivot", "pivot_tokens")
         split = settled(split.mapInPandas(_descend(similarity), "path long, key binary, pivot binary"))
         links.append(split.filter("pivot is not null").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         paths = split.filter("pivot is null").select("path", "key")
