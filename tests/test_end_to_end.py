@@ -1,7 +1,5 @@
 """From raw tables to split data sets and reports on a small generated hospital."""
 
-import time
-
 from pyspark.sql import functions as F
 
 import fixture
@@ -13,11 +11,6 @@ from cohortspark.sources import readers, writers
 KEYS = list(cohort.KEYS)
 
 
-def stage(name, start=[time.time()]):
-    print(f"{name}: {time.time() - start[0]:.1f}s", flush=True)
-    start[0] = time.time()
-
-
 def test_pipeline(spark, folder):
     raw = fixture.build(spark)
     for name, df in raw.items():
@@ -38,23 +31,19 @@ def test_pipeline(spark, folder):
     own = spark.read.parquet(f"{folder}/cohort")
     assert own.filter("admission_type = 'nan'").count() == 0
 
-    stage('before diagnoses = features.dia')
     diagnoses = features.diagnoses(read("diagnoses_icd"), own, 0.05)
     assert "icd-10-cm_Others" in diagnoses.columns and "icd-10-cm_A1" in diagnoses.columns
     procedures = features.procedures(read("procedures_icd"), own, 0.05)
-    stage('before moved = features.transfe')
     moved = features.transfers(read("transfers"), own)
     inputs = features.input_events(events("inputevents"), own, labels)
     assert {r["amount"] for r in inputs.collect()} == {50.0, 75.5}
     procs = features.procedure_events(events("procedureevents"), own, labels)
-    stage('before meds_map =')
     meds_map = spark.createDataFrame([("Drug N", "Norepinephrine"), ("Drug S", "Normal saline")], "raw string, canonical string")
     standard = spark.createDataFrame([("Norepinephrine", "mcg/min"), ("Normal saline", "cc/hr")], "medication string, standard_unit string")
     meds = features.medications(read("emar"), read("emar_detail"), own, meds_map, standard, [inputs, procs])
     first = meds.filter("medication = 'Norepinephrine'").join(own.select("subject_id", "hadm_id"), ["subject_id", "hadm_id"]).collect()
     assert all(abs(r["infusion_rate"] - 0.2 * (61.0 + r["subject_id"])) < 1e-9 for r in first)
     assert {r["infusion_rate"] for r in meds.filter("medication = 'Normal saline'").collect()} == {80.0}
-    stage('before charts = features.chart_')
     charts = features.chart_events(events("chartevents"), own, labels)
     assert charts.filter("label = 'Glasgow coma scale(eye)' AND CAST(value AS DOUBLE) > 4").count() == 0
     outputs = features.output_events(events("outputevents"), own, labels)
@@ -62,7 +51,6 @@ def test_pipeline(spark, folder):
     union = features.all_events([charts, outputs, labs])
     assert union.filter("value IS NULL").count() == 0
 
-    stage('before options = dataset.Datase')
     options = dataset.DatasetOptions(steps=12, limits={"systolic pressure": {"lower_limit": 50, "upper_limit": 300}})
     static = dataset.static_features(own, diagnoses, procedures, options)
     split = {r["split"] for r in static.data.select("split").distinct().collect()}
@@ -70,12 +58,10 @@ def test_pipeline(spark, folder):
     per_patient = static.data.groupBy("subject_id").agg(F.count_distinct("split").alias("n"))
     assert per_patient.filter("n > 1").count() == 0
 
-    stage('before tables = {')
     tables = {"transfers": moved, "medications": meds, "inputs": inputs, "procedures": procs, "charts": charts, "outputs": outputs, "labs": labs}
     wide = dataset.temporal_grid(own.select(*KEYS, "intime", "outtime"), tables, options)
     hours = wide.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("hours").alias("m"))
     assert hours.filter("n <> m + 1").count() == 0
-    stage('before temporal = dataset.tempo')
     temporal = dataset.temporal_features(wide, own, static.data.filter("split IS NOT NULL"), options)
     assert temporal.feature_type["systolic pressure"] == "Numerical"
     assert temporal.data.groupBy(*KEYS).count().filter("count <> 12").count() == 0
@@ -84,13 +70,11 @@ def test_pipeline(spark, folder):
     static, temporal = dataset.total_features(static, temporal)
     assert static.data.count() == temporal.data.select(*KEYS).distinct().count()
 
-    stage('before writers.save_split')
     writers.save_split(temporal.data, f"{folder}/temporal", temporal.feature_type, temporal.dtypes, temporal.output_dimension)
     back, meta = readers.read_split(spark, f"{folder}/temporal", "train")
     assert meta["feature_type"]["systolic pressure"] == "Numerical"
     assert back.count() == temporal.data.filter("split = 'train'").count()
 
-    stage('before kinds = {')
     kinds = {c: k for c, k in temporal.feature_type.items() if c in back.columns and k in ("Numerical",)}
     encoder, encoded = writers.fit_or_load(spark, back, kinds, [*KEYS, "step"], f"{folder}/state", f"{folder}/encoded")
     again, same = writers.fit_or_load(spark, back, kinds, [*KEYS, "step"], f"{folder}/state", f"{folder}/encoded")
