@@ -33,6 +33,7 @@ TOKENS = 128  # minhash tokens of a point
 LOOSE = 0.5  # share of equal tokens that makes a candidate: eight deviations below the threshold
 LEAVES = 0.8  # share of tokens equal to a pivot's from which a point need not be split further
 BUCKET = 200  # points of a bucket that are compared at once
+SALTS = 32  # keys over which the rows of one pivot are spread; a pivot stands for more than BUCKET rows
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
 BLOCK = 256  # points of a block in the exact comparison
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -125,27 +126,23 @@ def _roots(similarity: float, runs: int):
     return run
 
 
-def _descend(similarity: float):
-    """Split large buckets: (path, key, tokens, pivot, pivot_tokens) -> children (path, key) and links (key, pivot).
+def _likeness(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, pivot, tokens, pivot_tokens) -> (key, pivot, alike): the share of equal tokens."""
+    for part in parts:
+        alike = (_tokens(part["tokens"]) == _tokens(part["pivot_tokens"])).mean(axis=1) if len(part) else []
+        yield pd.DataFrame({"key": part["key"], "pivot": part["pivot"], "alike": alike})
 
-    Points like the pivot are linked to it, and those that are very like it leave: by the triangle inequality of
-    the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of near copies
-    is one star after one level, and only points unlike the pivot are split further.
-    """
+
+def _descend(similarity: float):
+    """(path, key, tokens) -> children (path, key) of points that are split further."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), 2000):
                 rows = part.iloc[at : at + 2000]
-                tokens, pivots = _tokens(rows["tokens"]), _tokens(rows["pivot_tokens"])
-                keys, pivot = rows["key"].to_numpy(), rows["pivot"].to_numpy()
-                alike = (tokens == pivots).mean(axis=1)
-                linked = np.flatnonzero((alike >= LOOSE) & (keys != pivot))
-                yield pd.DataFrame({"path": 0, "key": keys[linked], "pivot": pivot[linked]})
-                on = np.flatnonzero(alike < LEAVES)
-                starts = rows["path"].to_numpy(np.int64)[on].view(np.uint64)
-                row, path = _children(tokens[on], starts, similarity)
-                yield pd.DataFrame({"path": path, "key": keys[on][row], "pivot": None})
+                starts = rows["path"].to_numpy(np.int64).view(np.uint64)
+                row, path = _children(_tokens(rows["tokens"]), starts, similarity)
+                yield pd.DataFrame({"path": path, "key": rows["key"].to_numpy()[row]})
 
     return run
 
@@ -203,6 +200,24 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
 
 
+def pivot_likeness(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, pivot, alike) for the different pairs of point and pivot in large buckets (path, key, pivot).
+
+    Points like the pivot are linked to it, and those that are very like it leave the bucket: by the triangle
+    inequality of the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of
+    near copies is a few stars after one level, and only points unlike the pivot are split further.  The pivot of
+    a bucket is its smallest key, so the buckets of one group mostly have the same one, and a pair is compared
+    once for all buckets of a level.  A pivot's rows are spread over SALTS keys.
+    """
+    pairs = large.select("key", "pivot").distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    chosen = pairs.select(F.col("pivot").alias("key")).distinct().join(tokens, "key")
+    chosen = chosen.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens"), salts)
+    salted = pairs.join(tokens, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    met = salted.join(chosen, ["pivot", "salt"]).select("key", "pivot", "tokens", "pivot_tokens")
+    return met.mapInPandas(_likeness, "key binary, pivot binary, alike double")
+
+
 def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int, depth: int) -> DataFrame:
     """Loose links (a, b) between points (key, tokens), from the buckets of all runs."""
 
@@ -219,12 +234,12 @@ def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int
         if level == depth:
             links.append(large.select(F.col("key").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
             break
-        held = settled(large.join(tokens, "key"))
-        pivots = held.filter(F.col("key") == F.col("pivot")).select("path", F.col("tokens").alias("pivot_tokens"))
-        split = held.join(pivots, "path").select("path", "key", "tokens", "pivot", "pivot_tokens")
-        split = settled(split.mapInPandas(_descend(similarity), "path long, key binary, pivot binary"))
-        links.append(split.filter("pivot is not null").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        paths = split.filter("pivot is null").select("path", "key")
+        likeness = settled(pivot_likeness(large, tokens))
+        near = likeness.filter((F.col("alike") >= LOOSE) & (F.col("key") != F.col("pivot")))
+        links.append(near.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        on = large.join(likeness.filter(F.col("alike") < LEAVES), ["key", "pivot"]).select("path", "key")
+        split = on.join(tokens, "key").select("path", "key", "tokens")
+        paths = settled(split.mapInPandas(_descend(similarity), "path long, key binary"))
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)
