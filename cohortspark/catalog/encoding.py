@@ -180,7 +180,7 @@ def logit_decode(t: Tables):
 
 # ---- sampling -----------------------------------------------------------------------------------
 
-_HASH = "(({id} % 2147483647) * 2654435761 + {seed}) % 1000003"
+_HASH = "md5('{seed}:' || {id})"
 
 
 def _h(column: str, seed: int) -> str:
@@ -259,7 +259,7 @@ def match_class_shares(t: Tables):
     m AS (SELECT quality, unnest(range(1, max(quota) + 1)) AS draw FROM q GROUP BY quality),
     s AS (SELECT quality, count(*) AS size FROM synth GROUP BY 1),
     pool AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id', 42)}, doc_id) AS rank FROM synth),
-    d AS (SELECT quality, draw, (((draw % 2147483647) * 2654435761 + 42) % 4294967291) % size + 1 AS rank FROM m JOIN s USING (quality))
+    d AS (SELECT quality, draw, ('0x' || substr(md5('draw 42 ' || quality || ':' || draw), 1, 13))::BIGINT % size + 1 AS rank FROM m JOIN s USING (quality))
     SELECT rate, d.quality, draw, doc_id FROM d JOIN pool USING (quality, rank) JOIN q USING (quality) WHERE draw <= quota""",
 )
 def incremental_sample(t: Tables):
@@ -285,7 +285,7 @@ def repeat_conditions(t: Tables):
     "bootstrap_padding",
     f"""WITH pat AS (SELECT c_custkey AS pattern, c_nationkey % 5 + 1 AS length, row_number() OVER (ORDER BY {_h('c_custkey', 2)}, c_custkey) AS rank, count(*) OVER () AS n FROM customer),
     s AS (SELECT l_orderkey, l_linenumber - 1 AS step, l_quantity, l_partkey FROM lineitem),
-    k AS (SELECT l_orderkey, length FROM (SELECT DISTINCT l_orderkey, (((l_orderkey % 2147483647) * 2654435761 + 2) % 4294967291) % (SELECT count(*) FROM customer) + 1 AS rank FROM s) JOIN pat USING (rank))
+    k AS (SELECT l_orderkey, length FROM (SELECT DISTINCT l_orderkey, ('0x' || substr(md5('draw 2:' || l_orderkey), 1, 13))::BIGINT % (SELECT count(*) FROM customer) + 1 AS rank FROM s) JOIN pat USING (rank))
     SELECT l_orderkey, step, l_partkey, CASE WHEN step < length THEN l_quantity END AS l_quantity FROM s JOIN k USING (l_orderkey)""",
 )
 def bootstrap_padding(t: Tables):

@@ -114,7 +114,7 @@ def cap(t: Tables):
 
 _ROUNDS = 4
 _HALVES = f"""WITH e AS (SELECT vec_id, label, [round(embedding[1]::DOUBLE, 1), round(embedding[2]::DOUBLE, 1)] AS v FROM embeddings),
-  x AS (SELECT *, r AS round, row_number() OVER (PARTITION BY r ORDER BY (((vec_id % 2147483647) * 31 + r * 7919) % 2147483647 * 2654435761) % 1000003, vec_id) AS rank, count(*) OVER (PARTITION BY r) // 2 AS h
+  x AS (SELECT *, r AS round, row_number() OVER (PARTITION BY r ORDER BY md5('half 0 ' || r || ':' || vec_id), vec_id) AS rank, count(*) OVER (PARTITION BY r) // 2 AS h
     FROM e, range(1, {_ROUNDS + 1}) t(r)),
   a AS (SELECT round, rank AS pos, v, label FROM x WHERE rank <= h), b AS (SELECT round, rank - h AS pos, v, label FROM x WHERE rank > h AND rank <= 2 * h)"""
 _D2 = "(p.v[1] - q.v[1]) * (p.v[1] - q.v[1]) + (p.v[2] - q.v[2]) * (p.v[2] - q.v[2])"

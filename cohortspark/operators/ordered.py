@@ -15,26 +15,30 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import compute_once
 
-HASH_MULTIPLIER = 2654435761
-HASH_MODULUS = 1000003
+HASH_BITS = 12  # ranges of a random order, as a power of two
 FANOUT = 16  # ranges per level; two levels give FANOUT ** 2 ranges
 EDGE_SAMPLE = 1000  # values per group that place the range edges; also the optimiser's limit for ranks cut before a shuffle
 
 
-def portable_hash(id_col: Column | str, seed: int = 0) -> Column:
-    """Seeded integer hash that any SQL engine can repeat: ``(id * 2654435761 + seed) % 1000003``.
+def portable_hash(id_col: Column | str, seed: int | str | Column = 0) -> Column:
+    """Seeded mixing hash of a number or text that any SQL engine can repeat: hex ``md5(seed || ':' || id)``.
 
-    Ids of 2**31 - 1 and more are reduced first, so the product cannot overflow.
+    The order of the hashes is a new random order for every seed.
     """
     value = F.col(id_col) if isinstance(id_col, str) else id_col
-    small = F.pmod(value.cast("bigint"), F.lit(2147483647))
-    return F.pmod(small * F.lit(HASH_MULTIPLIER) + F.lit(seed), F.lit(HASH_MODULUS))
+    start = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(start.cast("string"), F.lit(":"), value.cast("string")))
 
 
-def hash_bucket(hash_col: Column | str, buckets: int = 512) -> Column:
-    """Monotone range number of a portable hash, for :func:`running_sum` and :func:`ranked`."""
+def hash_number(hash_col: Column, digits: int = 13) -> Column:
+    """The leading hexadecimal digits of a portable hash as a number; 13 digits are 52 bits."""
+    return F.conv(F.substring(hash_col, 1, digits), 16, 10).cast("bigint")
+
+
+def hash_bucket(hash_col: Column | str, bits: int = HASH_BITS) -> Column:
+    """Monotone range number (2 ** bits ranges) of a portable hash, for :func:`running_sum` and :func:`ranked`."""
     value = F.col(hash_col) if isinstance(hash_col, str) else hash_col
-    return F.floor(value / F.lit(HASH_MODULUS // buckets + 1)).cast("int")
+    return F.shiftright(hash_number(value, 8), 32 - bits).cast("int")
 
 
 # Group columns whose number of values is set by the schema or by a parameter, not by the rows: a table with
@@ -118,13 +122,16 @@ def running_sum(
     return joined.withColumns(before).drop("_range", "_all", *[f"_o_{c}" for c in sums])
 
 
-def ranked(df: DataFrame, by: Sequence[str], id_col: str, seed: int = 0, name: str = "rank") -> DataFrame:
+def ranked(
+    df: DataFrame, by: Sequence[str], id_col: str, seed: int | Column = 0, name: str = "rank", bits: int = HASH_BITS
+) -> DataFrame:
     """Random but repeatable 1-based rank inside each group, by portable hash then id.
 
-    Adds ``name`` and ``name + '_of'`` (the group size).  Ids must be unique inside a group.
+    Adds ``name`` and ``name + '_of'`` (the group size).  Ids, numbers or text, must be unique inside a group.
+    The order is cut into 2 ** ``bits`` ranges per group, each sorted by one task.
     """
     hashed = df.withColumns({"_h": portable_hash(id_col, seed), "_one": F.lit(1).cast("bigint")})
-    out = running_sum(hashed, by, ["_h", id_col], ["_one"], hash_bucket("_h"))
+    out = running_sum(hashed, by, ["_h", id_col], ["_one"], hash_bucket("_h", bits))
     return out.withColumns({name: F.col("_one_before") + 1, f"{name}_of": F.col("_one_total")}).drop(
         "_h", "_one", "_one_before", "_one_total"
     )

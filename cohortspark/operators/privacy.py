@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.neighbours import knn_join, vector_of
-from cohortspark.operators.ordered import hash_bucket, portable_hash, running_sum
+from cohortspark.operators.ordered import ranked
 from cohortspark.operators.utility import roc_auc
 
 ROUND_STRIDE = 1 << 40  # ids of one round: round * stride + position
@@ -114,22 +114,12 @@ def random_halves(df: DataFrame, row_id: str, rounds: int = 100, seed: int = 0)
     ``pos`` numbers the rows of a half from 1, ``round_id`` is unique over (round, pos).
     """
     copies = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    mixed = copies.withColumn("_mix", F.pmod(F.col(row_id).cast("bigint"), F.lit(2147483647)) * 31 + F.col("round") * F.lit(7919 + seed))
-    order = _ranked_in_round(mixed, row_id)
+    order = ranked(copies, ["round"], row_id, F.concat(F.lit(f"half {seed} "), F.col("round").cast("string")))
     size = F.floor(F.col("rank_of") / 2)
     half = F.when(F.col("rank") <= size, "a").when(F.col("rank") <= 2 * size, "b")
     pos = F.when(F.col("rank") <= size, F.col("rank")).otherwise(F.col("rank") - size)
     out = order.withColumns({"half": half, "pos": pos, "round_id": F.col("round") * F.lit(ROUND_STRIDE) + pos})
-    return out.filter(F.col("half").isNotNull()).drop("rank", "rank_of", "_mix")
-
-
-def _ranked_in_round(df: DataFrame, row_id: str) -> DataFrame:
-    """Rank inside each round by the hash of a round-dependent mix of the id, ties by id."""
-    hashed = df.withColumns({"_h": portable_hash("_mix"), "_one": F.lit(1).cast("bigint")})
-    out = running_sum(hashed, ["round"], ["_h", row_id], ["_one"], hash_bucket("_h"))
-    return out.withColumns({"rank": F.col("_one_before") + 1, "rank_of": F.col("_one_total")}).drop(
-        "_h", "_one", "_one_before", "_one_total"
-    )
+    return out.filter(F.col("half").isNotNull()).drop("rank", "rank_of")
 
 
 def _round_of(name: str = "_id") -> Column:

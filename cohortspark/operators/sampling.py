@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.flags import levels_of, pick_level
 from cohortspark.operators.encode import stochastic_fit, stochastic_inverse
-from cohortspark.operators.ordered import HASH_MULTIPLIER, ranked
+from cohortspark.operators.ordered import hash_number, portable_hash, ranked
 
-DRAW_MODULUS = 4294967291
 DRAWS_PER_TASK = 1 << 16
 
 
@@ -104,10 +103,10 @@ def numbered(counts: DataFrame, n: Column, name: str = "draw") -> DataFrame:
     return chunks.repartition("_c").withColumn(name, F.explode(F.sequence(first, last))).drop("_c", "_n")
 
 
-def draw_index(draw: Column, size: Column, seed: int) -> Column:
-    """Repeatable 1-based index in 1..size for a draw number."""
-    small = F.pmod(draw, F.lit(2147483647))
-    return F.pmod(F.pmod(small * F.lit(HASH_MULTIPLIER) + F.lit(seed), F.lit(DRAW_MODULUS)), size) + 1
+def draw_index(draw: Column, size: Column, seed: int, group: Column | None = None) -> Column:
+    """Repeatable 1-based index in 1..size for a draw number or key; ``group`` gives every group draws of its own."""
+    start = F.lit(f"draw {seed}") if group is None else F.concat_ws(" ", F.lit(f"draw {seed}"), group.cast("string"))
+    return F.pmod(hash_number(portable_hash(draw, start)), size) + 1
 
 
 def incremental_samples(
@@ -131,7 +130,7 @@ def incremental_samples(
     most = quotas.groupBy(target).agg(F.max("quota").alias("_most"))
     pool = ranked(synthetic, [target], row_id, seed)
     sizes = synthetic.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("_size"))
-    draws = numbered(most.join(sizes, target), F.col("_most")).withColumn("rank", draw_index(F.col("draw"), F.col("_size"), seed))
+    draws = numbered(most.join(sizes, target), F.col("_most")).withColumn("rank", draw_index(F.col("draw"), F.col("_size"), seed, F.col(target)))
     picked = draws.drop("_most", "_size").join(pool.drop("rank_of"), [target, "rank"]).drop("rank")
     return picked.join(quotas, target).filter(F.col("draw") <= F.col("quota")).drop("quota")
 
@@ -155,7 +154,7 @@ def bootstrap_padding(
     """
     pool = ranked(patterns.select(pattern_id, "length"), [], pattern_id, seed).select("rank", "length")
     size = patterns.agg(F.count(F.lit(1))).scalar()
-    picks = synthetic.select(stay).distinct().withColumn("rank", draw_index(F.col(stay).cast("bigint"), size, seed))
+    picks = synthetic.select(stay).distinct().withColumn("rank", draw_index(F.col(stay), size, seed))
     lengths = picks.join(pool, "rank").select(stay, "length")
     joined = synthetic.join(lengths, stay)
     return joined.withColumns({c: F.when(F.col(step) < F.col("length"), F.col(f"`{c}`")) for c in columns}).drop("length")

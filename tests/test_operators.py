@@ -193,3 +193,36 @@ def test_splits(spark):
     small = {(r["y"], r["draw"], r["id"]) for r in draws if r["rate"] == 0.1}
     large = {(r["y"], r["draw"], r["id"]) for r in draws if r["rate"] == 0.5}
     assert len(small) == 8 and len(large) == 40 and small < large
+
+
+def _test_part(spark, ids, seed):
+    parts = sampling.holdout_split(spark.createDataFrame([(i,) for i in ids], ["id"]), "id", 0.8, seed)
+    return {r["id"] for r in parts.filter("part = 'holdout'").collect()}
+
+
+@pytest.mark.parametrize("ids", [list(range(2000)), [f"stay-{i}" for i in range(2000)]], ids=["number", "text"])
+def test_seeds_give_new_samples(spark, ids):
+    samples = [_test_part(spark, ids, seed) for seed in (1, 2, 997)]
+    for a in range(3):
+        assert len(samples[a]) == 400
+        for b in range(a):
+            assert abs(len(samples[a] & samples[b]) / 400 - 0.2) < 4 * (0.2 * 0.8 * 0.8 / 400) ** 0.5
+
+
+def test_halves_are_independent(spark):
+    df = spark.createDataFrame([(i,) for i in range(400)], ["id"])
+    halves = {}
+    for r in privacy.random_halves(df, "id", 100).filter("half = 'a'").select("round", "id").collect():
+        halves.setdefault(r["round"], set()).add(r["id"])
+    assert {len(h) for h in halves.values()} == {200}
+    shares = [len(halves[1] & halves[k]) / 200 for k in range(2, 101)]
+    spread = (0.25 / 200 * 0.5) ** 0.5
+    mean = sum(shares) / 99
+    assert abs(mean - 0.5) < 4 * spread / 99**0.5
+    assert 0.7 * spread < (sum((s - mean) ** 2 for s in shares) / 98) ** 0.5 < 1.3 * spread
+
+
+def test_draws_with_replacement(spark):
+    df = spark.range(2000).withColumn("at", sampling.draw_index(F.col("id"), F.lit(2000), 5))
+    assert abs(df.select("at").distinct().count() / 2000 - 0.632) < 0.03
+    assert {r["g"]: r["n"] for r in df.groupBy((F.floor((F.col("at") - 1) / 1000)).alias("g")).agg(F.count("*").alias("n")).collect()}.keys() == {0, 1}
