@@ -127,10 +127,20 @@ def _roots(similarity: float, runs: int):
 
 
 def _likeness(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, pivot, tokens, pivot_tokens) -> (key, pivot, alike): the share of equal tokens."""
+    """(key, pivot, tokens, pivot_tokens) -> (key, pivot, near, tokens): near tells a link to the pivot.
+
+    Tokens are kept for points that are not like the pivot enough to leave the bucket.
+    """
     for part in parts:
-        alike = (_tokens(part["tokens"]) == _tokens(part["pivot_tokens"])).mean(axis=1) if len(part) else []
-        yield pd.DataFrame({"key": part["key"], "pivot": part["pivot"], "alike": alike})
+        alike = (_tokens(part["tokens"]) == _tokens(part["pivot_tokens"])).mean(axis=1) if len(part) else np.zeros(0)
+        yield pd.DataFrame(
+            {
+                "key": part["key"],
+                "pivot": part["pivot"],
+                "near": (alike >= LOOSE) & (part["key"] != part["pivot"]).to_numpy(bool),
+                "tokens": part["tokens"].where(alike < LEAVES, None),
+            }
+        )
 
 
 def _descend(similarity: float):
@@ -201,7 +211,7 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pivot_likeness(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(key, pivot, alike) for the different pairs of point and pivot in large buckets (path, key, pivot).
+    """(key, pivot, near, tokens) for the different pairs of point and pivot in large buckets (path, key, pivot).
 
     Points like the pivot are linked to it, and those that are very like it leave the bucket: by the triangle
     inequality of the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of
@@ -211,11 +221,11 @@ def pivot_likeness(large: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     pairs = large.select("key", "pivot").distinct()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    chosen = pairs.select(F.col("pivot").alias("key")).distinct().join(tokens, "key")
-    chosen = chosen.select(F.col("key").alias("pivot"), F.col("tokens").alias("pivot_tokens"), salts)
-    salted = pairs.join(tokens, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    held = settled(pairs.join(tokens, "key"))
+    chosen = held.filter(F.col("key") == F.col("pivot")).select("pivot", F.col("tokens").alias("pivot_tokens"), salts)
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     met = salted.join(chosen, ["pivot", "salt"]).select("key", "pivot", "tokens", "pivot_tokens")
-    return met.mapInPandas(_likeness, "key binary, pivot binary, alike double")
+    return met.mapInPandas(_likeness, "key binary, pivot binary, near boolean, tokens binary")
 
 
 def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int, depth: int) -> DataFrame:
@@ -235,10 +245,9 @@ def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int
             links.append(large.select(F.col("key").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
             break
         likeness = settled(pivot_likeness(large, tokens))
-        near = likeness.filter((F.col("alike") >= LOOSE) & (F.col("key") != F.col("pivot")))
-        links.append(near.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        on = large.join(likeness.filter(F.col("alike") < LEAVES), ["key", "pivot"]).select("path", "key")
-        split = on.join(tokens, "key").select("path", "key", "tokens")
+        links.append(likeness.filter("near").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        on = likeness.filter("tokens is not null").select("key", "pivot", "tokens")
+        split = large.join(on, ["key", "pivot"]).select("path", "key", "tokens")
         paths = settled(split.mapInPandas(_descend(similarity), "path long, key binary"))
     members = small[0]
     for more in small[1:]:
