@@ -7,6 +7,9 @@ token go down together.  Buckets that are small enough are compared by brute for
 ones are split further.  Points as similar as the threshold stay together with a chance that no run can fix, so
 runs are repeated until the wanted share of pairs is found (``runs_for``).
 
+Tokens are needed only to choose paths.  What is compared in buckets is a sketch of four bits a token, an eighth of
+their size, and only points of large buckets are joined with their tokens again.
+
 What the buckets link loosely are candidate groups.  Inside each, all pairs are compared on the full shingle sets,
 in blocks of bounded size; only link counts and a spanning forest leave a block, never its pairs.
 """
@@ -23,19 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.components import components
-from cohortspark.llm.text import mix64, per_text, word_hashes, words
+from cohortspark.llm.text import mix64, per_text, stored, word_hashes, words
 from cohortspark.session import safe_unions, settled
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.999  # of pairs at the threshold itself, by the tokens of two levels
 TOKENS = 128  # minhash tokens of a point
-LOOSE = 0.5  # share of equal tokens that makes a candidate: eight deviations below the threshold
-LEAVES = 0.8  # share of tokens equal to a pivot's from which a point need not be split further
+LOOSE = 0.5  # similarity by sketches that makes a candidate: eight deviations below the threshold
+LEAVES = 0.8  # similarity to a pivot by sketches from which a point need not be split further
 BUCKET = 200  # points of a bucket that are compared at once
 SALTS = 32  # keys over which the rows of one pivot are spread; a pivot stands for more than BUCKET rows
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
-BLOCK = 256  # points of a block in the exact comparison
+BLOCK = 1024  # points of a block in the exact comparison
+BLOCK_SHINGLES = 250_000  # shingles of a block; long texts make blocks of fewer points
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = (_RNG.integers(1, 1 << 32, TOKENS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -80,6 +84,23 @@ def minhash(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Lowest four bits of each token, two tokens in a byte."""
+    low = (tokens & np.uint32(15)).astype(np.uint8)
+    return low[0::2] | (low[1::2] << np.uint8(4))
+
+
+def _places(column: pd.Series) -> np.ndarray:
+    """Sketches as rows of TOKENS small numbers."""
+    packed = np.frombuffer(b"".join(column), np.uint8).reshape(-1, TOKENS // 2)
+    return np.concatenate([packed & 15, packed >> 4], axis=1)
+
+
+def _similarity(equal: np.ndarray) -> np.ndarray:
+    """Similarity by the number of equal places of two sketches; of different tokens one in 16 is equal there."""
+    return (equal / TOKENS - 1 / 16) * (16 / 15)
+
+
 def _set_function(embed: bool):
     def build():
         hashed = word_hashes()
@@ -88,15 +109,17 @@ def _set_function(embed: bool):
             sets = [shingles(hashed(words(t))) for t in texts]
             if not embed:
                 return {"own": [s.tobytes() for s in sets]}
+            tokens = [minhash(s) for s in sets]
             return {
                 "n": [len(s) for s in sets],
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "tokens": [minhash(s).tobytes() for s in sets],
+                "tokens": [t.tobytes() for t in tokens],
+                "sketch": [sketch(t).tobytes() for t in tokens],
             }
 
         return work
 
-    return per_text(build, "n long, key binary, tokens binary" if embed else "own binary")
+    return per_text(build, "n long, key binary, tokens binary, sketch binary" if embed else "own binary")
 
 
 def _tokens(column: pd.Series) -> np.ndarray:
@@ -127,20 +150,16 @@ def _roots(similarity: float, runs: int):
 
 
 def _likeness(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, pivot, tokens, pivot_tokens) -> (key, pivot, near, tokens): near tells a link to the pivot.
+    """(key, pivot, sketch, pivot_sketch) -> (key, pivot, near, stays): near tells a link to the pivot.
 
-    Tokens are kept for points that are not like the pivot enough to leave the bucket.
+    Points stay in the bucket that are not like the pivot enough to leave it.
     """
     for part in parts:
-        alike = (_tokens(part["tokens"]) == _tokens(part["pivot_tokens"])).mean(axis=1) if len(part) else np.zeros(0)
-        yield pd.DataFrame(
-            {
-                "key": part["key"],
-                "pivot": part["pivot"],
-                "near": (alike >= LOOSE) & (part["key"] != part["pivot"]).to_numpy(bool),
-                "tokens": part["tokens"].where(alike < LEAVES, None),
-            }
-        )
+        if not len(part):
+            continue
+        alike = _similarity((_places(part["sketch"]) == _places(part["pivot_sketch"])).sum(axis=1))
+        near = (alike >= LOOSE) & (part["key"] != part["pivot"]).to_numpy(bool)
+        yield pd.DataFrame({"key": part["key"], "pivot": part["pivot"], "near": near, "stays": alike < LEAVES})
 
 
 def _descend(similarity: float):
@@ -194,11 +213,11 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Loose links inside small buckets, as stars."""
     a, b = [], []
     for group in _groups(parts, ["path"]):
-        tokens = np.frombuffer(b"".join(group["tokens"]), np.uint32).reshape(-1, TOKENS)
-        n = len(tokens)
+        n = len(group)
         if n > 1:
-            equal = (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2)
-            left, right = np.nonzero(np.triu(equal >= LOOSE * TOKENS, 1))
+            places = _places(group["sketch"])
+            equal = (places[:, None, :] == places[None, :, :]).sum(axis=2)
+            left, right = np.nonzero(np.triu(_similarity(equal) >= LOOSE, 1))
             if len(left):
                 keys, root = group["key"].to_numpy(), _forest(n, left, right)
                 far = np.flatnonzero(root != np.arange(n))
@@ -210,8 +229,8 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
 
 
-def pivot_likeness(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(key, pivot, near, tokens) for the different pairs of point and pivot in large buckets (path, key, pivot).
+def pivot_likeness(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, pivot, near, stays) for the different pairs of point and pivot in large buckets (path, key, pivot).
 
     Points like the pivot are linked to it, and those that are very like it leave the bucket: by the triangle
     inequality of the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of
@@ -221,17 +240,16 @@ def pivot_likeness(large: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     pairs = large.select("key", "pivot").distinct()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    held = settled(pairs.join(tokens, "key"))
-    chosen = held.filter(F.col("key") == F.col("pivot")).select("pivot", F.col("tokens").alias("pivot_tokens"), salts)
+    held = settled(pairs.join(sketches, "key"))
+    chosen = held.filter(F.col("key") == F.col("pivot")).select("pivot", F.col("sketch").alias("pivot_sketch"), salts)
     salted = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    met = salted.join(chosen, ["pivot", "salt"]).select("key", "pivot", "tokens", "pivot_tokens")
-    return met.mapInPandas(_likeness, "key binary, pivot binary, near boolean, tokens binary")
+    met = salted.join(chosen, ["pivot", "salt"]).select("key", "pivot", "sketch", "pivot_sketch")
+    return met.mapInPandas(_likeness, "key binary, pivot binary, near boolean, stays boolean")
 
 
 def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int, depth: int) -> DataFrame:
-    """Loose links (a, b) between points (key, tokens), from the buckets of all runs."""
-
-    tokens = points.select("key", "tokens")
+    """Loose links (a, b) between points (key, tokens, sketch), from the buckets of all runs."""
+    tokens, sketches = points.select("key", "tokens"), points.select("key", "sketch")
     paths = settled(tokens.mapInPandas(_roots(similarity, runs), "path long, key binary"))
     small, links = [], []
     for level in range(1, depth + 1):
@@ -244,15 +262,17 @@ def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int
         if level == depth:
             links.append(large.select(F.col("key").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
             break
-        likeness = settled(pivot_likeness(large, tokens))
+        likeness = settled(pivot_likeness(large, sketches))
         links.append(likeness.filter("near").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        on = likeness.filter("tokens is not null").select("key", "pivot", "tokens")
-        split = large.join(on, ["key", "pivot"]).select("path", "key", "tokens")
+        # What is split at later levels is split here too, so the tokens needed only become fewer.
+        on = likeness.filter("stays").select("key", "pivot")
+        tokens = settled(tokens.join(stored(on.select("key").distinct()), "key", "left_semi"))
+        split = large.join(on, ["key", "pivot"]).select("path", "key").join(tokens, "key").select("path", "key", "tokens")
         paths = settled(split.mapInPandas(_descend(similarity), "path long, key binary"))
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)
-    full = members.join(points.select("key", "tokens"), "key").select("path", "key", "tokens")
+    full = members.join(sketches, "key").select("path", "key", "sketch")
     out = full.repartition("path").sortWithinPartitions("path").mapInPandas(_bucket_links, "a binary, b binary")
     for more in links:
         out = out.unionByName(more)
@@ -337,26 +357,30 @@ def near_duplicates(
     points = settled(
         full.groupBy("key").agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min_by("tokens", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("tokens"),
+            F.min("n").alias("n"),
+            F.min("tokens").alias("tokens"),  # the same in all rows of a key, as the sketch is
+            F.min("sketch").alias("sketch"),
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("one"),
         )
     )
     loose = components(candidate_links(points, similarity, runs_for(recall), bucket, depth))
 
     # Full sets of the candidates, from the text of one row each.
-    group_size = loose.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    chosen = loose.join(group_size, "root").join(points, loose["node"] == points["key"])
-    chosen = chosen.select(
+    chosen = settled(loose.join(points.drop("tokens", "sketch"), loose["node"] == points["key"]))
+    group_size = chosen.groupBy("root").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_blocks")
+    )
+    chosen = chosen.join(group_size, "root").select(
         "root",
         "key",
         "copies",
         F.col("one.doc_id").alias("_id"),
         F.col("one.text_hash").alias("_hash"),
-        F.ceil(F.col("members") / block).cast("int").alias("_blocks"),
+        "_blocks",
     )
     texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("_text_hash", F.xxhash64("text"))
-    found = texts.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    found = texts.join(stored(chosen), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     placed = found.withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn(
         "own", _set_function(False)("text")["own"]
     )

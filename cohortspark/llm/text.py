@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortspark.session import ensure_checkpoint_dir
+
 # Words are maximal runs of digits, a-z and everything beyond ASCII, after lower-casing A-Z only.  On UTF-8
 # bytes that is one table: every byte of a non-ASCII character is 0x80 or more and stays as it is.
 _WORD_BYTES = bytes(
@@ -124,6 +127,16 @@ def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
     return first_of_each(joined, ["doc_id", "_llm_text"]).drop("_llm_text")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written in the shared folder and read again, so that the planner knows its size.
+
+    A small one is then broadcast instead of shuffling what it is joined with; a larger one is shuffled.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key; rows of a key are told to be equal, so any of them will do."""
     w = Window.partitionBy(*keys).orderBy(F.lit(0))
