@@ -92,48 +92,59 @@ def probability_summary(pairs: DataFrame) -> DataFrame:
 # ---- correlation matrices -----------------------------------------------------------------------
 
 
+def _known(name: str) -> Column:
+    """The column as a double, null where it is NaN: the two ways to sum moments then agree on what is missing."""
+    value = _q(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _moment_sums(df: DataFrame, columns: Sequence[str], diagonal: bool) -> tuple[DataFrame, list[float]]:
     """Pairwise-complete sums of many columns (i, j, n, sx, sy, sxx, syy, sxy): masked matrix products per
-    partition, then sums per pair.
+    partition, then sums per pair; also the range of both columns (low_x, high_x, low_y, high_y).
 
     Values are centred by the column means first, so the sums do not cancel; the means are returned.
     """
-    means = df.agg(*[F.avg(_q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    means = df.agg(*[F.avg(_known(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     centre = np.array([0.0 if m is None else m for m in means])
     d = len(columns)
     names = [f"x{i}" for i in range(d)]
-    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    sums, lows, highs = ("n", "sx", "sy", "sxx", "syy", "sxy"), ("low_x", "low_y"), ("high_x", "high_y")
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((6, d, d))
+        low, high = np.full((d, d), np.inf), np.full((d, d), -np.inf)  # of column i where j is present
         seen = False
         for batch in batches:
             raw = batch[names].to_numpy(np.float64)
             ok = (~np.isnan(raw)).astype(np.float64)
             x = np.nan_to_num(raw - centre)
             total += np.stack([ok.T @ ok, x.T @ ok, ok.T @ x, (x * x).T @ ok, ok.T @ (x * x), x.T @ x])
+            for k in range(d):
+                both = (ok * ok[:, [k]]) > 0
+                low[k] = np.minimum(low[k], np.where(both, raw[:, [k]], np.inf).min(axis=0, initial=np.inf))
+                high[k] = np.maximum(high[k], np.where(both, raw[:, [k]], -np.inf).max(axis=0, initial=-np.inf))
             seen = True
         if seen:
             i, j = np.triu_indices(d, 0 if diagonal else 1)
             flat = total[:, i, j]
-            yield pd.DataFrame({"i": i, "j": j, **{k: flat[n] for n, k in enumerate(sums)}})
+            ranges = {"low_x": low[i, j], "low_y": low[j, i], "high_x": high[i, j], "high_y": high[j, i]}
+            yield pd.DataFrame({"i": i, "j": j, **{k: flat[n] for n, k in enumerate(sums)}, **ranges})
 
-    parts = df.select(*[_q(c).cast("double").alias(n) for c, n in zip(columns, names)]).mapInPandas(
-        moments, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    )
-    return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in sums]), [float(c) for c in centre]
+    schema = ", ".join(["i int", "j int", *[f"{k} double" for k in (*sums, *lows, *highs)]])
+    parts = df.select(*[_known(c).alias(n) for c, n in zip(columns, names)]).mapInPandas(moments, schema)
+    folds = [*[F.sum(k).alias(k) for k in sums], *[F.min(k).alias(k) for k in lows], *[F.max(k).alias(k) for k in highs]]
+    return parts.groupBy("i", "j").agg(*folds), [float(c) for c in centre]
 
 
 def _moment_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> DataFrame:
     s, _ = _moment_sums(df, columns, diagonal)
     labels = F.array(*[F.lit(c) for c in columns])
     n = F.nullif(F.col("n"), F.lit(0.0))
-    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    var_y = F.col("syy") - F.col("sy") * F.col("sy") / n
-    floor = F.lit(1e-12)
-    flat = (var_x <= floor * F.col("sxx")) | (var_y <= floor * F.col("syy")) | (F.col("sxx") == 0) | (F.col("syy") == 0)
+    var_x = F.greatest(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.lit(0.0))
+    var_y = F.greatest(F.col("syy") - F.col("sy") * F.col("sy") / n, F.lit(0.0))
+    flat = (F.col("low_x") == F.col("high_x")) | (F.col("low_y") == F.col("high_y"))
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    r = F.when(~flat, cov / F.sqrt(var_x * var_y))
+    r = F.when(~flat, F.try_divide(cov, F.sqrt(var_x * var_y)))
     return s.select(
         F.element_at(labels, F.col("i") + 1).alias("a"),
         F.element_at(labels, F.col("j") + 1).alias("b"),
@@ -146,8 +157,8 @@ def _aggregate_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> D
     picks = combinations_with_replacement(columns, 2) if diagonal else combinations(columns, 2)
     cells = []
     for a, b in picks:
-        both = _q(a).isNotNull() & _q(b).isNotNull()
-        x, y = F.when(both, _q(a).cast("double")), F.when(both, _q(b).cast("double"))
+        both = _known(a).isNotNull() & _known(b).isNotNull()
+        x, y = F.when(both, _known(a)), F.when(both, _known(b))
         spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
         flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
         r = F.when(~flat, F.try_divide(F.covar_pop(x, y), spread))
@@ -158,7 +169,7 @@ def _aggregate_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> D
 def pearson_pairs(df: DataFrame, columns: Sequence[str], flat: str = "null", diagonal: bool = False) -> DataFrame:
     """(a, b, n, r) for each pair in column order, over the rows where both are present.
 
-    Fewer than two rows give null.  A constant column gives null, or 0 with ``flat='zero'``.
+    Null and NaN are missing.  Fewer than two rows give null.  A constant column gives null, or 0 with ``flat='zero'``.
     """
     pairs = (_moment_pairs if len(columns) > WIDE else _aggregate_pairs)(df, columns, diagonal)
     r = F.when(F.col("n") >= 2, F.coalesce("r", F.lit(0.0)) if flat == "zero" else F.col("r"))
@@ -433,7 +444,7 @@ def moment_distance(real: DataFrame, synthetic: DataFrame, columns: Sequence[str
 
     def narrow(df: DataFrame, name: str) -> DataFrame:
         cell = lambda a, b, k, v: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k"), v.alias(name))
-        x = lambda c: _q(c).cast("double")
+        x = _known
         cells = [cell(c, c, "mean", F.avg(x(c))) for c in columns]
         cells += [cell(a, b, "cov", F.covar_samp(x(a), x(b))) for a, b in combinations_with_replacement(columns, 2)]
         return df.agg(F.array(*cells).alias("p")).select(F.explode("p").alias("p")).select("p.*")

@@ -41,11 +41,6 @@ def hash_bucket(hash_col: Column | str, bits: int = HASH_BITS) -> Column:
     return F.shiftright(hash_number(value, 8), 32 - bits).cast("int")
 
 
-# Group columns whose number of values is set by the schema or by a parameter, not by the rows: a table with
-# one row per such group may be broadcast.
-BOUNDED_KEYS = {"feature", "source", "round", "setting", "model", "metric"}
-
-
 def range_edges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, _e): FANOUT² - 1 inner edges of each group's values.
 
@@ -78,7 +73,7 @@ def value_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """
     edges = range_edges(df, by, value)
     if by:
-        joined = df.join(F.broadcast(edges) if set(by) <= BOUNDED_KEYS else edges, list(by))
+        joined = df.join(edges, list(by))  # the optimiser checks the size before it broadcasts
     else:
         joined = df.withColumn("_e", edges.scalar())
     point, e = F.col(value).cast("double"), F.col("_e")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log2, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from cohortspark.operators.ordered import ranked
 from cohortspark.operators.utility import roc_auc
 
 ROUND_STRIDE = 1 << 40  # ids of one round: round * stride + position
-ROUND_GAP = 1.0e9  # extra coordinate that keeps rounds apart in one neighbour join
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -126,8 +126,17 @@ def _round_of(name: str = "_id") -> Column:
     return F.floor(F.col(name) / F.lit(ROUND_STRIDE)).cast("int")
 
 
-def _apart(vector: str) -> Column:
-    return F.concat(F.array(F.col("round").cast("double") * ROUND_GAP), F.col(vector))
+def round_gap(df: DataFrame, columns: Sequence[str]) -> float:
+    """A power of two above the diameter of the table, whatever its range of values: a coordinate of round times
+    this keeps rounds from being neighbours of each other, and as a power of two it changes no distance inside one.
+    """
+    sizes = [F.max(F.abs(F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.0)), F.lit(0.0)))) for c in columns]
+    largest = max((v for v in df.agg(*sizes).first() if v is not None), default=0.0)
+    return 2.0 ** ceil(log2(4.0 * sqrt(len(columns)) * max(largest, 1.0)))
+
+
+def _apart(vector: str, gap: float) -> Column:
+    return F.concat(F.array(F.col("round").cast("double") * gap), F.col(vector))
 
 
 def _thresholds(risks: DataFrame, value: str, quantiles: Sequence[float], name: str) -> DataFrame:
@@ -152,8 +161,9 @@ def risk_rounds(df: DataFrame, row_id: str, columns: Sequence[str], rounds: int
     halves = random_halves(filled, row_id, rounds, seed)
     a, b = halves.filter(F.col("half") == "a"), halves.filter(F.col("half") == "b")
     single = single_out_risk(a, b, list(columns), ["round"])
-    va = a.withColumn("v", vector_of(columns)).withColumn("vector", _apart("v"))
-    vb = b.withColumn("v", vector_of(columns)).withColumn("vector", _apart("v"))
+    gap = round_gap(filled, columns)
+    va = a.withColumn("v", vector_of(columns)).withColumn("vector", _apart("v", gap))
+    vb = b.withColumn("v", vector_of(columns)).withColumn("vector", _apart("v", gap))
     inference = inferential_risk(va, vb, "round_id", by=_round_of(), pivots=max(32, 2 * rounds))
     return single.join(inference, "round").withColumn("single_out_risk", twice(F.col("single_out_risk")))
 
@@ -172,7 +182,7 @@ def attribution_rounds(
 ) -> DataFrame:
     """(round, cap) of random halves, each adjusted to two halves."""
     halves = random_halves(df.select(row_id, vector_of(quasi).alias("k"), vector_of(sensitive).alias("sensitive")), row_id, rounds, seed)
-    halves = halves.withColumn("quasi", _apart("k"))
+    halves = halves.withColumn("quasi", _apart("k", round_gap(df, quasi)))
     a, b = halves.filter(F.col("half") == "a"), halves.filter(F.col("half") == "b")
     caps = attribution_probability(a, b, "round_id", by=_round_of(), pivots=max(32, 2 * rounds))
     return caps.withColumn("cap", twice(F.col("cap")))

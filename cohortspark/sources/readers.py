@@ -95,10 +95,13 @@ def read_code_map(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, canonical): first and fourth column of the label table; the last row of a repeated label cannot be
-    told apart without an order, so repeated labels must agree."""
+    """(raw, canonical): first and fourth column of the label table, one row per raw label.
+
+    Of several canonical labels the smallest is taken, so that a join with the table never repeats an event.
+    """
     df = read_file(spark, path)
-    return df.select(F.col(f"`{df.columns[0]}`").alias("raw"), F.col(f"`{df.columns[3]}`").alias("canonical")).dropDuplicates()
+    pairs = df.select(F.col(f"`{df.columns[0]}`").alias("raw"), F.col(f"`{df.columns[3]}`").alias("canonical"))
+    return pairs.groupBy("raw").agg(F.min("canonical").alias("canonical"))
 
 
 def read_limits(spark: SparkSession, path: str) -> dict[str, dict]:
@@ -119,8 +122,9 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_item_levels(spark: SparkSession, path: str, level: str = "LEVEL2") -> DataFrame:
-    """(itemid, new_label) at a level of the item hierarchy."""
-    return read_file(spark, path).select(F.col("itemid").cast("bigint"), F.col(level).alias("new_label")).dropDuplicates()
+    """(itemid, new_label) at a level of the item hierarchy, one row per item; of several labels the smallest."""
+    items = read_file(spark, path).select(F.col("itemid").cast("bigint"), F.col(level).alias("new_label"))
+    return items.groupBy("itemid").agg(F.min("new_label").alias("new_label"))
 
 
 def find_files(spark: SparkSession, root: str, extension: str, exclude: str | None = None) -> list[str]:

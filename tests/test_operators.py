@@ -226,3 +226,33 @@ def test_draws_with_replacement(spark):
     df = spark.range(2000).withColumn("at", sampling.draw_index(F.col("id"), F.lit(2000), 5))
     assert abs(df.select("at").distinct().count() / 2000 - 0.632) < 0.03
     assert {r["g"]: r["n"] for r in df.groupBy((F.floor((F.col("at") - 1) / 1000)).alias("g")).agg(F.count("*").alias("n")).collect()}.keys() == {0, 1}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_pearson_is_the_same_at_every_width(spark, wide):
+    """Null and NaN are missing and a constant column has no correlation, whichever way the moments are summed."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(60, 17)) + 1e6
+    data[:, 1] += 2 * data[:, 0]
+    data[:, 2] = 0.1
+    data[:7, 1] = np.nan
+    table = [[None if (r, c) in ((8, 0), (9, 1)) else float(data[r, c]) for c in range(17)] for r in range(60)]
+    columns = [f"c{i}" for i in range(17)]
+    df = spark.createDataFrame(table, ", ".join(f"{c} double" for c in columns))
+    got = fidelity.pearson_pairs(df, columns if wide else columns[:4]).collect()
+    pair = {(r["a"], r["b"]): r for r in got}
+    used = [r for r in range(7, 60) if r not in (8, 9)]
+    assert pair["c0", "c1"]["n"] == len(used)
+    assert abs(pair["c0", "c1"]["r"] - np.corrcoef(data[used, 0], data[used, 1])[0, 1]) < 1e-6
+    assert pair["c0", "c2"]["r"] is None and pair["c1", "c2"]["n"] == 52
+
+
+def test_round_risks_do_not_depend_on_scale(spark):
+    rng = random.Random(3)
+    table = [(i, float(rng.randrange(40)), float(rng.randrange(40)), float(rng.randrange(3))) for i in range(200)]
+    small = spark.createDataFrame(table, "id long, x double, y double, s double")
+    large = small.withColumns({"x": F.col("x") * 2.0**30, "y": F.col("y") * 2.0**30})
+    one, two = (sorted(map(tuple, privacy.risk_rounds(d, "id", ["x", "y"], 3).collect())) for d in (small, large))
+    assert [r[:3] for r in one] == [r[:3] for r in two] and len(one) == 3
+    one, two = (sorted(map(tuple, privacy.attribution_rounds(d, "id", ["x", "y"], ["s"], 3).collect())) for d in (small, large))
+    assert one == two

@@ -52,3 +52,12 @@ def test_parameter_search(spark):
     draw = lambda name, rng: {"regParam": rng.random() / 100, "maxIter": 10}
     best, score = utility.tune(df, "y", "id", "Logistic Regression", trials=2, folds=2, batch=2, draw=draw)
     assert set(best) == {"regParam", "maxIter"} and score > 0.8
+
+
+def test_mapping_tables_have_one_row_per_key(spark, tmp_path):
+    labels = tmp_path / "labels.csv"
+    labels.write_text("raw,b,c,canonical\nHR,,,pulse\nHR,,,heart rate\nHR,,,pulse\n")
+    assert rows(readers.read_label_map(spark, str(labels))) == [("HR", "heart rate")]
+    levels = tmp_path / "levels.csv"
+    levels.write_text("itemid,label,LEVEL1,LEVEL2\n7,a,x,q\n7,a,x,p\n")
+    assert rows(readers.read_item_levels(spark, str(levels))) == [(7, "p")]
