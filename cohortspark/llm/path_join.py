@@ -272,7 +272,8 @@ def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)
-    full = members.join(sketches, "key").select("path", "key", "sketch")
+    # One table: a join of the union is else planned as one join, and one shuffle of all sketches, for each level.
+    full = settled(members).join(sketches, "key").select("path", "key", "sketch")
     out = full.repartition("path").sortWithinPartitions("path").mapInPandas(_bucket_links, "a binary, b binary")
     for more in links:
         out = out.unionByName(more)
