@@ -1,179 +1,280 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model is counted on the rows marked as target, the background model on all rows.  Both have the same
-vocabulary (the most frequent words of the corpus, the rest is one unknown word), the same hashed bigram table and
-the same smoothing.  A text's score is the mean over its words of the target loss minus the background loss: the
-lower, the more the text is like the target.  A row's own counts are taken out of the models that saw it.
-
-Counts cover every row.  Tasks count into dense arrays and send them in slices, which are summed as they stream
-in; the models have a size that parameters set, whatever the corpus, and are broadcast.
+vocabulary (every word of the corpus) and the same smoothing.  A text's score is the mean over its words of the
+target loss minus the background loss: the lower, the more the text is like the target.  A row's own counts are
+taken out of the models that saw it.
+
+Counts cover every word and every pair of words of every row.  What is broadcast is only the share of them that
+is frequent: a word or pair that makes 1 / SHARE of the corpus or more, so at most SHARE of each.  All else is
+counted where the rows of a word meet: each text sends its distinct pairs once, dealt by the second word
+(by both words where the second is frequent), and gets back sums.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortspark.llm.text import mix64, word_hashes, words
+from cohortspark.llm.text import mix64, stored, word_hashes, words
 
-VOCABULARY = 1 << 15
-BITS = 21  # of the bigram table
 SMOOTHING = 50.0  # weight of the unigram distribution, in counts
-SLICE = 1 << 14
+SHARE = 10_000  # words and pairs with 1 / SHARE of all occurrences are frequent
+CHUNK = 500_000  # words that a task takes at once; a longer text is taken whole
+SALTS = 64  # keys over which the pairs of one frequent word are spread
+_OTHER = np.uint64(1 << 63)  # set in the hashes of words; numbers of frequent words are small
 
 
 @dataclass
 class Models:
-    """Shared vocabulary and the counts of both models; index 0 is the background, 1 the target."""
+    """Sizes of the models and the counts of what is frequent; in counts, row 0 is the background, 1 the target."""
+
+    totals: tuple[int, int]
+    size: int  # words of the vocabulary and one unknown word
+    words: np.ndarray  # sorted hashes of the frequent words; number k + 1 is the word at k
+    word_counts: np.ndarray
+    pairs: np.ndarray  # sorted (number of the previous word) << 32 | number of the word, of frequent pairs
+    pair_counts: np.ndarray
+
+
+def _chunks(texts: Iterator[tuple], hashed) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(what came with the texts, word hashes of each text), for texts of about CHUNK words together."""
+    with_texts, lists, n = [], [], 0
+    for *own, text in texts:
+        with_texts.append(own)
+        lists.append(hashed(words(text or "")) | _OTHER)
+        n += len(lists[-1])
+        if n >= CHUNK:
+            yield with_texts, lists
+            with_texts, lists, n = [], [], 0
+    if lists:
+        yield with_texts, lists
+
+
+def _before(ids: np.ndarray, lists: list[np.ndarray], start: int) -> np.ndarray:
+    """Of each word the one before it in its text; a text starts after ``start``."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    sizes = np.array([len(own) for own in lists])
+    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[firsts] = start
+    return out
+
+
+def _numbers(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Numbers of the frequent words; 0 for others."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at + 1, 0)
 
-    vocabulary: np.ndarray  # sorted word hashes
-    unigrams: list[np.ndarray]
-    bigrams: list[np.ndarray]
 
+def _count(known: np.ndarray | None):
+    """(text, target) -> (item, n, t): counts of words, or of pairs of ``known`` words, in all and in target rows."""
 
-def _ids(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Word numbers; 0 is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = ((bool(g), t) for part in parts for g, t in zip(part["target"], part["text"]))
+        for own, lists in _chunks(texts, word_hashes()):
+            items = np.concatenate(lists)
+            target = np.repeat(np.array([g for (g,) in own]), [len(x) for x in lists])
+            if known is None:
+                items = items.view(np.int64)
+            else:
+                ids = _numbers(items, known)
+                before = _before(ids, lists, -1)  # the start is told from a word that is not known
+                both = (ids > 0) & (before != 0)
+                items, target = (np.maximum(before, 0) << 32 | ids)[both], target[both]
+            found, where = np.unique(items, return_inverse=True)
+            n, t = np.bincount(where, minlength=len(found)), np.bincount(where[target], minlength=len(found))
+            yield pd.DataFrame({"item": found, "n": n, "t": t})
 
+    return run
 
-def _pairs(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the bigrams (previous, own) in the table; a text starts after the unknown word."""
-    before = np.concatenate([np.zeros(1, np.int64), ids[:-1]]) if len(ids) else ids
-    mixed = mix64(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64))
-    return (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
 
+def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, text, target): target says whether doc_id is in ``target_ids``."""
+    ids = target_ids.select(F.col("doc_id").alias("_id")).dropDuplicates()
+    joined = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
+    return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
-def _word_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashed = word_hashes()
-    counts: Counter = Counter()
 
-    def out() -> pd.DataFrame:
-        keys = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
-        return pd.DataFrame({"word": keys, "n": list(counts.values())})
+def train_models(marked: DataFrame, share: int = SHARE) -> Models:
+    """Sizes of both models over all rows of ``marked`` (text, target), and the counts of what is frequent."""
 
-    for part in parts:
-        for text in part["text"]:
-            counts.update(hashed(words(text or "")).tolist())
-        if len(counts) > 300_000:
-            yield out()
-            counts.clear()
-    yield out()
+    def counted(known: np.ndarray | None) -> DataFrame:
+        parts = marked.select("text", "target").mapInPandas(_count(known), "item long, n long, t long")
+        return parts.groupBy("item").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
+    def collected(df: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+        found = df.filter(F.col("n") * share >= total).collect()  # at most ``share`` rows
+        items = np.array([r["item"] for r in found], np.int64).view(np.uint64)
+        order = np.argsort(items)
+        return items[order], np.array([(r["n"], r["t"]) for r in found], np.int64).reshape(-1, 2).T[:, order]
 
-def _partial(vocabulary: np.ndarray, bits: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, size = word_hashes(), len(vocabulary) + 1
-        length = -(-(size + (1 << bits)) // SLICE) * SLICE
-        tables = [np.zeros(length, np.int32), np.zeros(length, np.int32)]
-        for part in parts:
-            for target in (False, True):
-                own = [_ids(hashed(words(t or "")), vocabulary) for t in part["text"][part["target"] == target]]
-                own = [i for i in own if len(i)]
-                if own:
-                    at = np.concatenate([*own, *[_pairs(i, bits) + size for i in own]])
-                    counts = np.bincount(at, minlength=length).astype(np.int32)
-                    tables[0] += counts
-                    if target:
-                        tables[1] += counts
-        for model, table in enumerate(tables):
-            for k, piece in enumerate(table.reshape(-1, SLICE)):
-                if piece.any():
-                    yield pd.DataFrame({"model": [model], "slice": [k], "counts": [piece.tobytes()]})
+    each = stored(counted(None))
+    size, n, t = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    known, word_counts = collected(each, n)
+    pairs, pair_counts = collected(counted(known), n)
+    return Models((n, t), size + 1, known, word_counts, pairs, pair_counts)
 
-    return run
 
+def _numerator(both, single, total, size: int, log2=np.log2):
+    """log2 of the smoothed count of a pair, given counts without the text's own."""
+    return log2(both + SMOOTHING * ((single + 1.0) / (total + size)))
 
-def _add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of slices, as they come; what is held is the slices of this partition."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for part in parts:
-        for model, k, counts in zip(part["model"], part["slice"], part["counts"]):
-            values = np.frombuffer(counts, np.int32).astype(np.int64)
-            if (model, k) in sums:
-                sums[model, k] += values
-            else:
-                sums[model, k] = values
-    for (model, k), values in sums.items():
-        yield pd.DataFrame({"model": [model], "slice": [k], "counts": [values.tobytes()]})
 
+def _send(kind: pa.DataType, shared):
+    """(doc_id, text, target, row) -> a row for each distinct pair of a text that the broadcast counts do not settle.
 
-def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target says whether doc_id is in ``target_ids``."""
-    ids = target_ids.select(F.col("doc_id").alias("_id")).dropDuplicates()
-    joined = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-    return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
+    ``c``: times the pair is there; ``own``: times its word ``b`` is there; ``goes_on``: times ``b`` has a word after
+    it, told in one row of each word.  The first row of a text has its doc_id, one = 1, and the sums of what is settled.
+    """
+    fields = [("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("salt", pa.int32()), ("c", pa.int64())]
+    fields += [("own", pa.int64()), ("goes_on", pa.int64()), ("n", pa.int64()), ("target", pa.bool_())]
+    fields += [("doc_id", kind), ("one", pa.int64()), ("target_sum", pa.float64()), ("background_sum", pa.float64())]
+
+    def work(own: list, lists: list[np.ndarray], ids: pa.Array, model: Models) -> pa.RecordBatch:
+        docs, sizes = len(lists), np.array([len(x) for x in lists], np.int64)
+        target = np.array([g for _, g in own], bool)
+        vocabulary, at = np.unique(np.concatenate(lists), return_inverse=True)
+        width = len(vocabulary) + 1
+        at = at.astype(np.int64) + 1
+        number = np.concatenate([[0], _numbers(vocabulary, model.words)])
+        doc = np.repeat(np.arange(docs), sizes)
+        before = _before(at, lists, 0)
+        # Words of each text: occurrences, and those with a word after them.
+        each, where, own_n = np.unique(doc * width + at, return_inverse=True, return_counts=True)
+        last = np.ones(len(doc), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        goes_on = np.bincount(where[~last], minlength=len(each))
+        word_doc, word_no = each // width, number[each % width]
+        # Distinct pairs of each text.
+        kinds, pair = np.unique(before * width + at, return_inverse=True)
+        _, first, c = np.unique(doc * len(kinds) + pair, return_index=True, return_counts=True)
+        doc, before, at, where = doc[first], before[first], at[first], where[first]
+        a_no, b_no = number[before], number[at]
+        code = (a_no.astype(np.uint64) << np.uint64(32)) | b_no.astype(np.uint64)
+        place = np.zeros(len(code), np.int64)
+        settled_pair = np.zeros(len(code), bool)
+        if len(model.pairs):
+            place = np.minimum(np.searchsorted(model.pairs, code), len(model.pairs) - 1)
+            settled_pair = (model.pairs[place] == code) & (b_no > 0) & ((a_no > 0) | (before == 0))
+        sums = []
+        for k in (1, 0):
+            seen = target if k else np.ones(docs, bool)
+            known = np.flatnonzero(word_no)
+            less = own_n[known] * seen[word_doc[known]]
+            single = np.maximum(model.word_counts[k][word_no[known] - 1] - less, 0)
+            total_sum = np.bincount(word_doc[known], goes_on[known] * np.log2(single + SMOOTHING), docs)
+            p = np.flatnonzero(settled_pair)
+            mine = seen[doc[p]]
+            both = np.maximum(model.pair_counts[k][place[p]] - c[p] * mine, 0)
+            single = np.maximum(model.word_counts[k][b_no[p] - 1] - own_n[where[p]] * mine, 0)
+            total = np.maximum(model.totals[k] - sizes[doc[p]] * mine, 0)
+            loss = np.where(before[p] == 0, np.log2(both + SMOOTHING), 0.0) - _numerator(both, single, total, model.size)
+            sums.append(total_sum + np.bincount(doc[p], c[p] * loss, docs))
+        # ``goes_on`` of other words goes with one of their pairs, none of which is settled.
+        leads = np.zeros(len(c), bool)
+        leads[np.unique(where, return_index=True)[1]] = True
+        leads &= b_no == 0
+        keep = np.flatnonzero(~settled_pair)
+        names = np.concatenate([[0], vocabulary.view(np.int64)])
+        name = np.where(number > 0, number, names)
+        row_of = np.array([r for r, _ in own], np.int64)
+        a, b = name[before[keep]], name[at[keep]]
+        salt = np.where(b_no[keep] > 0, 1 + (mix64(a.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+        head = np.full(len(keep), -1, np.int64)
+        starts, head_at = np.unique(doc[keep], return_index=True)
+        head[head_at] = starts
+        bare = np.setdiff1d(np.arange(docs), starts)  # texts with nothing left: a row that joins nothing
+        zero = np.zeros(len(bare), np.int64)
+        join = lambda x, y: np.concatenate([x, y])
+        every, head = join(doc[keep], bare), join(head, bare)
+        has = head >= 0
+        taken = ids.take(pa.array(np.where(has, head, 0), mask=~has))
+        columns = [
+            pa.array(row_of[every]),
+            pa.array(join(a, row_of[bare])),
+            pa.array(join(b, zero)),
+            pa.array(join(salt, mix64(row_of[bare].view(np.uint64)).astype(np.int64) % SALTS).astype(np.int32)),
+            pa.array(join(c[keep], zero)),
+            pa.array(join(own_n[where[keep]], zero)),
+            pa.array(join(np.where(leads[keep], goes_on[where[keep]], 0), zero)),
+            pa.array(sizes[every]),
+            pa.array(target[every]),
+            taken,
+            pa.array(has.astype(np.int64)),
+            *[pa.array(np.where(has, s[np.maximum(head, 0)], 0.0)) for s in sums],
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, model = word_hashes(), shared.value
+        for part in parts:
+            ids, done = part.column("doc_id"), 0
+            texts = zip(part.column("row").to_pylist(), part.column("target").to_pylist(), part.column("text").to_pylist())
+            for own, lists in _chunks(texts, hashed):
+                yield work(own, lists, ids.slice(done, len(own)), model)
+                done += len(own)
 
+    return run
 
-def train_models(marked: DataFrame, vocabulary_size: int = VOCABULARY, bits: int = BITS) -> Models:
-    """Counts of both models over all rows of ``marked`` (text, target)."""
-    counts = marked.select("text").mapInPandas(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary_size).select("word").collect()
-    vocabulary = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    partial = marked.select("text", "target").mapInPandas(_partial(vocabulary, bits), "model int, slice int, counts binary")
-    summed = partial.repartition("model", "slice").mapInPandas(_add_up, "model int, slice int, counts binary")
-    size = len(vocabulary) + 1
-    length = -(-(size + (1 << bits)) // SLICE) * SLICE
-    tables = np.zeros((2, length), np.int64)
-    for r in summed.collect():  # two tables of a size set by the parameters
-        tables[r["model"], r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(r["counts"], np.int64)
-    return Models(vocabulary, [t[:size] for t in tables], [t[size : size + (1 << bits)].astype(np.float32) for t in tables])
-
-
-def losses(ids: np.ndarray, pairs: np.ndarray, unigrams: np.ndarray, bigrams: np.ndarray, own: bool) -> np.ndarray:
-    """-log2 of the smoothed probability of each word; ``own`` takes the text's own counts out first."""
-    size, total = len(unigrams), float(unigrams.sum())
-    before = np.concatenate([np.zeros(1, np.int64), ids[:-1]])
-    single, first, both = (a.astype(float) for a in (unigrams[ids], unigrams[before], bigrams[pairs]))
-    if own:
-        _, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        single -= counts[where]
-        first[1:] -= counts[where[:-1]]
-        _, where, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        both -= counts[where]
-        total -= len(ids)
-    single, first, both = (np.maximum(v, 0.0) for v in (single, first, both))
-    first = np.maximum(first, both)
-    unigram = (single + 1.0) / (max(total, 0.0) + size)
-    return -np.log2((both + SMOOTHING * unigram) / (first + SMOOTHING))
-
-
-def score_documents(marked: DataFrame, models: Models, bits: int = BITS) -> DataFrame:
+
+def score_documents(marked: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (bits per word) and score, their difference, of every row.
 
+    :param marked: the rows on which ``models`` were counted.
+
     Texts without words, null and empty ones among them, have losses and a score of 0.  Without target rows the
-    target model is the uniform one.  Rows are independent: repeated rows repeat (a repeat counts as other
-    text), an empty table gives an empty table.
+    target model is the uniform one.  Repeated rows repeat (a repeat counts as other text), an empty table gives
+    an empty table.
     """
-    shared = marked.sparkSession.sparkContext.broadcast(models)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, hashed = shared.value, word_hashes()
-        for part in parts:
-            out: dict[str, list] = {"n_words": [], "target_loss": [], "background_loss": []}
-            for text, target in zip(part["text"], part["target"]):
-                ids = _ids(hashed(words(text or "")), model.vocabulary)
-                out["n_words"].append(len(ids))
-                if not len(ids):
-                    out["target_loss"].append(0.0)
-                    out["background_loss"].append(0.0)
-                    continue
-                pairs = _pairs(ids, bits)
-                for name, k, own in (("target_loss", 1, bool(target)), ("background_loss", 0, True)):
-                    out[name].append(float(losses(ids, pairs, model.unigrams[k], model.bigrams[k], own).mean()))
-            frame = pd.DataFrame({"doc_id": part["doc_id"], **out})
-            frame["score"] = frame["target_loss"] - frame["background_loss"]
-            yield frame
-
-    kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.mapInPandas(
-        run, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double"
+    spark = marked.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    named = marked.select("doc_id", "text", "target", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
+    kind = marked.schema["doc_id"].dataType
+
+    sent = named.mapInArrow(
+        _send(to_arrow_type(kind), shared),
+        "row long, a long, b long, salt int, c long, own long, goes_on long, n long, target boolean, "
+        f"doc_id {kind.simpleString()}, one long, target_sum double, background_sum double",
+    )
+    numbers = range(1, len(models.words) + 1)
+    known = spark.createDataFrame(
+        pd.DataFrame({"b": numbers, "known_n": models.word_counts[0], "known_t": models.word_counts[1]}).astype("int64"),
+        "b long, known_n long, known_t long",
+    )
+    # Rows of a pair meet under (b, salt), and so do all rows of a word that is not frequent.
+    pair, word = Window.partitionBy("b", "salt", "a"), Window.partitionBy("b", "salt")
+    targets = F.when(F.col("target"), F.col("c")).otherwise(0)
+    met = sent.repartition("b", "salt").withColumns({"word_n": F.sum("c").over(word), "word_t": F.sum(targets).over(word)})
+    met = met.withColumns({"pair_n": F.sum("c").over(pair), "pair_t": F.sum(targets).over(pair)})
+    met = met.join(F.broadcast(known), "b", "left")  # at most ``share`` rows
+
+    def loss(k: int, seen: Column) -> Column:
+        own = lambda count: F.when(seen, F.col(count)).otherwise(0)
+        tail = "t" if k else "n"
+        both = F.col(f"pair_{tail}") - own("c")
+        single = F.coalesce(f"known_{tail}", f"word_{tail}") - own("own")
+        numerator = _numerator(both, single, F.lit(models.totals[k]) - own("n"), models.size, F.log2)
+        start = F.when(F.col("a") == 0, F.log2(both + SMOOTHING)).otherwise(0.0)
+        return F.when(F.col("c") > 0, F.col("c") * (start - numerator) + F.col("goes_on") * F.log2(single + SMOOTHING)).otherwise(0.0)
+
+    sums = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.sum("one").alias("copies"),
+        F.max("n").alias("n_words"),
+        F.sum(F.col("target_sum") + loss(1, F.col("target"))).alias("target"),
+        F.sum(F.col("background_sum") + loss(0, F.lit(True))).alias("background"),
     )
+    mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("copies") * F.col("n_words")), F.lit(0.0))
+    out = sums.select("doc_id", "n_words", mean("target").alias("target_loss"), mean("background").alias("background_loss"), "copies")
+    out = out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")

@@ -107,3 +107,33 @@ def test_hard_texts(spark):
     assert len(got) == len(HARD) and all(np.isfinite(r.score) for r in got)
     none = marked.filter("false")
     assert lm_score.score_documents(none, lm_score.train_models(none)).count() == 0
+
+
+@pytest.mark.parametrize("share", [1, 40, lm_score.SHARE])
+def test_losses_of_many_words(spark, share, monkeypatch):
+    """More words than a fixed vocabulary would hold, a repeated row, null ids; what is frequent changes nothing."""
+    texts = [prose(i, 2500, 10**6) + " " + prose(i % 5, 20, 30) for i in range(24)] + ["", None, "w1", prose(3, 50), prose(3, 50)]
+    ids = [*range(28), 27]
+    docs = frame(spark, texts, ids)
+    docs = docs.unionByName(frame(spark, ["w1 w2"], [None]))
+    texts = [*texts, "w1 w2"]
+    monkeypatch.setattr(lm_score, "CHUNK", 4000)
+    marked = lm_score.mark_target(docs, spark.createDataFrame([(i,) for i in range(0, 24, 2)], "doc_id long"))
+    got = lm_score.score_documents(marked, lm_score.train_models(marked, share)).collect()
+    want = brute_losses(texts, list(range(0, 24, 2)), 0)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i in [*ids, None])
+    by_id = {r.doc_id: r for r in got}
+    for i, (target, background) in zip([*ids, None], want):
+        assert by_id[i].n_words == len((texts[-1] if i is None else texts[i] or "").split())
+        assert by_id[i].target_loss == pytest.approx(target, rel=1e-9)
+        assert by_id[i].background_loss == pytest.approx(background, rel=1e-9)
+
+
+def test_losses_with_more_words_than_a_fixed_vocabulary(spark):
+    """40,000 different words: none becomes an unknown word, no pair shares the count of another."""
+    texts = [" ".join(f"u{1000 * i + k}" for k in range(1000)) for i in range(40)] * 2
+    marked = lm_score.mark_target(frame(spark, texts), spark.createDataFrame([(0,), (40,)], "doc_id long"))
+    got = {r.doc_id: r for r in lm_score.score_documents(marked, lm_score.train_models(marked)).collect()}
+    for i, (target, background) in enumerate(brute_losses(texts, [0, 40], 0)):
+        assert got[i].target_loss == pytest.approx(target, rel=1e-9)
+        assert got[i].background_loss == pytest.approx(background, rel=1e-9)
