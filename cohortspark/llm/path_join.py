@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.components import components
-from cohortspark.llm.text import mix64, per_text, stored, word_hashes, words
+from cohortspark.llm.text import first_of_each, mix64, per_text, stored, word_hashes, words
 from cohortspark.session import safe_unions, settled
 
 SHINGLE = 5
@@ -381,6 +381,7 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("_text_hash", F.xxhash64("text"))
     found = texts.join(stored(chosen), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    found = first_of_each(found, ["key"])  # a row that is there twice is found twice
     placed = found.withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn(
         "own", _set_function(False)("text")["own"]
     )

@@ -106,6 +106,20 @@ def test_near_copies(spark, bucket, depth, block):
     assert sum(r.stays for r in got) == len({w[0] for w in want.values()})
 
 
+def test_repeated_rows_among_near_copies(spark):
+    """A row that is there several times, with an id and without one, is counted as so many copies."""
+    base = prose(31, 120)
+    texts = [base, base, base, changed(base, 1, 1), changed(base, 2, 1), changed(base, 3, 2), prose(32, 90), prose(32, 90)]
+    texts += [changed(base, 4, 1)] * 2
+    ids = [3, 3, 3, 4, 5, 6, 9, 9, None, None]
+    got = path_join.near_duplicates(frame(spark, texts, ids)).collect()
+    want = brute_near(texts)
+    assert sorted((r.doc_id or 0, r.class_id, r.class_size, r.n_links) for r in got) == sorted(
+        (i or 0, ids[want[k][0]], *want[k][1:]) for k, i in enumerate(ids)
+    )
+    assert sum(r.stays for r in got) == 2
+
+
 def test_runs_for_recall():
     assert path_join.runs_for(0.5, 1) == 1
     assert path_join.runs_for(0.999) == 11
