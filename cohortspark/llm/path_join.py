@@ -4,8 +4,9 @@ A text is its set of hashed word 5-grams; texts with the same set are one point
 is embedded as minhash tokens.  In every run each node of a tree samples the tokens on which it goes on, by a
 hash of the path so far and the token, with mean 1 / similarity tokens per point; points that share a sampled
 token go down together.  Buckets that are small enough are compared by brute force on the embedded tokens; larger
-ones are split further.  Points as similar as the threshold stay together with a chance that no run can fix, so
-runs are repeated until the wanted share of pairs is found (``runs_for``).
+ones are split further.  Points as similar as the threshold stay together with a chance that no run can fix, and
+that falls with every level, so runs are repeated until the wanted share of pairs is found at the level where they
+are compared (``runs_for``): points that are split at deeper levels than others go through more runs.
 
 Tokens are needed only to choose paths.  What is compared in buckets is a sketch of four bits a token, an eighth of
 their size, and only points of large buckets are joined with their tokens again.
@@ -31,7 +32,7 @@ from cohortspark.session import safe_unions, settled
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.999  # of pairs at the threshold itself, by the tokens of two levels
+RECALL = 0.999  # of pairs at the threshold itself, at the level where they are compared
 TOKENS = 128  # minhash tokens of a point
 LOOSE = 0.5  # similarity by sketches that makes a candidate: eight deviations below the threshold
 LEAVES = 0.8  # similarity to a pivot by sketches from which a point need not be split further
@@ -133,18 +134,21 @@ def _children(tokens: np.ndarray, starts: np.ndarray, similarity: float) -> tupl
     return row, mix64(h[row, place] + _STEP).view(np.int64)
 
 
-def _roots(similarity: float, runs: int):
-    """(key, tokens) -> (path, key): the first nodes of every run."""
+def _roots(similarity: float):
+    """(key, tokens, done, runs) -> (path, key): the first nodes of the runs from ``done`` to ``runs``."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
         for part in parts:
             for at in range(0, len(part), 2000):
                 rows = part.iloc[at : at + 2000]
                 tokens, keys = _tokens(rows["tokens"]), rows["key"].to_numpy()
-                for seed in seeds:
-                    row, path = _children(tokens, np.full(len(keys), seed), similarity)
-                    yield pd.DataFrame({"path": path, "key": keys[row]})
+                done, runs = rows["done"].to_numpy(), rows["runs"].to_numpy()
+                for k in range(int(done.min()), int(runs.max())):
+                    own = (done <= k) & (k < runs)
+                    if own.any():
+                        seed = mix64(np.array([k + 1], np.uint64) * np.uint64(0x51ED2701))
+                        row, path = _children(tokens[own], np.repeat(seed, own.sum()), similarity)
+                        yield pd.DataFrame({"path": path, "key": keys[own][row]})
 
     return run
 
@@ -247,11 +251,14 @@ def pivot_likeness(large: DataFrame, sketches: DataFrame) -> DataFrame:
     return met.mapInPandas(_likeness, "key binary, pivot binary, near boolean, stays boolean")
 
 
-def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int, depth: int) -> DataFrame:
-    """Loose links (a, b) between points (key, tokens, sketch), from the buckets of all runs."""
-    tokens, sketches = points.select("key", "tokens"), points.select("key", "sketch")
-    paths = settled(tokens.mapInPandas(_roots(similarity, runs), "path long, key binary"))
-    small, links = [], []
+def _run_links(
+    tokens: DataFrame, sketches: DataFrame, similarity: float, bucket: int, depth: int
+) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Runs of the points (key, tokens, done, runs): buckets (path, key) to compare, links to pivots (a, b), and for
+    each level the points (key) that are split there and so are compared deeper."""
+    paths = settled(tokens.mapInPandas(_roots(similarity), "path long, key binary"))
+    tokens = tokens.select("key", "tokens")
+    small, links, deeper = [], [], []
     for level in range(1, depth + 1):
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1")
         placed = settled(paths.join(sizes, "path"))
@@ -266,17 +273,45 @@ def candidate_links(points: DataFrame, similarity: float, runs: int, bucket: int
         links.append(likeness.filter("near").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         # What is split at later levels is split here too, so the tokens needed only become fewer.
         on = likeness.filter("stays").select("key", "pivot")
-        tokens = settled(tokens.join(stored(on.select("key").distinct()), "key", "left_semi"))
+        split_keys = stored(on.select("key").distinct())
+        deeper.append(split_keys)
+        tokens = settled(tokens.join(split_keys, "key", "left_semi"))
         split = large.join(on, ["key", "pivot"]).select("path", "key").join(tokens, "key").select("path", "key", "tokens")
         paths = settled(split.mapInPandas(_descend(similarity), "path long, key binary"))
-    members = small[0]
-    for more in small[1:]:
-        members = members.unionByName(more)
+    return small, links, deeper
+
+
+def candidate_links(points: DataFrame, similarity: float, recall: float, bucket: int, depth: int) -> DataFrame:
+    """Loose links (a, b) between points (key, tokens, sketch), from the buckets of all runs.
+
+    The first runs are enough for pairs that are compared at level 1 or 2.  A pair that is compared deeper is in a
+    bucket split at level 2, so both its points are among those split there; they go through more runs, up to what
+    the level after the last split needs.  Runs are added until no point is split deeper than its runs allow for.
+    """
+    sketches, first = points.select("key", "sketch"), min(2, depth)
+    todo = points.select("key", "tokens", F.lit(0).alias("done"), F.lit(runs_for(recall, first)).alias("runs"))
+    members, out = None, None
+    while True:
+        small, links, deeper = _run_links(todo, sketches, similarity, bucket, depth)
+        for more in small:
+            members = more if members is None else members.unionByName(more)
+        for more in links:
+            out = more if out is None else out.unionByName(more)
+        need = None
+        for level, keys in enumerate(deeper, 1):
+            if level >= first:
+                own = keys.select("key", F.lit(runs_for(recall, level + 1)).alias("need"))
+                need = own if need is None else need.unionByName(own)
+        if need is None:
+            break
+        need = need.groupBy("key").agg(F.max("need").alias("need"))
+        more = todo.join(need, "key").filter("need > runs")
+        todo = settled(more.select("key", "tokens", F.col("runs").alias("done"), F.col("need").alias("runs")))
+        if todo.isEmpty():
+            break
     full = members.join(sketches, "key").select("path", "key", "sketch")
-    out = full.repartition("path").sortWithinPartitions("path").mapInPandas(_bucket_links, "a binary, b binary")
-    for more in links:
-        out = out.unionByName(more)
-    return out.distinct()
+    found = full.repartition("path").sortWithinPartitions("path").mapInPandas(_bucket_links, "a binary, b binary")
+    return (found if out is None else found.unionByName(out)).distinct()
 
 
 def _meet(similarity: float):
@@ -363,7 +398,7 @@ def near_duplicates(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("one"),
         )
     )
-    loose = components(candidate_links(points, similarity, runs_for(recall), bucket, depth))
+    loose = components(candidate_links(points, similarity, recall, bucket, depth))
 
     # Full sets of the candidates, from the text of one row each.
     chosen = settled(loose.join(points.drop("tokens", "sketch"), loose["node"] == points["key"]))

@@ -125,6 +125,21 @@ def test_runs_for_recall():
     assert path_join.runs_for(0.999) == 11
 
 
+def test_pairs_in_deep_buckets(spark):
+    """Pairs just above the threshold among texts that share a passage, so that buckets stay large down to level 8."""
+    passage, texts = prose(77, 70), []
+    for k in range(150):
+        own = f"{passage} {prose(3000 + k, 90, 5000)}".split(" ")
+        other = [*own]
+        for at in (100, 116, 132):  # each takes five shingles of 156: a similarity of 141 / 171
+            other[at] = f"y{k}"
+        texts += [" ".join(own), " ".join(other)]
+    pairs = sum(w[2] for w in brute_near(texts).values()) // 2
+    assert pairs == 150
+    got = path_join.near_duplicates(frame(spark, texts), bucket=2, depth=8).collect()
+    assert sum(r.n_links for r in got) == 2 * pairs
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
