@@ -134,9 +134,9 @@ def wilcoxon(df: DataFrame, first: str, second: str, by: Sequence[str] = ()) ->
 
 def default_models(seed: int = 42) -> dict[str, Estimator]:
     return {
-        "Logistic Regression": LogisticRegression(maxIter=100),
+        "Logistic Regression": LogisticRegression(maxIter=1000),
         "Random Forest": RandomForestClassifier(numTrees=100, seed=seed),
-        "GBDT": GBTClassifier(maxIter=20, seed=seed),
+        "GBDT": GBTClassifier(maxIter=100, seed=seed),
     }
 
 

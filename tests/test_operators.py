@@ -256,3 +256,10 @@ def test_round_risks_do_not_depend_on_scale(spark):
     assert [r[:3] for r in one] == [r[:3] for r in two] and len(one) == 3
     one, two = (sorted(map(tuple, privacy.attribution_rounds(d, "id", ["x", "y"], ["s"], 3).collect())) for d in (small, large))
     assert one == two
+
+
+def test_default_models_train_as_long_as_the_reference(spark):
+    models = utility.default_models()
+    assert models["Logistic Regression"].getMaxIter() == 1000
+    assert models["GBDT"].getMaxIter() == 100
+    assert models["Random Forest"].getNumTrees() == 100
