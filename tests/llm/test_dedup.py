@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from helpers import HARD, frame, prose
+from text_cases import HARD, frame, prose
 
 from cohortspark.llm import exact_dedup, path_join
 from cohortspark.llm.components import components

@@ -2,7 +2,7 @@ import os
 
 import numpy as np
 import pytest
-from helpers import HARD, frame, prose
+from text_cases import HARD, frame, prose
 
 from cohortspark.llm import lm_score, quality, toxicity
 from cohortspark.llm.text import id_fold

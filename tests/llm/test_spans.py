@@ -4,7 +4,7 @@ import re
 import zlib
 
 import pytest
-from helpers import HARD, frame, prose
+from text_cases import HARD, frame, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

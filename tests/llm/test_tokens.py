@@ -5,7 +5,7 @@ import struct
 
 import public_tokenizers
 import tiktoken
-from helpers import HARD, frame, prose
+from text_cases import HARD, frame, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
