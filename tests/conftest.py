@@ -31,8 +31,3 @@ def spark():
 @pytest.fixture()
 def folder():
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-
-
-def rows(df, *columns):
-    names = columns or df.columns
-    return sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)

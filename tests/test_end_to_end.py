@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import fixture
-from conftest import rows
+from tables import rows
 from cohortspark.operators import encode, joins, sampling
 from cohortspark.plans import cohort, dataset, features, reports
 from cohortspark.sources import readers, writers

@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tables import rows
 from cohortspark.functions import flags, stats, text, times, units
 
 

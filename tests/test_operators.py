@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tables import rows
 from cohortspark.operators import encode, fidelity, filters, grid, impute, joins, neighbours, ordered, privacy, rollup, sampling, utility
 
 

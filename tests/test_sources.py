@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tables import rows
 from cohortspark.operators import utility
 from cohortspark.sources import readers, writers
 
