@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, path_join, pii, quality, secret_scan, token_count, toxicity
+from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, merkle, path_join, pii, quality, secret_scan, token_count, toxicity
 from cohortspark.llm.text import id_fold, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,65 @@ d AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
 SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN d USING (doc_id)
 """
 
+# CRC-32 of the decimal doc_id, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, [
+    (ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1 FOR i IN range(8 * length(doc_id::VARCHAR))]::BIGINT[]),
+    lambda c, m: xor(c >> 1, 3988292384 * (xor(c, m) & 1))), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE found AS (
+  SELECT *, CASE WHEN {_CRC_SQL} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found_text FROM documents),
+leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("found_text")} AS found_leaf,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM found),
+low(source, level, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY ALL),
+tops AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY ALL),
+heights AS (
+  SELECT coalesce(source, '-') AS tree, max(level) AS height FROM low GROUP BY source
+  UNION ALL SELECT '', max(level) FROM high),
+nodes AS (
+  SELECT coalesce(source, '-') AS tree, level, pos, h FROM low UNION ALL SELECT '', level, pos, h FROM high),
+places AS (
+  SELECT l.doc_id, coalesce(l.source, '-') AS own, l.leaf, l.found_leaf, l.pos, t.pos AS top_pos, t.h AS subroot, a.height, b.height AS top_height
+  FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source
+  JOIN heights a ON a.tree = coalesce(l.source, '-') JOIN heights b ON b.tree = ''),
+ways AS (
+  SELECT doc_id, own AS tree, k AS step, k AS level, (pos // (3 ** k)::BIGINT)::BIGINT AS place
+  FROM (SELECT *, unnest(range(height)) AS k FROM places)
+  UNION ALL
+  SELECT doc_id, '', height + k, k, (top_pos // (3 ** k)::BIGINT)::BIGINT
+  FROM (SELECT *, unnest(range(top_height)) AS k FROM places)),
+beside AS (
+  SELECT w.doc_id, w.step,
+         coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < w.place), '') AS l,
+         coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > w.place), '') AS r
+  FROM ways w JOIN nodes x ON x.tree = w.tree AND x.level = w.level AND x.pos // 3 = w.place // 3 GROUP BY ALL),
+folds(doc_id, step, h) AS (
+  SELECT doc_id, 0, found_leaf FROM places
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(b.l || f.h || b.r) FROM folds f JOIN beside b ON b.doc_id = f.doc_id AND b.step = f.step),
+proofs AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM beside GROUP BY doc_id),
+ends AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM folds GROUP BY doc_id),
+root AS (SELECT h FROM high WHERE n = 1)
+SELECT p.doc_id, leaf, subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root.h AS verified
+FROM places p JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), root
+"""
+
 
 @query("op4_exact_dedup", EXACT_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,3 +213,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in documents."""
     return pii.find_personal_data(table(spark, folder, "documents")).drop("found")
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle proofs of documents, verified after line feeds were taken out of half of them."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, folder, "documents"), found).drop("proof")
