@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, merkle, path_join, pii, quality, secret_scan, token_count, toxicity
+from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, merkle, path_join, periodic, pii, quality, secret_scan, token_count, toxicity
 from cohortspark.llm.text import id_fold, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,38 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     found = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.manifest(table(spark, folder, "documents"), found).drop("proof")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the texts, by crc32 of the id, the words from one on repeat with some period."""
+    own = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    hit = (F.pmod(own, F.lit(10)) == 0) & F.col("text").isNotNull()
+    n, a, p = F.col("n"), F.col("a"), F.col("p")
+    rows = docs.select("doc_id", "text", F.when(hit, words).alias("w"), F.floor(own / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(n > 0, F.pmod("g", n)))
+    rows = rows.withColumn("p", 1 + F.floor((n - a) / (3 + F.pmod("g", F.lit(8)))))
+    places = F.sequence(F.lit(0).cast("long"), n - 1)
+    changed = F.transform(places, lambda i: F.get("w", F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated word sequences in documents, some of them planted."""
+    found = periodic.find_runs(planted_runs(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))  # of ties the first
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    out = found.withColumn("b", best)
+    length, period = F.col("b").getItem("length"), -F.col("b").getItem("col3")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("b").getItem("col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(every, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
