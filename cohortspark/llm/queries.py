@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, lm_score, merkle, path_join, periodic, pii, quality, secret_scan, token_count, toxicity
+from cohortspark.llm import byte_bpe, decontaminate, exact_dedup, fingerprint, lm_score, merkle, path_join, periodic, pii, quality, secret_scan, token_count, toxicity
 from cohortspark.llm.text import id_fold, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,26 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(every, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts, which end as the next document begins."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
+    docs = fingerprint.with_next(fingerprint.with_sketch(docs, "text", "sketch"), ["text", "sketch"])
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("next.sketch").alias("next_sketch"))
+    docs = fingerprint.with_sketch(docs, "edited", "edited_sketch")
+    own = F.col("sketch")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(own, F.col("next_sketch")).alias("near_next"),
+    )

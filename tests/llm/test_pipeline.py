@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
