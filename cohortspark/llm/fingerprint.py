@@ -86,9 +86,17 @@ def resemblance(a: Column, b: Column, k: int = HASHES) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = HASHES) -> Column:
-    """Estimated share of the first text's shingles that the second has; 1 if the first has none."""
-    both = resemblance(a, b, k) * distinct_count(merged(a, b, k), k)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), both / distinct_count(a, k)))
+    """Estimated share of the first text's shingles that the second has; 1 if the first has none.
+
+    Up to the smaller of the sketches' ends (no end where a sketch is the whole set) both sketches hold all there is,
+    so the first one's hashes up to there are a sample of it.  A set so small beside the other that the sample is
+    empty gives null.
+    """
+    whole = F.lit(2**63 - 1)
+    end = lambda x: F.when(F.size(x) < k, whole).otherwise(F.array_max(x))
+    sample = F.filter(a, lambda h: h <= F.least(end(a), end(b)))
+    share = F.try_divide(F.size(F.array_intersect(sample, b)), F.size(sample))
+    return F.when(F.size(a) == 0, 1.0).otherwise(share)
 
 
 def as_text(sketch: Column) -> Column:
