@@ -3,8 +3,9 @@
 A text is its set of hashed word 5-grams; texts with the same set are one point with a number of copies.  A point
 is embedded as minhash tokens.  In every run each node of a tree samples the tokens on which it goes on, by a
 hash of the path so far and the token, with mean 1 / similarity tokens per point; points that share a sampled
-token go down together.  Buckets that are small enough are compared by brute force on the embedded tokens; larger
-ones are split further.  Points as similar as the threshold stay together with a chance that no run can fix, and
+token go down together.  All points go down FIRST levels at once, before buckets are looked at: what only shares a
+passage or a chance shingle is mostly apart by then.  Buckets that are small enough are compared by brute force on
+the embedded tokens; larger ones are split further.  Points as similar as the threshold stay together with a chance that no run can fix, and
 that falls with every level, so runs are repeated until the wanted share of pairs is found at the level where they
 are compared (``runs_for``): points that are split at deeper levels than others go through more runs.
 
@@ -35,11 +36,14 @@ SIMILARITY = 0.8
 RECALL = 0.999  # of pairs at the threshold itself, at the level where they are compared
 TOKENS = 128  # minhash tokens of a point
 LOOSE = 0.5  # similarity by sketches that makes a candidate: eight deviations below the threshold
-LEAVES = 0.8  # similarity to a pivot by sketches from which a point need not be split further
+LEAVES = 0.84  # similarity to a pivot by sketches from which a point need not be split further
+PIVOTS = 4  # choices of a pivot in one group; which of them a bucket has depends on its path
 BUCKET = 200  # points of a bucket that are compared at once
 SALTS = 32  # keys over which the rows of one pivot are spread; a pivot stands for more than BUCKET rows
+FIRST = 3  # levels that all points go down
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
 BLOCK = 1024  # points of a block in the exact comparison
+STRIP, WIDTH = 256, 512  # rows and shared shingles that are multiplied at once
 BLOCK_SHINGLES = 250_000  # shingles of a block; long texts make blocks of fewer points
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -48,7 +52,7 @@ _ADD = _RNG.integers(0, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _PLACES = (np.arange(1, TOKENS + 1, dtype=np.uint64)) << np.uint64(33)
 
 
-def runs_for(recall: float, levels: int = 2) -> int:
+def runs_for(recall: float, levels: int = FIRST) -> int:
     """Runs after which a pair at the threshold has met with chance ``recall``.
 
     Such a pair goes down together as a critical branching process: the chance to survive k levels is
@@ -134,8 +138,8 @@ def _children(tokens: np.ndarray, starts: np.ndarray, similarity: float) -> tupl
     return row, mix64(h[row, place] + _STEP).view(np.int64)
 
 
-def _roots(similarity: float):
-    """(key, tokens, done, runs) -> (path, key): the first nodes of the runs from ``done`` to ``runs``."""
+def _roots(similarity: float, levels: int):
+    """(key, tokens, done, runs) -> (path, key): the nodes ``levels`` levels down in the runs from ``done`` to ``runs``."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -147,8 +151,11 @@ def _roots(similarity: float):
                     own = (done <= k) & (k < runs)
                     if own.any():
                         seed = mix64(np.array([k + 1], np.uint64) * np.uint64(0x51ED2701))
-                        row, path = _children(tokens[own], np.repeat(seed, own.sum()), similarity)
-                        yield pd.DataFrame({"path": path, "key": keys[own][row]})
+                        at, path = np.flatnonzero(own), np.repeat(seed, own.sum())
+                        for _ in range(levels):
+                            row, path = _children(tokens[at], path.view(np.uint64), similarity)
+                            at = at[row]
+                        yield pd.DataFrame({"path": path.view(np.int64), "key": keys[at]})
 
     return run
 
@@ -239,8 +246,9 @@ def pivot_likeness(large: DataFrame, sketches: DataFrame) -> DataFrame:
     Points like the pivot are linked to it, and those that are very like it leave the bucket: by the triangle
     inequality of the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of
     near copies is a few stars after one level, and only points unlike the pivot are split further.  The pivot of
-    a bucket is its smallest key, so the buckets of one group mostly have the same one, and a pair is compared
-    once for all buckets of a level.  A pivot's rows are spread over SALTS keys.
+    a bucket is the key with the smallest hash, by one of PIVOTS hashes that the path chooses, so the buckets of one
+    group mostly have one of a few, and a pair is compared once for all buckets of a level.  A point that leaves by a
+    chance of the sketches at one pivot is met again at another.  A pivot's rows are spread over SALTS keys.
     """
     pairs = large.select("key", "pivot").distinct()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -256,11 +264,13 @@ def _run_links(
 ) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """Runs of the points (key, tokens, done, runs): buckets (path, key) to compare, links to pivots (a, b), and for
     each level the points (key) that are split there and so are compared deeper."""
-    paths = settled(tokens.mapInPandas(_roots(similarity), "path long, key binary"))
+    start = min(FIRST, depth)
+    paths = settled(tokens.mapInPandas(_roots(similarity, start), "path long, key binary"))
     tokens = tokens.select("key", "tokens")
     small, links, deeper = [], [], []
-    for level in range(1, depth + 1):
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).filter("n > 1")
+    for level in range(start, depth + 1):
+        first = F.min(F.struct(F.xxhash64("key", F.pmod("path", F.lit(PIVOTS))), "key")).getItem("key").alias("pivot")
+        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1")
         placed = settled(paths.join(sizes, "path"))
         small.append(placed.filter(F.col("n") <= bucket).select("path", "key"))
         large = placed.filter(F.col("n") > bucket).select("path", "key", "pivot")
@@ -284,11 +294,11 @@ def _run_links(
 def candidate_links(points: DataFrame, similarity: float, recall: float, bucket: int, depth: int) -> DataFrame:
     """Loose links (a, b) between points (key, tokens, sketch), from the buckets of all runs.
 
-    The first runs are enough for pairs that are compared at level 1 or 2.  A pair that is compared deeper is in a
-    bucket split at level 2, so both its points are among those split there; they go through more runs, up to what
+    The first runs are enough for pairs that are compared at level FIRST.  A pair that is compared deeper is in a
+    bucket split there, so both its points are among those split there; they go through more runs, up to what
     the level after the last split needs.  Runs are added until no point is split deeper than its runs allow for.
     """
-    sketches, first = points.select("key", "sketch"), min(2, depth)
+    sketches, first = points.select("key", "sketch"), min(FIRST, depth)
     todo = points.select("key", "tokens", F.lit(0).alias("done"), F.lit(runs_for(recall, first)).alias("runs"))
     members, out = None, None
     while True:
@@ -298,10 +308,9 @@ def candidate_links(points: DataFrame, similarity: float, recall: float, bucket:
         for more in links:
             out = more if out is None else out.unionByName(more)
         need = None
-        for level, keys in enumerate(deeper, 1):
-            if level >= first:
-                own = keys.select("key", F.lit(runs_for(recall, level + 1)).alias("need"))
-                need = own if need is None else need.unionByName(own)
+        for level, keys in enumerate(deeper, first):
+            own = keys.select("key", F.lit(runs_for(recall, level + 1)).alias("need"))
+            need = own if need is None else need.unionByName(own)
         if need is None:
             break
         need = need.groupBy("key").agg(F.max("need").alias("need"))
@@ -331,23 +340,33 @@ def _meet(similarity: float):
             row, column = row[again], np.cumsum(seen > 1)[column[again]] - 1
             order = np.argsort(column, kind="stable")
             row, column = row[order], column[order]
-            common = np.zeros((n, n), np.float32)
-            width = max(256, 2_000_000 // n)
-            for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-                a, b = np.searchsorted(column, [start, start + width])
-                dense = np.zeros((n, width), np.float32)
-                dense[row[a:b], column[a:b] - start] = 1
-                common += dense @ dense.T
-            union = sizes[:, None] + sizes[None, :] - common
-            linked = common >= similarity * union - 1e-6
-            np.fill_diagonal(linked, False)
-            if group["low"].iloc[0] != group["high"].iloc[0]:  # pairs inside one block have a group of their own
-                linked &= blocks[:, None] != blocks[None, :]
-            left, right = np.nonzero(np.triu(linked, 1))
+            shared = int(column[-1]) + 1 if len(column) else 0
+            inside = group["low"].iloc[0] == group["high"].iloc[0]  # pairs inside one block have a group of their own
+            copies, counts = group["copies"].to_numpy(np.int64), np.zeros(n, np.int64)
+            left, right = [], []
+            for top in range(0, n, STRIP):
+                rows = min(STRIP, n - top)
+                common = np.zeros((rows, n), np.float32)
+                for start in range(0, shared, WIDTH):
+                    a, b = np.searchsorted(column, [start, start + WIDTH])
+                    dense = np.zeros((n, WIDTH), np.float32)
+                    dense[row[a:b], column[a:b] - start] = 1
+                    common += dense[top : top + rows] @ dense.T
+                # common >= similarity * (sizes of both - common), solved for the common ones
+                least = (sizes[top : top + rows, None] + sizes[None, :]) * (similarity / (1 + similarity))
+                linked = common >= least - 1e-6
+                at = np.arange(rows)
+                linked[at, top + at] = False
+                if not inside:
+                    linked &= blocks[top : top + rows, None] != blocks[None, :]
+                counts[top : top + rows] = linked @ copies
+                i, j = np.nonzero(linked)
+                left.append((i + top)[j > i + top])
+                right.append(j[j > i + top])
+            left, right = np.concatenate(left), np.concatenate(right)
             if not len(left):
                 continue
             keys, root = group["key"].to_numpy(), _forest(n, left, right)
-            counts = linked @ group["copies"].to_numpy(np.int64)
             some, far = np.flatnonzero(counts), np.flatnonzero(root != np.arange(n))
             out["key"] += [*keys[some], *keys[far]]
             out["links"] += [*counts[some].tolist(), *([0] * len(far))]

@@ -22,6 +22,8 @@ _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 MEMO_LIMIT = 500_000  # entries of a per-task memo; it starts anew when full, which changes speed only
 
 
@@ -29,8 +31,13 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application, for clusters where it is not installed."""
+    """Send this package to the executors, once per application, for clusters where it is not installed.
+
+    Arrow batches of the session are cut to BATCH_BYTES, as texts are long and each Python worker holds a few batches.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) in (None, "64m", "67108864", "67108864b"):  # left as it was
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         archive = os.path.join(tempfile.mkdtemp(prefix="run-"), "cohortspark_code")

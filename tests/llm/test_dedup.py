@@ -88,7 +88,7 @@ def changed(text, seed, n):
     return " ".join(own)
 
 
-@pytest.mark.parametrize("bucket, depth, block", [(64, 8, 256), (4, 3, 8)])
+@pytest.mark.parametrize("bucket, depth, block", [(64, 8, 256), (4, 3, 8), (4, 6, 8)])
 def test_near_copies(spark, bucket, depth, block):
     """Groups of near copies, one of them far larger than a bucket and a block, with a passage many texts share."""
     passage = prose(99, 60)
@@ -122,7 +122,8 @@ def test_repeated_rows_among_near_copies(spark):
 
 def test_runs_for_recall():
     assert path_join.runs_for(0.5, 1) == 1
-    assert path_join.runs_for(0.999) == 11
+    assert path_join.runs_for(0.999, 2) == 11
+    assert path_join.runs_for(0.999) == path_join.runs_for(0.999, path_join.FIRST) == 15
 
 
 def test_pairs_in_deep_buckets(spark, monkeypatch):
@@ -140,7 +141,7 @@ def test_pairs_in_deep_buckets(spark, monkeypatch):
     assert pairs == 150
     got = path_join.near_duplicates(frame(spark, texts), recall=0.9, bucket=2, depth=8).collect()
     assert sum(r.n_links for r in got) >= 0.9 * 2 * pairs
-    assert max(asked) > 2
+    assert max(asked) > path_join.FIRST
 
 
 def test_components(spark):
