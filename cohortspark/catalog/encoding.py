@@ -74,11 +74,24 @@ def stochastic_inverse(t: Tables):
     return encode.stochastic_inverse(u, p, ["l_quantity"])
 
 
-@query("stochastic_transform")
+_UNIFORM = "('0x' || substr(md5({name}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_LINES = ["l_orderkey", "l_linenumber"]
+
+
+def _draw_sql(c: str, p: str) -> str:
+    draw = _UNIFORM.format(name=f"'7:{c}:' || l_orderkey || ':' || l_linenumber")
+    return f"round({p}.lo + {draw} * ({p}.hi - {p}.lo), 9) AS {c}"
+
+
+@query(
+    "stochastic_transform",
+    f"""WITH {_FIT} SELECT l_orderkey, l_linenumber, {_draw_sql('l_quantity', 'a')}, {_draw_sql('l_extendedprice', 'b')} FROM lineitem
+    JOIN p a ON a.feature = 'l_quantity' AND a.value = round_even(l_quantity, 2) JOIN p b ON b.feature = 'l_extendedprice' AND b.value = round_even(l_extendedprice, 2)""",
+)
 def stochastic_transform(t: Tables):
-    """Random draws: rows only."""
     p = encode.stochastic_fit(t.lineitem, _NUMBERS)
-    return encode.stochastic_transform(t.lineitem.select("l_orderkey", "l_linenumber", *_NUMBERS), p, _NUMBERS, 7)
+    out = encode.stochastic_transform(t.lineitem.select(*_LINES, *_NUMBERS), p, _NUMBERS, 7, keys=_LINES)
+    return out.select(*_LINES, *[rnd(c, 9).alias(c) for c in _NUMBERS])
 
 
 @query(
@@ -87,7 +100,7 @@ def stochastic_transform(t: Tables):
 )
 def stochastic_roundtrip(t: Tables):
     p = encode.stochastic_fit(t.lineitem, _NUMBERS)
-    u = encode.stochastic_transform(t.lineitem.select("l_orderkey", "l_linenumber", *_NUMBERS), p, _NUMBERS, 7, unseen=False)
+    u = encode.stochastic_transform(t.lineitem.select(*_LINES, *_NUMBERS), p, _NUMBERS, 7, unseen=False, keys=_LINES)
     return encode.stochastic_inverse(u, p, _NUMBERS)
 
 
@@ -294,12 +307,34 @@ def bootstrap_padding(t: Tables):
     return sampling.bootstrap_padding(s, p, "l_orderkey", "step", ["l_quantity"], seed=2).select("l_orderkey", "step", "l_partkey", "l_quantity")
 
 
-@query("generate_rows")
+def _made(c: str, i: str) -> str:
+    """The interval of one drawn feature, none where it is missing by the rate of its condition."""
+    missing, value = (_UNIFORM.format(name=f"'3:{what}:{c}:' || l_orderkey || ':' || l_linenumber") for what in ("missing", "value"))
+    return f"""JOIN rates r{i} ON r{i}.l_returnflag = w.l_returnflag AND r{i}.feature = '{c}'
+      LEFT JOIN ends {i} ON {i}.l_returnflag = w.l_returnflag AND {i}.feature = '{c}' AND {missing} >= r{i}.rate AND {value} > {i}.lo AND {value} <= {i}.hi"""
+
+
+# A tenth of the quantities is missing; flags and states are the conditions and a category.
+_GENERATE = f"""WITH src AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN (l_orderkey + l_linenumber) % 10 <> 0 THEN l_quantity END AS l_quantity,
+    l_extendedprice, list_position(['F', 'O'], l_linestatus)::DOUBLE AS l_linestatus FROM lineitem),
+  long AS (SELECT l_returnflag, 'l_quantity' AS feature, l_quantity AS v FROM src UNION ALL SELECT l_returnflag, 'l_extendedprice', l_extendedprice FROM src
+    UNION ALL SELECT l_returnflag, 'l_linestatus', l_linestatus FROM src),
+  rates AS (SELECT l_returnflag, feature, avg((v IS NULL)::INT) AS rate FROM long GROUP BY ALL),
+  c AS (SELECT l_returnflag, feature, round_even(v, 2) AS value, count(*) AS n FROM long WHERE v IS NOT NULL GROUP BY ALL),
+  x AS (SELECT *, pow(1.0::DOUBLE + n / sum(n) OVER (PARTITION BY l_returnflag, feature), 2.0) AS w FROM c),
+  upper AS (SELECT l_returnflag, feature, value, sum(w) OVER (PARTITION BY l_returnflag, feature ORDER BY value) / sum(w) OVER (PARTITION BY l_returnflag, feature) AS hi FROM x),
+  ends AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY l_returnflag, feature ORDER BY value), -1) AS lo FROM upper),
+  w AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem)
+  SELECT w.l_orderkey, w.l_linenumber, w.l_returnflag, a.value AS l_quantity, b.value AS l_extendedprice, ['F', 'O'][c.value::INT] AS l_linestatus
+  FROM w {_made('l_quantity', 'a')} {_made('l_extendedprice', 'b')} {_made('l_linestatus', 'c')}"""
+
+
+@query("generate_rows", _GENERATE)
 def generate_rows(t: Tables):
-    """Random draws per condition: rows only."""
-    li = t.lineitem.select("l_returnflag", "l_quantity", "l_extendedprice", "l_linestatus")
-    conditions = li.select("l_returnflag")
-    return sampling.generate_rows(li, conditions, ["l_returnflag"], ["l_quantity", "l_extendedprice"], ["l_linestatus"], 1, 3)
+    quantity = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 10 != 0, F.col("l_quantity")).alias("l_quantity")
+    li = t.lineitem.select(*_LINES, "l_returnflag", quantity, "l_extendedprice", "l_linestatus")
+    wanted = li.select(*_LINES, "l_returnflag")
+    return sampling.generate_rows(li, wanted, ["l_returnflag"], ["l_quantity", "l_extendedprice"], ["l_linestatus"], 1, 3, _LINES)
 
 
 @query("score_batches", "SELECT doc_id, CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")

@@ -112,45 +112,51 @@ def cap(t: Tables):
     return privacy.attribution_probability(shape(o), shape(s), "vec_id")
 
 
-_ROUNDS = 4
-_HALVES = f"""WITH e AS (SELECT vec_id, label, [round(embedding[1]::DOUBLE, 1), round(embedding[2]::DOUBLE, 1)] AS v FROM embeddings),
+# 100 random halves over all 64 coordinates; distances are taken once, the halves differ in who may be met.
+_ROUNDS = 100
+_HALVES = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  dist AS (SELECT p.vec_id AS i, q.vec_id AS j, sqrt(list_sum([(p.v[k] - q.v[k]) * (p.v[k] - q.v[k]) FOR k IN range(1, 65)])) AS d FROM e p, e q),
   x AS (SELECT *, r AS round, row_number() OVER (PARTITION BY r ORDER BY md5('half 0 ' || r || ':' || vec_id), vec_id) AS rank, count(*) OVER (PARTITION BY r) // 2 AS h
-    FROM e, range(1, {_ROUNDS + 1}) t(r)),
-  a AS (SELECT round, rank AS pos, v, label FROM x WHERE rank <= h), b AS (SELECT round, rank - h AS pos, v, label FROM x WHERE rank > h AND rank <= 2 * h)"""
-_D2 = "(p.v[1] - q.v[1]) * (p.v[1] - q.v[1]) + (p.v[2] - q.v[2]) * (p.v[2] - q.v[2])"
+    FROM (SELECT vec_id, label FROM e), range(1, {_ROUNDS + 1}) t(r)),
+  a AS (SELECT round, rank AS pos, vec_id, label FROM x WHERE rank <= h), b AS (SELECT round, rank - h AS pos, vec_id, label FROM x WHERE rank > h AND rank <= 2 * h),
+  m AS (SELECT q.round, q.pos AS i, p.pos AS j, q.label AS s, p.label AS u, d FROM b q JOIN a p ON p.round = q.round JOIN dist ON dist.i = q.vec_id AND dist.j = p.vec_id)"""
+_RISKS = f"""{_HALVES}, n AS (SELECT round, i, min(d) AS ds, arg_min(j, (d, j)) AS c FROM m GROUP BY ALL),
+  r AS (SELECT round, i, min(d) AS dr FROM m WHERE i <> j GROUP BY ALL), so AS (SELECT round, avg((ds = 0)::INT) AS r FROM n GROUP BY round),
+  inf AS (SELECT n.round, avg((ds < dr)::INT) AS inference_risk FROM n JOIN r ON n.round = r.round AND n.c = r.i GROUP BY n.round),
+  risks AS (SELECT round, 1 - (1 - so.r) * (1 - so.r) AS single_out_risk, inference_risk FROM so JOIN inf USING (round))"""
+_COLUMNS = [f"v{i}" for i in range(64)]
 
 
-def _short(t: Tables):
-    v = F.col("embedding")
-    return t.embeddings.select("vec_id", "label", F.round(v[0].cast("double"), 1).alias("x"), F.round(v[1].cast("double"), 1).alias("y"))
+def _wide(t: Tables):
+    return t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_COLUMNS)])
 
 
-@query(
-    "risk_rounds",
-    f"""{_HALVES}, so AS (SELECT b.round, avg((EXISTS (SELECT 1 FROM a WHERE a.round = b.round AND a.v = b.v))::INT) AS r FROM b GROUP BY b.round),
-    d AS (SELECT q.round, q.pos AS i, p.pos AS j, {_D2} AS d FROM b q JOIN a p ON p.round = q.round),
-    n AS (SELECT round, i, min(d) AS ds, arg_min(j, (d, j)) AS c FROM d GROUP BY ALL), r AS (SELECT round, i, min(d) AS dr FROM d WHERE i <> j GROUP BY ALL),
-    inf AS (SELECT n.round, avg((ds < dr)::INT) AS inference_risk FROM n JOIN r ON n.round = r.round AND n.c = r.i GROUP BY n.round)
-    SELECT round, round(1 - (1 - so.r) * (1 - so.r), 9) AS single_out_risk, round(inference_risk, 9) AS inference_risk FROM so JOIN inf USING (round)""",
-)
+@query("risk_rounds", f"{_RISKS} SELECT round, round(single_out_risk, 9) AS single_out_risk, round(inference_risk, 9) AS inference_risk FROM risks")
 def risk_rounds(t: Tables):
-    out = privacy.risk_rounds(_short(t), "vec_id", ["x", "y"], _ROUNDS)
+    out = privacy.risk_rounds(_wide(t), "vec_id", _COLUMNS, _ROUNDS)
     return out.select(F.col("round").cast("bigint").alias("round"), rnd("single_out_risk", 9).alias("single_out_risk"), rnd("inference_risk", 9).alias("inference_risk"))
 
 
 @query(
     "attribution_rounds",
-    f"""{_HALVES}, n AS (SELECT q.round, q.pos, q.label AS s, arg_min(p.label, ({_D2}, p.pos)) AS u FROM b q JOIN a p ON p.round = q.round GROUP BY ALL)
+    f"""{_HALVES}, n AS (SELECT round, i, any_value(s) AS s, arg_min(u, (d, j)) AS u FROM m GROUP BY ALL)
     SELECT round, round(1 - (1 - avg((s = u)::INT)) * (1 - avg((s = u)::INT)), 9) AS cap FROM n GROUP BY round""",
 )
 def attribution_rounds(t: Tables):
-    out = privacy.attribution_rounds(_short(t), "vec_id", ["x", "y"], ["label"], _ROUNDS)
+    out = privacy.attribution_rounds(_wide(t), "vec_id", _COLUMNS, ["label"], _ROUNDS)
     return out.select(F.col("round").cast("bigint").alias("round"), rnd("cap", 9).alias("cap"))
 
 
-@query("risk_thresholds")
+@query(
+    "risk_thresholds",
+    f"""{_RISKS}, q AS (SELECT unnest([0.9, 0.95, 0.99])::DOUBLE AS quantile),
+    long AS (SELECT 'single_out_risk' AS metric, single_out_risk AS v FROM risks UNION ALL SELECT 'inference_risk', inference_risk FROM risks),
+    l AS (SELECT metric, list_sort(list(v)) AS v FROM long GROUP BY metric),
+    p AS (SELECT metric, quantile, v, (len(v) - 1) * quantile AS place FROM l, q)
+    SELECT metric, quantile, round(v[floor(place)::INT + 1] + (place - floor(place)) * (v[ceil(place)::INT + 1] - v[floor(place)::INT + 1]), 3) AS threshold FROM p""",
+)
 def risk_thresholds(t: Tables):
-    return privacy.risk_thresholds(_short(t), "vec_id", ["x", "y"], _ROUNDS)
+    return privacy.risk_thresholds(_wide(t), "vec_id", _COLUMNS, _ROUNDS)
 
 
 _COARSE = """WITH e AS (SELECT vec_id, label, [floor(v * 8) FOR v IN CAST(embedding AS DOUBLE[])] AS v FROM embeddings)"""
@@ -174,14 +180,14 @@ def membership(t: Tables):
 @query(
     "reident",
     """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), tr AS (SELECT * FROM e WHERE label < 4),
-    n AS (SELECT q.vec_id, q.label < 7 AS h, arg_min(p.vec_id, (list_sum([(p.v[i] - q.v[i]) * (p.v[i] - q.v[i]) FOR i IN range(1, 9)]), p.vec_id)) AS a,
-      arg_min(p.vec_id, (list_sum([(p.v[i] - q.v[i]) * (p.v[i] - q.v[i]) FOR i IN range(9, 17)]), p.vec_id)) AS b FROM e q, tr p WHERE q.label >= 4 GROUP BY ALL)
+    n AS (SELECT q.vec_id, q.label < 7 AS h, arg_min(p.vec_id, (list_sum([(p.v[i] - q.v[i]) * (p.v[i] - q.v[i]) FOR i IN range(1, 33)]), p.vec_id)) AS a,
+      arg_min(p.vec_id, (list_sum([(p.v[i] - q.v[i]) * (p.v[i] - q.v[i]) FOR i IN range(33, 65)]), p.vec_id)) AS b FROM e q, tr p WHERE q.label >= 4 GROUP BY ALL)
     SELECT CASE WHEN h THEN 'holdout' ELSE 'synthetic' END AS source, round(avg((a = b)::INT), 9) AS consistency FROM n GROUP BY h""",
 )
 def reident(t: Tables):
-    cols = [f"v{i}" for i in range(16)]
-    e = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    out = privacy.reidentification_attack(e.filter("label < 4"), e.filter("label >= 4 AND label < 7"), e.filter("label >= 7"), "vec_id", cols[:8], cols[8:])
+    e = _wide(t)
+    parts = e.filter("label < 4"), e.filter("label >= 4 AND label < 7"), e.filter("label >= 7")
+    out = privacy.reidentification_attack(*parts, "vec_id", _COLUMNS[:32], _COLUMNS[32:])
     return out.withColumn("consistency", rnd("consistency", 9))
 
 

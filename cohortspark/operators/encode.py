@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.flags import apply_masks, block_argmax, levels_of, pick_level
 from cohortspark.operators.filters import unpivot
 from cohortspark.operators.impute import nearest_observed, overall_mode
-from cohortspark.operators.ordered import running_sum, value_ranges
+from cohortspark.operators.joins import spread_join
+from cohortspark.operators.ordered import hash_number, portable_hash, running_sum, value_ranges
 from cohortspark.session import settled
 
 DECIMALS = 2
 TEMPERATURE = 0.5
-SLOTS = 4096  # slots of [0, 1] used to look intervals up by equality
 
 
 def _q(c: str) -> Column:
@@ -68,57 +70,127 @@ def nearest_known(values: DataFrame, params: DataFrame) -> DataFrame:
     return near.filter(F.col("k").isNull()).select("feature", "value", nearest.alias("known"))
 
 
+def named_rows(df: DataFrame, keys: Sequence[str] | None) -> DataFrame:
+    """``df``, settled, with ``_row``, a number that tells rows apart, and ``_name``, which draws follow: the ``keys`` as
+    text (rows with equal keys have equal draws), or the number without keys."""
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    if keys:
+        name = F.concat_ws(":", *[F.coalesce(_q(c).cast("string"), F.lit("")) for c in keys])
+    else:
+        name = F.col("_row").cast("string")
+    return settled(rows.withColumn("_name", name))
+
+
+def uniform(name: Column, seed: int) -> Column:
+    """Draw from [0, 1) that any SQL engine can repeat: the first 52 bits of ``md5(seed || ':' || name)``."""
+    return hash_number(portable_hash(name, seed)).cast("double") / F.lit(float(1 << 52))
+
+
+def _back(rows: DataFrame, long: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``rows`` with ``columns`` from the long form (_row, feature, value); what is not there is null."""
+    wide = long.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(c) for c in columns])
+    return rows.drop(*columns, "_name").join(wide, "_row", "left").select(*[_q(c) for c in names])
+
+
 def stochastic_transform(
-    df: DataFrame, params: DataFrame, columns: Sequence[str], seed: int = 0, decimals: int = DECIMALS, unseen: bool = True
+    df: DataFrame,
+    params: DataFrame,
+    columns: Sequence[str],
+    seed: int = 0,
+    decimals: int = DECIMALS,
+    unseen: bool = True,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Each value becomes a uniform draw inside the interval of its rounded value; null stays null.
 
-    Unseen values use the nearest fitted value; they are resolved once per distinct value.
+    The draw of a value follows the seed, the column and the row's ``keys`` (the row's place if not given).
+    Unseen values use the nearest fitted value; they are resolved once per distinct value.  All columns meet their
+    intervals in one join over the long form, in which values of many rows are broadcast and the rest is shuffled.
     """
+    rows = named_rows(df, keys)
+    long = unpivot(rows, columns, ["_row", "_name"]).withColumn("value", F.bround("value", decimals))
+    counts = settled(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n")))
     params = settled(params.select("feature", "value", "lo", "hi"))
-    lookup = params
+    lookup = counts.join(params, ["feature", "value"])
     if unseen:
-        rounded = unpivot(df, columns).select("feature", F.bround("value", decimals).alias("value"))
-        extra = nearest_known(rounded, params)
-        resolved = extra.join(lookup.withColumnRenamed("value", "known"), ["feature", "known"]).select("feature", "value", "lo", "hi")
-        lookup = settled(lookup.unionByName(resolved))
-    out = df
-    for i, c in enumerate(columns):
-        own = lookup.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-        joined = out.withColumn("_k", F.bround(_q(c).cast("double"), decimals)).join(own, F.col("_k") == F.col("_v"), "left")
-        draw = F.col("_lo") + F.rand(seed + i) * (F.col("_hi") - F.col("_lo"))
-        out = joined.withColumn(c, draw).drop("_k", "_v", "_lo", "_hi")
-    return out
-
-
-def stochastic_inverse(
-    df: DataFrame, params: DataFrame, columns: Sequence[str], slots: int = SLOTS, by: Sequence[str] = ()
-) -> DataFrame:
-    """Value of the first interval whose upper end is at least u; above the last end the result is null.
+        known = nearest_known(counts, params)
+        near = known.join(params.withColumnRenamed("value", "known"), ["feature", "known"]).select("feature", "value", "lo", "hi")
+        lookup = lookup.unionByName(counts.join(near, ["feature", "value"]))
+    met = spread_join(long, settled(lookup), ["feature", "value"], "_n", "_row")
+    draw = uniform(F.concat_ws(":", "feature", "_name"), seed)
+    drawn = met.select("_row", "feature", (F.col("lo") + draw * (F.col("hi") - F.col("lo"))).alias("value"))
+    return _back(rows, drawn, columns, df.columns)
+
 
-    Intervals are listed under the slots of [0, 1] they touch (at most intervals + slots rows per feature,
-    since they are disjoint), and u is looked up by its slot: an equi-join with the interval test as residual.
+def next_interval(draws: DataFrame, params: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(_row, feature, value): for each draw (group, _row, u) the value of the first interval whose upper end is at least u.
+
+    Intervals and draws are dealt together by ranges of (group, place), the highest place first, and each range is
+    read in one pass that carries the last interval along.  What is carried over the border of two ranges is
+    found from one row of each range, which pass the driver.  Draws above the last end, or NaN, have no value.
     """
-    if len(columns) > 1:
-        params = settled(params.select(*by, "feature", "value", "lo", "hi"))
-    first = params.groupBy(*by, "feature").agg(F.min("value").alias("_min"))
-    listed = (
-        params.join(first, [*by, "feature"])
-        .withColumn("_lo", F.when(F.col("value") == F.col("_min"), F.lit(float("-inf"))).otherwise(F.col("lo")))
-        .withColumn("_slot", F.explode(F.sequence(F.floor(F.col("lo") * slots), F.floor(F.col("hi") * slots))))
+    name = F.to_json(F.struct(*group)).alias("_g")
+    place = F.col("u").cast("double").alias("_p")
+    asked = draws.select(name, place, F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("value"), "_row", "feature")
+    nobody = F.lit(None).cast("bigint")
+    given = params.select(name, F.col("hi").alias("_p"), F.lit(0).alias("_kind"), "value", nobody.alias("_row"), "feature")
+    order = [F.col("_g"), F.col("_p").desc(), F.col("_kind"), F.col("_row")]
+    dealt = given.unionByName(asked).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = settled(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    ends = dealt.groupBy("_part").agg(
+        F.min_by("_g", "_at").alias("first"),
+        F.max_by("_g", "_at").alias("last"),
+        F.max_by(F.struct("_g", "value"), F.when(F.col("_kind") == 0, F.col("_at"))).alias("interval"),
     )
-    out = df
-    for c in columns:
-        own = listed.filter(F.col("feature") == c).select(
-            *[F.col(b).alias(f"_by_{b}") for b in by], "_slot", "_lo", F.col("hi").alias("_hi"), F.col("value").alias("_val")
-        )
-        u = out.withColumn("_u", _q(c).cast("double")).withColumn("_uslot", F.greatest(F.floor(F.col("_u") * slots), F.lit(0)))
-        match = (F.col("_uslot") == F.col("_slot")) & (F.col("_u") > F.col("_lo")) & (F.col("_u") <= F.col("_hi"))
-        for b in by:
-            match = match & (F.col(b) == F.col(f"_by_{b}"))
-        joined = u.join(own, match, "left").withColumn(c, F.col("_val"))
-        out = joined.drop("_u", "_uslot", "_slot", "_lo", "_hi", "_val", *[f"_by_{b}" for b in by])
-    return out
+    carried: dict[int, float | None] = {}
+    before, end = None, None
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):  # one row for each range
+        came = end if before is not None and before == r["first"] else None
+        carried[r["_part"]] = came
+        if r["interval"] is not None and r["interval"]["_g"] == r["last"]:
+            end = r["interval"]["value"]
+        elif r["first"] != r["last"]:
+            end = None
+        else:
+            end = came
+        before = r["last"]
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            g, kind, value = (batch[c].to_numpy() for c in ("_g", "_kind", "value"))
+            if group is None:
+                group, last = g[0], carried.get(batch["_part"].iloc[0])
+            at = np.arange(len(batch))
+            change = np.concatenate([[g[0] != group], g[1:] != g[:-1]])
+            start = np.maximum.accumulate(np.where(change, at, 0))
+            seen = np.maximum.accumulate(np.where(kind == 0, at, -1))
+            own = seen >= start
+            out = np.where(own, value[np.maximum(seen, 0)], np.nan)
+            here = own.copy()
+            if last is not None:
+                head = ~own & ~np.logical_or.accumulate(change)
+                out[head], here[head] = last, True
+            group, last = g[-1], (out[-1] if here[-1] else None)
+            asked = kind == 1
+            found = pd.Series(out[asked]).astype(object).where(here[asked], None)
+            yield pd.DataFrame({"_row": batch["_row"].to_numpy()[asked].astype(np.int64), "feature": batch["feature"].to_numpy()[asked], "value": found})
+
+    return dealt.mapInPandas(fill, "_row bigint, feature string, value double")
+
+
+def stochastic_inverse(df: DataFrame, params: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Value of the first interval whose upper end is at least u; above the last end the result is null.
+
+    All columns are looked up in one sorted pass.
+    """
+    rows = named_rows(df, None)
+    group = [*by, "feature"]
+    long = unpivot(rows, columns, ["_row", *by]).withColumnRenamed("value", "u")
+    found = next_interval(long, params.select(*group, "value", "hi"), group)
+    return _back(rows, found, columns, df.columns)
 
 
 # ---- scaling ------------------------------------------------------------------------------------
@@ -286,7 +358,7 @@ class Encoder:
     def transform(self, df: DataFrame, keys: Sequence[str] = (), seed: int = 0, name: str = "encoded") -> DataFrame:
         """(keys, encoded): one vector per row, features before masks."""
         if self.params is not None:
-            df = stochastic_transform(df, self.params, self.numbers, seed)
+            df = stochastic_transform(df, self.params, self.numbers, seed, keys=keys)
         return df.select(*keys, F.concat(*[self._block(b) for b in self.blocks]).alias(name))
 
     def inverse(self, df: DataFrame, keys: Sequence[str] = (), name: str = "encoded", blocks: Sequence[Block] | None = None) -> DataFrame:
@@ -310,7 +382,7 @@ class Encoder:
                 out += [F.element_at(part, i + 1).alias(m) for i, m in enumerate(b.levels)]
         wide = df.select(*keys, *out)
         if self.params is not None:
-            wide = stochastic_inverse(wide, self.params, [c for c in self.numbers if c in wide.columns]).select(*wide.columns)
+            wide = stochastic_inverse(wide, self.params, [c for c in self.numbers if c in wide.columns])
         return wide
 
     def layout(self, spark: SparkSession, types: Mapping[str, str] | None = None) -> DataFrame:

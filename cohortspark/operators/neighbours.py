@@ -1,23 +1,28 @@
 """Exact nearest-neighbour joins and kernel means over vector columns.
 
-Neither a cross join nor a per-row pair is produced.  Equal vectors are collapsed first.  Reference vectors
-are put in the cell of their nearest pivot and cells are cut into blocks of bounded size; a query goes only to
-the cells that can hold one of its k nearest neighbours (triangle-inequality and bisector bounds); blocks meet
-queries in an equi-join on (cell, block), and each meeting returns at most k candidates per query.  The result
-is exact for every metric below.
+Neither a cross join nor a per-row pair is produced.  Equal vectors are collapsed first.  Reference vectors are put
+in the cells of a two-level pivot tree, about as many cells as the square root of the references, and cells are cut
+into blocks of bounded size.  A query first meets the cell of its nearest pivot, which gives it a bound; then it
+goes to the cells that can hold something as near (triangle-inequality and bisector bounds on both levels of the
+tree).  Blocks meet queries in an equi-join, and each meeting returns at most k candidates per query.  Distances in a
+meeting are a matrix product; whatever is within its rounding error of the k nearest is computed again coordinate
+by coordinate, so the result is exact for every metric below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.session import settled
+
 BLOCK_CELLS = 1 << 16  # numbers per packed block: half a megabyte
+PIVOT_NUMBERS = 1 << 22  # numbers of all pivots, which every task holds: 32 megabytes
 SLACK = 1e-9
 
 
@@ -26,15 +31,47 @@ def vector_of(columns: Sequence[str], fill: float = -1.0) -> Column:
     return F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill)) for c in columns])
 
 
+def _gap(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """What a coordinate adds; equal values, infinite ones too, add nothing."""
+    if metric != "euclidean":
+        return a != b
+    with np.errstate(invalid="ignore", over="ignore"):
+        gap = a - b
+        return np.where(a == b, 0.0, gap * gap)
+
+
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Squared Euclidean distances, or the share of differing coordinates; summed in coordinate order."""
     out = np.zeros((len(a), len(b)))
     for d in range(a.shape[1]):
-        gap = a[:, d, None] - b[None, :, d] if metric == "euclidean" else (a[:, d, None] != b[None, :, d])
-        out += gap * gap if metric == "euclidean" else gap
+        out += _gap(a[:, d, None], b[None, :, d], metric)
     return out if metric == "euclidean" else out / a.shape[1]
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance as in ``_distances``) of the k nearest of each row of a; of ties the first."""
+    n, dim = a.shape
+    k = min(k, len(b))
+    if metric == "euclidean" and np.isfinite(a).all() and np.isfinite(b).all():
+        with np.errstate(over="ignore", invalid="ignore"):
+            a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            about = a2[:, None] + b2[None, :] - 2.0 * (a @ b.T)
+            error = 4.0 * (dim + 4) * np.finfo(float).eps * (a2 + b2.max())
+            last = np.partition(about, k - 1, axis=1)[:, k - 1]
+            near = ~(about > (last + 2.0 * error)[:, None])  # overflown ones stay
+        i, j = np.nonzero(near)
+        exact = np.zeros(len(i))
+        for d in range(dim):
+            exact += _gap(a[i, d], b[j, d], metric)
+    else:
+        i, j = np.divmod(np.arange(n * len(b)), len(b))
+        exact = _distances(a, b, metric).ravel()
+    order = np.lexsort((j, exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i]
+    return i[place < k], j[place < k], exact[place < k]
+
+
 def _metric(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     d = _distances(a, b, metric)
     return np.sqrt(d) if metric == "euclidean" else d
@@ -52,8 +89,87 @@ def _unpack(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.float64).reshape(-1, dim)
 
 
-def _empty(queries: DataFrame, query_id: str, ref_id: str) -> DataFrame:
-    return queries.sparkSession.createDataFrame([], f"`{query_id}` bigint, `{ref_id}` bigint, distance double, rank int")
+class PivotTree:
+    """Pivots on two levels: every leaf pivot belongs to the nearest of about the square root as many top pivots."""
+
+    def __init__(self, points: np.ndarray, metric: str):
+        """:param points: distinct vectors in an order that has nothing to do with their values."""
+        self.metric = metric
+        self.tops = points[: max(1, isqrt(len(points)))]
+        top = _metric(points, self.tops, metric).argmin(axis=1)
+        order = np.argsort(top, kind="stable")
+        self.leaves, self.top = points[order], top[order]
+        self.starts = np.searchsorted(self.top, np.arange(len(self.tops) + 1))
+        self.far = self.reach = None
+
+    def under(self, top: int) -> slice:
+        return slice(self.starts[top], self.starts[top + 1])
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, distance to it, distance to its top) of vectors: the nearest leaf of the nearest top pivot."""
+        near = _metric(v, self.tops, self.metric)
+        top = near.argmin(axis=1)
+        leaf, radius = np.zeros(len(v), np.int64), np.zeros(len(v))
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            d = _metric(v[rows], self.leaves[self.under(t)], self.metric)
+            leaf[rows] = self.starts[t] + d.argmin(axis=1)
+            radius[rows] = d.min(axis=1)
+        return leaf, radius, near[np.arange(len(v)), top]
+
+    def measure(self, cells: Sequence) -> None:
+        """Take the largest distances (cell, far, top_far) of the references from their leaf and top pivots."""
+        self.far, self.reach = np.full(len(self.leaves), -1.0), np.full(len(self.tops), -1.0)
+        for c in cells:
+            self.far[c["cell"]] = c["far"]
+            self.reach[self.top[c["cell"]]] = max(self.reach[self.top[c["cell"]]], c["top_far"])
+
+    def home(self, v: np.ndarray) -> np.ndarray:
+        """A cell with references near each vector."""
+        near = np.where(self.reach >= 0, _metric(v, self.tops, self.metric), np.inf)
+        top = np.where(np.isfinite(near.min(axis=1)), near.argmin(axis=1), np.flatnonzero(self.reach >= 0)[0])
+        cell = np.zeros(len(v), np.int64)
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            used = np.flatnonzero(self.far[self.under(t)] >= 0) + self.starts[t]
+            cell[rows] = used[_metric(v[rows], self.leaves[used], self.metric).argmin(axis=1)]
+        return cell
+
+    def visits(self, v: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(cell, rows of v that can have a reference there within their bound), for all cells."""
+        bound = bound * (1 + SLACK) + SLACK
+        near = _metric(v, self.tops, self.metric)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for t in np.flatnonzero(self.reach >= 0):
+                rows = np.flatnonzero(~(near[:, t] - self.reach[t] > bound))
+                if not len(rows):
+                    continue
+                cells = np.arange(self.starts[t], self.starts[t + 1])
+                d = _metric(v[rows], self.leaves[cells], self.metric)
+                far = self.far[cells][None, :]
+                low = d - far
+                if self.metric == "euclidean":  # references here are no nearer to another leaf of this top
+                    best = d.argmin(axis=1)
+                    own = d[np.arange(len(rows)), best]
+                    between = _metric(self.leaves[cells], self.leaves[cells], self.metric)[best]
+                    low = np.fmax(low, np.where(between > 0, (d * d - (own * own)[:, None]) / (2 * between), 0.0))
+                low = np.where(np.isfinite(d) & np.isfinite(far) & np.isfinite(d.min(axis=1))[:, None], low, -np.inf)
+                open_cells = (self.far[cells] >= 0)[None, :] & ~(low > bound[rows][:, None])
+                for c in np.flatnonzero(open_cells.any(axis=0)):
+                    yield int(cells[c]), rows[open_cells[:, c]]
+
+
+def _pivot_tree(kept: DataFrame, metric: str, pivots: int | None) -> PivotTree | None:
+    """Tree over a hash-ordered sample of about the square root of the references; None if there are none."""
+    found = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    if not found["n"]:
+        return None
+    wanted = pivots or max(1, isqrt(found["n"]))
+    wanted = max(1, min(wanted, PIVOT_NUMBERS // max(found["d"], 1)))
+    seeds = kept.orderBy(F.xxhash64("v"), "v").limit(wanted).collect()
+    points = np.array([s["v"] for s in seeds], dtype=np.float64).reshape(len(seeds), found["d"])
+    _, first = np.unique(points, axis=0, return_index=True)
+    return PivotTree(points[np.sort(first)], metric)
 
 
 def knn_join(
@@ -64,53 +180,41 @@ def knn_join(
     vector: str = "vector",
     k: int = 1,
     metric: str = "euclidean",
-    pivots: int = 32,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(query_id, ref_id, distance, rank): the k nearest references of each query, lowest id first on ties.
 
-    Ids are integers, unique in their table; vectors hold no nulls.
+    Ids are numbers or text, unique in their table; vectors hold no nulls.  ``pivots`` are about the square root of
+    the references unless given.  Equal infinite coordinates are no distance apart.  No references give no rows.
     """
+    spark = queries.sparkSession
+    q_type, r_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (refs, ref_id)))
     same = Window.partitionBy("v").orderBy("r")
     kept = (
-        refs.select(F.col(ref_id).cast("bigint").alias("r"), F.col(vector).cast("array<double>").alias("v"))
+        refs.select(F.col(ref_id).alias("r"), F.col(vector).cast("array<double>").alias("v"))
         .withColumn("_c", F.row_number().over(same))
         .filter(F.col("_c") <= k)
         .drop("_c")
     )
-    asked = queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(vector).cast("array<double>").alias("v"))
-    distinct = asked.groupBy("v").agg(F.min("qid").alias("q"))
-
-    # The pivots and the cell table are bounded by the number of pivots, so they may pass the driver.
-    seeds = kept.orderBy(F.xxhash64("r"), "r").limit(pivots).collect()
-    if not seeds:
-        return _empty(queries, query_id, ref_id)
-    centres = np.unique(np.array([s["v"] for s in seeds], dtype=np.float64), axis=0)
-    dim = centres.shape[1]
+    kept = settled(kept)
+    asked = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"))
+    tree = _pivot_tree(kept, metric, pivots)
+    if tree is None:
+        return spark.createDataFrame([], f"`{query_id}` {q_type}, `{ref_id}` {r_type}, distance double, rank int")
+    dim = tree.leaves.shape[1]
     block = _rows(dim)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _metric(_matrix(batch["v"], dim), centres, metric)
-                cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype(np.int32), radius=d[np.arange(len(d)), cell])
-
-    placed = kept.mapInPandas(assign, "r bigint, v array<double>, cell int, radius double")
-    inner = Window.partitionBy("cell").orderBy("radius")
-    nearest = placed.select("cell", "radius").withColumn("_n", F.row_number().over(inner)).filter(F.col("_n") <= k)
-    reach = nearest.groupBy("cell").agg(F.max("radius").alias("near"), F.count(F.lit(1)).alias("have"))
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"))
-    cells = sizes.join(reach, "cell").collect()
-    n_cells = len(centres)
-    far, near = np.full(n_cells, -1.0), np.full(n_cells, np.inf)
-    parts = [0] * n_cells
-    for c in cells:
-        far[c["cell"]] = c["far"]
-        near[c["cell"]] = c["near"] if c["have"] >= k else np.inf
-        parts[c["cell"]] = ceil(c["n"] / block)
-    used = far >= 0
-    spread = _metric(centres, centres, metric)
-    parts_of = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1)
+                cell, radius, top_radius = tree.place(_matrix(batch["v"], dim))
+                yield batch.assign(cell=cell.astype(np.int32), radius=radius, top_radius=top_radius)
+
+    placed = settled(kept.mapInPandas(assign, f"r {r_type}, v array<double>, cell int, radius double, top_radius double"))
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"), F.max("top_radius").alias("top_far"))
+    cells = sizes.collect()  # one row for each pivot at most
+    tree.measure(cells)
+    parts = spark.createDataFrame([(c["cell"], ceil(c["n"] / block)) for c in cells], "cell int, parts int")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,77 +223,64 @@ def knn_join(
                 g = g.sort_values("r")
                 for at in range(0, len(g), block):
                     piece = g.iloc[at : at + block]
-                    rows.append((cell, part, piece["r"].to_numpy(np.int64).tobytes(), _matrix(piece["v"], dim).tobytes()))
+                    rows.append((cell, part, piece["r"].tolist(), _matrix(piece["v"], dim).tobytes()))
             if rows:
                 yield pd.DataFrame(rows, columns=["cell", "part", "rid", "rv"])
 
-    spread_refs = placed.withColumn("part", F.pmod(F.xxhash64("r"), parts_of).cast("int")).repartition("cell", "part")
-    ref_blocks = spread_refs.select("cell", "part", "r", "v").mapInPandas(pack, "cell int, part int, rid binary, rv binary")
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, v = batch["q"].to_numpy(np.int64), _matrix(batch["v"], dim)
-            d = _metric(v, centres, metric)
-            home = np.where(used, d, np.inf).argmin(axis=1)
-            best = (d + near[None, :]).min(axis=1)
-            low = np.maximum(0.0, d - far[None, :])
-            if metric == "euclidean":
-                own = d[np.arange(len(d)), home]
-                gap = spread[home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    bisector = (d * d - (own * own)[:, None]) / (2 * gap)
-                low = np.maximum(low, np.where(gap > 0, bisector, 0.0))
-            reachable = used[None, :] & (low <= best[:, None] * (1 + SLACK) + SLACK)
-            rows = []
-            for cell in np.flatnonzero(reachable.any(axis=0)):
-                pick = np.flatnonzero(reachable[:, cell])
-                for at in range(0, len(pick), block):
-                    some = pick[at : at + block]
-                    rows.append((int(cell), ids[some].tobytes(), v[some].tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["cell", "qid", "qv"])
-
-    asks = distinct.select("q", "v").mapInPandas(route, "cell int, qid binary, qv binary")
-    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
+    spread = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
+    spread = spread.select("cell", "part", "r", "v").repartition("cell", "part")
+    ref_blocks = settled(spread.mapInPandas(pack, f"cell int, part int, rid array<{r_type}>, rv binary"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for qid, qv, rid, rv in zip(batch["qid"], batch["qv"], batch["rid"], batch["rv"]):
-                ids, refs_ids = np.frombuffer(qid, np.int64), np.frombuffer(rid, np.int64)
-                d = _distances(_unpack(qv, dim), _unpack(rv, dim), metric)
-                if k == 1:
-                    top = d.argmin(axis=1)[:, None]
-                else:
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "q": np.repeat(ids, n),
-                            "r": refs_ids[top].ravel(),
-                            "d": np.take_along_axis(d, top, axis=1).ravel(),
-                        }
-                    )
-                )
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    joined = asks.join(ref_blocks, ["cell", "part"]).select("qid", "qv", "rid", "rv")
-    candidates = joined.mapInPandas(meet, "q bigint, r bigint, d double")
-    if k == 1:
-        best = candidates.groupBy("q").agg(F.min(F.struct("d", "r")).alias("m"))
-        top = best.select("q", F.col("m.r").alias("r"), F.col("m.d").alias("d"), F.lit(1).alias("rank"))
-    else:
-        w = Window.partitionBy("q").orderBy("d", "r")
-        top = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                i, j, d = _nearest(_unpack(qv, dim), _unpack(rv, dim), k, metric)
+                yield pd.DataFrame({"q": np.asarray(qid)[i], "r": np.asarray(rid)[j], "d": d})
+
+    def met(asks: DataFrame) -> DataFrame:
+        """Candidates (q, r, d) of packed queries (cell, qid, qv) from all blocks of their cells."""
+        each = asks.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        joined = each.join(ref_blocks, ["cell", "part"]).select("qid", "qv", "rid", "rv")
+        return joined.mapInPandas(meet, f"q {q_type}, r {r_type}, d double")
+
+    def routed(visits) -> DataFrame:
+        """``visits(batch, vectors)`` gives (cell, rows); the queries of a cell are packed together."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    ids, v = batch["q"].to_numpy(), _matrix(batch["v"], dim)
+                    rows = [
+                        (cell, ids[pick[at : at + block]].tolist(), v[pick[at : at + block]].tobytes())
+                        for cell, pick in visits(batch, v)
+                        for at in range(0, len(pick), block)
+                    ]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["cell", "qid", "qv"])
+
+        return run
+
+    def at_home(batch: pd.DataFrame, v: np.ndarray):
+        home = tree.home(v)
+        return ((int(c), np.flatnonzero(home == c)) for c in np.unique(home))
+
+    def elsewhere(batch: pd.DataFrame, v: np.ndarray):
+        home, bound = tree.home(v), batch["bound"].fillna(np.inf).to_numpy(np.float64)
+        visits = ((c, rows[home[rows] != c]) for c, rows in tree.visits(v, bound))
+        return ((c, rows) for c, rows in visits if len(rows))
+
+    packed = f"cell int, qid array<{q_type}>, qv binary"
+    distinct = settled(asked.groupBy("v").agg(F.min("qid").alias("q")))
+    w = Window.partitionBy("q").orderBy("d", "r")
+    top = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    first = settled(top(met(distinct.select("q", "v").mapInPandas(routed(at_home), packed))))
+    bound = F.sqrt("d") if metric == "euclidean" else F.col("d")
+    bounds = first.filter(F.col("rank") == k).select("q", bound.alias("bound"))  # fewer than k so far: no bound
+    others = met(distinct.join(bounds, "q", "left").select("q", "v", "bound").mapInPandas(routed(elsewhere), packed))
+    best = top(first.select("q", "r", "d").unionByName(others))
     distance = F.sqrt("d") if metric == "euclidean" else F.col("d")
     members = asked.join(distinct, "v").select("qid", "q")
-    return members.join(top, "q").select(
-        F.col("qid").alias(query_id), F.col("r").alias(ref_id), distance.alias("distance"), "rank"
-    )
+    return members.join(best, "q").select(F.col("qid").alias(query_id), F.col("r").alias(ref_id), distance.alias("distance"), "rank")
 
 
 # ---- kernel means -------------------------------------------------------------------------------

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log2, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.neighbours import knn_join, vector_of
 from cohortspark.operators.ordered import ranked
 from cohortspark.operators.utility import roc_auc
+from cohortspark.session import settled
 
-ROUND_STRIDE = 1 << 40  # ids of one round: round * stride + position
+NEAR = 24  # points in a list of nearest points; in about 3 of a million fewer than two of them are in a random half
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,50 +59,32 @@ def single_out_risk(original: DataFrame, synthetic: DataFrame, columns: Sequence
     return rows.groupBy(*by).agg((hits / F.nullif(F.sum("_ns"), F.lit(0))).alias("single_out_risk"))
 
 
-def inferential_risk(
-    original: DataFrame,
-    synthetic: DataFrame,
-    row_id: str,
-    vector: str = "vector",
-    mode: str = "as_written",
-    by: Column | None = None,
-    pivots: int = 32,
-) -> DataFrame:
+def inferential_risk(original: DataFrame, synthetic: DataFrame, row_id: str, vector: str = "vector", mode: str = "as_written") -> DataFrame:
     """Share of synthetic rows closer to their nearest original than that original's own reference distance.
 
     Row ids pair the two tables.  ``as_written``: the reference distance of row i is from synthetic row i to
     the nearest original other than i.  ``original``: from original row i to the nearest other original.
-    ``by`` (a function of the row id) gives one result per group.
     """
     s = synthetic.select(F.col(row_id).alias("_q"), vector)
     o = original.select(F.col(row_id).alias("_r"), vector)
-    first = knn_join(s, o, "_q", "_r", vector, 1, pivots=pivots).select("_q", F.col("_r").alias("_c"), F.col("distance").alias("_ds"))
+    first = knn_join(s, o, "_q", "_r", vector, 1).select("_q", F.col("_r").alias("_c"), F.col("distance").alias("_ds"))
     asked = s if mode == "as_written" else o.select(F.col("_r").alias("_q"), vector)
-    two = knn_join(asked, o, "_q", "_r", vector, 2, pivots=pivots).filter(F.col("_q") != F.col("_r"))
+    two = knn_join(asked, o, "_q", "_r", vector, 2).filter(F.col("_q") != F.col("_r"))
     reference = two.groupBy(F.col("_q").alias("_c")).agg(F.min("distance").alias("_do"))
     joined = first.join(reference, "_c", "left")
     hit = F.coalesce((F.col("_ds") < F.col("_do")).cast("double"), F.lit(0.0))
-    grouped = joined.groupBy() if by is None else joined.withColumn("_id", F.col("_q")).groupBy(by.alias("round"))
-    return grouped.agg(F.avg(hit).alias("inference_risk"))
+    return joined.agg(F.avg(hit).alias("inference_risk"))
 
 
 def attribution_probability(
-    original: DataFrame,
-    synthetic: DataFrame,
-    row_id: str,
-    quasi: str = "quasi",
-    sensitive: str = "sensitive",
-    by: Column | None = None,
-    pivots: int = 32,
+    original: DataFrame, synthetic: DataFrame, row_id: str, quasi: str = "quasi", sensitive: str = "sensitive"
 ) -> DataFrame:
     """Share of synthetic rows whose nearest original on the quasi-identifier vector has the same sensitive vector."""
     s = synthetic.select(F.col(row_id).alias("_q"), F.col(quasi).alias("vector"), F.col(sensitive).alias("_t"))
     o = original.select(F.col(row_id).alias("_r"), F.col(quasi).alias("vector"), F.col(sensitive).alias("_u"))
-    near = knn_join(s, o, "_q", "_r", "vector", 1, pivots=pivots).select("_q", "_r")
+    near = knn_join(s, o, "_q", "_r", "vector", 1).select("_q", "_r")
     joined = near.join(s.select("_q", "_t"), "_q").join(o.select("_r", "_u"), "_r")
-    same = F.coalesce((F.col("_t") == F.col("_u")).cast("double"), F.lit(0.0))
-    grouped = joined.groupBy() if by is None else joined.withColumn("_id", F.col("_q")).groupBy(by.alias("round"))
-    return grouped.agg(F.avg(same).alias("cap"))
+    return joined.agg(F.avg(F.coalesce((F.col("_t") == F.col("_u")).cast("double"), F.lit(0.0))).alias("cap"))
 
 
 # ---- null thresholds ----------------------------------------------------------------------------
@@ -111,32 +93,66 @@ def attribution_probability(
 def random_halves(df: DataFrame, row_id: str, rounds: int = 100, seed: int = 0) -> DataFrame:
     """(round, half, pos, ...): ``rounds`` random halves as a column; an odd row is left out.
 
-    ``pos`` numbers the rows of a half from 1, ``round_id`` is unique over (round, pos).
+    ``pos`` numbers the rows of a half from 1.
     """
     copies = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     order = ranked(copies, ["round"], row_id, F.concat(F.lit(f"half {seed} "), F.col("round").cast("string")))
     size = F.floor(F.col("rank_of") / 2)
     half = F.when(F.col("rank") <= size, "a").when(F.col("rank") <= 2 * size, "b")
     pos = F.when(F.col("rank") <= size, F.col("rank")).otherwise(F.col("rank") - size)
-    out = order.withColumns({"half": half, "pos": pos, "round_id": F.col("round") * F.lit(ROUND_STRIDE) + pos})
+    out = order.withColumns({"half": half, "pos": pos})
     return out.filter(F.col("half").isNotNull()).drop("rank", "rank_of")
 
 
-def _round_of(name: str = "_id") -> Column:
-    return F.floor(F.col(name) / F.lit(ROUND_STRIDE)).cast("int")
+def _lowest_two(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
 
 
-def round_gap(df: DataFrame, columns: Sequence[str]) -> float:
-    """A power of two above the diameter of the table, whatever its range of values: a coordinate of round times
-    this keeps rounds from being neighbours of each other, and as a power of two it changes no distance inside one.
-    """
-    sizes = [F.max(F.abs(F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.0)), F.lit(0.0)))) for c in columns]
-    largest = max((v for v in df.agg(*sizes).first() if v is not None), default=0.0)
-    return 2.0 ** ceil(log2(4.0 * sqrt(len(columns)) * max(largest, 1.0)))
+def nearest_in_halves(points: DataFrame, halves: DataFrame, near: int = NEAR) -> DataFrame:
+    """For every round and every point with a row in half b, the two nearest rows of half a.
 
+    :param points: (point, vector), the distinct vectors.
+    :param halves: (round, half, pos, point).
+    :return: (round, point, d1, c1, d2): distance and pos of the nearest row, distance of the next one, the lowest pos
+        first among rows at one distance; null where half a has no such row.
 
-def _apart(vector: str, gap: float) -> Column:
-    return F.concat(F.array(F.col("round").cast("double") * gap), F.col(vector))
+    Distances do not depend on the round, only who is in half a does.  So each point's nearest points are looked up
+    once for all rounds; in a list of ``near`` about half are in half a.  A round is settled if two of them are and
+    nothing as near can be beyond the end of the list; the points of the few that are not get longer lists, in the
+    end all there is.
+    """
+    n = points.count()
+    members = _lowest_two(halves.filter("half = 'a'").select("point", "round", "pos"), ["point", "round"], ["pos"])
+    members = settled(members.select(F.col("point").alias("_other"), "round", F.col("pos").alias("_pos")))
+    open_ = settled(halves.filter("half = 'b'").select("point", "round").distinct())
+    refs, out = points.select(F.col("point").alias("_other"), "vector"), None
+    while True:
+        asked = open_.select("point").distinct().join(points, "point")
+        lists = settled(knn_join(asked, refs, "point", "_other", "vector", near))
+        ends = lists.groupBy("point").agg(F.max("distance").alias("_end"))
+        met = lists.select("point", "_other", "distance").join(members, "_other").join(open_, ["point", "round"], "left_semi")
+        best = _lowest_two(met, ["point", "round"], ["distance", "_pos"])
+        at = lambda k, c: F.max(F.when(F.col("_rn") == k, F.col(c)))
+        best = best.groupBy("point", "round").agg(at(1, "distance").alias("d1"), at(1, "_pos").alias("c1"), at(2, "distance").alias("d2"))
+        found = open_.join(best, ["point", "round"], "left").join(ends, "point")
+        sure = F.lit(True) if near >= n else F.coalesce(F.col("d2") < F.col("_end"), F.lit(False))
+        found = settled(found.withColumn("_sure", sure).drop("_end"))
+        done = found.filter("_sure").drop("_sure")
+        out = done if out is None else out.unionByName(done)
+        if near >= n:
+            return out
+        open_ = settled(found.filter("not _sure").select("point", "round"))
+        if open_.isEmpty():
+            return out
+        near *= 8
+
+
+def _points(df: DataFrame, row_id: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors (point, vector), named by the lowest row id, and the rows of ``df`` with their point."""
+    points = settled(df.groupBy(F.col(vector).alias("vector")).agg(F.min(row_id).alias("point")))
+    rows = df.withColumnRenamed(vector, "vector").join(points, "vector").drop("vector")
+    return points, settled(rows)
 
 
 def _thresholds(risks: DataFrame, value: str, quantiles: Sequence[float], name: str) -> DataFrame:
@@ -152,20 +168,18 @@ def twice(risk: Column) -> Column:
 
 
 def risk_rounds(df: DataFrame, row_id: str, columns: Sequence[str], rounds: int = 100, seed: int = 0) -> DataFrame:
-    """(round, single_out_risk, inference_risk) of random halves of the original table.
-
-    All rounds run in the same grouping and the same neighbour join; an extra coordinate of the round number
-    keeps the rounds from being neighbours of each other.
-    """
-    filled = df.select(row_id, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.0)).alias(c) for c in columns])
-    halves = random_halves(filled, row_id, rounds, seed)
-    a, b = halves.filter(F.col("half") == "a"), halves.filter(F.col("half") == "b")
-    single = single_out_risk(a, b, list(columns), ["round"])
-    gap = round_gap(filled, columns)
-    va = a.withColumn("v", vector_of(columns)).withColumn("vector", _apart("v", gap))
-    vb = b.withColumn("v", vector_of(columns)).withColumn("vector", _apart("v", gap))
-    inference = inferential_risk(va, vb, "round_id", by=_round_of(), pivots=max(32, 2 * rounds))
-    return single.join(inference, "round").withColumn("single_out_risk", twice(F.col("single_out_risk")))
+    """(round, single_out_risk, inference_risk) of random halves of the original table; missing values count as -1."""
+    whole = F.array(*[F.nanvl(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(-1.0)), F.lit(-1.0)) for c in columns])
+    points, rows = _points(df.select(row_id, whole.alias("_v")), row_id, "_v")
+    halves = settled(random_halves(rows, row_id, rounds, seed).select("round", "half", "pos", "point"))
+    near = settled(nearest_in_halves(points, halves))
+    own = halves.filter("half = 'b'").join(near, ["round", "point"])
+    own = own.withColumn("_do", F.when(F.col("c1") == F.col("pos"), F.col("d2")).otherwise(F.col("d1")))
+    other = own.select("round", F.col("pos").alias("c1"), F.col("_do").alias("_reference"))
+    inference = own.join(other, ["round", "c1"], "left").groupBy("round")
+    hit = F.coalesce((F.col("d1") < F.col("_reference")).cast("double"), F.lit(0.0))
+    same = F.coalesce((F.col("d1") == 0).cast("double"), F.lit(0.0))  # equal vectors are one point
+    return inference.agg(twice(F.avg(same)).alias("single_out_risk"), F.avg(hit).alias("inference_risk"))
 
 
 def risk_thresholds(
@@ -181,11 +195,14 @@ def attribution_rounds(
     df: DataFrame, row_id: str, quasi: Sequence[str], sensitive: Sequence[str], rounds: int = 100, seed: int = 0
 ) -> DataFrame:
     """(round, cap) of random halves, each adjusted to two halves."""
-    halves = random_halves(df.select(row_id, vector_of(quasi).alias("k"), vector_of(sensitive).alias("sensitive")), row_id, rounds, seed)
-    halves = halves.withColumn("quasi", _apart("k", round_gap(df, quasi)))
-    a, b = halves.filter(F.col("half") == "a"), halves.filter(F.col("half") == "b")
-    caps = attribution_probability(a, b, "round_id", by=_round_of(), pivots=max(32, 2 * rounds))
-    return caps.withColumn("cap", twice(F.col("cap")))
+    rows = df.select(row_id, vector_of(quasi).alias("_k"), vector_of(sensitive).alias("_s"))
+    points, rows = _points(rows, row_id, "_k")
+    halves = settled(random_halves(rows, row_id, rounds, seed).select("round", "half", "pos", "point", "_s"))
+    near = nearest_in_halves(points, halves).select("round", "point", "c1")
+    own = halves.filter("half = 'b'").join(near, ["round", "point"])
+    other = halves.filter("half = 'a'").select("round", F.col("pos").alias("c1"), F.col("_s").alias("_u"))
+    same = F.coalesce((F.col("_s") == F.col("_u")).cast("double"), F.lit(0.0))
+    return own.join(other, ["round", "c1"], "left").groupBy("round").agg(twice(F.avg(same)).alias("cap"))
 
 
 def attribution_thresholds(
@@ -210,10 +227,10 @@ def membership_attack(
     """Accuracy of "a real row was trained on if some synthetic row differs in at most this share of coordinates"."""
     real = train.select(row_id, vector, F.lit(1).alias("_y")).unionByName(holdout.select(row_id, vector, F.lit(0).alias("_y")))
     # ids may repeat between the two tables, so the label is part of the id
-    real = real.withColumn("_q", F.col(row_id).cast("bigint") * 2 + F.col("_y"))
+    real = real.withColumn("_q", F.concat(F.col("_y").cast("string"), F.col(row_id).cast("string")))
     near = knn_join(real.select("_q", vector), synthetic.select(F.col(row_id).alias("_r"), vector), "_q", "_r", vector, 1, "hamming")
     said = (F.col("distance") <= threshold).cast("int")
-    return near.agg(F.avg((said == F.pmod(F.col("_q"), F.lit(2))).cast("double")).alias("accuracy"))
+    return near.agg(F.avg((said == F.substring("_q", 1, 1).cast("int")).cast("double")).alias("accuracy"))
 
 
 def reidentification_attack(

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.flags import levels_of, pick_level
-from cohortspark.operators.encode import stochastic_fit, stochastic_inverse
+from cohortspark.operators.encode import named_rows, stochastic_fit, stochastic_inverse, uniform
 from cohortspark.operators.ordered import hash_number, portable_hash, ranked
+from cohortspark.session import settled
 
 DRAWS_PER_TASK = 1 << 16
 
@@ -168,25 +169,29 @@ def generate_rows(
     categorical: Sequence[str] = (),
     times: int = 1,
     seed: int = 0,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Synthetic rows drawn feature by feature inside each condition.
 
     Keeps the per-condition distribution and missing rate of every feature, not the dependence between
-    features.  ``conditions`` holds one row per wanted row (or per ``times`` rows) with the ``by`` columns.
+    features.  ``conditions`` holds one row per wanted row (or per ``times`` rows) with the ``by`` columns.  Draws
+    follow the seed, the feature and the row's ``keys`` (the row's place if not given).
     """
     levels = {c: levels_of(real, c) for c in categorical}
     coded = real.withColumns(
         {c: F.array_position(F.array(*[F.lit(v) for v in levels[c]]), F.col(c)).cast("double") for c in categorical}
     ).withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in categorical})
     columns = [*numeric, *categorical]
-    params = stochastic_fit(coded, columns, by=by)
+    params = settled(stochastic_fit(coded, columns, by=by))
     rates = coded.groupBy(*by).agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"_m_{c}") for c in columns])
     wanted = repeat_rows(conditions, times) if times > 1 else conditions
-    draws = wanted.join(rates, list(by))
+    own = [*keys, "copy"] if keys and times > 1 else keys
+    draws = named_rows(wanted, own).join(rates, list(by))
+    name = lambda what, c: F.concat_ws(":", F.lit(what), F.lit(c), "_name")
     draws = draws.withColumns(
-        {c: F.when(F.rand(seed + 2 * i) >= F.col(f"_m_{c}"), F.rand(seed + 2 * i + 1)) for i, c in enumerate(columns)}
-    )
-    out = stochastic_inverse(draws, params, columns, by=by).drop(*[f"_m_{c}" for c in columns])
+        {c: F.when(uniform(name("missing", c), seed) >= F.col(f"_m_{c}"), uniform(name("value", c), seed)) for c in columns}
+    ).drop("_row", "_name", *[f"_m_{c}" for c in columns])
+    out = stochastic_inverse(draws, params, columns, by=by)
     return out.withColumns(
         {c: pick_level(levels[c], F.col(c)) for c in categorical}
     )
