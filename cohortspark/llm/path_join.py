@@ -245,7 +245,9 @@ def pivot_likeness(large: DataFrame, sketches: DataFrame) -> DataFrame:
 
     Points like the pivot are linked to it, and those that are very like it leave the bucket: by the triangle
     inequality of the Jaccard distance, what is similar to them is linked to the pivot too.  So a large group of
-    near copies is a few stars after one level, and only points unlike the pivot are split further.  The pivot of
+    near copies is a few stars after one level.  Points that are less like it are linked all the same, and so are in one
+    candidate group; they only go on to meet those that are not linked: at once if these are few, else in the
+    buckets below.  The pivot of
     a bucket is the key with the smallest hash, by one of PIVOTS hashes that the path chooses, so the buckets of one
     group mostly have one of a few, and a pair is compared once for all buckets of a level.  A point that leaves by a
     chance of the sketches at one pivot is met again at another.  A pivot's rows are spread over SALTS keys.
@@ -281,12 +283,20 @@ def _run_links(
             break
         likeness = settled(pivot_likeness(large, sketches))
         links.append(likeness.filter("near").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        # What is split at later levels is split here too, so the tokens needed only become fewer.
-        on = likeness.filter("stays").select("key", "pivot")
+        # Points linked to the pivot are in one candidate group.  What stays has to meet the points that are not linked.
+        judged = large.join(likeness, ["key", "pivot"]).withColumn("apart", ~F.col("near") & (F.col("key") != F.col("pivot")))
+        counts = judged.groupBy("path").agg(F.sum(F.col("apart").cast("int")).alias("u"), F.sum(F.col("stays").cast("int")).alias("s"))
+        open_ = settled(judged.filter("stays").join(counts.filter("u > 0"), "path").select("path", "key", "apart", "u", "s"))
+        few = open_.filter(F.col("u") <= bucket).withColumn("parts", F.ceil(F.col("s") / bucket).cast("int"))
+        part = F.when(F.col("apart"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+        small.append(few.select("path", "key", F.explode(part).alias("part")).select(F.xxhash64("path", "part").alias("path"), "key"))
+        on = open_.filter(F.col("u") > bucket).select("path", "key")
+        # What is split at later levels is split here too, so the tokens and sketches needed only become fewer.
         split_keys = stored(on.select("key").distinct())
         deeper.append(split_keys)
         tokens = settled(tokens.join(split_keys, "key", "left_semi"))
-        split = large.join(on, ["key", "pivot"]).select("path", "key").join(tokens, "key").select("path", "key", "tokens")
+        sketches = settled(sketches.join(split_keys, "key", "left_semi"))
+        split = on.join(tokens, "key").select("path", "key", "tokens")
         paths = settled(split.mapInPandas(_descend(similarity), "path long, key binary"))
     return small, links, deeper
 
@@ -295,11 +305,12 @@ def candidate_links(points: DataFrame, similarity: float, recall: float, bucket:
     """Loose links (a, b) between points (key, tokens, sketch), from the buckets of all runs.
 
     The first runs are enough for pairs that are compared at level FIRST.  A pair that is compared deeper is in a
-    bucket split there, so both its points are among those split there; they go through more runs, up to what
-    the level after the last split needs.  Runs are added until no point is split deeper than its runs allow for.
+    bucket split there, so both its points are among those split there; they go through as many runs as the deepest
+    level needs.
     """
     sketches, first = points.select("key", "sketch"), min(FIRST, depth)
-    todo = points.select("key", "tokens", F.lit(0).alias("done"), F.lit(runs_for(recall, first)).alias("runs"))
+    base, most = runs_for(recall, first), runs_for(recall, depth)
+    todo = points.select("key", "tokens", F.lit(0).alias("done"), F.lit(base).alias("runs"))
     members, out = None, None
     while True:
         small, links, deeper = _run_links(todo, sketches, similarity, bucket, depth)
@@ -307,17 +318,11 @@ def candidate_links(points: DataFrame, similarity: float, recall: float, bucket:
             members = more if members is None else members.unionByName(more)
         for more in links:
             out = more if out is None else out.unionByName(more)
-        need = None
-        for level, keys in enumerate(deeper, first):
-            own = keys.select("key", F.lit(runs_for(recall, level + 1)).alias("need"))
-            need = own if need is None else need.unionByName(own)
-        if need is None:
-            break
-        need = need.groupBy("key").agg(F.max("need").alias("need"))
-        more = todo.join(need, "key").filter("need > runs")
-        todo = settled(more.select("key", "tokens", F.col("runs").alias("done"), F.col("need").alias("runs")))
-        if todo.isEmpty():
+        if base == most or not deeper or deeper[0].isEmpty():
             break
+        more = points.select("key", "tokens").join(deeper[0], "key", "left_semi")
+        todo = settled(more.withColumns({"done": F.lit(base), "runs": F.lit(most)}))
+        base = most
     full = members.join(sketches, "key").select("path", "key", "sketch")
     found = full.repartition("path").sortWithinPartitions("path").mapInPandas(_bucket_links, "a binary, b binary")
     return (found if out is None else found.unionByName(out)).distinct()
@@ -434,7 +439,8 @@ def near_duplicates(
     )
     texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("_text_hash", F.xxhash64("text"))
-    found = texts.join(stored(chosen), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    chosen = stored(chosen).hint("merge")  # the same plan at every size
+    found = texts.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     found = first_of_each(found, ["key"])  # a row that is there twice is found twice
     placed = found.withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn(
         "own", _set_function(False)("text")["own"]
