@@ -15,7 +15,7 @@ from cohortspark.functions.flags import apply_masks, block_argmax, levels_of, pi
 from cohortspark.operators.filters import unpivot
 from cohortspark.operators.impute import nearest_observed, overall_mode
 from cohortspark.operators.joins import spread_join
-from cohortspark.operators.ordered import hash_number, portable_hash, running_sum, value_ranges
+from cohortspark.operators.ordered import hash_number, portable_hash, running_sum
 from cohortspark.session import settled
 
 DECIMALS = 2
@@ -62,8 +62,7 @@ def nearest_known(values: DataFrame, params: DataFrame) -> DataFrame:
     known = params.select("feature", "value", F.col("value").alias("k"))
     fresh = values.select("feature", "value").distinct().join(params, ["feature", "value"], "left_anti")
     both = known.unionByName(fresh, allowMissingColumns=True)
-    ranged = value_ranges(both, ["feature"], "value")
-    near = nearest_observed(ranged, ["feature"], ["value"], ["k"], "_range")
+    near = nearest_observed(both, ["feature"], ["value"], ["k"])
     left, right, v = F.col("_p0")["x"], F.col("_n0")["x"], F.col("value")
     nearest = F.when(left.isNull(), right).when(right.isNull(), left)
     nearest = nearest.when(F.abs(v - right) < F.abs(v - left), right).otherwise(left)

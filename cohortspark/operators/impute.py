@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.filters import unpivot
-from cohortspark.operators.ordered import exact_quantiles, running_sum
+from cohortspark.operators.ordered import exact_quantiles, in_ranges, running_sum
+from cohortspark.session import settled
 
 _UP = (Window.unboundedPreceding, 0)
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -23,7 +24,16 @@ _BEFORE = (Window.unboundedPreceding, -1)
 
 def nearest_observed(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], chunk: str | None = None) -> DataFrame:
     """Add ``_pos`` and, per column i, ``_p{i}`` / ``_n{i}``: (pos, x) of the last value at or before the row and
-    of the first value at or after it."""
+    of the first value at or after it.
+
+    Rows are scanned inside (by, chunk), one summary row of each chunk inside ``by``.  ``chunk`` is monotone in the
+    order; without it, chunks are ranges of rows, so that a subject with any share of the rows is split.
+    """
+    if chunk is None:
+        ranged, parts = in_ranges(df, by, order)
+        if parts > 1:
+            return nearest_observed(ranged, by, order, columns, "_range").drop("_range")
+        df = ranged.drop("_range")
     group = [*by, chunk] if chunk else list(by)
     w = Window.partitionBy(*group).orderBy(*[F.col(o) for o in order])
     back = Window.partitionBy(*group).orderBy(*[F.col(o).desc() for o in order])
@@ -49,12 +59,15 @@ def nearest_observed(df: DataFrame, by: Sequence[str], order: Sequence[str], col
 
     carry = sums.withColumns({f"_sl{i}": shifted(f"_l{i}") for i in seen} | {f"_sf{i}": shifted(f"_f{i}") for i in seen})
     carry = carry.select(
-        *group,
+        *[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(group)],
         "_off",
         *[F.last(f"_sl{i}", True).over(cw.rowsBetween(*_BEFORE)).alias(f"_cp{i}") for i in seen],
         *[F.last(f"_sf{i}", True).over(cback.rowsBetween(*_BEFORE)).alias(f"_cn{i}") for i in seen],
     )
-    out = local.join(carry, group)
+    same = F.lit(True)
+    for i, c in enumerate(group):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}"))
+    out = local.join(carry, same).drop(*[f"_by{i}" for i in range(len(group))])
     out = out.withColumns(
         {f"_p{i}": F.coalesce(shifted(f"_p{i}"), F.col(f"_cp{i}")) for i in seen}
         | {f"_n{i}": F.coalesce(shifted(f"_n{i}"), F.col(f"_cn{i}")) for i in seen}
@@ -124,8 +137,14 @@ def impute_by_type(
         if method == "mean":
             groups = df.groupBy(*by).agg(*[F.avg(F.col(f"`{c}`")).alias(f"_g{i}") for i, c in enumerate(numeric)])
         else:
-            groups = df.groupBy(*by).agg(*[F.median(F.col(f"`{c}`")).alias(f"_g{i}") for i, c in enumerate(numeric)])
-        near = near.join(groups, list(by))
+            q = exact_quantiles(unpivot(df, numeric, by), [*by, "feature"], "value", [0.5], ["q"])
+            own = [F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_g{i}") for i, c in enumerate(numeric)]
+            groups = q.groupBy(*by).agg(*own)
+        groups = groups.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}"))
+        near = near.join(groups, same, "left").drop(*[f"_by{i}" for i in range(len(by))])
         for i, c in enumerate(numeric):
             fills[c] = F.coalesce(F.col(f"`{c}`").cast("double"), _between(i), F.col(f"_g{i}"), F.element_at(overall, c))
         out = _clean(near.withColumns(fills), len(numeric))
@@ -162,13 +181,15 @@ def impute_category(df: DataFrame, by: Sequence[str], order: Sequence[str], colu
 
 
 def forward_fill(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*_UP)
-    return df.withColumns({c: F.last(F.col(f"`{c}`"), True).over(w) for c in columns})
+    near = nearest_observed(df, by, order, columns)
+    filled = {c: F.col(f"_p{i}")["x"] for i, c in enumerate(columns)}
+    return _clean(near.withColumns(filled), len(columns)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def hour_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "hour_index") -> DataFrame:
     """0-based running row index per patient."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
+    near = nearest_observed(df, by, order, [])
+    return near.withColumn(name, (F.col("_pos") - 1).cast("bigint")).drop("_pos")
 
 
 def midrank(df: DataFrame, by: Sequence[str], value: str, name: str = "midrank") -> DataFrame:
@@ -179,6 +200,17 @@ def midrank(df: DataFrame, by: Sequence[str], value: str, name: str = "midrank")
 
 
 def lagged_pairs(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], lag: int = 1) -> DataFrame:
-    """Adds ``<c>_lag``: the value ``lag`` rows earlier inside the sequence."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumns({f"{c}_lag": F.lag(F.col(f"`{c}`"), lag).over(w) for c in columns})
+    """Adds ``<c>_lag``: the value ``lag`` rows earlier inside the sequence.
+
+    Rows meet the earlier ones by their place in the sequence, so a long sequence is no single task's.
+    """
+    placed = settled(hour_index(df, by, [order], "_at"))
+    earlier = placed.select(
+        *[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)],
+        (F.col("_at") + lag).alias("_then"),
+        *[F.col(f"`{c}`").alias(f"{c}_lag") for c in columns],
+    )
+    same = F.col("_at") == F.col("_then")
+    for i, c in enumerate(by):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}"))
+    return placed.join(earlier, same, "left").drop("_at", "_then", *[f"_by{i}" for i in range(len(by))])

@@ -1,23 +1,23 @@
 """Ordered computations without a one-task window.
 
 A window with an ORDER BY and few partitions sends a whole feature (or the whole table) to one task.
-The functions here split every group into value ranges, total each range, and add the totals of the
-earlier ranges to a running sum taken inside the range.  The only unsplit window runs over the range
-totals, at most ``buckets`` rows per group.
+The functions here deal the rows by ranges of (group, order), as many as the rows need, total each range, and add
+the totals of the earlier ranges to a running sum taken inside the range.  One group may reach over many ranges
+and one range hold many groups.  The only unsplit window runs over the range totals, one row for each range that
+a group reaches into.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.columns import compute_once
+from cohortspark.session import settled
 
-HASH_BITS = 12  # ranges of a random order, as a power of two
-FANOUT = 16  # ranges per level; two levels give FANOUT ** 2 ranges
-EDGE_SAMPLE = 1000  # values per group that place the range edges; also the optimiser's limit for ranks cut before a shuffle
+RANGE_ROWS = 1 << 17  # rows of a range
 
 
 def portable_hash(id_col: Column | str, seed: int | str | Column = 0) -> Column:
@@ -35,98 +35,59 @@ def hash_number(hash_col: Column, digits: int = 13) -> Column:
     return F.conv(F.substring(hash_col, 1, digits), 16, 10).cast("bigint")
 
 
-def hash_bucket(hash_col: Column | str, bits: int = HASH_BITS) -> Column:
-    """Monotone range number (2 ** bits ranges) of a portable hash, for :func:`running_sum` and :func:`ranked`."""
-    value = F.col(hash_col) if isinstance(hash_col, str) else hash_col
-    return F.shiftright(hash_number(value, 8), 32 - bits).cast("int")
+def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_range") -> tuple[DataFrame, int]:
+    """``df``, settled, with ``name``: which range of (by, order) a row is in, ascending; and the number of ranges.
 
-
-def range_edges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, _e): FANOUT² - 1 inner edges of each group's values.
-
-    The edges come from the EDGE_SAMPLE values with the smallest hashes, a sample that depends on the values
-    alone.  Approximate-quantile sketches would not do: they depend on the order in which tasks merge, and
-    the edges are evaluated by more than one branch of a plan.
+    Ranges hold about RANGE_ROWS rows, so their number follows the rows; the splitters come from a sample that
+    Spark takes in proportion to their number.  Rows may be split anywhere, inside a group and between equal rows.
     """
-    point = F.col(value).cast("double")
-    hashed = df.select(*by, point.alias("_v"), F.xxhash64(point).alias("_hash"))
-    if by:
-        w = Window.partitionBy(*by).orderBy("_hash", "_v")
-        sample = hashed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= EDGE_SAMPLE)
-    else:
-        sample = hashed.orderBy("_hash", "_v").limit(EDGE_SAMPLE)
-    packed = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
-    packed = compute_once(packed.filter(F.size("_s") > 0), {"_s": F.col("_s")})
-    parts = FANOUT * FANOUT
-    pick = F.transform(
-        F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.element_at("_s", (F.floor(F.size("_s") * i / parts) + 1).cast("int"))
-    )
-    return packed.select(*by, pick.alias("_e"))
+    held = settled(df)
+    parts = max(1, ceil(held.count() / RANGE_ROWS))
+    if parts == 1:
+        return held.withColumn(name, F.lit(0)), 1
+    dealt = held.repartitionByRange(parts, *[F.col(f"`{c}`") for c in (*by, *order)])
+    return settled(dealt.withColumn(name, F.spark_partition_id())), parts
 
 
-def value_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Add ``_range``: which of the FANOUT² value ranges of its group a row falls in.
-
-    Rows are distinct values, so ranges hold about the same number of them.  Without groups the edges are a
-    scalar subquery, with groups one edge row per group is joined.  The search is two rounds of FANOUT - 1
-    comparisons on array items, all compiled.
-    """
-    edges = range_edges(df, by, value)
-    if by:
-        joined = df.join(edges, list(by))  # the optimiser checks the size before it broadcasts
-    else:
-        joined = df.withColumn("_e", edges.scalar())
-    point, e = F.col(value).cast("double"), F.col("_e")
-    coarse = sum(((point > e[FANOUT * i - 1]).cast("int") for i in range(1, FANOUT)), F.lit(0))
-    joined = compute_once(joined, {"_c": coarse})
-    fine = sum(((point > e[F.col("_c") * FANOUT + j]).cast("int") for j in range(FANOUT - 1)), F.lit(0))
-    return compute_once(joined, {"_range": F.col("_c") * FANOUT + fine}).drop("_e", "_c")
-
-
-def running_sum(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    sums: Sequence[str],
-    bucket: Column | None = None,
-) -> DataFrame:
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add ``<c>_before`` (sum over earlier rows of the group) and ``<c>_total`` for each column.
 
-    Rows must be unique in (by, order); aggregate first.  ``bucket`` must be monotone in the order;
-    without it the ranges are quantiles of the first order column.  The plan reads ``df`` twice (totals and
-    rows), so order values must not change when they are recomputed: settle values that come from sums of
-    floating numbers, such as model scores, before ranking them.
+    Rows must be unique in (by, order); aggregate first.
     """
     by = list(by)
-    ranged = df.withColumn("_range", bucket) if bucket is not None else value_ranges(df, by, order[0])
+    ranged, parts = in_ranges(df, by, order)
     keys = by if by else ["_all"]
     if not by:
         ranged = ranged.withColumn("_all", F.lit(0))
-    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = {c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}
     whole = Window.partitionBy(*keys)
+    if parts == 1:
+        whole = Window.partitionBy(*keys, "_range")
+        out = ranged.withColumns({f"{c}_total": F.sum(c).over(whole) for c in sums} | {f"{c}_before": v for c, v in own.items()})
+        return out.select(*df.columns, *[f"{c}_total" for c in sums], *[f"{c}_before" for c in sums])
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        "_range",
+        *[F.col(k).alias(f"_k_{k}") for k in [*keys, "_range"]],
         *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums],
         *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in sums],
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(offsets, [*keys, "_range"])
-    before = {f"{c}_before": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}
-    return joined.withColumns(before).drop("_range", "_all", *[f"_o_{c}" for c in sums])
+    same = F.lit(True)
+    for k in [*keys, "_range"]:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = ranged.withColumns({f"{c}_before": v for c, v in own.items()}).join(offsets, same)
+    out = joined.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_o_{c}") for c in sums})
+    return out.select(*df.columns, *[f"{c}_total" for c in sums], *[f"{c}_before" for c in sums])
 
 
-def ranked(
-    df: DataFrame, by: Sequence[str], id_col: str, seed: int | Column = 0, name: str = "rank", bits: int = HASH_BITS
-) -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], id_col: str, seed: int | Column = 0, name: str = "rank") -> DataFrame:
     """Random but repeatable 1-based rank inside each group, by portable hash then id.
 
     Adds ``name`` and ``name + '_of'`` (the group size).  Ids, numbers or text, must be unique inside a group.
-    The order is cut into 2 ** ``bits`` ranges per group, each sorted by one task.
     """
     hashed = df.withColumns({"_h": portable_hash(id_col, seed), "_one": F.lit(1).cast("bigint")})
-    out = running_sum(hashed, by, ["_h", id_col], ["_one"], hash_bucket("_h", bits))
+    out = running_sum(hashed, by, ["_h", id_col], ["_one"])
     return out.withColumns({name: F.col("_one_before") + 1, f"{name}_of": F.col("_one_total")}).drop(
         "_h", "_one", "_one_before", "_one_total"
     )
