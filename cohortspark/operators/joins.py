@@ -124,6 +124,7 @@ def translation_rate(df: DataFrame, code_map: DataFrame) -> DataFrame:
 
 # ---- interval joins -----------------------------------------------------------------------------
 
+LISTED = 8  # nodes that an interval fills at its level
 
 def interval_join(
     points: DataFrame,
@@ -137,19 +138,25 @@ def interval_join(
 ) -> DataFrame:
     """Points inside intervals of the same key.
 
-    Time is cut into slots.  An interval is listed under each slot it touches, a point under its own slot,
-    and the join is an equi-join on (key, slot) with the exact condition as residual.  A busy key is thus
-    spread over its slots and is never paired in full; each pair is produced once, because a point has one
-    slot.
+    Time is cut into slots, slots into nodes of 2 ** level slots.  An interval is listed under the nodes it touches
+    at the one level where these are at most LISTED + 1, however long it is; a point under its node at every level
+    that some interval has, usually one.  The join is an equi-join on (key, level, node) with the exact condition
+    as residual.  A busy key is thus spread over its nodes and is never paired in full; each pair is produced once,
+    because an interval has one level and a point one node there.
     """
     width = slot_hours * HOUR
-    p = points.withColumn("_slot", F.floor(micros(point) / width))
     first, last = F.floor(micros(start) / width), F.floor(micros(end) / width)
-    i = intervals.filter(F.col(start) <= F.col(end)).withColumn("_slot", F.explode(F.sequence(first, last)))
-    joined = p.join(i, [*on, "_slot"])
+    level = F.greatest(F.lit(0), F.ceil(F.log2((last - first + 1) / LISTED))).cast("int")
+    i = intervals.filter(F.col(start) <= F.col(end)).withColumns({"_first": first, "_last": last, "_level": level})
+    levels = i.agg(F.collect_set("_level")).scalar()  # at most one for each power of two
+    size = F.expr("shiftleft(1L, _level)")
+    i = i.withColumn("_node", F.explode(F.sequence(F.floor(F.col("_first") / size), F.floor(F.col("_last") / size))))
+    p = points.withColumn("_slot", F.floor(micros(point) / width)).withColumn("_level", F.explode(levels))
+    p = p.withColumn("_node", F.floor(F.col("_slot") / size))
+    joined = p.drop("_slot").join(i.drop("_first", "_last"), [*on, "_level", "_node"])
     after = F.col(point) >= F.col(start)
     before = F.col(point) <= F.col(end) if closed_end else F.col(point) < F.col(end)
-    return joined.filter(after & before).drop("_slot")
+    return joined.filter(after & before).drop("_level", "_node")
 
 
 def episode_lookup(
