@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.session import safe_unions, settled
+from cohortspark.llm.text import discard, stored_at
+from cohortspark.session import safe_unions
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node of its component.
 
-    Each step joins the edges with one row per node and is written to the checkpoint folder; nothing of the
+    Each step joins the edges with one row per node and is written to the shared folder, where the step before it is
+    deleted; nothing of the
     graph comes to the driver but a count and a checksum of the edges, which end the loop when they stay.
     Nulls are ignored; loops and repeated edges do no harm; no edges give no rows.
     """
-    safe_unions(edges.sparkSession)
+    spark = safe_unions(edges.sparkSession)
     order = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    current = settled(order.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current, path = stored_at(order.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settled(large.distinct())
+        large, large_path = stored_at(large.distinct())
+        discard(spark, path)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = settled(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        current, path = stored_at(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        discard(spark, large_path)
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break

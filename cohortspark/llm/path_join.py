@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.components import components
-from cohortspark.llm.text import first_of_each, mix64, per_text, stored, word_hashes, words
+from cohortspark.llm.text import discard, first_of_each, mix64, per_text, stored, stored_at, word_hashes, words
 from cohortspark.session import safe_unions, settled
 
 SHINGLE = 5
@@ -267,13 +267,15 @@ def _run_links(
     """Runs of the points (key, tokens, done, runs): buckets (path, key) to compare, links to pivots (a, b), and for
     each level the points (key) that are split there and so are compared deeper."""
     start = min(FIRST, depth)
-    paths = settled(tokens.mapInPandas(_roots(similarity, start), "path long, key binary"))
+    spark = tokens.sparkSession
+    paths, paths_at = stored_at(tokens.mapInPandas(_roots(similarity, start), "path long, key binary"))
     tokens = tokens.select("key", "tokens")
     small, links, deeper = [], [], []
     for level in range(start, depth + 1):
         first = F.min(F.struct(F.xxhash64("key", F.pmod("path", F.lit(PIVOTS))), "key")).getItem("key").alias("pivot")
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1")
         placed = settled(paths.join(sizes, "path"))
+        discard(spark, paths_at)
         small.append(placed.filter(F.col("n") <= bucket).select("path", "key"))
         large = placed.filter(F.col("n") > bucket).select("path", "key", "pivot")
         if large.isEmpty():
@@ -297,7 +299,7 @@ def _run_links(
         tokens = settled(tokens.join(split_keys, "key", "left_semi"))
         sketches = settled(sketches.join(split_keys, "key", "left_semi"))
         split = on.join(tokens, "key").select("path", "key", "tokens")
-        paths = settled(split.mapInPandas(_descend(similarity), "path long, key binary"))
+        paths, paths_at = stored_at(split.mapInPandas(_descend(similarity), "path long, key binary"))
     return small, links, deeper
 
 
@@ -411,8 +413,8 @@ def near_duplicates(
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         embed.alias("r"),
     )
-    rows = settled(named.select("doc_id", "row", "text_hash", "r.*"))
-    full = rows.filter("n > 0")
+    embedded, embedded_at = stored_at(named.select("doc_id", "row", "text_hash", "r.*"))
+    full = embedded.filter("n > 0")
     points = settled(
         full.groupBy("key").agg(
             F.count(F.lit(1)).alias("copies"),
@@ -422,6 +424,9 @@ def near_duplicates(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("one"),
         )
     )
+    rows = settled(embedded.drop("tokens", "sketch"))
+    discard(docs.sparkSession, embedded_at)
+    full = rows.filter("n > 0")
     loose = components(candidate_links(points, similarity, recall, bucket, depth))
 
     # Full sets of the candidates, from the text of one row each.

@@ -134,14 +134,25 @@ def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
     return first_of_each(joined, ["doc_id", "_llm_text"]).drop("_llm_text")
 
 
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table written in the shared folder and read again, and its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The table written in the shared folder and read again, so that the planner knows its size.
 
     A small one is then broadcast instead of shuffling what it is joined with; a larger one is shuffled.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored_at`` when all that was made of it is written elsewhere."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
