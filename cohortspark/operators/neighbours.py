@@ -23,6 +23,7 @@ from cohortspark.session import settled
 
 BLOCK_CELLS = 1 << 16  # numbers per packed block: half a megabyte
 PIVOT_NUMBERS = 1 << 22  # numbers of all pivots, which every task holds: 32 megabytes
+TILE = 64  # blocks on a side of a tile of block pairs: 32 megabytes
 SLACK = 1e-9
 
 
@@ -287,12 +288,18 @@ def knn_join(
 
 
 def _kernel_total(x: DataFrame, y: DataFrame, dim: int, nx: int, ny: int, sigma: float, symmetric: bool) -> DataFrame:
-    """Sum of weight · weight · exp(-|a-b|² / 2σ²), one partial sum per pair of blocks."""
-    block = _rows(dim)
+    """Sum of weight · weight · exp(-|a-b|² / 2σ²), one partial sum per tile.
 
-    def blocks(df: DataFrame, n: int, name: str) -> DataFrame:
-        parts = max(1, ceil(n / block))
+    Blocks are laid out in tiles of ``side`` blocks of x by ``side`` of y.  A block goes to one row or one column of tiles,
+    not to each block it meets: with side about the square root of the blocks, the bytes grow with the power
+    1.5 of the rows, and a task holds 2 · side blocks.
+    """
+    block = _rows(dim)
+    parts = [max(1, ceil(n / block)) for n in (nx, ny)]
+    side = min(TILE, ceil(max(parts) ** 0.5))
+    tiles = [ceil(p / side) for p in parts]
 
+    def blocks(df: DataFrame, parts: int) -> DataFrame:
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = []
@@ -304,31 +311,36 @@ def _kernel_total(x: DataFrame, y: DataFrame, dim: int, nx: int, ny: int, sigma:
                     yield pd.DataFrame(rows)
 
         spread = df.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")).repartition("part")
-        return spread.select("part", "w", "v").mapInPandas(pack, f"{name}part int, {name}w binary, {name}v binary")
-
-    left, right = blocks(x, nx, "x"), blocks(y, ny, "y")
-    last = max(1, ceil(ny / block)) - 1
-    start = F.col("xpart") if symmetric else F.lit(0)
-    left = left.withColumn("ypart", F.explode(F.sequence(start, F.greatest(start, F.lit(last)))))
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums = []
-            for xp, yp, xw, xv, yw, yv in zip(*[batch[c] for c in ("xpart", "ypart", "xw", "xv", "yw", "yv")]):
-                kernel = np.exp(-_distances(_unpack(xv, dim), _unpack(yv, dim), "euclidean") / (2 * sigma * sigma))
-                one = float(np.frombuffer(xw, np.float64) @ kernel @ np.frombuffer(yw, np.float64))
-                sums.append(2 * one if symmetric and xp != yp else one)
-            yield pd.DataFrame({"s": sums})
+        return spread.select("part", "w", "v").mapInPandas(pack, "part int, w binary, v binary")
+
+    place = F.floor(F.col("part") / side).cast("int")
+    left, right = blocks(x, parts[0]).withColumn("row", place), blocks(y, parts[1]).withColumn("column", place)
+    first = F.col("row") if symmetric else F.lit(0)
+    last = F.col("column") if symmetric else F.lit(tiles[0] - 1)
+    left = left.withColumn("column", F.explode(F.sequence(first, F.lit(tiles[1] - 1))))
+    right = right.withColumn("row", F.explode(F.sequence(F.lit(0), last)))
+
+    def total(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        for xp, xw, xv in zip(a["part"], a["w"], a["v"]):
+            u, wu = _unpack(xv, dim), np.frombuffer(xw, np.float64)
+            for yp, yw, yv in zip(b["part"], b["w"], b["v"]):
+                if symmetric and xp > yp:  # a tile on the diagonal; the pair is met the other way round
+                    continue
+                kernel = np.exp(-_distances(u, _unpack(yv, dim), "euclidean") / (2 * sigma * sigma))
+                one = float(wu @ kernel @ np.frombuffer(yw, np.float64))
+                total += 2 * one if symmetric and xp != yp else one
+        return pd.DataFrame({"s": [total]})
 
-    pairs = left.join(right, "ypart").select("xpart", "ypart", "xw", "xv", "yw", "yv")
-    return pairs.mapInPandas(total, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    met = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(total, "s double")
+    return met.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
 
 
 def mmd(x: DataFrame, y: DataFrame, vector: str = "vector", sigma: float = 1.0) -> DataFrame:
     """Maximum mean discrepancy with a Gaussian kernel, as a one-row frame (mmd).
 
     A kernel mean is a sum over all pairs by definition; equal vectors are weighted once, and only one number
-    leaves each pair of blocks.
+    leaves each tile of block pairs.
     """
 
     def weighed(df: DataFrame) -> DataFrame:

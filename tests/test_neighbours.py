@@ -105,3 +105,15 @@ def test_rounds_with_missing_and_infinite_values(spark):
     df = spark.createDataFrame(table, "id long, x double").withColumn("y", F.col("id") % 2)
     got = privacy.risk_rounds(df, "id", ["x", "y"], 3).collect()
     assert len(got) == 3 and all(0 <= r.single_out_risk <= 1 and 0 <= r.inference_risk <= 1 for r in got)
+
+
+@pytest.mark.parametrize("tile", [1, 2, 64])
+def test_kernel_means_in_tiles(spark, monkeypatch, tile):
+    """Every pair of blocks is met once, in whatever tiles; blocks are copied to a row or a column of tiles."""
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 32)  # blocks of 16 rows
+    monkeypatch.setattr(neighbours, "TILE", tile)
+    rng = np.random.default_rng(6)
+    x, y = np.round(rng.normal(size=(170, 2)), 1), np.round(rng.normal(size=(90, 2)) + 0.4, 1)
+    kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1) / 2).mean()
+    got = neighbours.mmd(frame(spark, x, "q"), frame(spark, y, "q")).first()[0]
+    assert abs(got - (kernel(x, x) + kernel(y, y) - 2 * kernel(x, y))) < 1e-12
