@@ -51,7 +51,19 @@ def _step(name: str, position: int, step: str) -> str:
     f"{_step('cohort', 2, 'length of stay')} UNION ALL {_step('cohort', 3, 'one row per stay')}",
 )
 def cohort_attrition(t: Tables):
-    return plan.attrition(plan.cohort_steps(patients(t), admissions(t), stays(t)))
+    return plan.attrition(patients(t), admissions(t), stays(t))
+
+
+_DIMENSIONS = {"l_returnflag": "Categorical", "l_linestatus": "Binary", "l_quantity": "Numerical", "l_linenumber": "Listwise", "l_shipdate": "Other", "l_tax": "Categorical"}
+
+
+@query(
+    "output_dimensions",
+    """SELECT 'l_returnflag' AS feature, count(DISTINCT l_returnflag) AS width FROM lineitem UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem
+    UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) FROM lineitem UNION ALL SELECT 'l_quantity', 1 UNION ALL SELECT 'l_shipdate', 1 UNION ALL SELECT 'l_linen', 1""",
+)
+def output_dimensions(t: Tables):
+    return rollup.dimension_table(t.lineitem, _DIMENSIONS, ["l_linen"])
 
 
 @query("length_summary", f"{_COHORT} SELECT round(min(los), 6) AS los_min, round(avg(los), 6) AS los_mean, round(max(los), 6) AS los_max FROM cohort")

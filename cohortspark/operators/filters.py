@@ -20,24 +20,34 @@ COMA_SCORES = {
 TEXT_VALUE_LABEL = "Vent mode"
 
 
+def in_one_unit() -> Column:
+    return F.col("first_careunit") == F.col("last_careunit")
+
+
 def same_first_last_unit(stays: DataFrame) -> DataFrame:
-    return stays.filter(F.col("first_careunit") == F.col("last_careunit"))
+    return stays.filter(in_one_unit())
+
+
+def with_age(df: DataFrame, column: str = "anchor_age") -> DataFrame:
+    """Text ages with a unit become years; their number is kept as ``age``."""
+    if dict(df.dtypes)[column] != "string":
+        return df
+    return df.withColumns({"age": F.regexp_extract(column, r"(\d+)", 1).try_cast("int"), column: age_in_years(column)})
 
 
 def age_between(df: DataFrame, low: float = 18, high: float = 89, column: str = "anchor_age") -> DataFrame:
-    """Keep ages low..high, both included.  Text ages with a unit are turned into years first; their number
-    is kept as ``age``."""
-    if dict(df.dtypes)[column] == "string":
-        df = df.withColumns(
-            {"age": F.regexp_extract(column, r"(\d+)", 1).try_cast("int"), column: age_in_years(column)}
-        )
-    return df.filter(F.col(column).between(low, high))
+    """Keep ages low..high, both included, of ages as :func:`with_age` gives them."""
+    return with_age(df, column).filter(F.col(column).between(low, high))
 
 
-def stay_length(df: DataFrame, low: float = 1, high: float | None = None, column: str = "los") -> DataFrame:
-    """Keep low <= length (< high when given)."""
+def length_between(low: float = 1, high: float | None = None, column: str = "los") -> Column:
+    """low <= length (< high when given)."""
     keep = F.col(column) >= low
-    return df.filter(keep & (F.col(column) < high) if high is not None else keep)
+    return keep & (F.col(column) < high) if high is not None else keep
+
+
+def stay_length(df: DataFrame, low: float = 1, high: float | None = None, column: str = "los") -> DataFrame:
+    return df.filter(length_between(low, high, column))
 
 
 def with_hospital_mortality(df: DataFrame) -> DataFrame:

@@ -300,17 +300,26 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def attrition(steps: Mapping[str, DataFrame], columns: Mapping[str, str]) -> DataFrame:
-    """One row per step: distinct counts of the named columns and rows.  ``columns``: output name -> column."""
-    parts = []
-    for position, (step, df) in enumerate(steps.items()):
-        counts = [F.count_distinct(F.col(c)).alias(n) for n, c in columns.items()]
-        parts.append(
-            df.agg(*counts, F.count(F.lit(1)).alias("rows")).select(
-                F.lit(position).alias("position"), F.lit(step).alias("step"), *columns, "rows"
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+def attrition(tagged: DataFrame, steps: Sequence[str], columns: Mapping[str, str], passed: str = "_passed") -> DataFrame:
+    """One row per step: distinct counts of the named columns and rows.  ``columns``: output name -> column.
+
+    ``passed`` is the position of the last step that a row passes.  A value is there in a step if one of its rows
+    gets as far, so one grouping of (column, value) by its furthest row serves all steps and columns, and the
+    table is read once.
+    """
+    cells = [F.struct(F.lit(n).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for n, c in columns.items()]
+    cells.append(F.struct(F.lit("rows").alias("name"), F.col(passed).cast("string").alias("value")))
+    long = tagged.select(F.col(passed).alias("last"), F.explode(F.array(*cells)).alias("c")).select("last", "c.*")
+    furthest = long.filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.max("last").alias("last"), F.count(F.lit(1)).alias("n"))
+    weight = F.when(F.col("name") == "rows", F.col("n")).otherwise(1)
+    ends = furthest.groupBy("name", "last").agg(F.sum(weight).alias("n"))
+    each = ends.withColumn("position", F.explode(F.sequence(F.lit(0), "last")))
+    totals = [F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).cast("long").alias(n) for n in (*columns, "rows")]
+    found = each.groupBy("position").agg(*totals)
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("position"), F.lit(s).alias("step")) for k, s in enumerate(steps)])).alias("s")
+    every = tagged.sparkSession.range(1).select(names).select("s.*")
+    zero = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in (*columns, "rows")}
+    return every.join(found, "position", "left").withColumns(zero).select("position", "step", *columns, "rows")
 
 
 def length_summary(df: DataFrame, column: str = "los") -> DataFrame:
@@ -378,23 +387,35 @@ def type_table(df: DataFrame, columns: Sequence[str] | None = None, threshold: i
     return df.sparkSession.createDataFrame(list(types.items()), "feature string, feature_type string")
 
 
-def output_dimensions(df: DataFrame, types: Mapping[str, str], families: Sequence[str]) -> dict[str, int]:
-    """Width of each feature: levels of a flag or category, members of a prefix family, 1 for numbers."""
-    out: dict[str, int] = {}
-    for name in types:
+def dimension_table(df: DataFrame, types: Mapping[str, str], families: Sequence[str]) -> DataFrame:
+    """(feature, width): levels of a flag or category, members of a prefix family, 1 for numbers.
+
+    The levels of all columns are made distinct together in long form; a column with many is combined in each task.
+    """
+    fixed: dict[str, int] = {}
+    for name, kind in types.items():
         family = next((p for p in families if name.startswith(p)), None)
         if family:
-            out[family] = out.get(family, 0) + 1
-    level_columns = [
-        c for c, k in types.items() if k in ("Binary", "Categorical", "Listwise") and not any(c.startswith(p) for p in families)
-    ]
-    if level_columns:
-        row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(level_columns)]).first()
-        out.update({c: row[f"c{i}"] for i, c in enumerate(level_columns)})
-    for name, kind in types.items():
+            fixed[family] = fixed.get(family, 0) + 1
         if kind in ("Numerical", "Other"):
-            out[name] = 1
-    return out
+            fixed[name] = 1
+    levels = [c for c, k in types.items() if k in ("Binary", "Categorical", "Listwise") and not any(c.startswith(p) for p in families)]
+    kinds = dict(df.dtypes)
+    one = lambda c: F.col(f"`{c}`") + F.lit(0) if kinds[c] in ("double", "float") else F.col(f"`{c}`")  # noqa: E731  -0.0 is 0.0
+    cells = [F.struct(F.lit(c).alias("feature"), one(c).cast("string").alias("level")) for c in levels]
+    there = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in [*levels, *fixed]])).alias("feature"))
+    widths = F.create_map(*[x for c, n in fixed.items() for x in (F.lit(c), F.lit(n).cast("long"))]) if fixed else F.lit(None).cast("map<string,bigint>")
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*") if levels else None
+    if long is None:
+        return there.select("feature", F.try_element_at(widths, F.col("feature")).alias("width"))
+    counts = long.filter(F.col("level").isNotNull()).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    width = F.coalesce(F.try_element_at(widths, F.col("feature")), F.col("_n"), F.lit(0).cast("long"))
+    return there.join(counts, "feature", "left").select("feature", width.alias("width"))
+
+
+def output_dimensions(df: DataFrame, types: Mapping[str, str], families: Sequence[str]) -> dict[str, int]:
+    """Width of each feature, as :func:`dimension_table` gives it."""
+    return {r["feature"]: r["width"] for r in dimension_table(df, types, families).collect()}
 
 
 def stay_summary(

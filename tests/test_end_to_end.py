@@ -19,8 +19,9 @@ def test_pipeline(spark, folder):
     events = lambda name: readers.read_events(spark, f"{folder}/raw", name)
     labels = fixture.label_map(spark)
 
-    steps = cohort.cohort_steps(read("patients"), read("admissions"), read("icustays"))
-    counted = {r["step"]: r["stays"] for r in cohort.attrition(steps).collect()}
+    sources = read("patients"), read("admissions"), read("icustays")
+    steps = cohort.cohort_steps(*sources)
+    counted = {r["step"]: r["stays"] for r in cohort.attrition(*sources).collect()}
     people = 40
     stays = people + people // 2
     assert counted["start"] == stays

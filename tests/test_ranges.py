@@ -86,3 +86,26 @@ def test_fills_and_lags_of_a_hot_patient(spark, small_ranges):
                 assert abs(linear[at] - want) < 1e-9
                 lead = np.median([v for _, v in known]) if k < known[0][0] else want
                 assert abs(typed[at] - lead) < 1e-9
+
+
+def test_attrition_in_one_pass(spark):
+    """Each step's counts are those of its own table; steps that nobody passes are there with zeros."""
+    from cohortspark.operators import rollup
+    from cohortspark.plans import cohort
+
+    rng = random.Random(1)
+    patients = spark.createDataFrame([(k, f"{rng.randrange(1, 110)} years") for k in range(60)], "subject_id int, anchor_age string")
+    admissions = spark.createDataFrame([(k, f"h{k}-{v}", "nan") for k in range(60) for v in range(2)], "subject_id int, hadm_id string, admission_type string")
+    stays = [(k, f"h{k}-{v}", f"s{k}-{v}-{n % 3}", n, "AB"[rng.randrange(2)], "AB"[rng.randrange(2)], rng.random() * 14) for k in range(60) for v in range(2) for n in range(5)]
+    stays = spark.createDataFrame(stays, "subject_id int, hadm_id string, stay_id string, intime int, first_careunit string, last_careunit string, los double")
+    options = cohort.CohortOptions(drop_unit_transfers=True, first_stay_only=True)
+    for own in (options, cohort.CohortOptions()):
+        steps = cohort.cohort_steps(patients, admissions, stays, own)
+        got = {r.step: (r.subjects, r.admissions, r.stays, r.rows) for r in cohort.attrition(patients, admissions, stays, own).collect()}
+        for name, df in steps.items():
+            want = [df.select(c).distinct().count() for c in ("subject_id", "hadm_id", "stay_id")]
+            assert got[name] == (*want, df.count()), name
+        assert set(got) == set(steps)
+    empty = cohort.attrition(patients.limit(0), admissions, stays).collect()
+    assert [r.rows for r in empty] == [0] * 4
+    assert rollup.output_dimensions(spark.createDataFrame([(0.0, "a", 1), (-0.0, None, 2)], "x double, c string, p_1 int"), {"x": "Binary", "c": "Categorical", "p_1": "Listwise", "n": "Numerical"}, ["p_"]) == {"x": 1, "c": 1, "p_": 1, "n": 1}
