@@ -193,17 +193,17 @@ def code_pivot(t: Tables):
     return rollup.code_flags(_codes(t), ["subject_id", "hadm_id"], "icd_code", "icd_", [f"Brand#{i}" for i in range(1, 26)])
 
 
+_ICD = [str(k) for k in range(1, 26)]  # all codes
+
+
 @query(
     "cohort_with_diagnoses",
     f"""{_COHORT}, one AS (SELECT * FROM cohort QUALIFY row_number() OVER (PARTITION BY subject_id, hadm_id ORDER BY stay_id) = 1),
-    d AS (SELECT subject_id, hadm_id, max(CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END) AS icd_1,
-      max(CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END) AS icd_2 FROM events_ JOIN items USING (itemid) GROUP BY ALL)
-    SELECT one.subject_id, one.hadm_id, one.stay_id, one.sex, icd_1, icd_2 FROM one JOIN d USING (subject_id, hadm_id)""",
+    d AS (SELECT subject_id, hadm_id, {', '.join(f"max(CASE WHEN p_brand = 'Brand#{k}' THEN 1 ELSE 0 END) AS icd_{k}" for k in _ICD)} FROM events_ JOIN items USING (itemid) GROUP BY ALL)
+    SELECT one.subject_id, one.hadm_id, one.stay_id, one.sex, {', '.join(f'icd_{k}' for k in _ICD)} FROM one JOIN d USING (subject_id, hadm_id)""",
 )
 def cohort_with_diagnoses(t: Tables):
-    flags_ = rollup.code_flags(
-        _codes(t).withColumn("code", F.regexp_replace("icd_code", "Brand#", "")), ["subject_id", "hadm_id"], "code", "icd_", ["1", "2"]
-    )
+    flags_ = rollup.code_flags(_codes(t).withColumn("code", F.regexp_replace("icd_code", "Brand#", "")), ["subject_id", "hadm_id"], "code", "icd_", _ICD)
     return joins.cohort_with_diagnoses(_build(t), flags_, "_id$", "^icd_", ["sex"])
 
 

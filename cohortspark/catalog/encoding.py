@@ -172,22 +172,37 @@ def evaluation_encoder(t: Tables):
     return enc.apply(li, ["l_orderkey", "l_linenumber"]).withColumn("q", rnd("q", 7))
 
 
+# All 64 coordinates: 15 blocks of four levels and four flags.
+_LEVEL_BLOCKS = 15
+
+
+def _block_sql(i: int) -> tuple[str, str]:
+    """(index of the first maximum, share of the first level) of a block of four."""
+    cells = [f"a[{4 * i + k}]" for k in range(1, 5)]
+    return (
+        f"CASE greatest({', '.join(cells)}) WHEN {cells[0]} THEN '0' WHEN {cells[1]} THEN '1' WHEN {cells[2]} THEN '2' ELSE '3' END",
+        f"exp({cells[0]}) / ({' + '.join(f'exp({c})' for c in cells)})",
+    )
+
+
 @query(
     "logit_decode",
-    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)
-    SELECT vec_id, CASE WHEN 1 / (1 + exp(-a[5])) >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS flag,
-    round(exp(a[1]) / (exp(a[1]) + exp(a[2]) + exp(a[3]) + exp(a[4])), 8) AS first_share,
-    CASE greatest(a[1], a[2], a[3], a[4]) WHEN a[1] THEN 0 WHEN a[2] THEN 1 WHEN a[3] THEN 2 ELSE 3 END AS arg FROM e""",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings)
+    SELECT vec_id, {' || '.join(_block_sql(i)[0] for i in range(_LEVEL_BLOCKS))} AS levels,
+    round({' + '.join(_block_sql(i)[1] for i in range(_LEVEL_BLOCKS))}, 7) AS first_shares,
+    {' || '.join(f"CASE WHEN 1 / (1 + exp(-a[{k}])) >= 0.5 THEN '1' ELSE '0' END" for k in range(61, 65))} AS flags FROM e""",
 )
 def logit_decode(t: Tables):
     v = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    d = v.select("vec_id", flags.activate_blocks(F.slice("a", 1, 5), [(4, "softmax", None), (1, "sigmoid", 0.5)]).alias("d"))
-    block = flags.split_blocks("d", [4, 1])
+    kinds = [(4, "softmax", None)] * _LEVEL_BLOCKS + [(1, "sigmoid", 0.5)] * 4
+    d = v.select("vec_id", flags.activate_blocks("a", kinds).alias("d"))
+    block = flags.split_blocks("d", [w for w, _, _ in kinds])
+    shares = sum((F.element_at(b, 1) for b in block[1:_LEVEL_BLOCKS]), F.element_at(block[0], 1))
     return d.select(
         "vec_id",
-        F.element_at(block[1], 1).alias("flag"),
-        rnd(F.element_at(block[0], 1), 8).alias("first_share"),
-        flags.block_argmax(block[0]).cast("int").alias("arg"),
+        F.concat(*[flags.block_argmax(b).cast("string") for b in block[:_LEVEL_BLOCKS]]).alias("levels"),
+        rnd(shares, 7).alias("first_shares"),
+        F.concat(*[F.element_at(b, 1).cast("int").cast("string") for b in block[_LEVEL_BLOCKS:]]).alias("flags"),
     )
 
 

@@ -158,30 +158,36 @@ def _clocked(t: Tables):
     return grid.on_stay_clock(e, stays, ["user_id"], "ts")
 
 
-_STEPS, _EVERY = 240, 60
+_EVERY = 60
+
+
+def _steps(e) -> int:
+    """Whole windows up to the last hour of the table."""
+    return (e.agg(F.max("hours")).first()[0] // _EVERY + 1) * _EVERY
 
 
 def _temporal_sql(where: str) -> str:
-    names = [(c, k) for c in ("value", "size") for k in range(_STEPS // _EVERY)]
-    wide = ", ".join(f"avg({c}) FILTER (hours // {_EVERY} = {k} AND {where}) AS {c}_{k}" for c, k in names)
-    label = lambda c, k: f"{c}_{k * _EVERY}-{(k + 1) * _EVERY - 1}"
-    parts = []
-    for i, (c, k) in enumerate(names):
-        for d, m in names[i:]:
-            x, y = f"{c}_{k}", f"{d}_{m}"
-            parts.append(f"SELECT '{label(c, k)}' AS a, '{label(d, m)}' AS b, count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) AS n, corr({x}, {y}) AS r FROM w")
-    return f"(WITH w AS (SELECT user_id, {wide} FROM ev WHERE hours < {_STEPS} GROUP BY user_id) {' UNION ALL '.join(parts)})"
+    means = " UNION ALL ".join(f"SELECT user_id, '{c}' AS c, hours // {_EVERY} AS k, avg({c}) AS v FROM ev WHERE {where} GROUP BY ALL" for c in ("value", "size"))
+    return f"""(WITH long AS ({means}),
+    names AS (SELECT c, k, i * 10000 + k AS place, c || '_' || (k * {_EVERY}) || '-' || (k * {_EVERY} + {_EVERY} - 1) AS label
+      FROM (VALUES (0, 'value'), (1, 'size')) t(i, c), range(0, (SELECT max(hours) // {_EVERY} + 1 FROM ev)) r(k)),
+    met AS (SELECT x.c AS c, x.k AS k, y.c AS d, y.k AS m, count(*) AS n,
+      CASE WHEN count(*) >= 2 THEN CASE WHEN min(x.v) = max(x.v) OR min(y.v) = max(y.v) THEN 0 ELSE corr(x.v, y.v) END END AS r FROM long x JOIN long y USING (user_id) GROUP BY ALL)
+    SELECT a.label AS a, b.label AS b, coalesce(n, 0) AS n, r FROM names a JOIN names b ON a.place <= b.place
+    LEFT JOIN met ON met.c = a.c AND met.k = a.k AND met.d = b.c AND met.m = b.k)"""
 
 
 @query("temporal_corr", f"{_CLOCK} SELECT a, b, n, round(r, 6) AS r FROM {_temporal_sql('TRUE')}")
 def temporal_corr(t: Tables):
-    return fidelity.temporal_correlation(_clocked(t), "user_id", "hours", ["value", "size"], _EVERY, _STEPS).withColumn("r", rnd("r"))
+    e = _clocked(t)
+    return fidelity.temporal_correlation(e, "user_id", "hours", ["value", "size"], _EVERY, _steps(e)).withColumn("r", rnd("r"))
 
 
 def _halves(t: Tables):
     e = _clocked(t)
     real, synth = e.filter("event_type < 'f'"), e.filter("event_type > 'f'")
-    return [fidelity.temporal_correlation(x, "user_id", "hours", ["value", "size"], _EVERY, _STEPS) for x in (real, synth)]
+    steps = _steps(e)
+    return [fidelity.temporal_correlation(x, "user_id", "hours", ["value", "size"], _EVERY, steps) for x in (real, synth)]
 
 
 _REAL, _SYNTH = _temporal_sql("event_type < 'f'"), _temporal_sql("event_type > 'f'")
@@ -226,12 +232,46 @@ def _acf_sql(table: str, column: str, lag: int) -> str:
     / (SELECT sum(({column} - m) * ({column} - m)) FROM {table}, (SELECT avg({column}) AS m FROM {table})) AS acf"""
 
 
-@query(
-    "acf_table",
-    f"{_FLAT} SELECT feature, lag, round(acf, 7) AS acf FROM (" + " UNION ALL ".join(_acf_sql("x", c, k) for c in ("o_totalprice", "code") for k in (1, 3, 7)) + ")",
+_LAGS = (1, 12, 24, 29)
+_SYNTHETIC = "y AS (SELECT pos, o_totalprice * (1 + pos % 3) AS o_totalprice, code + pos % 5 AS code FROM x)"
+_ACF = (
+    f"{_FLAT}, {_SYNTHETIC}, a AS ("
+    + " UNION ALL ".join(_acf_sql("x", c, k) for c in ("o_totalprice", "code") for k in _LAGS)
+    + "), b AS ("
+    + " UNION ALL ".join(_acf_sql("y", c, k) for c in ("o_totalprice", "code") for k in _LAGS)
+    + "), pair AS (SELECT feature, lag, a.acf AS acf_real, b.acf AS acf_synthetic, abs(a.acf - b.acf) AS abs_diff FROM a JOIN b USING (feature, lag))"
 )
+
+
+def _acf_tables(t: Tables):
+    x = _flat(t)
+    y = x.withColumns({"o_totalprice": F.col("o_totalprice") * (1 + F.col("pos") % 3), "code": F.col("code") + F.col("pos") % 5})
+    return fidelity.acf_table(x, y, "pos", ["o_totalprice", "code"], _LAGS)
+
+
+@query("acf_table", f"{_ACF} SELECT feature, lag, round(acf_real, 7) AS acf_real, round(acf_synthetic, 7) AS acf_synthetic, round(abs_diff, 7) AS abs_diff FROM pair")
 def acf_table(t: Tables):
-    return fidelity.acf(_flat(t), "pos", ["o_totalprice", "code"], [1, 3, 7]).withColumn("acf", rnd("acf", 7))
+    return _acf_tables(t).withColumns({c: rnd(c, 7) for c in ("acf_real", "acf_synthetic", "abs_diff")})
+
+
+@query(
+    "acf_pivot",
+    f"{_ACF} SELECT feature, " + ", ".join(f"round(max(abs_diff) FILTER (lag = {k}), 7) AS lag_{k}" for k in _LAGS) + " FROM pair GROUP BY feature",
+)
+def acf_pivot(t: Tables):
+    wide = fidelity.acf_pivot(_acf_tables(t), "abs_diff", _LAGS)
+    return wide.select("feature", *[rnd(f"`{k}`", 7).alias(f"lag_{k}") for k in _LAGS])
+
+
+@query(
+    "window_summary",
+    f"""{_CLOCK}, {_HALVES}, e AS (SELECT regexp_extract(a, '_(\\d+-\\d+)$', 1) AS w, avg(abs(x.r - y.r)) AS mad, avg(CASE WHEN x.r IS NULL OR y.r IS NULL THEN 0 ELSE (sign(x.r) = sign(y.r))::INT END) AS s
+      FROM x JOIN y USING (a, b) WHERE a <> b AND regexp_extract(a, '_(\\d+-\\d+)$', 1) = regexp_extract(b, '_(\\d+-\\d+)$', 1) GROUP BY 1)
+    SELECT round(avg(mad), 6) AS mad_mean, round(stddev_pop(mad), 6) AS mad_std, round(avg(s), 6) AS sign_mean, round(stddev_pop(s), 6) AS sign_std FROM e""",
+)
+def window_summary(t: Tables):
+    out = fidelity.window_summary(fidelity.window_errors(*_halves(t)))
+    return out.select(*[rnd(c).alias(c) for c in out.columns])
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.stats import kolmogorov_p
 from cohortspark.functions.text import correlation_band
 from cohortspark.operators.filters import unpivot
+from cohortspark.operators.impute import lagged_pairs
 from cohortspark.operators.ordered import exact_quantiles, running_sum
 from cohortspark.operators.rollup import aggregate_fn, infer_types
 
@@ -294,8 +295,7 @@ def lagged_correlation(real: DataFrame, synthetic: DataFrame, by: Sequence[str],
     """(feature, r_real, r_synthetic): correlation of each value with the one ``lag`` rows earlier."""
 
     def one(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(order)
-        lagged = df.select(*[_q(c) for c in columns], *[F.lag(_q(c), lag).over(w).alias(f"{c}_lag") for c in columns])
+        lagged = lagged_pairs(df.select(*by, order, *[_q(c) for c in columns]), by, order, columns, lag)
         cells = []
         for c in columns:
             both = _q(c).isNotNull() & _q(f"{c}_lag").isNotNull()
