@@ -38,7 +38,7 @@ TOKENS = 128  # minhash tokens of a point
 LOOSE = 0.5  # similarity by sketches that makes a candidate: eight deviations below the threshold
 LEAVES = 0.84  # similarity to a pivot by sketches from which a point need not be split further
 PIVOTS = 4  # choices of a pivot in one group; which of them a bucket has depends on its path
-BUCKET = 200  # points of a bucket that are compared at once
+BUCKET = 1000  # points of a bucket that are compared at once
 SALTS = 32  # keys over which the rows of one pivot are spread; a pivot stands for more than BUCKET rows
 FIRST = 3  # levels that all points go down
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
@@ -226,9 +226,13 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in _groups(parts, ["path"]):
         n = len(group)
         if n > 1:
-            places = _places(group["sketch"])
-            equal = (places[:, None, :] == places[None, :, :]).sum(axis=2)
-            left, right = np.nonzero(np.triu(_similarity(equal) >= LOOSE, 1))
+            places, left, right = _places(group["sketch"]), [], []
+            for top in range(0, n, 64):
+                equal = (places[top : top + 64, None, :] == places[None, top:, :]).sum(axis=2)
+                i, j = np.nonzero(_similarity(equal) >= LOOSE)
+                left.append(i[j > i] + top)
+                right.append(j[j > i] + top)
+            left, right = np.concatenate(left), np.concatenate(right)
             if len(left):
                 keys, root = group["key"].to_numpy(), _forest(n, left, right)
                 far = np.flatnonzero(root != np.arange(n))
