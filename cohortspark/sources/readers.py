@@ -21,9 +21,12 @@ def read_file(
     rows: int | None = None,
     sep: str = ",",
     dates: Sequence[str] = (),
+    as_text: Sequence[str] = (),
 ) -> DataFrame:
     """CSV (plain or gzip) or Parquet, by extension; a column subset, date columns and a row limit.
 
+    Columns of a CSV named in ``as_text`` stay text whatever the schema says.
+
     Prefer Parquet or plain CSV: a gzip file cannot be split, so one task reads all of it.
     """
     if ".csv" in Path(path).name:
@@ -32,7 +35,7 @@ def read_file(
         df = reader.csv(path)
         if schema:
             for field in spark.createDataFrame([], schema).schema.fields:
-                if field.name in df.columns:
+                if field.name in df.columns and field.name not in as_text:
                     df = df.withColumn(field.name, F.col(f"`{field.name}`").try_cast(field.dataType))
     else:
         df = spark.read.parquet(path)
@@ -48,10 +51,10 @@ def normalise_keys(df: DataFrame, types: dict[str, str] = KEY_TYPES) -> DataFram
     return df.withColumns({k: clean_key(k, t) for k, t in types.items() if k in df.columns})
 
 
-def read_column_list(path: str) -> list[str]:
-    """Column names from a small text file, separated by commas or new lines."""
-    text = Path(path).read_text()
-    return [c.strip() for line in text.splitlines() for c in line.split(",") if c.strip()]
+def read_column_list(spark: SparkSession, path: str) -> list[str]:
+    """Column names from a small text file, separated by commas or new lines; read by Spark, from any file system."""
+    lines = [r[0] for r in spark.read.text(path, wholetext=True).collect()]
+    return [c.strip() for text in lines for line in text.splitlines() for c in line.split(",") if c.strip()]
 
 
 def read_raw(
@@ -65,8 +68,9 @@ def read_raw(
 ) -> DataFrame:
     """A raw hospital table under ``root/<hosp|icu>/<table>.<extension>`` with normalised keys."""
     path = f"{root}/{FOLDERS.get(table, 'hosp')}/{table}.{extension}"
-    wanted = list(columns) if columns is not None else (read_column_list(included) if included else None)
-    return normalise_keys(read_file(spark, path, RAW[table], wanted, rows))
+    wanted = list(columns) if columns is not None else (read_column_list(spark, included) if included else None)
+    # keys come as text, so that '7.0' is not lost in a cast before it is cleaned
+    return normalise_keys(read_file(spark, path, RAW[table], wanted, rows, as_text=(*KEY_TYPES, "icustay_id")))
 
 
 def read_items(spark: SparkSession, root: str, linksto: str | Sequence[str] | None = None, keep: bool = False, extension: str = "parquet") -> DataFrame:
@@ -118,7 +122,8 @@ def read_standard_units(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feature_list(spark: SparkSession, path: str) -> list[str]:
     """One name per line, no header, file order kept."""
-    return [r[0].strip() for r in spark.read.text(path).coalesce(1).collect() if r[0].strip()]
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    return [line.strip() for line in text.splitlines() if line.strip()]
 
 
 def read_item_levels(spark: SparkSession, path: str, level: str = "LEVEL2") -> DataFrame:
@@ -144,6 +149,17 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str |
     df.write.mode("ignore").parquet(target)
 
 
+def read_partitions(spark: SparkSession, path: str, schema: str, **values) -> DataFrame:
+    """Rows of some partitions of a partitioned Parquet table: ``column=value`` or ``column=[values]``.
+
+    The schema is stated, so no file is opened to find it; partitions that are not asked for are not listed as input.
+    """
+    df = spark.read.schema(schema).parquet(path)
+    for column, value in values.items():
+        df = df.filter(F.col(column).isin(list(value) if isinstance(value, (list, tuple, set)) else [value]))
+    return df
+
+
 def read_split(spark: SparkSession, path: str, mode: str | None = None) -> tuple[DataFrame, dict]:
     """A split table and its metadata (feature types, dtypes, output dimensions)."""
     df = spark.read.parquet(f"{path}/data")

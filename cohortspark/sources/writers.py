@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cohortspark.operators.encode import Encoder
 
 
+PARTITION_FILES = 8  # files of a partition, so that one with most of the rows is no single task's
+
+
 def save_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if kind == "csv":
@@ -35,6 +38,12 @@ def save_split(
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def save_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Write a partitioned table, or replace exactly those partitions of it that ``df`` has rows of."""
+    spread = df.repartition(*by, F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(PARTITION_FILES)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def save_results(df: DataFrame, path: str) -> None:
     """A report table (bounded by models, metrics and settings) as one CSV file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
