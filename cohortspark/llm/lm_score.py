@@ -5,57 +5,44 @@ vocabulary (every word of the corpus) and the same smoothing.  A text's score is
 target loss minus the background loss: the lower, the more the text is like the target.  A row's own counts are
 taken out of the models that saw it.
 
-Counts cover every word and every pair of words of every row.  What is broadcast is only the share of them that
-is frequent: a word or pair that makes 1 / SHARE of the corpus or more, so at most SHARE of each.  All else is
-counted where the rows of a word meet: each text sends its distinct pairs once, dealt by the second word
-(by both words where the second is frequent), and gets back sums.
+Counts cover every word and every pair of words of every row, and none is held by one task or the driver.  Texts
+are dealt into groups of about GROUP_CHARS characters.  A group counts its own words and pairs and sends each
+bucket of keys one packed block: sorted keys, their counts in all rows and in target rows.  A bucket adds the
+blocks of all groups up and answers each block with the corpus counts in the order of its keys, so no key
+travels back.  The group, whose texts were shuffled once, then scores its rows with the counts.  A frequent word or
+pair is one key of each group, however often it is there.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortspark.llm.text import mix64, stored, word_hashes, words
+from cohortspark.llm.text import mix64, word_hashes, words
 
 SMOOTHING = 50.0  # weight of the unigram distribution, in counts
-SHARE = 10_000  # words and pairs with 1 / SHARE of all occurrences are frequent
-CHUNK = 500_000  # words that a task takes at once; a longer text is taken whole
-SALTS = 64  # keys over which the pairs of one frequent word are spread
-_OTHER = np.uint64(1 << 63)  # set in the hashes of words; numbers of frequent words are small
+CHUNK = 500_000  # words that a task counts at once; a longer text is taken whole
+GROUP_CHARS = 8_000_000  # characters of a group of texts; a longer text makes a longer group
+BUCKET_KEYS = 2_000_000  # keys of all groups together that a bucket adds up
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Models:
-    """Sizes of the models and the counts of what is frequent; in counts, row 0 is the background, 1 the target."""
+    """Sizes of both models: words counted in the background and in the target, and words of the vocabulary (with one
+    for what is unknown)."""
 
     totals: tuple[int, int]
-    size: int  # words of the vocabulary and one unknown word
-    words: np.ndarray  # sorted hashes of the frequent words; number k + 1 is the word at k
-    word_counts: np.ndarray
-    pairs: np.ndarray  # sorted (number of the previous word) << 32 | number of the word, of frequent pairs
-    pair_counts: np.ndarray
-
-
-def _chunks(texts: Iterator[tuple], hashed) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(what came with the texts, word hashes of each text), for texts of about CHUNK words together."""
-    with_texts, lists, n = [], [], 0
-    for *own, text in texts:
-        with_texts.append(own)
-        lists.append(hashed(words(text or "")) | _OTHER)
-        n += len(lists[-1])
-        if n >= CHUNK:
-            yield with_texts, lists
-            with_texts, lists, n = [], [], 0
-    if lists:
-        yield with_texts, lists
+    size: int
 
 
 def _before(ids: np.ndarray, lists: list[np.ndarray], start: int) -> np.ndarray:
@@ -68,34 +55,28 @@ def _before(ids: np.ndarray, lists: list[np.ndarray], start: int) -> np.ndarray:
     return out
 
 
-def _numbers(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Numbers of the frequent words; 0 for others."""
-    if not len(known):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at + 1, 0)
-
-
-def _count(known: np.ndarray | None):
-    """(text, target) -> (item, n, t): counts of words, or of pairs of ``known`` words, in all and in target rows."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = ((bool(g), t) for part in parts for g, t in zip(part["target"], part["text"]))
-        for own, lists in _chunks(texts, word_hashes()):
-            items = np.concatenate(lists)
-            target = np.repeat(np.array([g for (g,) in own]), [len(x) for x in lists])
-            if known is None:
-                items = items.view(np.int64)
-            else:
-                ids = _numbers(items, known)
-                before = _before(ids, lists, -1)  # the start is told from a word that is not known
-                both = (ids > 0) & (before != 0)
-                items, target = (np.maximum(before, 0) << 32 | ids)[both], target[both]
-            found, where = np.unique(items, return_inverse=True)
-            n, t = np.bincount(where, minlength=len(found)), np.bincount(where[target], minlength=len(found))
-            yield pd.DataFrame({"item": found, "n": n, "t": t})
-
-    return run
+def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text, target) -> (item, n, t): counts of words in all and in target rows."""
+    hashed = word_hashes()
+
+    def counted(lists: list[np.ndarray], target: list[bool]) -> pd.DataFrame:
+        items = np.concatenate(lists)
+        own = np.repeat(np.array(target, bool), [len(x) for x in lists])
+        found, where = np.unique(items.view(np.int64), return_inverse=True)
+        n, t = np.bincount(where, minlength=len(found)), np.bincount(where[own], minlength=len(found))
+        return pd.DataFrame({"item": found, "n": n, "t": t})
+
+    lists, target, n = [], [], 0
+    for part in parts:
+        for own, text in zip(part["target"], part["text"]):
+            lists.append(hashed(words(text or "")))
+            target.append(bool(own))
+            n += len(lists[-1])
+            if n >= CHUNK:
+                yield counted(lists, target)
+                lists, target, n = [], [], 0
+    if lists:
+        yield counted(lists, target)
 
 
 def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -105,126 +86,71 @@ def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
 
-def train_models(marked: DataFrame, share: int = SHARE) -> Models:
-    """Sizes of both models over all rows of ``marked`` (text, target), and the counts of what is frequent."""
-
-    def counted(known: np.ndarray | None) -> DataFrame:
-        parts = marked.select("text", "target").mapInPandas(_count(known), "item long, n long, t long")
-        return parts.groupBy("item").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    def collected(df: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-        found = df.filter(F.col("n") * share >= total).collect()  # at most ``share`` rows
-        items = np.array([r["item"] for r in found], np.int64).view(np.uint64)
-        order = np.argsort(items)
-        return items[order], np.array([(r["n"], r["t"]) for r in found], np.int64).reshape(-1, 2).T[:, order]
-
-    each = stored(counted(None))
+def train_models(marked: DataFrame) -> Models:
+    """Sizes of both models over all rows of ``marked`` (text, target)."""
+    each = marked.select("text", "target").mapInPandas(_count, "item long, n long, t long")
+    each = each.groupBy("item").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     size, n, t = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    known, word_counts = collected(each, n)
-    pairs, pair_counts = collected(counted(known), n)
-    return Models((n, t), size + 1, known, word_counts, pairs, pair_counts)
-
-
-def _numerator(both, single, total, size: int, log2=np.log2):
-    """log2 of the smoothed count of a pair, given counts without the text's own."""
-    return log2(both + SMOOTHING * ((single + 1.0) / (total + size)))
-
-
-def _send(kind: pa.DataType, shared):
-    """(doc_id, text, target, row) -> a row for each distinct pair of a text that the broadcast counts do not settle.
-
-    ``c``: times the pair is there; ``own``: times its word ``b`` is there; ``goes_on``: times ``b`` has a word after
-    it, told in one row of each word.  The first row of a text has its doc_id, one = 1, and the sums of what is settled.
-    """
-    fields = [("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("salt", pa.int32()), ("c", pa.int64())]
-    fields += [("own", pa.int64()), ("goes_on", pa.int64()), ("n", pa.int64()), ("target", pa.bool_())]
-    fields += [("doc_id", kind), ("one", pa.int64()), ("target_sum", pa.float64()), ("background_sum", pa.float64())]
-
-    def work(own: list, lists: list[np.ndarray], ids: pa.Array, model: Models) -> pa.RecordBatch:
-        docs, sizes = len(lists), np.array([len(x) for x in lists], np.int64)
-        target = np.array([g for _, g in own], bool)
-        vocabulary, at = np.unique(np.concatenate(lists), return_inverse=True)
-        width = len(vocabulary) + 1
-        at = at.astype(np.int64) + 1
-        number = np.concatenate([[0], _numbers(vocabulary, model.words)])
-        doc = np.repeat(np.arange(docs), sizes)
-        before = _before(at, lists, 0)
-        # Words of each text: occurrences, and those with a word after them.
-        each, where, own_n = np.unique(doc * width + at, return_inverse=True, return_counts=True)
-        last = np.ones(len(doc), bool)
-        last[:-1] = doc[1:] != doc[:-1]
-        goes_on = np.bincount(where[~last], minlength=len(each))
-        word_doc, word_no = each // width, number[each % width]
-        # Distinct pairs of each text.
-        kinds, pair = np.unique(before * width + at, return_inverse=True)
-        _, first, c = np.unique(doc * len(kinds) + pair, return_index=True, return_counts=True)
-        doc, before, at, where = doc[first], before[first], at[first], where[first]
-        a_no, b_no = number[before], number[at]
-        code = (a_no.astype(np.uint64) << np.uint64(32)) | b_no.astype(np.uint64)
-        place = np.zeros(len(code), np.int64)
-        settled_pair = np.zeros(len(code), bool)
-        if len(model.pairs):
-            place = np.minimum(np.searchsorted(model.pairs, code), len(model.pairs) - 1)
-            settled_pair = (model.pairs[place] == code) & (b_no > 0) & ((a_no > 0) | (before == 0))
-        sums = []
+    return Models((n, t), size + 1)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Numbers below 2**64, small ones in few bytes: the bytes of equal weight stand together and are deflated."""
+    return zlib.compress(b"".join(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays), 1)
+
+
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    """Arrays of ``n`` numbers each."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(-1, 8, n) if n else np.zeros((0, 8, 0), np.uint8)
+    return [np.ascontiguousarray(block.T).view("<u8").ravel() for block in raw]
+
+
+class Group:
+    """Words and pairs of the texts of a group, and the sorted keys under which they are counted."""
+
+    def __init__(self, texts: list, target: list, hashed):
+        lists = [hashed(words(t or "")) for t in texts]
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.target = np.array([bool(t) for t in target], bool)
+        vocabulary, at = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.width = len(vocabulary) + 1
+        self.at = at.astype(np.int64) + 1  # 0 stands before the first word
+        self.doc = np.repeat(np.arange(len(lists)), self.sizes)
+        self.before = _before(self.at, lists, 0)
+        self.kinds, self.pair = np.unique(self.before * self.width + self.at, return_inverse=True)
+        names = np.concatenate([np.zeros(1, np.uint64), mix64(vocabulary + _STEP)])
+        self.word_keys = mix64(names[1:] ^ _STEP)
+        self.pair_keys = mix64(mix64(names[self.kinds // self.width] * np.uint64(3) + _STEP) + names[self.kinds % self.width])
+        self.keys = np.unique(np.concatenate([self.word_keys, self.pair_keys]))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the keys in all rows and in the target rows of the group."""
+        places = np.concatenate([np.searchsorted(self.keys, self.word_keys)[self.at - 1], np.searchsorted(self.keys, self.pair_keys)[self.pair]])
+        own = np.tile(self.target[self.doc], 2)
+        return np.bincount(places, minlength=len(self.keys)), np.bincount(places[own], minlength=len(self.keys))
+
+    def losses(self, corpus: tuple[np.ndarray, np.ndarray], models: Models) -> list[np.ndarray]:
+        """Mean target and background loss of each text, given the corpus counts of the keys."""
+        docs = len(self.sizes)
+        each, where, own_n = np.unique(self.doc * self.width + self.at, return_inverse=True, return_counts=True)
+        last = np.ones(len(self.doc), bool)
+        last[:-1] = self.doc[1:] != self.doc[:-1]
+        goes_on = np.bincount(where[~last], minlength=len(each))  # times a word has one after it
+        word_doc, word_key = each // self.width, np.searchsorted(self.keys, self.word_keys)[each % self.width - 1]
+        _, first, c = np.unique(self.doc * len(self.kinds) + self.pair, return_index=True, return_counts=True)
+        doc, start, kind, word = self.doc[first], self.before[first] == 0, self.pair[first], where[first]
+        pair_key = np.searchsorted(self.keys, self.pair_keys)[kind]
+        out = []
         for k in (1, 0):
-            seen = target if k else np.ones(docs, bool)
-            known = np.flatnonzero(word_no)
-            less = own_n[known] * seen[word_doc[known]]
-            single = np.maximum(model.word_counts[k][word_no[known] - 1] - less, 0)
-            total_sum = np.bincount(word_doc[known], goes_on[known] * np.log2(single + SMOOTHING), docs)
-            p = np.flatnonzero(settled_pair)
-            mine = seen[doc[p]]
-            both = np.maximum(model.pair_counts[k][place[p]] - c[p] * mine, 0)
-            single = np.maximum(model.word_counts[k][b_no[p] - 1] - own_n[where[p]] * mine, 0)
-            total = np.maximum(model.totals[k] - sizes[doc[p]] * mine, 0)
-            loss = np.where(before[p] == 0, np.log2(both + SMOOTHING), 0.0) - _numerator(both, single, total, model.size)
-            sums.append(total_sum + np.bincount(doc[p], c[p] * loss, docs))
-        # ``goes_on`` of other words goes with one of their pairs, none of which is settled.
-        leads = np.zeros(len(c), bool)
-        leads[np.unique(where, return_index=True)[1]] = True
-        leads &= b_no == 0
-        keep = np.flatnonzero(~settled_pair)
-        names = np.concatenate([[0], vocabulary.view(np.int64)])
-        name = np.where(number > 0, number, names)
-        row_of = np.array([r for r, _ in own], np.int64)
-        a, b = name[before[keep]], name[at[keep]]
-        salt = np.where(b_no[keep] > 0, 1 + (mix64(a.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
-        head = np.full(len(keep), -1, np.int64)
-        starts, head_at = np.unique(doc[keep], return_index=True)
-        head[head_at] = starts
-        bare = np.setdiff1d(np.arange(docs), starts)  # texts with nothing left: a row that joins nothing
-        zero = np.zeros(len(bare), np.int64)
-        join = lambda x, y: np.concatenate([x, y])
-        every, head = join(doc[keep], bare), join(head, bare)
-        has = head >= 0
-        taken = ids.take(pa.array(np.where(has, head, 0), mask=~has))
-        columns = [
-            pa.array(row_of[every]),
-            pa.array(join(a, row_of[bare])),
-            pa.array(join(b, zero)),
-            pa.array(join(salt, mix64(row_of[bare].view(np.uint64)).astype(np.int64) % SALTS).astype(np.int32)),
-            pa.array(join(c[keep], zero)),
-            pa.array(join(own_n[where[keep]], zero)),
-            pa.array(join(np.where(leads[keep], goes_on[where[keep]], 0), zero)),
-            pa.array(sizes[every]),
-            pa.array(target[every]),
-            taken,
-            pa.array(has.astype(np.int64)),
-            *[pa.array(np.where(has, s[np.maximum(head, 0)], 0.0)) for s in sums],
-        ]
-        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, model = word_hashes(), shared.value
-        for part in parts:
-            ids, done = part.column("doc_id"), 0
-            texts = zip(part.column("row").to_pylist(), part.column("target").to_pylist(), part.column("text").to_pylist())
-            for own, lists in _chunks(texts, hashed):
-                yield work(own, lists, ids.slice(done, len(own)), model)
-                done += len(own)
-
-    return run
+            seen = self.target if k else np.ones(docs, bool)
+            single = np.maximum(corpus[k][word_key] - own_n * seen[word_doc], 0)
+            both = np.maximum(corpus[k][pair_key] - c * seen[doc], 0)
+            total = np.maximum(models.totals[k] - self.sizes * seen, 0)[doc]
+            numerator = np.log2(both + SMOOTHING * ((single[word] + 1.0) / (total + models.size)))
+            loss = np.bincount(doc, c * (np.where(start, np.log2(both + SMOOTHING), 0.0) - numerator), docs)
+            loss += np.bincount(word_doc, goes_on * np.log2(single + SMOOTHING), docs)
+            out.append(np.divide(loss, self.sizes, out=np.zeros(docs), where=self.sizes > 0))
+        return out
 
 
 def score_documents(marked: DataFrame, models: Models) -> DataFrame:
@@ -236,45 +162,61 @@ def score_documents(marked: DataFrame, models: Models) -> DataFrame:
     target model is the uniform one.  Repeated rows repeat (a repeat counts as other text), an empty table gives
     an empty table.
     """
-    spark = marked.sparkSession
-    shared = spark.sparkContext.broadcast(models)
-    named = marked.select("doc_id", "text", "target", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
-    kind = marked.schema["doc_id"].dataType
-
-    sent = named.mapInArrow(
-        _send(to_arrow_type(kind), shared),
-        "row long, a long, b long, salt int, c long, own long, goes_on long, n long, target boolean, "
-        f"doc_id {kind.simpleString()}, one long, target_sum double, background_sum double",
-    )
-    numbers = range(1, len(models.words) + 1)
-    known = spark.createDataFrame(
-        pd.DataFrame({"b": numbers, "known_n": models.word_counts[0], "known_t": models.word_counts[1]}).astype("int64"),
-        "b long, known_n long, known_t long",
-    )
-    # Rows of a pair meet under (b, salt), and so do all rows of a word that is not frequent.
-    pair, word = Window.partitionBy("b", "salt", "a"), Window.partitionBy("b", "salt")
-    targets = F.when(F.col("target"), F.col("c")).otherwise(0)
-    met = sent.repartition("b", "salt").withColumns({"word_n": F.sum("c").over(word), "word_t": F.sum(targets).over(word)})
-    met = met.withColumns({"pair_n": F.sum("c").over(pair), "pair_t": F.sum(targets).over(pair)})
-    met = met.join(F.broadcast(known), "b", "left")  # at most ``share`` rows
-
-    def loss(k: int, seen: Column) -> Column:
-        own = lambda count: F.when(seen, F.col(count)).otherwise(0)
-        tail = "t" if k else "n"
-        both = F.col(f"pair_{tail}") - own("c")
-        single = F.coalesce(f"known_{tail}", f"word_{tail}") - own("own")
-        numerator = _numerator(both, single, F.lit(models.totals[k]) - own("n"), models.size, F.log2)
-        start = F.when(F.col("a") == 0, F.log2(both + SMOOTHING)).otherwise(0.0)
-        return F.when(F.col("c") > 0, F.col("c") * (start - numerator) + F.col("goes_on") * F.log2(single + SMOOTHING)).otherwise(0.0)
-
-    sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("one").alias("copies"),
-        F.max("n").alias("n_words"),
-        F.sum(F.col("target_sum") + loss(1, F.col("target"))).alias("target"),
-        F.sum(F.col("background_sum") + loss(0, F.lit(True))).alias("background"),
-    )
-    mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("copies") * F.col("n_words")), F.lit(0.0))
-    out = sums.select("doc_id", "n_words", mean("target").alias("target_loss"), mean("background").alias("background_loss"), "copies")
-    out = out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")
+    chars = marked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    groups, buckets = max(1, ceil(chars / GROUP_CHARS)), max(1, ceil(2 * models.totals[0] / BUCKET_KEYS))
+    own = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(groups)).cast("int")
+    dealt = marked.select(own.alias("g"), "doc_id", "target", "text")
+
+    def group_of(table: pa.Table) -> Group:
+        return Group(table.column("text").to_pylist(), table.column("target").to_pylist(), word_hashes())
+
+    def send(table: pa.Table) -> pa.Table:
+        group = group_of(table)
+        n, t = group.counts()
+        bucket = (group.keys % np.uint64(buckets)).astype(np.int64)
+        rows: dict[str, list] = {"g": [], "b": [], "k": [], "block": []}
+        order = np.argsort(bucket, kind="stable")  # keys stay in order inside a bucket
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[b] : cuts[b + 1]]
+            rows["g"].append(table.column("g")[0].as_py())
+            rows["b"].append(int(b))
+            rows["k"].append(len(at))
+            rows["block"].append(pack(np.diff(group.keys[at], prepend=np.uint64(0)), n[at], t[at]))
+        return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("b", pa.int32()), ("k", pa.int32()), ("block", pa.binary())]))
+
+    def add(table: pa.Table) -> pa.Table:
+        sizes = table.column("k").to_pylist()
+        blocks = [unpack(data, k) for data, k in zip(table.column("block").to_pylist(), sizes)]
+        keys, where = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in blocks]), return_inverse=True)
+        totals = []
+        for part in (1, 2):
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, where, np.concatenate([x[part] for x in blocks]).astype(np.int64))
+            totals.append(total)
+        ends = np.cumsum(sizes)
+        replies = [pack(totals[0][where[e - k : e]], totals[1][where[e - k : e]]) for e, k in zip(ends, sizes)]
+        return pa.table({"g": table.column("g"), "b": table.column("b"), "k": table.column("k"), "reply": pa.array(replies, pa.binary())})
+
+    kind = to_arrow_type(marked.schema["doc_id"].dataType)
+    fields = [("doc_id", kind), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())]
+
+    def score(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.schema(fields).empty_table()
+        group = group_of(table)
+        bucket = (group.keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        corpus = np.zeros(len(group.keys), np.int64), np.zeros(len(group.keys), np.int64)
+        for b, k, data in zip(*(replies.column(c).to_pylist() for c in ("b", "k", "reply"))):
+            for part, values in zip(corpus, unpack(data, k)):
+                part[order[cuts[b] : cuts[b + 1]]] = values
+        target, background = group.losses(corpus, models)
+        return pa.table([table.column("doc_id").combine_chunks(), pa.array(group.sizes), pa.array(target), pa.array(background)], schema=pa.schema(fields))
+
+    blocks = dealt.groupBy("g").applyInArrow(send, "g int, b int, k int, block binary")
+    replies = blocks.groupBy("b").applyInArrow(add, "g int, b int, k int, reply binary")
+    result = f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double"
+    out = dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(score, result)
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -109,17 +109,19 @@ def test_hard_texts(spark):
     assert lm_score.score_documents(none, lm_score.train_models(none)).count() == 0
 
 
-@pytest.mark.parametrize("share", [1, 40, lm_score.SHARE])
-def test_losses_of_many_words(spark, share, monkeypatch):
-    """More words than a fixed vocabulary would hold, a repeated row, null ids; what is frequent changes nothing."""
+@pytest.mark.parametrize("chars, keys", [(10**9, 10**9), (20_000, 5_000)])
+def test_losses_of_many_words(spark, chars, keys, monkeypatch):
+    """More words than a fixed vocabulary would hold, a repeated row, null ids; one group and bucket, or many."""
     texts = [prose(i, 2500, 10**6) + " " + prose(i % 5, 20, 30) for i in range(24)] + ["", None, "w1", prose(3, 50), prose(3, 50)]
     ids = [*range(28), 27]
     docs = frame(spark, texts, ids)
     docs = docs.unionByName(frame(spark, ["w1 w2"], [None]))
     texts = [*texts, "w1 w2"]
     monkeypatch.setattr(lm_score, "CHUNK", 4000)
+    monkeypatch.setattr(lm_score, "GROUP_CHARS", chars)
+    monkeypatch.setattr(lm_score, "BUCKET_KEYS", keys)
     marked = lm_score.mark_target(docs, spark.createDataFrame([(i,) for i in range(0, 24, 2)], "doc_id long"))
-    got = lm_score.score_documents(marked, lm_score.train_models(marked, share)).collect()
+    got = lm_score.score_documents(marked, lm_score.train_models(marked)).collect()
     want = brute_losses(texts, list(range(0, 24, 2)), 0)
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i in [*ids, None])
     by_id = {r.doc_id: r for r in got}
