@@ -22,26 +22,30 @@ LEAST_QUALITY = 0.3
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject, each row by itself: repeats stay, null and empty texts have
+    the score of a text without words.  Without labels no row is rejected; an empty table stays empty."""
     labels = ship_package(spark).read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality.train_quality(docs, labels)
     return quality.keep_quality(docs, weights, LEAST_QUALITY)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id."""
+    """Of equal texts the one with the largest doc_id (null is smallest), of repeated rows one.  Null text equals empty
+    text; an empty table stays empty."""
     ship_package(spark)
     return keep_rows(docs, exact_dedup.exact_duplicates(docs).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest doc_id (null is largest), of repeated
+    rows one.  Null, empty and wordless texts are groups of their own; an empty table stays empty."""
     ship_package(spark)
     return keep_rows(docs, path_join.near_duplicates(docs).filter("stays"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are less than a twentieth."""
+    """Documents of which benchmark passages are less than a twentieth, each row by itself: repeats stay, and so do null
+    and empty texts.  An empty benchmark drops nothing; an empty table stays empty."""
     benchmark = ship_package(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, benchmark)
 
