@@ -140,13 +140,28 @@ def default_models(seed: int = 42) -> dict[str, Estimator]:
     }
 
 
-def model_from_params(name: str, params: Mapping, seed: int = 42) -> Estimator:
-    """Estimator of a name with tuned parameters."""
+def model_from_params(name: str, params: Mapping, seed: int = 42, rows: int | None = None) -> Estimator:
+    """Estimator of a name with tuned parameters, for training on ``rows`` rows that :func:`assemble` made."""
+    own = spark_params(params, rows)
     if name == "Logistic Regression":
-        return LogisticRegression(**params)
+        return LogisticRegression(standardization=False, **own)
     if name == "Random Forest":
-        return RandomForestClassifier(seed=seed, **params)
-    return GBTClassifier(seed=seed, **params)
+        return RandomForestClassifier(seed=seed, **own)
+    return GBTClassifier(seed=seed, **own)
+
+
+def spark_params(params: Mapping, rows: int | None = None) -> dict:
+    """Drawn parameters under Spark's names.
+
+    ``C`` weighs the summed loss against half the squared weights; Spark weighs the squared weights against the mean
+    loss, so ``regParam`` is 1 / (C · rows).  ``balanced`` chooses the column of class weights, else of ones.
+    """
+    own = dict(params)
+    if "C" in own:
+        own["regParam"] = 1.0 / (own.pop("C") * rows)
+    if "balanced" in own:
+        own["weightCol"] = "balanced" if own.pop("balanced") else "plain"
+    return own
 
 
 def assemble(df: DataFrame, target: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -155,6 +170,14 @@ def assemble(df: DataFrame, target: str, keep: Sequence[str] = ()) -> DataFrame:
     return out.select(*keep, "features", F.col(target).cast("double").alias("label"))
 
 
+def with_class_weights(rows: DataFrame) -> DataFrame:
+    """Assembled rows with ``plain``, a column of ones, and ``balanced``: rows / (2 · rows of the own class)."""
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1.0).alias("p")).first()
+    weight = lambda k: sizes["n"] / (2.0 * max(1, k))
+    balanced = F.when(F.col("label") == 1.0, weight(sizes["p"])).otherwise(weight(sizes["n"] - sizes["p"]))
+    return rows.withColumns({"plain": F.lit(1.0), "balanced": balanced})
+
+
 def predict(model: Estimator, train: DataFrame, test: DataFrame, row_id: str) -> DataFrame:
     """(row_id, label, score): fit on assembled train rows, positive-class probability on assembled test rows."""
     scored = model.fit(train).transform(test)
@@ -252,16 +275,21 @@ def result_table(table: DataFrame, tests: DataFrame, settings: Sequence[str]) ->
 
 
 def random_params(name: str, rng: random.Random) -> dict:
-    """One random draw of the search space.  Fixed values: ranges of the parameters."""
+    """One random draw of the search space.  Fixed values: ranges of the parameters.
+
+    Spark's trees have at most 30 levels and no least number of rows for a split but that of a leaf; its logistic
+    regression has one solver.
+    """
     log = lambda lo, hi: lo * (hi / lo) ** rng.random()
     if name == "Logistic Regression":
-        return {"regParam": 1.0 / log(1e-4, 1e2) / 1000.0, "maxIter": rng.randint(300, 2000)}
+        return {"C": log(1e-4, 1e2), "balanced": rng.choice([False, True]), "maxIter": rng.randint(300, 2000)}
     if name == "Random Forest":
         return {
             "numTrees": rng.randint(100, 800),
             "maxDepth": rng.randint(2, 30),
             "minInstancesPerNode": rng.randint(1, 20),
             "featureSubsetStrategy": rng.choice(["sqrt", "log2", "all"]),
+            "balanced": rng.choice([False, True]),
         }
     return {
         "maxIter": rng.randint(100, 800),
@@ -297,7 +325,8 @@ def tune(
 ) -> tuple[dict, float]:
     """Best random parameters by mean AUC over stratified folds; stops when the search levels off."""
     rows = stratified_folds(df, row_id, target, folds, seed)
-    data = assemble(rows.drop(row_id), target, ["fold"]).cache()
+    data = with_class_weights(assemble(rows.drop(row_id), target, ["fold"])).cache()
+    trained_on = data.count() * (folds - 1) // folds
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     rng = random.Random(seed)
     best: tuple[dict, float] = ({}, float("-inf"))
@@ -306,7 +335,7 @@ def tune(
         while len(scores) < trials and not plateaued(scores):
             params = [draw(name, rng) for _ in range(min(batch, trials - len(scores)))]
             model = model_from_params(name, {}, seed)
-            maps = [{model.getParam(k): v for k, v in p.items()} for p in params]
+            maps = [{model.getParam(k): v for k, v in spark_params(p, trained_on).items()} for p in params]
             cv = CrossValidator(
                 estimator=model, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=len(maps)
             )

@@ -54,6 +54,26 @@ def test_parameter_search(spark):
     assert set(best) == {"regParam", "maxIter"} and score > 0.8
 
 
+def test_parameters_mean_what_they_say(spark):
+    """C and class weights as in the usual objective: the fit is that of gradient descent on C · loss + |w|² / 2."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2))
+    y = (x[:, 0] + 0.5 * rng.normal(size=200) > 0.8).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id int, a double, b double, y int")
+    rows = utility.with_class_weights(utility.assemble(df.drop("id"), "y"))
+    for balanced in (False, True):
+        model = utility.model_from_params("Logistic Regression", {"C": 0.05, "balanced": balanced, "maxIter": 500}, rows=200).fit(rows)
+        weight = np.where(y == 1, 100 / y.sum(), 100 / (200 - y.sum())) if balanced else np.ones(200)
+        w, b = np.zeros(2), 0.0
+        for _ in range(20000):
+            p = 1 / (1 + np.exp(-(x @ w + b)))
+            w -= 0.01 * (w + 0.05 * x.T @ (weight * (p - y)))
+            b -= 0.01 * 0.05 * (weight * (p - y)).sum()
+        assert np.allclose(model.coefficients.toArray(), w, atol=2e-3) and abs(model.intercept - b) < 5e-3
+
+
 def test_mapping_tables_have_one_row_per_key(spark, tmp_path):
     labels = tmp_path / "labels.csv"
     labels.write_text("raw,b,c,canonical\nHR,,,pulse\nHR,,,heart rate\nHR,,,pulse\n")
