@@ -23,6 +23,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,10 +39,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Models:
-    """Sizes of both models: words counted in the background and in the target, and words of the vocabulary (with one
-    for what is unknown)."""
+    """Sizes of the models: words counted in the background, and words of the vocabulary (with one for what is unknown).
+    Words of the target are counted on the way."""
 
-    totals: tuple[int, int]
+    total: int
     size: int
 
 
@@ -56,42 +57,30 @@ def _before(ids: np.ndarray, lists: list[np.ndarray], start: int) -> np.ndarray:
 
 
 def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(text, target) -> (item, n, t): counts of words in all and in target rows."""
+    """text -> (item, n): counts of words."""
     hashed = word_hashes()
 
-    def counted(lists: list[np.ndarray], target: list[bool]) -> pd.DataFrame:
-        items = np.concatenate(lists)
-        own = np.repeat(np.array(target, bool), [len(x) for x in lists])
-        found, where = np.unique(items.view(np.int64), return_inverse=True)
-        n, t = np.bincount(where, minlength=len(found)), np.bincount(where[own], minlength=len(found))
-        return pd.DataFrame({"item": found, "n": n, "t": t})
+    def counted(lists: list[np.ndarray]) -> pd.DataFrame:
+        where, found = pd.factorize(np.concatenate(lists).view(np.int64))
+        return pd.DataFrame({"item": found, "n": np.bincount(where, minlength=len(found))})
 
-    lists, target, n = [], [], 0
+    lists, n = [], 0
     for part in parts:
-        for own, text in zip(part["target"], part["text"]):
+        for text in part["text"]:
             lists.append(hashed(words(text or "")))
-            target.append(bool(own))
             n += len(lists[-1])
             if n >= CHUNK:
-                yield counted(lists, target)
-                lists, target, n = [], [], 0
+                yield counted(lists)
+                lists, n = [], 0
     if lists:
-        yield counted(lists, target)
+        yield counted(lists)
 
 
-def mark_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target says whether doc_id is in ``target_ids``."""
-    ids = target_ids.select(F.col("doc_id").alias("_id")).dropDuplicates()
-    joined = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-    return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
-
-
-def train_models(marked: DataFrame) -> Models:
-    """Sizes of both models over all rows of ``marked`` (text, target)."""
-    each = marked.select("text", "target").mapInPandas(_count, "item long, n long, t long")
-    each = each.groupBy("item").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    size, n, t = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    return Models((n, t), size + 1)
+def train_models(docs: DataFrame) -> Models:
+    """Sizes of the models over all texts of ``docs``."""
+    each = docs.select("text").mapInPandas(_count, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    size, n = each.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Models(n, size + 1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -105,118 +94,150 @@ def unpack(data: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(block.T).view("<u8").ravel() for block in raw]
 
 
+def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each value among the different ones, these, and where each of them comes first."""
+    codes, found = pd.factorize(values)
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, found, first
+
+
 class Group:
     """Words and pairs of the texts of a group, and the sorted keys under which they are counted."""
 
-    def __init__(self, texts: list, target: list, hashed):
+    def __init__(self, texts: list, target: np.ndarray, hashed):
         lists = [hashed(words(t or "")) for t in texts]
         self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.target = np.array([bool(t) for t in target], bool)
-        vocabulary, at = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.target = target
+        at, vocabulary, _ = _codes(np.concatenate([*lists, np.zeros(0, np.uint64)]))
         self.width = len(vocabulary) + 1
         self.at = at.astype(np.int64) + 1  # 0 stands before the first word
         self.doc = np.repeat(np.arange(len(lists)), self.sizes)
         self.before = _before(self.at, lists, 0)
-        self.kinds, self.pair = np.unique(self.before * self.width + self.at, return_inverse=True)
+        self.pair, self.kinds, _ = _codes(self.before * self.width + self.at)
         names = np.concatenate([np.zeros(1, np.uint64), mix64(vocabulary + _STEP)])
         self.word_keys = mix64(names[1:] ^ _STEP)
         self.pair_keys = mix64(mix64(names[self.kinds // self.width] * np.uint64(3) + _STEP) + names[self.kinds % self.width])
         self.keys = np.unique(np.concatenate([self.word_keys, self.pair_keys]))
+        self.word_places, self.pair_places = np.searchsorted(self.keys, self.word_keys), np.searchsorted(self.keys, self.pair_keys)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the keys in all rows and in the target rows of the group."""
-        places = np.concatenate([np.searchsorted(self.keys, self.word_keys)[self.at - 1], np.searchsorted(self.keys, self.pair_keys)[self.pair]])
-        own = np.tile(self.target[self.doc], 2)
-        return np.bincount(places, minlength=len(self.keys)), np.bincount(places[own], minlength=len(self.keys))
-
-    def losses(self, corpus: tuple[np.ndarray, np.ndarray], models: Models) -> list[np.ndarray]:
+        out = []
+        for own in (slice(None), self.target[self.doc]):
+            n = np.zeros(len(self.keys), np.int64)
+            np.add.at(n, self.word_places, np.bincount(self.at[own] - 1, minlength=len(self.word_keys)))
+            np.add.at(n, self.pair_places, np.bincount(self.pair[own], minlength=len(self.pair_keys)))
+            out.append(n)
+        return out[0], out[1]
+
+    def losses(self, corpus: tuple[np.ndarray, np.ndarray], totals: tuple[int, int], size: int) -> list[np.ndarray]:
         """Mean target and background loss of each text, given the corpus counts of the keys."""
         docs = len(self.sizes)
-        each, where, own_n = np.unique(self.doc * self.width + self.at, return_inverse=True, return_counts=True)
+        where, each, _ = _codes(self.doc * self.width + self.at)
+        own_n = np.bincount(where, minlength=len(each))
         last = np.ones(len(self.doc), bool)
         last[:-1] = self.doc[1:] != self.doc[:-1]
         goes_on = np.bincount(where[~last], minlength=len(each))  # times a word has one after it
-        word_doc, word_key = each // self.width, np.searchsorted(self.keys, self.word_keys)[each % self.width - 1]
-        _, first, c = np.unique(self.doc * len(self.kinds) + self.pair, return_index=True, return_counts=True)
+        word_doc, word_key = each // self.width, self.word_places[each % self.width - 1]
+        same, _, first = _codes(self.doc * max(1, len(self.kinds)) + self.pair)
+        c = np.bincount(same, minlength=len(first))
         doc, start, kind, word = self.doc[first], self.before[first] == 0, self.pair[first], where[first]
-        pair_key = np.searchsorted(self.keys, self.pair_keys)[kind]
+        pair_key = self.pair_places[kind]
         out = []
         for k in (1, 0):
             seen = self.target if k else np.ones(docs, bool)
             single = np.maximum(corpus[k][word_key] - own_n * seen[word_doc], 0)
             both = np.maximum(corpus[k][pair_key] - c * seen[doc], 0)
-            total = np.maximum(models.totals[k] - self.sizes * seen, 0)[doc]
-            numerator = np.log2(both + SMOOTHING * ((single[word] + 1.0) / (total + models.size)))
+            total = np.maximum(totals[k] - self.sizes * seen, 0)[doc]
+            numerator = np.log2(both + SMOOTHING * ((single[word] + 1.0) / (total + size)))
             loss = np.bincount(doc, c * (np.where(start, np.log2(both + SMOOTHING), 0.0) - numerator), docs)
             loss += np.bincount(word_doc, goes_on * np.log2(single + SMOOTHING), docs)
             out.append(np.divide(loss, self.sizes, out=np.zeros(docs), where=self.sizes > 0))
         return out
 
 
-def score_documents(marked: DataFrame, models: Models) -> DataFrame:
+def score_documents(docs: DataFrame, target_ids: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (bits per word) and score, their difference, of every row.
 
-    :param marked: the rows on which ``models`` were counted.
+    :param docs: the rows (doc_id, text and others) on which ``models`` were counted.
+    :param target_ids: doc_id of the rows that make the target; ids of no row, repeats and null change nothing.
 
     Texts without words, null and empty ones among them, have losses and a score of 0.  Without target rows the
     target model is the uniform one.  Repeated rows repeat (a repeat counts as other text), an empty table gives
     an empty table.
     """
-    chars = marked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    groups, buckets = max(1, ceil(chars / GROUP_CHARS)), max(1, ceil(2 * models.totals[0] / BUCKET_KEYS))
-    own = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(groups)).cast("int")
-    dealt = marked.select(own.alias("g"), "doc_id", "target", "text")
-
-    def group_of(table: pa.Table) -> Group:
-        return Group(table.column("text").to_pylist(), table.column("target").to_pylist(), word_hashes())
-
-    def send(table: pa.Table) -> pa.Table:
-        group = group_of(table)
-        n, t = group.counts()
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    groups, buckets = max(1, ceil(chars / GROUP_CHARS)), max(1, ceil(2 * models.total / BUCKET_KEYS))
+    total, size = models.total, models.size
+    # Rows and target ids of one id are in one group; rows without an id are dealt by their text.
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(groups)).cast("int")
+    loose = F.when(F.col("doc_id").isNull(), place(F.coalesce("text", F.lit("")))).otherwise(place("doc_id"))
+    dealt = docs.select(loose.alias("g"), "doc_id", "text")
+    kind = docs.schema["doc_id"].dataType
+    chosen = target_ids.select(F.col("doc_id").cast(kind)).dropna().distinct()
+    chosen = chosen.select(place("doc_id").alias("g"), "doc_id")
+
+    def group_of(table: pa.Table, ids: pa.ChunkedArray) -> Group:
+        target = pc.fill_null(pc.is_in(table.column("doc_id"), value_set=ids.drop_null()), False)
+        return Group(table.column("text").to_pylist(), target.to_numpy().astype(bool), word_hashes())
+
+    def laid_out(group: Group) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys, bucket after bucket and ascending inside, and where buckets begin."""
         bucket = (group.keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def send(table: pa.Table, ids: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"g": [], "b": [], "k": [], "block": []}
-        order = np.argsort(bucket, kind="stable")  # keys stay in order inside a bucket
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[b] : cuts[b + 1]]
-            rows["g"].append(table.column("g")[0].as_py())
-            rows["b"].append(int(b))
-            rows["k"].append(len(at))
-            rows["block"].append(pack(np.diff(group.keys[at], prepend=np.uint64(0)), n[at], t[at]))
-        return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("b", pa.int32()), ("k", pa.int32()), ("block", pa.binary())]))
+        if table.num_rows:
+            group = group_of(table, ids.column("doc_id"))
+            n, t = group.counts()
+            order, cuts = laid_out(group)
+            g, words_of_target = table.column("g")[0].as_py(), int(group.sizes[group.target].sum())
+            for b in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[b] : cuts[b + 1]]
+                block = pack(np.diff(group.keys[at], prepend=np.uint64(0)), n[at], t[at])
+                for name, value in zip(rows, (g, int(b), len(at), block)):
+                    rows[name].append(value)
+            for name, value in zip(rows, (g, -1, words_of_target, b"")):  # answered with the words of all targets
+                rows[name].append(value)
+        return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("b", pa.int32()), ("k", pa.int64()), ("block", pa.binary())]))
 
     def add(table: pa.Table) -> pa.Table:
         sizes = table.column("k").to_pylist()
+        if table.column("b")[0].as_py() < 0:
+            whole = pa.array([sum(sizes)] * len(sizes), pa.int64())
+            return pa.table({"g": table.column("g"), "b": table.column("b"), "k": whole, "reply": pa.array([b""] * len(sizes), pa.binary())})
         blocks = [unpack(data, k) for data, k in zip(table.column("block").to_pylist(), sizes)]
-        keys, where = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in blocks]), return_inverse=True)
-        totals = []
-        for part in (1, 2):
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, where, np.concatenate([x[part] for x in blocks]).astype(np.int64))
-            totals.append(total)
+        where, found = pd.factorize(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in blocks]))
+        totals = [np.bincount(where, np.concatenate([x[part] for x in blocks]).astype(np.float64), len(found)).astype(np.int64) for part in (1, 2)]
         ends = np.cumsum(sizes)
         replies = [pack(totals[0][where[e - k : e]], totals[1][where[e - k : e]]) for e, k in zip(ends, sizes)]
         return pa.table({"g": table.column("g"), "b": table.column("b"), "k": table.column("k"), "reply": pa.array(replies, pa.binary())})
 
-    kind = to_arrow_type(marked.schema["doc_id"].dataType)
-    fields = [("doc_id", kind), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())]
+    arrow = to_arrow_type(kind)
+    fields = pa.schema([("doc_id", arrow), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.schema(fields).empty_table()
-        group = group_of(table)
-        bucket = (group.keys % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        corpus = np.zeros(len(group.keys), np.int64), np.zeros(len(group.keys), np.int64)
+            return fields.empty_table()
+        group = group_of(table, replies.column("doc_id"))
+        order, cuts = laid_out(group)
+        corpus, of_target = (np.zeros(len(group.keys), np.int64), np.zeros(len(group.keys), np.int64)), 0
         for b, k, data in zip(*(replies.column(c).to_pylist() for c in ("b", "k", "reply"))):
-            for part, values in zip(corpus, unpack(data, k)):
-                part[order[cuts[b] : cuts[b + 1]]] = values
-        target, background = group.losses(corpus, models)
-        return pa.table([table.column("doc_id").combine_chunks(), pa.array(group.sizes), pa.array(target), pa.array(background)], schema=pa.schema(fields))
-
-    blocks = dealt.groupBy("g").applyInArrow(send, "g int, b int, k int, block binary")
-    replies = blocks.groupBy("b").applyInArrow(add, "g int, b int, k int, reply binary")
-    result = f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double"
-    out = dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(score, result)
+            if b == -1:
+                of_target = k
+            elif b is not None:
+                for part, values in zip(corpus, unpack(data, k)):
+                    part[order[cuts[b] : cuts[b + 1]]] = values
+        target, background = group.losses(corpus, (total, of_target), size)
+        return pa.table([table.column("doc_id").combine_chunks(), pa.array(group.sizes), pa.array(target), pa.array(background)], schema=fields)
+
+    sent = "g int, b int, k long, "
+    blocks = dealt.groupBy("g").cogroup(chosen.groupBy("g")).applyInArrow(send, f"{sent}block binary")
+    replies = blocks.groupBy("b").applyInArrow(add, f"{sent}reply binary")
+    back = replies.unionByName(chosen, allowMissingColumns=True)
+    result = f"doc_id {kind.simpleString()}, n_words long, target_loss double, background_loss double"
+    out = dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(score, result)
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -205,8 +205,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-entropy difference of documents: those labelled as good against all."""
     good = table(spark, folder, "labels").filter("quality = 1")
-    marked = lm_score.mark_target(table(spark, folder, "documents"), good)
-    return lm_score.score_documents(marked, lm_score.train_models(marked))
+    documents = table(spark, folder, "documents")
+    return lm_score.score_documents(documents, good, lm_score.train_models(documents))
 
 
 @query("op2_pii")

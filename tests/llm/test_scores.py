@@ -89,8 +89,7 @@ def brute_losses(texts, target, size):
 def test_losses_equal_plain_counting(spark):
     texts = [prose(i, 30, 40 if i % 2 else 15) for i in range(30)] + ["", None, "w1"]
     docs, ids = frame(spark, texts), spark.createDataFrame([(i,) for i in range(0, 30, 2)] + [(0,)], "doc_id long")
-    marked = lm_score.mark_target(docs, ids)
-    got = {r.doc_id: r for r in lm_score.score_documents(marked, lm_score.train_models(marked)).collect()}
+    got = {r.doc_id: r for r in lm_score.score_documents(docs, ids, lm_score.train_models(docs)).collect()}
     want = brute_losses(texts, list(range(0, 30, 2)), 0)
     for i, (target, background) in enumerate(want):
         assert got[i].target_loss == pytest.approx(target, rel=1e-4)
@@ -102,11 +101,11 @@ def test_losses_equal_plain_counting(spark):
 
 def test_hard_texts(spark):
     docs = frame(spark, HARD)
-    marked = lm_score.mark_target(docs, spark.createDataFrame([], "doc_id long"))
-    got = lm_score.score_documents(marked, lm_score.train_models(marked)).collect()
+    nobody = spark.createDataFrame([(None,), (10**9,)], "doc_id long")
+    got = lm_score.score_documents(docs, nobody, lm_score.train_models(docs)).collect()
     assert len(got) == len(HARD) and all(np.isfinite(r.score) for r in got)
-    none = marked.filter("false")
-    assert lm_score.score_documents(none, lm_score.train_models(none)).count() == 0
+    none = docs.filter("false")
+    assert lm_score.score_documents(none, nobody, lm_score.train_models(none)).count() == 0
 
 
 @pytest.mark.parametrize("chars, keys", [(10**9, 10**9), (20_000, 5_000)])
@@ -120,8 +119,8 @@ def test_losses_of_many_words(spark, chars, keys, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK", 4000)
     monkeypatch.setattr(lm_score, "GROUP_CHARS", chars)
     monkeypatch.setattr(lm_score, "BUCKET_KEYS", keys)
-    marked = lm_score.mark_target(docs, spark.createDataFrame([(i,) for i in range(0, 24, 2)], "doc_id long"))
-    got = lm_score.score_documents(marked, lm_score.train_models(marked)).collect()
+    ids_of_target = spark.createDataFrame([(i,) for i in range(0, 24, 2)], "doc_id long")
+    got = lm_score.score_documents(docs, ids_of_target, lm_score.train_models(docs)).collect()
     want = brute_losses(texts, list(range(0, 24, 2)), 0)
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i in [*ids, None])
     by_id = {r.doc_id: r for r in got}
@@ -134,8 +133,8 @@ def test_losses_of_many_words(spark, chars, keys, monkeypatch):
 def test_losses_with_more_words_than_a_fixed_vocabulary(spark):
     """40,000 different words: none becomes an unknown word, no pair shares the count of another."""
     texts = [" ".join(f"u{1000 * i + k}" for k in range(1000)) for i in range(40)] * 2
-    marked = lm_score.mark_target(frame(spark, texts), spark.createDataFrame([(0,), (40,)], "doc_id long"))
-    got = {r.doc_id: r for r in lm_score.score_documents(marked, lm_score.train_models(marked)).collect()}
+    docs, chosen = frame(spark, texts), spark.createDataFrame([(0,), (40,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score_documents(docs, chosen, lm_score.train_models(docs)).collect()}
     for i, (target, background) in enumerate(brute_losses(texts, [0, 40], 0)):
         assert got[i].target_loss == pytest.approx(target, rel=1e-9)
         assert got[i].background_loss == pytest.approx(background, rel=1e-9)
