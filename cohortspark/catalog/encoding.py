@@ -80,7 +80,7 @@ _LINES = ["l_orderkey", "l_linenumber"]
 
 def _draw_sql(c: str, p: str) -> str:
     draw = _UNIFORM.format(name=f"'7:{c}:' || l_orderkey || ':' || l_linenumber")
-    return f"round({p}.lo + {draw} * ({p}.hi - {p}.lo), 9) AS {c}"
+    return f"round({p}.lo + {draw} * ({p}.hi - {p}.lo), 6) AS {c}"
 
 
 @query(
@@ -91,7 +91,7 @@ def _draw_sql(c: str, p: str) -> str:
 def stochastic_transform(t: Tables):
     p = encode.stochastic_fit(t.lineitem, _NUMBERS)
     out = encode.stochastic_transform(t.lineitem.select(*_LINES, *_NUMBERS), p, _NUMBERS, 7, keys=_LINES)
-    return out.select(*_LINES, *[rnd(c, 9).alias(c) for c in _NUMBERS])
+    return out.select(*_LINES, *[rnd(c).alias(c) for c in _NUMBERS])
 
 
 @query(
