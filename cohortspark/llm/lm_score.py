@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -94,6 +95,12 @@ def unpack(data: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(block.T).view("<u8").ravel() for block in raw]
 
 
+@cache
+def hashes_of_worker():
+    """Word hashes with a memo that a Python worker keeps from one group to the next."""
+    return word_hashes()
+
+
 def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of each value among the different ones, these, and where each of them comes first."""
     codes, found = pd.factorize(values)
@@ -118,8 +125,13 @@ class Group:
         names = np.concatenate([np.zeros(1, np.uint64), mix64(vocabulary + _STEP)])
         self.word_keys = mix64(names[1:] ^ _STEP)
         self.pair_keys = mix64(mix64(names[self.kinds // self.width] * np.uint64(3) + _STEP) + names[self.kinds % self.width])
-        self.keys = np.unique(np.concatenate([self.word_keys, self.pair_keys]))
-        self.word_places, self.pair_places = np.searchsorted(self.keys, self.word_keys), np.searchsorted(self.keys, self.pair_keys)
+        keys = np.concatenate([self.word_keys, self.pair_keys])
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        self.keys, places = keys[order[new]], np.empty(len(keys), np.int64)
+        places[order] = np.cumsum(new) - 1
+        self.word_places, self.pair_places = places[: len(self.word_keys)], places[len(self.word_keys) :]
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the keys in all rows and in the target rows of the group."""
@@ -180,11 +192,11 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, models: Models) -> D
 
     def group_of(table: pa.Table, ids: pa.ChunkedArray) -> Group:
         target = pc.fill_null(pc.is_in(table.column("doc_id"), value_set=ids.drop_null()), False)
-        return Group(table.column("text").to_pylist(), target.to_numpy().astype(bool), word_hashes())
+        return Group(table.column("text").to_pylist(), target.to_numpy().astype(bool), hashes_of_worker())
 
     def laid_out(group: Group) -> tuple[np.ndarray, np.ndarray]:
         """Places of the keys, bucket after bucket and ascending inside, and where buckets begin."""
-        bucket = (group.keys % np.uint64(buckets)).astype(np.int64)
+        bucket = (group.keys % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         order = np.argsort(bucket, kind="stable")
         return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
