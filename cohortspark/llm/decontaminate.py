@@ -8,9 +8,11 @@ and found through the suffix links.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import re
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from cohortspark.session import safe_unions, settled
 
 WINDOW = 13
 BLOCK_WORDS = 200_000  # words of one automaton; a larger benchmark is split by item into several
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # words in a text as it is
 SCHEMA = "n_words long, items array<string>, spans array<struct<start: long, end: long>>"
 
 
@@ -144,22 +147,23 @@ class SuffixAutomaton:
                 spans.append((first, i + 1))
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """Benchmark items with their words, in blocks of about ``block_words`` words, streamed to the driver.
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Benchmark items with their words, in blocks of about ``block_words`` words, streamed to the driver one by one.
 
-    The benchmark is the stated query set; a block, not the benchmark, bounds an automaton.
+    The benchmark is the stated query set; a block, not the benchmark, bounds an automaton and what the driver
+    holds.  Rows with one item_id are one item; null ids are the item with the empty name.
     """
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
+    block: list[tuple[str, list[bytes]]] = []
     size = 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         ws = words(row["text"] or "")
         if ws:
             if size and size + len(ws) > block_words:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((row["i"] if row["i"] is not None else "", ws))
+                yield block
+                block, size = [], 0
+            block.append((row["i"] if row["i"] is not None else "", ws))
             size += len(ws)
-    return blocks
+    yield block
 
 
 def match_function(block: list[tuple[str, list[bytes]]], window: int = WINDOW):
@@ -197,26 +201,45 @@ def union_length(spans):
     )
 
 
+def merged_spans(spans):
+    """Sorted spans with those that overlap or touch made one, as an automaton gives them."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def take(done, s):
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
+        return F.when(last["end"] >= s["start"], joined).otherwise(F.concat(done, F.array(s))).cast(kind)
+
+    return F.aggregate(spans, F.array().cast(kind), take)
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Add n_words, items (sorted ids), spans (word spans) and n_hit to the rows of ``docs``, all columns kept.
 
     Existing columns of those names are replaced.  With one block every row is judged where it is read, without
-    a shuffle.  With several, the rows are written once, each block is a pass of its own (so that a task holds
-    one automaton), and the hits of a row, at most one entry per block, are merged.
+    a shuffle.  With several, the rows are written once, each block is a pass of its own, whose hits are written before
+    the next block is fetched (so that a task holds one automaton, the driver two blocks, and no plan grows with
+    the benchmark), and the hits of a row, at most one entry per block, are merged.
     """
     safe_unions(docs.sparkSession)
     blocks = benchmark_blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
     own = [c for c in docs.columns if c.lower() not in {"n_words", "items", "spans", "n_hit"}]
     rows = docs.select(*own)
-    if len(blocks) == 1:
-        found = rows.withColumn("_llm_m", match_function(blocks[0], window)("text"))
+    if second is None:
+        found = rows.withColumn("_llm_m", match_function(first, window)("text"))
         found = found.withColumns({"_llm_items": F.col("_llm_m.items"), "_llm_spans": F.col("_llm_m.spans")})
     else:
         rows = settled(rows.withColumn("_llm_row", F.monotonically_increasing_id()))
-        passes = [rows.select("_llm_row", match_function(b, window)("text").alias("m")) for b in blocks]
-        hits = reduce(DataFrame.unionByName, [p.filter(F.size("m.items") > 0) for p in passes])
+        hits = None
+        for block in chain([first, second], blocks):
+            one = rows.select("_llm_row", match_function(block, window)("text").alias("m")).filter(F.size("m.items") > 0)
+            one = settled(one)
+            hits = one if hits is None else hits.unionByName(one)
         hits = hits.groupBy("_llm_row").agg(F.collect_list("m").alias("m"))
         hits = hits.select("_llm_row", F.flatten("m.items").alias("_llm_items"), F.flatten("m.spans").alias("_llm_spans"))
+        hits = hits.withColumn("_llm_spans", merged_spans(F.array_sort("_llm_spans")))
         counted = rows.withColumn("_llm_m", match_function([], window)("text"))
         found = counted.join(hits, "_llm_row", "left")
         none = F.col("_llm_m")
@@ -253,6 +276,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return judged.select(*[F.col(f"_llm_c{i}").alias(c) for i, c in enumerate(kept)])
 
 
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = WINDOW, most_left: float = 1.0) -> DataFrame:
+    """``docs`` with benchmark passages cut out of their texts, columns as they were.
+
+    A hit span of ``least`` words or more goes, from its first to its last letter; shorter ones stay.  Rows of
+    which the cut passages make more than ``most_left`` of the words are dropped.  Null stays null, texts without a hit
+    stay as they are, repeated rows stay repeated.
+    """
+    kept = docs.columns
+    plain = docs.select(*[F.col(c).alias(f"_llm_c{i}") for i, c in enumerate(kept)], F.col("text"))
+    found = benchmark_matches(plain, benchmark, window)
+    long = F.filter("spans", lambda s: s["end"] - s["start"] >= least)
+    found = found.withColumn("_llm_cut", long).filter(union_length(F.col("_llm_cut")) <= most_left * F.col("n_words"))
+    cut = F.when(F.size("_llm_cut") > 0, F.pandas_udf(_cut_out, "string")("text", "_llm_cut")).otherwise(F.col("text"))
+    return found.select(*[(cut if c == "text" else F.col(f"_llm_c{i}")).alias(c) for i, c in enumerate(kept)])
+
+
+def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the words of the spans and what stands between them."""
+    out = []
+    for text, own in zip(texts, spans):
+        if text is None or own is None or not len(own):
+            out.append(text)
+            continue
+        places = [m.span() for m in _WORD.finditer(text)]
+        kept, at = [], 0
+        for s in own:  # in order; spans of different blocks may overlap
+            start, end = places[s["start"]][0], places[s["end"] - 1][1]
+            kept.append(text[at : max(at, start)])
+            at = max(at, end)
+        out.append("".join([*kept, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit word spans of every row."""
     found = benchmark_matches(docs.select("doc_id", "text"), benchmark, window, block_words)

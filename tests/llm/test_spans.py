@@ -154,6 +154,14 @@ def test_contaminated_rows(spark, block_words):
             assert (got[i].n_hit, got[i].n_items, got[i].n_words) == (n, len(own), len(words(t or ""))), i
             assert got[i].items_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
             assert got[i].contaminated == (n > 0 and 20 * n >= len(words(t or "")))
+    for least, most in ((13, 1.0), (13, 0.5), (2, 1.0)):
+        left = {r.doc_id: r for r in decontaminate.without_spans(docs, benchmark, least=least, most_left=most).collect()}
+        for i, t in enumerate(texts):
+            gone = [s for s in got[i].spans if s["end"] - s["start"] >= least]
+            drop = {k for s in gone for k in range(s["start"], s["end"])}
+            assert (i in left) == (len(drop) <= most * got[i].n_words)
+            if i in left:
+                assert left[i].score == "x" and (left[i].text == t if not gone else words(left[i].text) == [w for k, w in enumerate(words(t)) if k not in drop])
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
