@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cohortspark.catalog.cohort import _COHORT, _build, _codes
 from cohortspark.catalog.registry import Tables, query, rnd
-from cohortspark.catalog.roles import CLINICAL, KEYS, events, items, stays
+from cohortspark.catalog.roles import KEYS, events, items
 from cohortspark.functions import flags, text
 from cohortspark.operators import encode, fidelity, filters, grid, joins, rollup, utility
-from cohortspark.plans import cohort, features
+from cohortspark.operators.impute import hour_index
+from cohortspark.plans import cohort, features, reports
 
 _OWN = f"{_COHORT}, own AS (SELECT DISTINCT subject_id, hadm_id FROM cohort)"
 
@@ -279,3 +280,19 @@ def compared_distributions(t: Tables):
     real, synthetic = own.filter("l_linestatus = 'O'").select("level"), own.filter("l_linestatus <> 'O'").select("level")
     share = fidelity.compare_distributions(real, synthetic, ["level"])["share:level"]
     return share.select("source", F.col("level").cast("int").alias("level"), rnd("share", 8).alias("share"))
+
+
+@query(
+    "task_table",
+    """WITH s AS (SELECT o_custkey, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS step FROM orders),
+    x AS (SELECT * FROM s WHERE step < 3), c AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM x GROUP BY ALL),
+    m AS (SELECT o_custkey, arg_min(o_orderstatus, (-n, o_orderstatus)) AS o_orderstatus FROM c GROUP BY o_custkey)
+    SELECT x.o_custkey AS stay, round(avg(o_totalprice), 4) AS o_totalprice, m.o_orderstatus, (c_acctbal < 0)::INT AS target
+    FROM x JOIN m ON m.o_custkey = x.o_custkey JOIN customer ON c_custkey = x.o_custkey GROUP BY ALL""",
+)
+def task_table(t: Tables):
+    """The first three steps of each sequence as one row, with the target of its static row."""
+    s = hour_index(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "step").withColumnRenamed("o_custkey", "stay")
+    static = t.customer.select(F.col("c_custkey").alias("stay"), (F.col("c_acctbal") < 0).cast("int").alias("target"))
+    out = reports.task_table(s, static, "stay", ["o_totalprice"], ["o_orderstatus"], "target", hours=3)
+    return out.withColumn("o_totalprice", rnd("o_totalprice", 4))
