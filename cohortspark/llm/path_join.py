@@ -43,6 +43,7 @@ SALTS = 32  # keys over which the rows of one pivot are spread; a pivot stands f
 FIRST = 3  # levels that all points go down
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
 BLOCK = 1024  # points of a block in the exact comparison
+MEMO = 100_000  # words whose hashes a task remembers
 STRIP, WIDTH = 256, 512  # rows and shared shingles that are multiplied at once
 BLOCK_SHINGLES = 250_000  # shingles of a block; long texts make blocks of fewer points
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +109,7 @@ def _similarity(equal: np.ndarray) -> np.ndarray:
 
 def _set_function(embed: bool):
     def build():
-        hashed = word_hashes()
+        hashed = word_hashes(MEMO)
 
         def work(texts: list[str]) -> dict:
             sets = [shingles(hashed(words(t))) for t in texts]

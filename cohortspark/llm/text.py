@@ -57,22 +57,22 @@ def ascii_lower(text: str) -> str:
 
 
 class Memo(dict):
-    """Cache of a pure function of one key, emptied when it holds MEMO_LIMIT entries."""
+    """Cache of a pure function of one key, emptied when it holds ``limit`` entries."""
 
-    def __init__(self, compute: Callable):
+    def __init__(self, compute: Callable, limit: int = MEMO_LIMIT):
         super().__init__()
-        self.compute = compute
+        self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= MEMO_LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.compute(key)
         return value
 
 
-def word_hashes() -> Callable[[list[bytes]], np.ndarray]:
+def word_hashes(limit: int = MEMO_LIMIT) -> Callable[[list[bytes]], np.ndarray]:
     """Function from words to their 64-bit hashes."""
-    memo = Memo(xxhash.xxh3_64_intdigest)
+    memo = Memo(xxhash.xxh3_64_intdigest, limit)
     return lambda ws: np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
 
 
