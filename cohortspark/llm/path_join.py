@@ -38,7 +38,7 @@ TOKENS = 128  # minhash tokens of a point
 LOOSE = 0.5  # similarity by sketches that makes a candidate: eight deviations below the threshold
 LEAVES = 0.84  # similarity to a pivot by sketches from which a point need not be split further
 PIVOTS = 4  # choices of a pivot in one group; which of them a bucket has depends on its path
-BUCKET = 1000  # points of a bucket that are compared at once
+BUCKET = 2000  # points of a bucket that are compared at once
 SALTS = 32  # keys over which the rows of one pivot are spread; a pivot stands for more than BUCKET rows
 FIRST = 3  # levels that all points go down
 DEPTH = 8  # levels; what is still larger then is compared in full as one candidate group
