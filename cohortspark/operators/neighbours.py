@@ -4,14 +4,15 @@ Neither a cross join nor a per-row pair is produced.  Equal vectors are collapse
 in the cells of a two-level pivot tree, about as many cells as the square root of the references, and cells are cut
 into blocks of bounded size.  A query first meets the cell of its nearest pivot, which gives it a bound; then it
 goes to the cells that can hold something as near (triangle-inequality and bisector bounds on both levels of the
-tree).  Blocks meet queries in an equi-join, and each meeting returns at most k candidates per query.  Distances in a
-meeting are a matrix product; whatever is within its rounding error of the k nearest is computed again coordinate
-by coordinate, so the result is exact for every metric below.
+tree).  Cells are gathered in shards and queries in groups of bounded size; a group and a shard meet in one task, which
+goes through the cells with the bounds as they shrink and returns at most k candidates per query.  Distances are a
+matrix product; whatever is within its rounding error of the k nearest is computed again coordinate by coordinate,
+so the result is exact for every metric below.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import ceil, isqrt
 
 import numpy as np
@@ -24,6 +25,7 @@ from cohortspark.session import settled
 BLOCK_CELLS = 1 << 16  # numbers per packed block: half a megabyte
 PIVOT_NUMBERS = 1 << 22  # numbers of all pivots, which every task holds: 32 megabytes
 TILE = 64  # blocks on a side of a tile of block pairs: 32 megabytes
+FOUND = 1 << 22  # candidates of a group of queries in a shard
 SLACK = 1e-9
 
 
@@ -43,34 +45,62 @@ def _gap(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Squared Euclidean distances, or the share of differing coordinates; summed in coordinate order."""
-    out = np.zeros((len(a), len(b)))
+    out = np.zeros((len(a), len(b)), float if metric == "euclidean" else np.int16 if a.shape[1] < 32768 else np.int64)
     for d in range(a.shape[1]):
-        out += _gap(a[:, d, None], b[None, :, d], metric)
+        out += _gap(np.ascontiguousarray(a[:, d])[:, None], np.ascontiguousarray(b[:, d])[None, :], metric)
     return out if metric == "euclidean" else out / a.shape[1]
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, distance as in ``_distances``) of the k nearest of each row of a; of ties the first."""
-    n, dim = a.shape
-    k = min(k, len(b))
+def _lowest(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k lowest (d, j) of each i, in order, with their place from 0; NaN is the largest distance."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], d[place < k], place[place < k]
+
+
+def _near(a: np.ndarray, b: np.ndarray, k: int, metric: str, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance as in ``_distances``): all pairs that can be of the k nearest and no farther than ``cut``."""
     if metric == "euclidean" and np.isfinite(a).all() and np.isfinite(b).all():
         with np.errstate(over="ignore", invalid="ignore"):
             a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
-            about = a2[:, None] + b2[None, :] - 2.0 * (a @ b.T)
-            error = 4.0 * (dim + 4) * np.finfo(float).eps * (a2 + b2.max())
-            last = np.partition(about, k - 1, axis=1)[:, k - 1]
-            near = ~(about > (last + 2.0 * error)[:, None])  # overflown ones stay
-        i, j = np.nonzero(near)
-        exact = np.zeros(len(i))
-        for d in range(dim):
-            exact += _gap(a[i, d], b[j, d], metric)
+            about = a @ (-2.0 * b.T)
+            about += a2[:, None]
+            about += b2[None, :]
+            error = 4.0 * (a.shape[1] + 4) * np.finfo(float).eps * (a2 + b2.max())
+            last = cut + error
+            wide = ~np.isfinite(cut)
+            if wide.any() and len(b) > k:
+                last[wide] = np.partition(about[wide], k - 1, axis=1)[:, k - 1] + 2.0 * error[wide]
+            i, j = np.nonzero(~(about > last[:, None]))  # overflown ones stay
+            exact = np.zeros(len(i))
+            for d in range(a.shape[1]):
+                exact += _gap(a[i, d], b[j, d], metric)
     else:
-        i, j = np.divmod(np.arange(n * len(b)), len(b))
-        exact = _distances(a, b, metric).ravel()
-    order = np.lexsort((j, exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    place = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i]
-    return i[place < k], j[place < k], exact[place < k]
+        exact = _distances(a, b, metric)
+        last = cut.copy()
+        wide = ~np.isfinite(cut)
+        if wide.any() and len(b) > k:
+            last[wide] = np.partition(exact[wide], k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(~(exact > last[:, None]))
+        exact = exact[i, j]
+    return i, j, exact
+
+
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Small numbers in place of values, equal where the values are; NaN equals nothing."""
+    codes = np.empty((len(a) + len(b), a.shape[1]), np.int32)
+    for d in range(a.shape[1]):
+        codes[:, d] = np.unique(np.concatenate([a[:, d], b[:, d]]), return_inverse=True, equal_nan=False)[1]
+    small = np.int8 if codes.max(initial=0) < 128 else np.int16 if codes.max(initial=0) < 32768 else np.int32
+    codes = codes.astype(small)
+    return codes[: len(a)], codes[len(a) :]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """The runs of sorted keys: their keys and places."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], [slice(x, y) for x, y in zip(starts, [*starts[1:], len(keys)])]
 
 
 def _metric(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -136,13 +166,18 @@ class PivotTree:
             cell[rows] = used[_metric(v[rows], self.leaves[used], self.metric).argmin(axis=1)]
         return cell
 
-    def visits(self, v: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(cell, rows of v that can have a reference there within their bound), for all cells."""
-        bound = bound * (1 + SLACK) + SLACK
-        near = _metric(v, self.tops, self.metric)
+    def visits(self, v: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(cell, rows of v that can have a reference there within their bound), for all or the ``wanted`` cells.
+
+        ``bounds`` may shrink meanwhile; they are looked at again for each top pivot.
+        """
+        wanted = self.far >= 0 if wanted is None else wanted
+        tops = [t for t in np.flatnonzero(self.reach >= 0) if wanted[self.under(t)].any()]
+        near = _metric(v, self.tops[tops], self.metric)
         with np.errstate(invalid="ignore", divide="ignore"):
-            for t in np.flatnonzero(self.reach >= 0):
-                rows = np.flatnonzero(~(near[:, t] - self.reach[t] > bound))
+            for at, t in enumerate(tops):
+                bound = bounds * (1 + SLACK) + SLACK
+                rows = np.flatnonzero(~(near[:, at] - self.reach[t] > bound))
                 if not len(rows):
                     continue
                 cells = np.arange(self.starts[t], self.starts[t + 1])
@@ -155,7 +190,7 @@ class PivotTree:
                     between = _metric(self.leaves[cells], self.leaves[cells], self.metric)[best]
                     low = np.fmax(low, np.where(between > 0, (d * d - (own * own)[:, None]) / (2 * between), 0.0))
                 low = np.where(np.isfinite(d) & np.isfinite(far) & np.isfinite(d.min(axis=1))[:, None], low, -np.inf)
-                open_cells = (self.far[cells] >= 0)[None, :] & ~(low > bound[rows][:, None])
+                open_cells = wanted[cells][None, :] & ~(low > bound[rows][:, None])
                 for c in np.flatnonzero(open_cells.any(axis=0)):
                     yield int(cells[c]), rows[open_cells[:, c]]
 
@@ -213,71 +248,135 @@ def knn_join(
 
     placed = settled(kept.mapInPandas(assign, f"r {r_type}, v array<double>, cell int, radius double, top_radius double"))
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"), F.max("top_radius").alias("top_far"))
-    cells = sizes.collect()  # one row for each pivot at most
+    cells = sorted(sizes.collect(), key=lambda c: c["cell"])  # one row for each pivot at most
     tree.measure(cells)
-    parts = spark.createDataFrame([(c["cell"], ceil(c["n"] / block)) for c in cells], "cell int, parts int")
+    distinct = settled(asked.groupBy("v").agg(F.min("qid").alias("q")))
+    n_asked = distinct.count()
+    side = min(TILE, ceil(ceil(max(n_asked, sum(c["n"] for c in cells)) / block) ** 0.5)) * block
+    groups = ceil(max(n_asked, 1) / max(1, min(side, FOUND // k)))
+
+    # Neighbouring cells share a shard of at most ``side`` references or so; a larger cell is spread over shards of its own.
+    deal, shard, filled = [], 0, 0
+    for c in cells:
+        if filled and filled + c["n"] > side:
+            shard, filled = shard + 1, 0
+        parts = ceil(c["n"] / side)
+        deal.append((c["cell"], shard, parts))
+        shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + c["n"])
+    dealt = spark.createDataFrame(deal, "cell int, shard int, parts int")
+    shards_of = np.zeros((len(tree.leaves), 2), np.int64)  # first shard and number of shards of a cell
+    shards_of[[d[0] for d in deal]] = [d[1:] for d in deal]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for (cell, part), g in batch.groupby(["cell", "part"], sort=False):
-                g = g.sort_values("r")
+            for (shard, cell), g in batch.groupby(["shard", "cell"], sort=False):
                 for at in range(0, len(g), block):
                     piece = g.iloc[at : at + block]
-                    rows.append((cell, part, piece["r"].tolist(), _matrix(piece["v"], dim).tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["cell", "part", "rid", "rv"])
-
-    spread = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
-    spread = spread.select("cell", "part", "r", "v").repartition("cell", "part")
-    ref_blocks = settled(spread.mapInPandas(pack, f"cell int, part int, rid array<{r_type}>, rv binary"))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for qid, qv, rid, rv in zip(batch["qid"], batch["qv"], batch["rid"], batch["rv"]):
-                i, j, d = _nearest(_unpack(qv, dim), _unpack(rv, dim), k, metric)
-                yield pd.DataFrame({"q": np.asarray(qid)[i], "r": np.asarray(rid)[j], "d": d})
+                    yield pd.DataFrame({"shard": [shard], "cell": [cell], "rid": [piece["r"].tolist()], "rv": [_matrix(piece["v"], dim).tobytes()]})
+
+    spread = placed.join(F.broadcast(dealt), "cell").withColumn("shard", (F.col("shard") + F.pmod(F.xxhash64("r"), F.col("parts"))).cast("int"))
+    spread = spread.select("shard", "cell", "r", "v").repartition("shard", "cell")
+    ref_blocks = settled(spread.mapInPandas(pack, f"shard int, cell int, rid array<{r_type}>, rv binary"))
+
+    id_kinds = [object if t == "string" else None for t in (q_type, r_type)]
+
+    def meet(key: tuple, asks: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(refs):
+            return pd.DataFrame({"q": pd.Series([], dtype=id_kinds[0] or "int64"), "r": pd.Series([], dtype=id_kinds[1] or "int64"), "d": pd.Series([], dtype=float)})
+        ask = np.concatenate([_unpack(raw, dim) for raw in asks["qv"]])
+        cut_all = np.concatenate([np.frombuffer(raw) for raw in asks["cut"]])
+        rid = np.concatenate([np.asarray(r, id_kinds[1]) for r in refs["rid"]])
+        cell_of = np.repeat(refs["cell"].to_numpy(), [len(r) for r in refs["rid"]])
+        order = np.argsort(rid, kind="stable")
+        rid, cell_of = rid[order], cell_of[order]
+        ref = np.concatenate([_unpack(raw, dim) for raw in refs["rv"]])[order]
+        ask_codes, ref_codes = (ask, ref) if metric == "euclidean" else _coded(ask, ref)
+        by_cell = np.argsort(cell_of, kind="stable")  # inside a cell by id
+        held = {int(c): by_cell[at] for c, at in zip(*_runs(cell_of[by_cell]))}
+        wanted = np.zeros(len(tree.leaves), bool)
+        wanted[list(held)] = True
+        q_at, r_at, found = [], [], []
+        size = max(1, min(block, FOUND // k))
+        for at in range(0, len(ask), size):
+            v, codes, cut = ask[at : at + size], ask_codes[at : at + size], cut_all[at : at + size].copy()
+            bound = np.sqrt(cut) if metric == "euclidean" else cut.copy()
+            far, who = np.full((len(v), min(k, len(ref))), np.nan), np.full((len(v), min(k, len(ref))), -1)
+
+            def look(cell: int, rows: np.ndarray) -> None:
+                there = held[cell]
+                for begin in range(0, len(there), block):
+                    some = there[begin : begin + block]
+                    i, j, d = _near(codes[rows], ref_codes[some], k, metric, cut[rows])
+                    if not len(i):
+                        continue
+                    i, j = rows[i], some[j]
+                    touched = np.unique(i)
+                    old, slot = np.nonzero(who[touched] >= 0)
+                    old = touched[old]
+                    slots = (old, slot)
+                    i, j, d, place = _lowest(np.concatenate([old, i]), np.concatenate([who[slots], j]), np.concatenate([far[slots], d]), k)
+                    far[i, place], who[i, place] = d, j
+                    if far.shape[1] == k:
+                        last = np.where((who[touched, -1] >= 0) & ~np.isnan(far[touched, -1]), far[touched, -1], np.inf)
+                        cut[touched] = np.minimum(cut[touched], last)
+                        bound[touched] = np.sqrt(cut[touched]) if metric == "euclidean" else cut[touched]
+
+            home = tree.home(v)
+            for c in np.unique(home):
+                if int(c) in held:
+                    look(int(c), np.flatnonzero(home == c))
+            for c, rows in tree.visits(v, bound, wanted):
+                rows = rows[home[rows] != c]
+                if len(rows):
+                    look(c, rows)
+            rows, slot = np.nonzero(who >= 0)
+            q_at.append(at + rows), r_at.append(who[rows, slot]), found.append(far[rows, slot])
+        qid = np.concatenate([np.asarray(q, id_kinds[0]) for q in asks["qid"]])
+        q_ids, r_ids = qid[np.concatenate(q_at)], rid[np.concatenate(r_at)]
+        return pd.DataFrame({"q": pd.Series(q_ids, dtype=q_ids.dtype), "r": pd.Series(r_ids, dtype=r_ids.dtype), "d": np.concatenate(found)})
 
     def met(asks: DataFrame) -> DataFrame:
-        """Candidates (q, r, d) of packed queries (cell, qid, qv) from all blocks of their cells."""
-        each = asks.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        joined = each.join(ref_blocks, ["cell", "part"]).select("qid", "qv", "rid", "rv")
-        return joined.mapInPandas(meet, f"q {q_type}, r {r_type}, d double")
+        """Candidates (q, r, d) of packed queries (shard, part, qid, qv, cut); a shard is handed to every group of queries."""
+        each = ref_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        both = asks.groupBy("shard", "part").cogroup(each.groupBy("shard", "part"))
+        return both.applyInPandas(meet, f"q {q_type}, r {r_type}, d double")
 
-    def routed(visits) -> DataFrame:
-        """``visits(batch, vectors)`` gives (cell, rows); the queries of a cell are packed together."""
+    def routed(shards) -> Callable:
+        """``shards(vectors, bounds)`` gives (shard, rows); the queries of a batch for a shard are packed together."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    ids, v = batch["q"].to_numpy(), _matrix(batch["v"], dim)
-                    rows = [
-                        (cell, ids[pick[at : at + block]].tolist(), v[pick[at : at + block]].tobytes())
-                        for cell, pick in visits(batch, v)
-                        for at in range(0, len(pick), block)
-                    ]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["cell", "qid", "qv"])
+                for part, g in batch.groupby("part", sort=False):
+                    for begin in range(0, len(g), block):
+                        some = g.iloc[begin : begin + block]
+                        ids, v, cut = some["q"].to_numpy(), _matrix(some["v"], dim), some["cut"].fillna(np.inf).to_numpy(np.float64)
+                        for shard, pick in shards(v, np.sqrt(cut) if metric == "euclidean" else cut):
+                            one = {"shard": shard, "part": part, "qid": [ids[pick].tolist()], "qv": [v[pick].tobytes()], "cut": [cut[pick].tobytes()]}
+                            yield pd.DataFrame(one)
 
         return run
 
-    def at_home(batch: pd.DataFrame, v: np.ndarray):
-        home = tree.home(v)
-        return ((int(c), np.flatnonzero(home == c)) for c in np.unique(home))
+    def at_home(v: np.ndarray, bound: np.ndarray):
+        first = shards_of[tree.home(v), 0]
+        return ((int(s), np.flatnonzero(first == s)) for s in np.unique(first))
 
-    def elsewhere(batch: pd.DataFrame, v: np.ndarray):
-        home, bound = tree.home(v), batch["bound"].fillna(np.inf).to_numpy(np.float64)
-        visits = ((c, rows[home[rows] != c]) for c, rows in tree.visits(v, bound))
-        return ((c, rows) for c, rows in visits if len(rows))
+    def elsewhere(v: np.ndarray, bound: np.ndarray):
+        to = np.zeros((shard + 1, len(v)), bool)
+        for c, rows in tree.visits(v, bound):
+            first, parts = shards_of[c]
+            for s in range(first, first + parts):
+                to[s, rows] = True
+        to[shards_of[tree.home(v), 0], np.arange(len(v))] = False  # been there
+        return ((s, np.flatnonzero(to[s])) for s in np.flatnonzero(to.any(axis=1)))
 
-    packed = f"cell int, qid array<{q_type}>, qv binary"
-    distinct = settled(asked.groupBy("v").agg(F.min("qid").alias("q")))
+    packed = f"shard int, part int, qid array<{q_type}>, qv binary, cut binary"
     w = Window.partitionBy("q").orderBy("d", "r")
     top = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    first = settled(top(met(distinct.select("q", "v").mapInPandas(routed(at_home), packed))))
-    bound = F.sqrt("d") if metric == "euclidean" else F.col("d")
-    bounds = first.filter(F.col("rank") == k).select("q", bound.alias("bound"))  # fewer than k so far: no bound
-    others = met(distinct.join(bounds, "q", "left").select("q", "v", "bound").mapInPandas(routed(elsewhere), packed))
+    grouped = distinct.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
+    unbound = grouped.withColumn("cut", F.lit(None).cast("double"))
+    first = settled(top(met(unbound.select("q", "v", "part", "cut").mapInPandas(routed(at_home), packed))))
+    bounds = first.filter(F.col("rank") == k).select("q", F.col("d").alias("cut"))  # fewer than k so far: no bound
+    others = met(grouped.join(bounds, "q", "left").select("q", "v", "part", "cut").mapInPandas(routed(elsewhere), packed))
     best = top(first.select("q", "r", "d").unionByName(others))
     distance = F.sqrt("d") if metric == "euclidean" else F.col("d")
     members = asked.join(distinct, "v").select("qid", "q")

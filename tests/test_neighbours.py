@@ -47,6 +47,29 @@ def test_infinite_values_and_text_ids(spark):
     }
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "hamming"])
+def test_groups_of_queries_meet_shards_of_cells(spark, monkeypatch, metric):
+    """A task holds one group and one shard, not a batch of copied blocks; small shards, a crowded cell and ties change nothing."""
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 32)  # blocks of 16 rows
+    monkeypatch.setattr(neighbours, "TILE", 3)
+    rng = np.random.default_rng(5)
+    ref, ask = np.round(rng.normal(size=(400, 4)), 1), np.round(rng.normal(size=(150, 4)), 1)
+    ref[200:, :3] = 9.0  # one cell of many
+    ref[200:, 3] = np.arange(200) // 2
+    if metric == "hamming":
+        ref, ask = np.floor(ref), np.floor(ask)
+        far = (ask[:, None] != ref[None]).sum(-1) / 4
+    else:
+        far = sum((ask[:, None, d] - ref[None, :, d]) ** 2 for d in range(4))
+    order = np.argsort(far, axis=1, kind="stable")[:, :3]
+    far = far if metric == "hamming" else np.sqrt(far)
+    joined = neighbours.knn_join(frame(spark, ask, "q"), frame(spark, ref, "r"), "q", "r", k=3, metric=metric, pivots=9)
+    got = {(r.q, r["rank"]): (r.r, r.distance) for r in joined.collect()}
+    assert got == {(i, j + 1): (order[i, j], far[i, order[i, j]]) for i in range(150) for j in range(3)}
+    plan = joined._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
 def test_few_references(spark):
     ask = frame(spark, np.zeros((3, 2)), "q")
     assert neighbours.knn_join(ask, frame(spark, np.ones((2, 2)), "r"), "q", "r", k=5).count() == 6
