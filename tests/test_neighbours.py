@@ -140,3 +140,16 @@ def test_kernel_means_in_tiles(spark, monkeypatch, tile):
     kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1) / 2).mean()
     got = neighbours.mmd(frame(spark, x, "q"), frame(spark, y, "q")).first()[0]
     assert abs(got - (kernel(x, x) + kernel(y, y) - 2 * kernel(x, y))) < 1e-12
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5])
+def test_kernel_by_matrix_product(monkeypatch, scale):
+    """The matrix product serves where its rounding does not matter; large values go coordinate by coordinate."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(30, 8)) + scale
+    asked = []
+    plainly = neighbours._distances
+    monkeypatch.setattr(neighbours, "_distances", lambda *a: asked.append(1) or plainly(*a))
+    got = neighbours._kernel(x, x[:20], 1.0)
+    assert np.abs(got - np.exp(-((x[:, None] - x[None, :20]) ** 2).sum(-1) / 2)).max() < 1e-11
+    assert len(asked) == (scale > 1)
