@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from cohortspark.functions.times import explode_hours
 # Fluids whose share is computed apart from the other medications.
 FLUIDS = ("Plasma solution A", "Dextrose 5% & Na K2", "Hartmann", "Normal saline", "Dextrose 5%")
 
+TASK_HOURS = 1 << 19  # hours that a task spreads
+
 Aggregate = Callable[[Column], Column]
 
 AGGREGATES: dict[str, Aggregate] = {
@@ -81,13 +84,28 @@ def pivot_last(
     return wide if fill is None else wide.fillna(fill)
 
 
+def _hourly(intervals: DataFrame, spans: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[DataFrame, list[str]]:
+    """``intervals`` spread over their hours from 0 on, dealt by (keys, day), and the columns that name an hour.
+
+    An interval goes to each day it touches and is spread there, so what follows by (keys, day, hour) needs no other
+    exchange.  The tasks follow the hours of ``spans``, the rows behind the intervals: about TASK_HOURS each at most.
+    """
+    first, last = F.greatest(F.col(start), F.lit(0)).cast("bigint"), F.col(end).cast("bigint")
+    hours = spans.agg(F.sum(F.greatest(last - first + 1, F.lit(0)))).first()[0]
+    parts = max(1, ceil((hours or 0) / TASK_HOURS))
+    days = intervals.filter(last >= first).withColumns({"_first": F.floor(first / 24), "_last": F.floor(last / 24)})
+    dealt = explode_hours(days, "_first", "_last", "_day").repartition(parts, *[F.col(f"`{k}`") for k in keys], F.col("_day"))
+    inside = {"_from": F.greatest(first, F.col("_day") * 24), "_to": F.least(last, F.col("_day") * 24 + 23)}
+    return explode_hours(dealt.withColumns(inside).drop(start, end), "_from", "_to"), [*keys, "_day", "hours"]
+
+
 def interval_mean(
     df: DataFrame, keys: Sequence[str], label: str, amount: str, start: str = "start_hours", end: str = "end_hours", values=None
 ) -> DataFrame:
     """Mean amount per interval and label, spread over the interval's hours, mean again per hour."""
     per_interval = df.groupBy(*keys, start, end, label).agg(F.avg(amount).alias(amount))
-    hourly = explode_hours(per_interval, start, end)
-    return pivot(hourly, [*keys, "hours"], label, F.avg(amount), values)
+    hourly, by = _hourly(per_interval, df, keys, start, end)
+    return pivot(hourly, by, label, F.avg(amount), values).drop("_day")
 
 
 def interval_flag(
@@ -95,8 +113,8 @@ def interval_flag(
 ) -> DataFrame:
     """1 in every hour an interval of the label covers, 0 in hours that only other labels cover."""
     once = df.select(*keys, label, start, end).distinct()
-    hourly = explode_hours(once, start, end)
-    return code_flags(hourly, [*keys, "hours"], label, prefix, values)
+    hourly, by = _hourly(once, df, keys, start, end)
+    return code_flags(hourly, by, label, prefix, values).drop("_day")
 
 
 def interval_weight(
@@ -106,7 +124,8 @@ def interval_weight(
     """Weight per hour: mean per interval (and label), spread, mean per hour, nulls left out."""
     group = [*keys, start, end, *([label] if label else [])]
     per_interval = df.groupBy(*group).agg(F.avg(weight).alias(weight)).filter(F.col(weight).isNotNull())
-    return explode_hours(per_interval, start, end).groupBy(*keys, "hours").agg(F.avg(weight).alias(weight))
+    hourly, by = _hourly(per_interval, df, keys, start, end)
+    return hourly.groupBy(*by).agg(F.avg(weight).alias(weight)).drop("_day")
 
 
 def merge_weights(streams: Sequence[DataFrame], keys: Sequence[str], weight: str = "patientweight") -> DataFrame:

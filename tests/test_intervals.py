@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from tables import rows
 
-from cohortspark.operators import joins
+from cohortspark.operators import joins, rollup
 
 START = datetime(2020, 1, 1)
 
@@ -30,3 +30,29 @@ def test_an_interval_is_listed_a_few_times(spark):
     joined = joins.interval_join(p, i, ["k"], "at", "s", "e")
     assert joined.count() == 2 and joined.columns == ["k", "at", "s", "e"]
     assert joins.interval_join(p, i.limit(0), ["k"], "at", "s", "e").count() == 0
+
+
+def test_hours_are_spread_by_day(spark, monkeypatch):
+    """Intervals are dealt by day to tasks of bounded hours, and nothing is exchanged after they are spread."""
+    monkeypatch.setattr(rollup, "TASK_HOURS", 50)
+    rng = random.Random(3)
+    spans = [(rng.choice(["a", "b", None]), rng.choice("xy"), s, rng.choice([None, s - 1, s + rng.randrange(60)]), float(rng.randrange(9))) for s in [rng.randrange(-40, 200) for _ in range(150)]]
+    spans += [("c", "x", None, 30, 2.0), ("c", "y", 5, 3, 1.0), ("c", "x", -9, -1, 1.0)]
+    df = spark.createDataFrame(spans, "k string, label string, start_hours long, end_hours long, w double")
+    cover = {}
+    once = {}
+    for k, label, s, e, w in spans:
+        once.setdefault((k, label, s, e), []).append(w)
+    for (k, label, s, e), w in once.items():
+        for h in range(max(s or 0, 0), e + 1) if e is not None else ():
+            cover.setdefault((k, h), []).append((label, sum(w) / len(w)))
+    mean = lambda v: round(sum(v) / len(v), 9) if v else None
+    flag = rollup.interval_flag(df, ["k"], "label", values=["x", "y"])
+    assert flag.columns == ["k", "hours", "proc_x", "proc_y"]
+    assert rows(flag) == sorted([(k, h, int(any(n == "x" for n, _ in c)), int(any(n == "y" for n, _ in c))) for (k, h), c in cover.items()], key=repr)
+    amounts = {(r.k, r.hours): (r.x, r.y) for r in rollup.interval_mean(df, ["k"], "label", "w", values=["x", "y"]).collect()}
+    assert {a: tuple(v if v is None else round(v, 9) for v in b) for a, b in amounts.items()} == {a: tuple(mean([w for n, w in c if n == v]) for v in "xy") for a, c in cover.items()}
+    weights = {(r.k, r.hours): round(r.w, 9) for r in rollup.interval_weight(df, ["k"], "w").collect()}
+    assert weights == {a: mean([w for _, w in c]) for a, c in cover.items()}
+    dealt = rollup._hourly(df.select("k", "label", "start_hours", "end_hours").distinct(), df, ["k"], "start_hours", "end_hours")[0]
+    assert dealt.rdd.getNumPartitions() > 20
