@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.flags import levels_of
 from cohortspark.functions.times import explode_hours
+from cohortspark.operators.ordered import RANGE_ROWS
+from cohortspark.session import settled
 
 # Fluids whose share is computed apart from the other medications.
 FLUIDS = ("Plasma solution A", "Dextrose 5% & Na K2", "Hartmann", "Normal saline", "Dextrose 5%")
@@ -144,13 +146,24 @@ def presence_pivot_many(
     tags = {f"_t{i}": F.concat_ws("_", F.col(c), F.col(value_column)) for i, c in enumerate(name_columns)}
     tags = {t: F.when(F.col(c).isNotNull() & F.col(value_column).isNotNull(), v) for (t, v), c in zip(tags.items(), name_columns)}
     tagged = df.withColumns(tags)
-    long = tagged.select(*keys, F.explode(F.array(*tags)).alias("_name"), F.array(*tags).alias("_all"))
-    long = long.filter(F.col("_name").isNotNull())
-    names = frequent_levels(long, "_name", min_share)
-    kept = long.filter(F.col("_name").isin(names))
-    one = kept.groupBy(*keys).agg(F.min("_all").alias("_all"))
-    cells = one.select(*keys, F.explode("_all").alias("_name")).filter(F.col("_name").isNotNull())
-    return code_flags(cells, keys, "_name", "", levels_of(cells, "_name"), fill)
+    long = tagged.select(*keys, F.explode(F.array(*tags)).alias("_name"))
+    shares = category_shares(long.filter(F.col("_name").isNotNull()), "_name")
+    often = shares.filter(F.col("n") >= F.col("total") * min_share).select("_name", "total").collect()  # at most 1 / min_share
+    names = [r["_name"] for r in often]
+    some = reduce(Column.__or__, [F.coalesce(F.col(t).isin(names), F.lit(False)) for t in tags])
+    kept = tagged.filter(some).select(*keys, F.array(*tags).alias("_all"))
+    # smallest arrays are found by sorting, so no task gets more than a range of rows, whatever a task before it read
+    parts = max(1, ceil(often[0]["total"] / RANGE_ROWS)) if often else 1
+    dealt = kept.repartition(parts, *[F.col(f"`{k}`") for k in keys], F.col("_all"))
+    one = settled(dealt.groupBy(*keys).agg(F.min("_all").alias("_all")))
+    found = levels_of(one.select(F.explode("_all").alias("_name")), "_name")
+    if not found:
+        return one.select(*keys)
+    places = {f"_p{i}": F.array_position(F.array(*[F.lit(v) for v in found]), F.col("_all")[i]) for i in range(len(tags))}
+    placed = one.select(*keys, *[p.alias(name) for name, p in places.items()])
+    here = lambda at: reduce(Column.__or__, [F.col(p) == F.lit(at) for p in places])
+    flags = [F.when(here(at), F.lit(1)).otherwise(F.lit(fill)).alias(v) for at, v in enumerate(found, 1)]
+    return placed.select(*keys, *flags)
 
 
 def frequent_levels(df: DataFrame, column: str, min_share: float) -> list:

@@ -56,3 +56,29 @@ def test_hours_are_spread_by_day(spark, monkeypatch):
     assert weights == {a: mean([w for _, w in c]) for a, c in cover.items()}
     dealt = rollup._hourly(df.select("k", "label", "start_hours", "end_hours").distinct(), df, ["k"], "start_hours", "end_hours")[0]
     assert dealt.rdd.getNumPartitions() > 20
+
+
+def test_presence_sorts_ranges_of_rows(spark, monkeypatch):
+    """The smallest rows of the keys are found in tasks of bounded rows; each key then makes its flags by itself."""
+    monkeypatch.setattr(rollup, "RANGE_ROWS", 20)
+    rng = random.Random(4)
+    data = [(rng.choice([None, *range(40)]), rng.choice(["p", "q", "s", None]), rng.choice([None, "q", "rare"]) if i else "once", rng.choice(["iv", "po", None])) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, d1 string, d2 string, route string")
+    tags = [(k, tuple(f"{d}_{r}" if d and r else None for d in (a, b))) for k, a, b, r in data]
+    counts = {}
+    for _, t in tags:
+        for name in filter(None, t):
+            counts[name] = counts.get(name, 0) + 1
+    often = {n for n, c in counts.items() if c >= 0.05 * sum(counts.values())}
+    best = {}
+    for k, t in tags:
+        if often & set(t):
+            best[k] = min(best.get(k, t), t, key=lambda x: [(v is not None, v or "") for v in x])
+    names = sorted({n for t in best.values() for n in t if n})
+    made = []
+    plainly = rollup.settled
+    monkeypatch.setattr(rollup, "settled", lambda df: made.append(df) or plainly(df))
+    out = rollup.presence_pivot_many(df, ["k"], ["d1", "d2"], "route", 0.05)
+    assert out.columns == ["k", *names] and rows(out) == sorted([(k, *(int(n in t) for n in names)) for k, t in best.items()], key=repr)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-sum(counts.values()) // 20)})" in made[0]._jdf.queryExecution().executedPlan().toString()
