@@ -72,12 +72,12 @@ def nearest_known(values: DataFrame, params: DataFrame) -> DataFrame:
 def named_rows(df: DataFrame, keys: Sequence[str] | None) -> DataFrame:
     """``df``, settled, with ``_row``, a number that tells rows apart, and ``_name``, which draws follow: the ``keys`` as
     text (rows with equal keys have equal draws), or the number without keys."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = settled(df.withColumn("_row", F.monotonically_increasing_id()))
     if keys:
         name = F.concat_ws(":", *[F.coalesce(_q(c).cast("string"), F.lit("")) for c in keys])
     else:
         name = F.col("_row").cast("string")
-    return settled(rows.withColumn("_name", name))
+    return rows.withColumn("_name", name)
 
 
 def uniform(name: Column, seed: int) -> Column:
@@ -115,7 +115,7 @@ def stochastic_transform(
         known = nearest_known(counts, params)
         near = known.join(params.withColumnRenamed("value", "known"), ["feature", "known"]).select("feature", "value", "lo", "hi")
         lookup = lookup.unionByName(counts.join(near, ["feature", "value"]))
-    met = spread_join(long, settled(lookup), ["feature", "value"], "_n", "_row")
+    met = spread_join(long, settled(lookup), ["feature", "value"], "_n")
     draw = uniform(F.concat_ws(":", "feature", "_name"), seed)
     drawn = met.select("_row", "feature", (F.col("lo") + draw * (F.col("hi") - F.col("lo"))).alias("value"))
     return _back(rows, drawn, columns, df.columns)
@@ -128,14 +128,16 @@ def next_interval(draws: DataFrame, params: DataFrame, group: Sequence[str]) ->
     read in one pass that carries the last interval along.  What is carried over the border of two ranges is
     found from one row of each range, which pass the driver.  Draws above the last end, or NaN, have no value.
     """
-    name = F.to_json(F.struct(*group)).alias("_g")
+    texts = [_q(c).cast("string") for c in group]
+    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts]
+    name = F.concat(*parts).alias("_g")  # one text for each group, whatever is in its columns
     place = F.col("u").cast("double").alias("_p")
     asked = draws.select(name, place, F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("value"), "_row", "feature")
     nobody = F.lit(None).cast("bigint")
     given = params.select(name, F.col("hi").alias("_p"), F.lit(0).alias("_kind"), "value", nobody.alias("_row"), "feature")
     order = [F.col("_g"), F.col("_p").desc(), F.col("_kind"), F.col("_row")]
     dealt = given.unionByName(asked).repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = settled(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    dealt = settled(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).drop("_p"))
     ends = dealt.groupBy("_part").agg(
         F.min_by("_g", "_at").alias("first"),
         F.max_by("_g", "_at").alias("last"),
@@ -163,7 +165,10 @@ def next_interval(draws: DataFrame, params: DataFrame, group: Sequence[str]) ->
             if group is None:
                 group, last = g[0], carried.get(batch["_part"].iloc[0])
             at = np.arange(len(batch))
-            change = np.concatenate([[g[0] != group], g[1:] != g[:-1]])
+            change = np.zeros(len(batch), bool)
+            change[0] = g[0] != group
+            if g[0] != g[-1]:  # sorted, so most batches hold one group
+                change[1:] = g[1:] != g[:-1]
             start = np.maximum.accumulate(np.where(change, at, 0))
             seen = np.maximum.accumulate(np.where(kind == 0, at, -1))
             own = seen >= start
@@ -174,7 +179,7 @@ def next_interval(draws: DataFrame, params: DataFrame, group: Sequence[str]) ->
                 out[head], here[head] = last, True
             group, last = g[-1], (out[-1] if here[-1] else None)
             asked = kind == 1
-            found = pd.Series(out[asked]).astype(object).where(here[asked], None)
+            found = np.where(here[asked], out[asked], np.nan)  # NaN leaves as null
             yield pd.DataFrame({"_row": batch["_row"].to_numpy()[asked].astype(np.int64), "feature": batch["feature"].to_numpy()[asked], "value": found})
 
     return dealt.mapInPandas(fill, "_row bigint, feature string, value double")

@@ -264,19 +264,17 @@ def repeat_static(static: DataFrame, temporal: DataFrame, key: str = "patient_id
     return temporal.join(static, key)
 
 
-def spread_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str, row: str, share: int = 1000) -> DataFrame:
+def spread_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str, share: int = 1000) -> DataFrame:
     """Left equi-join with a table of one row per key whose ``weight`` is the number of rows of ``df`` with that key.
 
-    Keys that make 1 / ``share`` of all rows are broadcast, at most ``share`` of them.  Other keys are shuffled;
-    rows already served meet nothing there and are spread by ``row``, a column that tells rows apart.
+    Keys that make 1 / ``share`` of all rows are broadcast, at most ``share`` of them, and their rows stay where they are.
+    Only rows of other keys are shuffled.  ``df`` is read twice.
     """
     names = [c for c in lookup.columns if c not in on and c != weight]
     total = lookup.agg(F.sum(weight)).first()[0] or 0
     often = F.col(weight) * F.lit(share) >= F.lit(total)
-    hot = lookup.filter(often).select(*on, F.struct(*names).alias("_hot"))
-    cold = lookup.filter(~often).select(*on, F.lit(0).alias("_salt"), F.struct(*names).alias("_cold"))
-    near = df.join(F.broadcast(hot), list(on), "left")
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(row), F.lit(share)).cast("int"))
-    out = near.withColumn("_salt", salt).join(cold, [*on, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return out.select(*df.columns, *[found.getItem(c).alias(c) for c in names])
+    hot, cold = F.broadcast(lookup.filter(often).select(*on, *names)), lookup.filter(~often).select(*on, *names)
+    columns = [*df.columns, *names]
+    served = df.join(hot, list(on)).select(*columns)
+    rest = df.join(hot.select(*on), list(on), "left_anti").join(cold, list(on), "left").select(*columns)
+    return served.unionByName(rest)

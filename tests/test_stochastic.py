@@ -85,3 +85,17 @@ def test_generated_rows(spark):
         assert {r.x for r in own} == {None, *[v + 10.0 * g for v in range(5)]}
         assert abs(sum(r.x is None for r in own) / len(own) - 0.25) < 0.04
         assert {r.c for r in own} == {"a", "b"}
+
+
+def test_rows_of_hot_values_are_not_shuffled(spark):
+    """Values of many rows meet their intervals where they are; null, unknown and rare values are joined all the same."""
+    from cohortspark.operators.joins import spread_join
+
+    values = [float(i % 3) for i in range(3000)] + [10.0 + i for i in range(5)] + [None, -1.0]
+    df = spark.createDataFrame([(i, "f", v) for i, v in enumerate(values)], "_row long, feature string, value double")
+    known = [("f", v, values.count(v), v / 2) for v in sorted({v for v in values if v is not None and v >= 0})]
+    out = spread_join(df, spark.createDataFrame(known, "feature string, value double, _n long, lo double"), ["feature", "value"], "_n")
+    assert out.columns == ["_row", "feature", "value", "lo"]
+    assert {r._row: r.lo for r in out.collect()} == {i: None if v is None or v < 0 else v / 2 for i, v in enumerate(values)} and out.count() == len(values)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "_salt" not in plan
